@@ -88,7 +88,7 @@ def returned_against_accepted(spark: SparkSession, sf_dir: str) -> CooTable:
 def event_vector(spark: SparkSession, sf_dir: str, rows: int | None = None) -> CooTable:
     """Whole part of each event's value; ``event_id`` is the table's key."""
     return to_coo(table(spark, sf_dir, "events"), "event_id", F.lit(0), F.floor("value"),
-                  dims=(rows or events(spark, sf_dir), 1), unique=True)
+                  dims=(rows or events(spark, sf_dir), 1), key=True)
 
 
 def event_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int, int, int]:
@@ -109,29 +109,29 @@ def nation_operator(spark: SparkSession, sf_dir: str) -> CooTable:
     )
     n = nations(spark, sf_dir)
     return to_coo(lines, "c_nationkey", "s_nationkey", F.col("lines") % 3 - 1,
-                  dims=(n, n), unique=True)
+                  dims=(n, n), key=True)
 
 
 def nation_vector(spark: SparkSession, sf_dir: str) -> CooTable:
     return to_coo(table(spark, sf_dir, "nation"), "n_nationkey", F.lit(0),
-                  F.col("n_nationkey") - 12, dims=(nations(spark, sf_dir), 1), unique=True)
+                  F.col("n_nationkey") - 12, dims=(nations(spark, sf_dir), 1), key=True)
 
 
 def region_nation(spark: SparkSession, sf_dir: str) -> CooTable:
     n = key_space(spark, sf_dir, "region", "r_regionkey"), nations(spark, sf_dir)
     return to_coo(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey",
-                  F.col("n_nationkey") + 1, F.col("n_regionkey") + 1, dims=n, unique=True)
+                  F.col("n_nationkey") + 1, F.col("n_regionkey") + 1, dims=n, key=True)
 
 
 def customer_vector(spark: SparkSession, sf_dir: str, rows: int | None = None) -> CooTable:
     return to_coo(table(spark, sf_dir, "customer"), "c_custkey", F.lit(0),
                   F.col("c_nationkey") - 12, dims=(rows or customers(spark, sf_dir), 1),
-                  unique=True)
+                  key=True)
 
 
 def supplier_vector(spark: SparkSession, sf_dir: str) -> CooTable:
     return to_coo(table(spark, sf_dir, "supplier"), "s_suppkey", F.lit(0),
-                  F.col("s_nationkey") - 12, dims=(suppliers(spark, sf_dir), 1), unique=True)
+                  F.col("s_nationkey") - 12, dims=(suppliers(spark, sf_dir), 1), key=True)
 
 
 def embedding_matrix(spark: SparkSession, sf_dir: str) -> CooTable:
@@ -140,4 +140,4 @@ def embedding_matrix(spark: SparkSession, sf_dir: str) -> CooTable:
     width = vectors.agg(F.max(F.size("embedding"))).first()[0]
     cells = vectors.select("vec_id", F.posexplode("embedding").alias("position", "x"))
     return to_coo(cells, "vec_id", "position", F.floor(F.col("x").cast("double") * 1000),
-                  dims=(key_space(spark, sf_dir, "embeddings", "vec_id"), width), unique=True)
+                  dims=(key_space(spark, sf_dir, "embeddings", "vec_id"), width), key=True)

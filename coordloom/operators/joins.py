@@ -72,7 +72,7 @@ def _placed(df: DataFrame, hot: DataFrame, key: str, spread: str, own: str,
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str, *,
                spread: tuple[str, str], bounds: tuple[int | None, int | None],
-               in_place: bool = False, hot: int = HOT_ENTRIES) -> DataFrame:
+               in_place: bool = False, hot: int | None = HOT_ENTRIES) -> DataFrame:
     """Inner join on ``key``. ``spread`` names the column that tells the entries
     of one key apart on either side, ``bounds`` the proven sizes."""
     small = smaller_fitting((left, right), bounds)
@@ -80,7 +80,7 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, *,
         return left.join(F.broadcast(right), key)
     if small == 0:
         return F.broadcast(left).join(right, key)
-    if in_place:
+    if in_place or hot is None:
         return left.join(right, key)
     hot_keys = _hot_keys(left, right, key, hot)
     return _placed(left, hot_keys, key, spread[0], "l", "r").join(

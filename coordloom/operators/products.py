@@ -37,6 +37,11 @@ def prune_zeros(t: CooTable, eps: float = 0.0) -> CooTable:
                     unique=t.unique, at_most=t.at_most)
 
 
+def _for_cells(t: CooTable) -> CooTable:
+    """Ready for the hot-key join: repeats could not be spread over cells."""
+    return t.merged().store()
+
+
 def _summed(pairs: DataFrame, row: Column, col: Column, value: list[Column],
             dims: tuple[int, int], eps: float) -> CooTable:
     sums = pairs.select(row.alias("row"), col.alias("col"), *value).groupBy("row", "col")
@@ -46,20 +51,24 @@ def _summed(pairs: DataFrame, row: Column, col: Column, value: list[Column],
 
 
 def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
-           hot: int = HOT_ENTRIES) -> CooTable:
+           hot: int | None = HOT_ENTRIES) -> CooTable:
     """The product ``a . b``; sums that are zero in every part are dropped.
 
     ``product="complex"`` multiplies complex numbers; ``"componentwise"``
     multiplies real parts and imaginary parts apart. Partial sums are formed in
     the tasks that pair the entries, so only sums cross the second shuffle.
+
+    If neither side can be broadcast, keys with more than ``hot`` entries are cut
+    into cells. Both sides are then read twice, so one that is not stored is
+    written first; ``hot=None`` leaves skew to adaptive execution instead.
     """
     if a.dims[1] != b.dims[0]:
         raise ValueError(f"columns of {a.dims} differ from rows of {b.dims}")
     check_product(product)
     in_place = a.bucketed == "col" or b.bucketed == "row"
     small = smaller_fitting((a.df, b.df), (a.bound, b.bound))
-    if small is None and not in_place:  # repeats could not be spread over cells
-        a, b = a.merged(), b.merged()
+    if small is None and not in_place and hot is not None:
+        a, b = _for_cells(a), _for_cells(b)
     pairs = keyed_join(
         _side(a, "a", row="_i", col="_k"), _side(b, "b", row="_k", col="_j"), "_k",
         spread=("_i", "_j"), bounds=(a.bound, b.bound), in_place=in_place, hot=hot,
@@ -134,15 +143,16 @@ class AxisOperator:
 
 def apply_on_axis(matrix: CooTable, v: CooTable, sizes: Sequence[int], axis: int,
                   product: str = COMPLEX, eps: float = 0.0,
-                  hot: int = HOT_ENTRIES) -> CooTable:
+                  hot: int | None = HOT_ENTRIES) -> CooTable:
     """``(I (x) matrix (x) I) . v`` with ``matrix`` on axis ``axis`` of ``v``'s rows."""
     op = AxisOperator(matrix, tuple(sizes), axis)
     if op.dims[1] != v.dims[0]:
         raise ValueError(f"sizes {op.sizes} differ from the {v.dims[0]} rows")
     check_product(product)
     inner = math.prod(op.sizes[axis:])
-    if smaller_fitting((matrix.df, v.df), (matrix.bound, v.bound)) is None:
-        matrix, v = matrix.merged(), v.merged()
+    small = smaller_fitting((matrix.df, v.df), (matrix.bound, v.bound))
+    if small is None and hot is not None:
+        matrix, v = _for_cells(matrix), _for_cells(v)
     state = _side(v, "b", row="_r", col="_j").withColumn(
         "_k", div(F.col("_r"), inner) % F.lit(matrix.dims[1]).cast("bigint"))
     pairs = keyed_join(

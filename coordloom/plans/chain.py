@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -50,16 +51,23 @@ def _check(ops: Sequence[Operator], dims: tuple[int, int], steps: int) -> None:
         raise ValueError(f"a step turns {start} rows into {rows}; it cannot repeat")
 
 
+def _stored_once(ops: Sequence[Operator], steps: int = 1) -> list[Operator]:
+    """The operators, those used more than once stored by one job each."""
+    uses = Counter(id(op) for op in ops)
+    stored = {id(op): op.store() for op in ops if steps * uses[id(op)] > 1}
+    return [stored.get(id(op), op) for op in ops]
+
+
 def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
                 save_every: int | None = None, product: str = COMPLEX, eps: float = 0.0,
                 products_per_cut: int = PRODUCTS_PER_CUT) -> ChainResult:
     """``steps`` times ``v <- U0 . (U1 . ( ... (Un . v)))``: the last operator first.
 
     With ``save_every=k`` the state at the start of step ``i`` is saved for each
-    ``i`` above 0 that ``k`` divides; the final state is not among them. A short
-    chain stays one lazy plan. A longer one writes its operators once and the
-    state every few products, so that neither plan nor recomputation grows with
-    the number of steps.
+    ``i`` above 0 that ``k`` divides; the final state is not among them. An
+    operator that is applied more than once is stored first, and the state every
+    ``products_per_cut`` products, so that neither the plan nor what a lost
+    executor costs grows with the number of steps.
     """
     steps = int(steps)
     if steps < 1:
@@ -68,8 +76,7 @@ def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
         raise ValueError(f"save_every must lie within 1..{steps}, got {save_every}")
     _check(ops, v.dims, steps)
     saving = save_every is not None and save_every < steps
-    if saving or steps * len(ops) > products_per_cut:
-        ops = [op.store() for op in ops]
+    ops = _stored_once(ops, steps)
     state, pending, saved = v, 0, {}
     for step in range(steps):
         if saving and step and step % save_every == 0:
@@ -90,7 +97,7 @@ def compose(ops: Sequence[CooTable], product: str = COMPLEX, eps: float = 0.0) -
     """
     if not ops:
         raise ValueError("a chain needs at least one operator")
-    return reduce(lambda a, b: matmul(a, b, product, eps), ops)
+    return reduce(lambda a, b: matmul(a, b, product, eps), _stored_once(ops))
 
 
 def run(ops: Sequence[Operator], v: CooTable, steps: int, *,

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -64,7 +65,7 @@ def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = inputs.supplier_part(spark, sf_dir)
+    s = inputs.supplier_part(spark, sf_dir).store()
     return matmul(s, s.transpose()).df
 
 
@@ -147,16 +148,16 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chain_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer to supplier and back, twice, over all order lines."""
-    p = inputs.customer_supplier_counts(spark, sf_dir)
+    p = inputs.customer_supplier_counts(spark, sf_dir).store()
     return chain_apply([p, p.transpose()], inputs.customer_vector(spark, sf_dir),
                        2).state.entries()
 
 
 def _customer_report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    p = inputs.customer_supplier_counts(spark, sf_dir)
+    p = inputs.customer_supplier_counts(spark, sf_dir).store()
     n = inputs.nations(spark, sf_dir)
     rows = inputs.round_up(p.dims[0], n)
-    p = CooTable(p.df, (rows, p.dims[1]), unique=True)
+    p = replace(p, dims=(rows, p.dims[1]))
     return run([p, p.transpose()], inputs.customer_vector(spark, sf_dir, rows), 1,
                dims=(rows // n, n), measured=[2])
 

@@ -29,15 +29,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
-def _setting(spark: SparkSession, key: str) -> str | None:
-    value = spark.conf.get(key, None)
-    return value or None
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
@@ -45,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     go without the setting; it then gets a fresh temporary folder.
     """
     context = spark.sparkContext
-    folder = _setting(spark, _CHECKPOINT_DIR) or context.getCheckpointDir()
+    folder = spark.conf.get(_CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError(
@@ -76,7 +72,7 @@ def cut(df: DataFrame, purpose: str = "cut") -> DataFrame:
 
 def broadcast_entries(spark: SparkSession) -> int:
     """How many matrix entries may be broadcast under the session's threshold."""
-    text = (_setting(spark, _BROADCAST_THRESHOLD) or "-1").strip().lower()
+    text = spark.conf.get(_BROADCAST_THRESHOLD).strip().lower()
     match = re.fullmatch(r"(-?\d+)\s*([a-z]*)", text)
     if match is None or match.group(2) not in _UNITS:
         raise ValueError(f"cannot read {_BROADCAST_THRESHOLD}={text!r}")

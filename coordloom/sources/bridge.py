@@ -22,28 +22,28 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _required(c: Column | str, dtype: str, name: str) -> Column:
-    """The column cast to ``dtype``; a NULL is an input error."""
-    missing = F.raise_error(F.lit(f"NULL in matrix column {name}")).cast(dtype)
-    return F.coalesce(_column(c).cast(dtype), missing).alias(name)
+def _required(c: Column, dtype: str, name: str) -> Column:
+    """The column, where a NULL is an input error."""
+    return F.coalesce(c, F.raise_error(F.lit(f"NULL in matrix column {name}")).cast(dtype))
 
 
 def to_coo(df: DataFrame, row: Column | str, col: Column | str, re: Column | str,
            im: Column | str | None = None, dims: tuple[int, int] | None = None,
-           unique: bool = False) -> CooTable:
+           key: bool = False) -> CooTable:
     """A matrix from the rows of any table; repeated coordinates are added up.
 
-    ``unique=True`` states that coordinates do not repeat and saves the group-by.
-    Without ``dims`` the largest indices are looked up by a job.
+    A NULL value or index raises. ``key=True`` states that the coordinates are a
+    key of the table, neither repeated nor NULL: no group-by is needed, and bare
+    index columns let range filters reach the scan. Without ``dims`` the largest
+    indices are looked up by a job.
     """
-    columns = [_required(row, "bigint", "row"), _required(col, "bigint", "col"),
-               _required(re, "double", "re")]
-    if im is not None:
-        columns.append(_required(im, "double", "im"))
-    out = df.select(*columns)
-    values = [c for c in ("re", "im") if c in out.columns]
-    if not unique:
-        out = out.groupBy("row", "col").agg(*(F.sum(v).alias(v) for v in values))
+    given = {"re": re} if im is None else {"re": re, "im": im}
+    values = {n: _required(_column(c).cast("double"), "double", n) for n, c in given.items()}
+    index = {n: _column(c).cast("bigint") for n, c in (("row", row), ("col", col))}
+    out = df.select(*(c.alias(n) for n, c in (index | values).items()))
+    if not key:
+        out = out.groupBy("row", "col").agg(*(F.sum(v).alias(v) for v in values)).select(
+            *(_required(F.col(n), "bigint", n).alias(n) for n in index), *values)
     if dims is None:
         dims = measured_dims(out)
     return CooTable(out, dims, unique=True)
@@ -69,7 +69,7 @@ def from_rows(spark: SparkSession, rows: Iterable[Sequence[float]],
     if not any(im for *_, im in data):
         df = df.drop("im")
     unique = len({d[:2] for d in data}) == len(data)
-    return CooTable(df, dims, unique=unique, at_most=len(data))
+    return CooTable(df, dims, unique=unique, at_most=len(data), stored=True)
 
 
 def basis_vector(spark: SparkSession, dims: Sequence[int],

@@ -15,7 +15,7 @@ def identity(spark: SparkSession, n: int) -> CooTable:
     """Ones on the diagonal of an ``n`` by ``n`` matrix."""
     df = spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("col"),
                                F.lit(1.0).alias("re"))
-    return CooTable(df, (n, n), unique=True, at_most=n)
+    return CooTable(df, (n, n), unique=True, at_most=n, stored=True)
 
 
 def uniform_vector(spark: SparkSession, n: int) -> CooTable:
@@ -23,7 +23,7 @@ def uniform_vector(spark: SparkSession, n: int) -> CooTable:
     df = spark.range(n).select(
         F.col("id").alias("row"), F.lit(0).cast("bigint").alias("col"),
         F.lit(1.0 / math.sqrt(n)).alias("re"))
-    return CooTable(df, (n, 1), full=True)
+    return CooTable(df, (n, 1), full=True, stored=True)
 
 
 def cyclic_shift(spark: SparkSession, sizes: Sequence[int]) -> CooTable:
@@ -43,4 +43,4 @@ def cyclic_shift(spark: SparkSession, sizes: Sequence[int]) -> CooTable:
     df = spark.range(n).select(F.col("id").alias("row"),
                                ravel(bits + moved, shape).alias("col"),
                                F.lit(1.0).alias("re"))
-    return CooTable(df, (n, n), unique=True, at_most=n)
+    return CooTable(df, (n, n), unique=True, at_most=n, stored=True)

@@ -34,7 +34,7 @@ class CooTable:
     * ``unique``: no coordinate occurs twice;
     * ``full``: every coordinate occurs exactly once;
     * ``at_most``: a proven upper bound on the number of entries;
-    * ``stored``: ``df`` is a plain scan of stored files;
+    * ``stored``: ``df`` is a plain scan or a generated range, cheap to read twice;
     * ``bucketed``: the files are bucketed by this column.
     """
 
