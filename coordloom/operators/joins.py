@@ -5,7 +5,8 @@ Three plans, the first that applies:
 1. A side proven to fit the session's broadcast threshold is broadcast; the other
    side is not moved at all.
 2. A side bucketed by the key joins in place; only the other side moves.
-3. Otherwise both sides move by key, with the hottest keys cut into a grid of
+3. Otherwise both sides move by key. Unless the caller rules hot keys out, the
+   keys with more than ``hot`` entries are looked up first and cut into a grid of
    cells. A key with ``n`` entries left and ``m`` right gets ``ceil(n/hot)`` by
    ``ceil(m/hot)`` cells. A left entry belongs to one cell row and is repeated
    along it, a right entry to one cell column, so each pair meets exactly once
@@ -16,15 +17,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from coordloom.session import broadcast_entries
 
 # Entries of one key that a single cell may hold on either side.
 HOT_ENTRIES = 65_536
 
-# The hot-key list is broadcast, so its length is fixed. Keys beyond it are joined
-# like all others: each of them holds less than 1/10,000 of the entries.
+# The hot-key list goes through the driver, so its length is fixed. Keys beyond it
+# are joined like all others: each of them holds less than 1/10,000 of the entries.
 HOT_KEYS_LISTED = 10_000
 
 
@@ -39,8 +40,11 @@ def smaller_fitting(sides: tuple[DataFrame, DataFrame],
     return min(fitting, key=lambda n: bounds[n], default=None)
 
 
-def _hot_keys(left: DataFrame, right: DataFrame, key: str, hot: int) -> DataFrame:
-    """Cells per hot key: ``key, _cells_l, _cells_r``; at most the listed number."""
+def _hot_keys(left: DataFrame, right: DataFrame, key: str, hot: int) -> list[Row]:
+    """Cells per hot key: ``key, _cells_l, _cells_r``; at most the listed number.
+
+    Counts are formed before the shuffle, so a hot key costs one row per task.
+    """
     one, zero = F.lit(1), F.lit(0)
     counts = (
         left.select(key, one.alias("_l"), zero.alias("_r"))
@@ -53,14 +57,14 @@ def _hot_keys(left: DataFrame, right: DataFrame, key: str, hot: int) -> DataFram
     )
     cells = [F.ceil(F.col(c) / hot).cast("int").alias(n)
              for c, n in (("_l", "_cells_l"), ("_r", "_cells_r"))]
-    return counts.select(key, *cells)
+    return counts.select(key, *cells).collect()
 
 
 def _placed(df: DataFrame, hot: DataFrame, key: str, spread: str, own: str,
             other: str) -> DataFrame:
     """``df`` with its cell numbers; its own by hash, the other side's by repeat."""
-    own_cells = F.greatest(F.coalesce(f"_cells_{own}", F.lit(1)), F.lit(1))
-    other_cells = F.greatest(F.coalesce(f"_cells_{other}", F.lit(1)), F.lit(1))
+    own_cells, other_cells = (F.greatest(F.coalesce(f"_cells_{s}", F.lit(1)), F.lit(1))
+                              for s in (own, other))
     return (
         df.join(F.broadcast(hot), key, "left")
         .withColumn(f"_cell_{own}", F.pmod(F.xxhash64(spread), own_cells).cast("int"))
@@ -72,17 +76,20 @@ def _placed(df: DataFrame, hot: DataFrame, key: str, spread: str, own: str,
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str, *,
                spread: tuple[str, str], bounds: tuple[int | None, int | None],
-               in_place: bool = False, hot: int | None = HOT_ENTRIES) -> DataFrame:
+               hot: int | None = HOT_ENTRIES) -> DataFrame:
     """Inner join on ``key``. ``spread`` names the column that tells the entries
-    of one key apart on either side, ``bounds`` the proven sizes."""
+    of one key apart on either side, ``bounds`` the proven sizes. ``hot=None``
+    looks for no hot keys: there are none, or a side is bucketed by the key."""
     small = smaller_fitting((left, right), bounds)
     if small == 1:
         return left.join(F.broadcast(right), key)
     if small == 0:
         return F.broadcast(left).join(right, key)
-    if in_place or hot is None:
+    found = _hot_keys(left, right, key, hot) if hot is not None else []
+    if not found:
         return left.join(right, key)
-    hot_keys = _hot_keys(left, right, key, hot)
+    hot_keys = left.sparkSession.createDataFrame(
+        found, f"{key} bigint, _cells_l int, _cells_r int")
     return _placed(left, hot_keys, key, spread[0], "l", "r").join(
         _placed(right, hot_keys, key, spread[1], "r", "l"), [key, "_cell_l", "_cell_r"]
     ).drop("_cell_l", "_cell_r")

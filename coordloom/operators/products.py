@@ -37,11 +37,6 @@ def prune_zeros(t: CooTable, eps: float = 0.0) -> CooTable:
                     unique=t.unique, at_most=t.at_most)
 
 
-def _for_cells(t: CooTable) -> CooTable:
-    """Ready for the hot-key join: repeats could not be spread over cells."""
-    return t.merged().store()
-
-
 def _summed(pairs: DataFrame, row: Column, col: Column, value: list[Column],
             dims: tuple[int, int], eps: float) -> CooTable:
     sums = pairs.select(row.alias("row"), col.alias("col"), *value).groupBy("row", "col")
@@ -59,19 +54,24 @@ def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
     the tasks that pair the entries, so only sums cross the second shuffle.
 
     If neither side can be broadcast, keys with more than ``hot`` entries are cut
-    into cells. Both sides are then read twice, so one that is not stored is
-    written first; ``hot=None`` leaves skew to adaptive execution instead.
+    into cells, unless the shapes rule such keys out. Both sides are then read
+    twice, so one that is not stored is written first; ``hot=None`` leaves skew
+    to adaptive execution instead.
     """
     if a.dims[1] != b.dims[0]:
         raise ValueError(f"columns of {a.dims} differ from rows of {b.dims}")
     check_product(product)
     in_place = a.bucketed == "col" or b.bucketed == "row"
     small = smaller_fitting((a.df, b.df), (a.bound, b.bound))
-    if small is None and not in_place and hot is not None:
-        a, b = _for_cells(a), _for_cells(b)
+    if in_place or max(a.dims[0], b.dims[1]) <= (hot or 0):
+        hot = None
+    if small is None and not in_place:
+        a, b = a.merged(), b.merged()
+        if hot is not None:
+            a, b = a.store(), b.store()
     pairs = keyed_join(
         _side(a, "a", row="_i", col="_k"), _side(b, "b", row="_k", col="_j"), "_k",
-        spread=("_i", "_j"), bounds=(a.bound, b.bound), in_place=in_place, hot=hot,
+        spread=("_i", "_j"), bounds=(a.bound, b.bound), hot=hot,
     )
     value = _named(*multiply(_value(a, "a"), _value(b, "b"), product))
     return _summed(pairs, F.col("_i"), F.col("_j"), value, (a.dims[0], b.dims[1]), eps)
@@ -151,8 +151,10 @@ def apply_on_axis(matrix: CooTable, v: CooTable, sizes: Sequence[int], axis: int
     check_product(product)
     inner = math.prod(op.sizes[axis:])
     small = smaller_fitting((matrix.df, v.df), (matrix.bound, v.bound))
-    if small is None and hot is not None:
-        matrix, v = _for_cells(matrix), _for_cells(v)
+    if small is None:
+        matrix, v = matrix.merged(), v.merged()
+        if hot is not None:
+            matrix, v = matrix.store(), v.store()
     state = _side(v, "b", row="_r", col="_j").withColumn(
         "_k", div(F.col("_r"), inner) % F.lit(matrix.dims[1]).cast("bigint"))
     pairs = keyed_join(
