@@ -48,11 +48,15 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def customer_supplier(spark: SparkSession, sf_dir: str, cols: int | None = None) -> CooTable:
-    """Quantity (real) and number of lines (imaginary) by customer and supplier."""
+def customer_supplier(spark: SparkSession, sf_dir: str, cols: int | None = None,
+                      merge: bool = True) -> CooTable:
+    """Quantity (real) and number of lines (imaginary) by customer and supplier.
+
+    Customers rarely meet a supplier twice, so a product does without merging.
+    """
     dims = (customers(spark, sf_dir), cols or suppliers(spark, sf_dir))
     return to_coo(order_lines(spark, sf_dir), "o_custkey", "l_suppkey", "l_quantity",
-                  F.lit(1.0), dims)
+                  F.lit(1.0), dims, merge=merge)
 
 
 def supplier_line(spark: SparkSession, sf_dir: str) -> CooTable:

@@ -17,7 +17,11 @@ from coordloom.table import CooTable
 
 
 def _side(t: CooTable, prefix: str, **renamed: str) -> DataFrame:
-    """The table's columns under names that do not clash in a join."""
+    """The table's columns under names that do not clash in a join.
+
+    The join index comes first on both sides: a table multiplied by its own
+    transpose then needs one shuffle, which the other side reuses.
+    """
     cols = [F.col(c).alias(n) for c, n in renamed.items()]
     return t.df.select(*cols, *(F.col(v).alias(f"{prefix}_{v}") for v in t.values))
 
@@ -70,7 +74,7 @@ def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
         if hot is not None:
             a, b = a.store(), b.store()
     pairs = keyed_join(
-        _side(a, "a", row="_i", col="_k"), _side(b, "b", row="_k", col="_j"), "_k",
+        _side(a, "a", col="_k", row="_i"), _side(b, "b", row="_k", col="_j"), "_k",
         spread=("_i", "_j"), bounds=(a.bound, b.bound), hot=hot,
     )
     value = _named(*multiply(_value(a, "a"), _value(b, "b"), product))
@@ -158,7 +162,7 @@ def apply_on_axis(matrix: CooTable, v: CooTable, sizes: Sequence[int], axis: int
     state = _side(v, "b", row="_r", col="_j").withColumn(
         "_k", div(F.col("_r"), inner) % F.lit(matrix.dims[1]).cast("bigint"))
     pairs = keyed_join(
-        _side(matrix, "a", row="_i", col="_k"), state, "_k",
+        _side(matrix, "a", col="_k", row="_i"), state, "_k",
         spread=("_i", "_r"), bounds=(matrix.bound, v.bound), hot=hot,
     )
     outer = div(F.col("_r"), inner * matrix.dims[1])

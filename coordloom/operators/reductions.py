@@ -26,4 +26,4 @@ def norm(t: CooTable) -> DataFrame:
 def abs_square(t: CooTable) -> CooTable:
     """``re*re + im*im`` of every entry, as a real table of the same shape."""
     df = t.df.select("row", "col", _magnitude_squared(t).alias("re"))
-    return replace(t, df=df, stored=False, bucketed=None)
+    return replace(t, df=df, stored=False, bucketed=None, path=None)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from coordloom.functions import COMPLEX
 from coordloom.operators import AxisOperator, apply_on_axis, marginal, matmul, norm
+from coordloom.session import broadcast_entries, discard
+from coordloom.sources import store_bucketed
 from coordloom.table import CooTable
 
 Operator = CooTable | AxisOperator
@@ -51,13 +53,27 @@ def _check(ops: Sequence[Operator], dims: tuple[int, int], steps: int) -> None:
         raise ValueError(f"a step turns {start} rows into {rows}; it cannot repeat")
 
 
-def _stored_once(ops: Sequence[Operator], steps: int = 1) -> list[Operator]:
+def _stored_once(ops: Sequence[Operator], steps: int = 1,
+                 store: Callable[[Operator], Operator] = lambda op: op.store()
+                 ) -> list[Operator]:
     """The operators, those used more than once stored by one job each."""
     uses = Counter(id(op) for op in ops)
-    stored = {id(op): op.store() for op in ops if steps * uses[id(op)] > 1}
+    stored = {id(op): store(op) for op in ops if steps * uses[id(op)] > 1}
     return [stored.get(id(op), op) for op in ops]
 
 
+def _store_for(v: CooTable) -> Callable[[Operator], Operator]:
+    """How to store operators that will meet states of the size of ``v``."""
+    broadcast = v.dims[0] * v.dims[1] <= broadcast_entries(v.df.sparkSession)
+
+    def store(op: Operator) -> Operator:
+        if broadcast or isinstance(op, AxisOperator) or op.bucketed:
+            return op.store()
+        return store_bucketed(op)
+
+    return store
+
+
 def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
                 save_every: int | None = None, product: str = COMPLEX, eps: float = 0.0,
                 products_per_cut: int = PRODUCTS_PER_CUT) -> ChainResult:
@@ -65,26 +81,33 @@ def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
 
     With ``save_every=k`` the state at the start of step ``i`` is saved for each
     ``i`` above 0 that ``k`` divides; the final state is not among them. An
-    operator that is applied more than once is stored first, and the state every
+    operator that is applied more than once is stored first, bucketed by its join
+    index if the state is too large to broadcast. The state is stored every
     ``products_per_cut`` products, so that neither the plan nor what a lost
-    executor costs grows with the number of steps.
+    executor costs grows with the number of steps; a stored state that the next
+    one replaces is deleted.
     """
     steps = int(steps)
     if steps < 1:
         raise ValueError(f"steps must be at least 1, got {steps}")
+    if products_per_cut < 1:
+        raise ValueError(f"products_per_cut must be at least 1, got {products_per_cut}")
     if save_every is not None and not 1 <= save_every <= steps:
         raise ValueError(f"save_every must lie within 1..{steps}, got {save_every}")
     _check(ops, v.dims, steps)
     saving = save_every is not None and save_every < steps
-    ops = _stored_once(ops, steps)
-    state, pending, saved = v, 0, {}
+    ops = _stored_once(ops, steps, _store_for(v))
+    state, pending, saved, replaceable = v, 0, {}, None
     for step in range(steps):
-        if saving and step and step % save_every == 0:
-            state, pending = state.store(), 0
-            saved[step] = state
+        due = saving and step > 0 and step % save_every == 0
         for op in reversed(ops):
-            if pending >= products_per_cut:
+            if due or pending >= products_per_cut:
                 state, pending = state.store(), 0
+                if replaceable is not None:
+                    discard(state.df.sparkSession, replaceable)
+                replaceable = None if due else state.path
+            if due:
+                saved[step], due = state, False
             state = _apply(op, state, product, eps)
             pending += 1
     return ChainResult(state, saved)

@@ -40,17 +40,17 @@ def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matmul_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matmul(inputs.customer_supplier(spark, sf_dir),
+    return matmul(inputs.customer_supplier(spark, sf_dir, merge=False),
                   inputs.supplier_line(spark, sf_dir)).entries()
 
 
 def matmul_componentwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matmul(inputs.customer_supplier(spark, sf_dir),
+    return matmul(inputs.customer_supplier(spark, sf_dir, merge=False),
                   inputs.supplier_line(spark, sf_dir), COMPONENTWISE).entries()
 
 
 def matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matmul(inputs.customer_supplier(spark, sf_dir),
+    return matmul(inputs.customer_supplier(spark, sf_dir, merge=False),
                   inputs.supplier_vector(spark, sf_dir)).entries()
 
 
@@ -222,7 +222,7 @@ def shift_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = inputs.customer_supplier(spark, sf_dir)
+    a = inputs.customer_supplier(spark, sf_dir, merge=False)
     return matmul(identity(spark, a.dims[0]), a).entries()
 
 
@@ -231,7 +231,7 @@ def uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = 1
     while cols < inputs.suppliers(spark, sf_dir):
         cols *= 4
-    return matmul(inputs.customer_supplier(spark, sf_dir, cols),
+    return matmul(inputs.customer_supplier(spark, sf_dir, cols, merge=False),
                   uniform_vector(spark, cols)).entries()
 
 
@@ -239,7 +239,7 @@ def basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two suppliers' columns combined by a sparse vector."""
     half = inputs.round_up(inputs.suppliers(spark, sf_dir), 2) // 2
     e = basis_vector(spark, (2, half), {(0, 1): 1, (1, 0): -2 + 1j})
-    return matmul(inputs.customer_supplier(spark, sf_dir, 2 * half), e).entries()
+    return matmul(inputs.customer_supplier(spark, sf_dir, 2 * half, merge=False), e).entries()
 
 
 def complex_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,18 +58,26 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/coordloom/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, purpose: str = "cut") -> DataFrame:
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
     The plan after the cut is a plain Parquet scan: short lineage, true size
     statistics for the optimizer, nothing to recompute when an executor is lost.
     """
     spark = df.sparkSession
-    path = new_folder(spark, purpose)
+    path = path or new_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`new_folder` that no plan reads any more."""
+    if not path.startswith(f"{shared_folder(spark)}/coordloom/"):
+        raise ValueError(f"{path} is not a folder of this library")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def broadcast_entries(spark: SparkSession) -> int:
     """How many matrix entries may be broadcast under the session's threshold."""
     text = spark.conf.get(_BROADCAST_THRESHOLD).strip().lower()

@@ -29,24 +29,27 @@ def _required(c: Column, dtype: str, name: str) -> Column:
 
 def to_coo(df: DataFrame, row: Column | str, col: Column | str, re: Column | str,
            im: Column | str | None = None, dims: tuple[int, int] | None = None,
-           key: bool = False) -> CooTable:
+           key: bool = False, merge: bool = True) -> CooTable:
     """A matrix from the rows of any table; repeated coordinates are added up.
 
     A NULL value or index raises. ``key=True`` states that the coordinates are a
     key of the table, neither repeated nor NULL: no group-by is needed, and bare
-    index columns let range filters reach the scan. Without ``dims`` the largest
+    index columns let range filters reach the scan. ``merge=False`` leaves
+    repeated coordinates as they are; a product adds them up in any case, so an
+    operand with few repeats saves a shuffle. Without ``dims`` the largest
     indices are looked up by a job.
     """
     given = {"re": re} if im is None else {"re": re, "im": im}
     values = {n: _required(_column(c).cast("double"), "double", n) for n, c in given.items()}
     index = {n: _column(c).cast("bigint") for n, c in (("row", row), ("col", col))}
     out = df.select(*(c.alias(n) for n, c in (index | values).items()))
+    if merge and not key:
+        out = out.groupBy("row", "col").agg(*(F.sum(v).alias(v) for v in values))
     if not key:
-        out = out.groupBy("row", "col").agg(*(F.sum(v).alias(v) for v in values)).select(
-            *(_required(F.col(n), "bigint", n).alias(n) for n in index), *values)
+        out = out.select(*(_required(F.col(n), "bigint", n).alias(n) for n in index), *values)
     if dims is None:
         dims = measured_dims(out)
-    return CooTable(out, dims, unique=True)
+    return CooTable(out, dims, unique=merge or key)
 
 
 def measured_dims(df: DataFrame) -> tuple[int, int]:

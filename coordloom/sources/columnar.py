@@ -11,7 +11,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coordloom.session import new_folder
+from coordloom.session import discard, new_folder
 from coordloom.table import CooTable
 
 _SIZE = "size"
@@ -67,10 +67,15 @@ def store_bucketed(t: CooTable, by: str = "col", buckets: int | None = None) ->
         raise ValueError(f"bucket by 'row' or 'col', not {by!r}")
     spark = t.df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = t.merged().store()
+    t = t.merged()
+    stored = t.store()
     if hottest_share(stored, by) > 2.0 / n:
         return stored
     name = f"coordloom_{uuid.uuid4().hex}"
-    (_with_facts(stored).write.bucketBy(n, by).option("path", new_folder(spark, "bucketed"))
-     .format("parquet").saveAsTable(name))
-    return replace(stored, df=spark.table(name), bucketed=by)
+    path = new_folder(spark, "bucketed")
+    # One task per bucket, so that each bucket is one file.
+    (_with_facts(stored).repartition(n, by).write.format("parquet").bucketBy(n, by)
+     .option("path", path).saveAsTable(name))
+    if stored is not t:
+        discard(spark, stored.path)
+    return replace(stored, df=spark.table(name), bucketed=by, path=path)

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coordloom.session import cut
+from coordloom.session import cut, new_folder
 
 
 def check_dims(dims: Iterable[int]) -> tuple[int, ...]:
@@ -35,7 +35,8 @@ class CooTable:
     * ``full``: every coordinate occurs exactly once;
     * ``at_most``: a proven upper bound on the number of entries;
     * ``stored``: ``df`` is a plain scan or a generated range, cheap to read twice;
-    * ``bucketed``: the files are bucketed by this column.
+    * ``bucketed``: the files are bucketed by this column;
+    * ``path``: the folder that :meth:`store` wrote.
     """
 
     df: DataFrame
@@ -45,6 +46,7 @@ class CooTable:
     at_most: int | None = None
     stored: bool = False
     bucketed: str | None = None
+    path: str | None = None
 
     def __post_init__(self) -> None:
         dims = check_dims(self.dims)
@@ -98,7 +100,8 @@ class CooTable:
         """Write the entries once to the shared folder and read them from there."""
         if self.stored:
             return self
-        return replace(self, df=cut(self.df, "matrix"), stored=True)
+        path = new_folder(self.df.sparkSession, "matrix")
+        return replace(self, df=cut(self.df, path), stored=True, path=path)
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ import pytest
 from conftest import dense, random_sparse, sparse
 from coordloom.operators import AxisOperator, kron, matmul, norm
 from coordloom.plans import chain_apply, compose, run
+from coordloom.session import discard
 from coordloom.sources import basis_vector, cyclic_shift, from_rows, identity
 from coordloom.table import CooTable
 
@@ -90,6 +91,36 @@ def test_cuts_change_nothing(square, per_cut):
     assert np.array_equal(dense(got), np.linalg.matrix_power(a @ b @ c, 3) @ v)
 
 
+def test_state_too_large_to_broadcast(spark, rng, no_broadcast):
+    a, v = random_sparse(rng, (64, 64), 0.2), random_sparse(rng, (64, 1), 0.8)
+    got = chain_apply([sparse(spark, a)], sparse(spark, v), 3, products_per_cut=1).state
+    joined = got.df._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1]
+    assert "Bucketed: true" in joined and joined.count("Exchange hashpartitioning") == 1
+    assert np.array_equal(dense(got), np.linalg.matrix_power(a, 3) @ v)
+
+
+def test_replaced_states_are_deleted(spark, square, monkeypatch):
+    from pathlib import Path
+
+    from coordloom.plans import chain
+
+    gone = []
+
+    def noted(session, path):
+        discard(session, path)
+        gone.append(path)
+
+    monkeypatch.setattr(chain, "discard", noted)
+    (a, b, c), v, ops, state = square
+    result = chain_apply(ops, state, 3, save_every=1, products_per_cut=1)
+    assert gone and not any(Path(p).exists() for p in gone)
+    assert set(gone).isdisjoint(t.path for t in result.saved.values())
+    assert np.array_equal(dense(result.state), np.linalg.matrix_power(a @ b @ c, 3) @ v)
+    assert np.array_equal(dense(result.saved[1]), a @ b @ c @ v)
+    with pytest.raises(ValueError):
+        discard(spark, "/tmp/elsewhere")
+
+
 def test_compose_equals_chain(square):
     _, _, ops, state = square
     once = chain_apply([compose(ops)], state, 2).state
@@ -125,6 +156,7 @@ def test_wrong_arguments(spark, square):
         lambda: chain_apply(ops, state, 2, save_every=3),
         lambda: chain_apply([wide], state, 2),
         lambda: chain_apply([ops[0], wide], state, 1),
+        lambda: chain_apply(ops, state, 1, products_per_cut=0),
         lambda: run(ops, state, 1, dims=(6,)),
     ):
         with pytest.raises(ValueError):

@@ -144,6 +144,15 @@ def test_no_hot_key_no_cells(spark, rng, no_broadcast):
     assert "_cell_l" not in plan(matmul(x, x, hot=3_000).df)
 
 
+def test_product_with_its_transpose_shuffles_once(spark, rng, no_broadcast):
+    a = random_sparse(rng, (30, 8))
+    x = sparse(spark, a)
+    got = matmul(x.transpose(), x)
+    got.df.collect()
+    assert "ReusedExchange" in plan(got.df)
+    assert np.array_equal(dense(got), a.T @ a)
+
+
 def test_kron_in_blocks(spark, rng, no_broadcast):
     a, b = random_sparse(rng, (6, 5)), random_sparse(rng, (4, 7))
     x, y = sparse(spark, a), sparse(spark, b)
