@@ -1,7 +1,9 @@
 """Where matrices come from and go to."""
 
 from coordloom.sources.bridge import basis_vector, from_rows, measured_dims, to_coo
-from coordloom.sources.columnar import read_parquet, store_bucketed, write_parquet
+from coordloom.sources.columnar import (
+    read_parquet, read_tensor_parquet, store_bucketed, write_parquet,
+)
 from coordloom.sources.coo_text import (
     LEFT, RIGHT, format_coo, parse_coo, read_coo, read_dims, read_tensor, write_coo,
     write_norm, write_tensor,
@@ -11,6 +13,6 @@ from coordloom.sources.generate import cyclic_shift, identity, uniform_vector
 __all__ = [
     "LEFT", "RIGHT", "basis_vector", "cyclic_shift", "format_coo", "from_rows",
     "identity", "measured_dims", "parse_coo", "read_coo", "read_dims", "read_parquet",
-    "read_tensor", "store_bucketed", "to_coo", "uniform_vector", "write_coo",
+    "read_tensor", "read_tensor_parquet", "store_bucketed", "to_coo", "uniform_vector", "write_coo",
     "write_norm", "write_parquet", "write_tensor",
 ]

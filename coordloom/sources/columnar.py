@@ -1,7 +1,7 @@
-"""Matrices as Parquet, the normal storage, and as bucketed tables.
+"""Matrices and arrays as Parquet, the normal storage, and as bucketed tables.
 
-Dimensions travel in the column metadata of ``row`` and ``col``, which Spark keeps
-in the Parquet schema: reading them back costs no job.
+Dimensions travel in the column metadata of the index columns, which Spark keeps in
+the Parquet schema: reading them back costs no job.
 """
 
 from __future__ import annotations
@@ -12,27 +12,41 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coordloom.session import discard, new_folder
-from coordloom.table import CooTable
+from coordloom.table import CooTable, TensorTable
 
 _SIZE = "size"
 _UNIQUE = "unique"
 _FULL = "full"
 
 
-def _with_facts(t: CooTable) -> DataFrame:
-    facts = {_UNIQUE: t.unique, _FULL: t.full}
-    return t.df.select(
-        F.col("row").alias("row", metadata={_SIZE: t.dims[0], **facts}),
-        F.col("col").alias("col", metadata={_SIZE: t.dims[1]}),
-        *t.values)
+def _with_facts(t: CooTable | TensorTable) -> DataFrame:
+    """The table with its facts in the metadata of the index columns."""
+    if isinstance(t, TensorTable):
+        axes, facts = t.axes, {}
+    else:
+        axes, facts = ("row", "col"), {_UNIQUE: t.unique, _FULL: t.full}
+    index = [F.col(a).alias(a, metadata={_SIZE: d, **facts}) for a, d in zip(axes, t.dims)]
+    return t.df.select(*index, *t.values)
 
 
-def write_parquet(t: CooTable, path: str) -> None:
-    """Write the matrix, its dimensions and what is known about it."""
-    _with_facts(t).write.mode("overwrite").parquet(path)
+def write_parquet(t: CooTable | TensorTable, path: str, clustered: bool = False) -> None:
+    """Write the table, its dimensions and what is known about it.
+
+    ``clustered`` lays the entries out in index order, for tables that are read by
+    ranges of leading indices: such a read then skips files and row groups. Ranges
+    are cut over all index columns, so one heavy row does not fill a single file.
+    """
+    df = _with_facts(t)
+    if clustered:
+        index = ["row", "col"] if isinstance(t, CooTable) else list(t.axes)
+        df = df.repartitionByRange(*index).sortWithinPartitions(*index)
+    df.write.mode("overwrite").parquet(path)
 
 
-def _from_stored(df: DataFrame, dims: tuple[int, int] | None) -> CooTable:
+def read_parquet(spark: SparkSession, path: str,
+                 dims: tuple[int, int] | None = None) -> CooTable:
+    """A matrix from Parquet files; ``dims`` is needed for files of other origin."""
+    df = spark.read.parquet(path)
     rows, cols = (df.schema[c].metadata for c in ("row", "col"))
     if dims is None:
         if _SIZE not in rows or _SIZE not in cols:
@@ -42,10 +56,14 @@ def _from_stored(df: DataFrame, dims: tuple[int, int] | None) -> CooTable:
                     stored=True)
 
 
-def read_parquet(spark: SparkSession, path: str,
-                 dims: tuple[int, int] | None = None) -> CooTable:
-    """A matrix from Parquet files; ``dims`` is needed for files of other origin."""
-    return _from_stored(spark.read.parquet(path), dims)
+def read_tensor_parquet(spark: SparkSession, path: str) -> TensorTable:
+    """An array from Parquet files written by :func:`write_parquet`."""
+    df = spark.read.parquet(path)
+    sizes = {f.name: f.metadata[_SIZE] for f in df.schema if _SIZE in f.metadata}
+    values = tuple(c for c in df.columns if c not in sizes)
+    if values not in (("val",), ("re", "im")):
+        raise ValueError(f"the files hold no array: columns {df.columns}")
+    return TensorTable(df, tuple(sizes.values()), tuple(sizes), values)
 
 
 def hottest_share(t: CooTable, by: str) -> float:
@@ -61,7 +79,8 @@ def store_bucketed(t: CooTable, by: str = "col", buckets: int | None = None) ->
     A product with a state too large to broadcast then moves only the state. A
     bucket cannot be split at run time, so if the commonest index would overfill
     one (more than twice an even share) the matrix is stored unbucketed and
-    products fall back to the plan that cuts hot keys.
+    products fall back to the plan that cuts hot keys. The files are registered
+    in the session catalog as an external table.
     """
     if by not in ("row", "col"):
         raise ValueError(f"bucket by 'row' or 'col', not {by!r}")

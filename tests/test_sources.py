@@ -10,7 +10,7 @@ from coordloom.operators import matmul, norm, reshape, sum_axis
 from coordloom.session import broadcast_entries, cut, new_folder, shared_folder
 from coordloom.sources import (
     LEFT, RIGHT, basis_vector, cyclic_shift, from_rows, identity, read_coo, read_dims,
-    read_parquet, read_tensor, to_coo, uniform_vector, write_coo, write_norm, write_parquet,
+    read_parquet, read_tensor, read_tensor_parquet, to_coo, uniform_vector, write_coo, write_norm, write_parquet,
     write_tensor,
 )
 from coordloom.table import CooTable, check_bounds
@@ -161,6 +161,39 @@ def test_parquet_keeps_dimensions(spark, rng, tmp_path):
     assert read_parquet(spark, plain, (9, 4)).dims == (9, 4)
 
 
+def test_tensor_parquet(spark, rng, tmp_path):
+    v = random_sparse(rng, (24, 1), 0.6, complex_values=False)
+    t = sum_axis(reshape(sparse(spark, v), (2, 3, 4)), [2])
+    path = str(tmp_path / "t")
+    write_parquet(t, path, clustered=True)
+    got = read_tensor_parquet(spark, path)
+    assert (got.dims, got.axes, got.values) == ((2, 4), ("i1", "i3"), ("val",))
+    assert {tuple(r) for r in got.df.collect()} == {tuple(r) for r in t.df.collect()}
+    write_parquet(sparse(spark, v * 1j), str(tmp_path / "m"))
+    assert read_tensor_parquet(spark, str(tmp_path / "m")).values == ("re", "im")
+    spark.range(3).write.parquet(str(tmp_path / "x"))
+    with pytest.raises(ValueError):
+        read_tensor_parquet(spark, str(tmp_path / "x"))
+
+
+def test_clustered_files_follow_the_index(spark, tmp_path):
+    rows = [(i % 50, i // 50, 1.0) for i in range(1000)] + [(7, j, 1.0) for j in range(20, 500)]
+    t = from_rows(spark, rows, (50, 500))
+    path = str(tmp_path / "m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_parquet(t, path, clustered=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    name = F.col("_metadata.file_name")
+    at = F.struct("row", "col")
+    parts = (spark.read.parquet(path).groupBy(name.alias("file"))
+             .agg(F.min(at).alias("lo"), F.max(at).alias("hi")).orderBy("lo").collect())
+    assert len(parts) > 1
+    assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:]))
+    assert read_parquet(spark, path).count() == t.count()
+
+
 def test_out_of_bounds_entries_are_reported(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (2, 0, 1.0), (0, 2, 1.0), (-1, 0, 1.0)],
                                "row long, col long, re double")
