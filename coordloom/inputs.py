@@ -13,9 +13,24 @@ from coordloom.table import CooTable
 # Fixed value: order lines are numbered 1 to 7.
 LINE_NUMBERS = 7
 
+# The columns the queries read. A declared schema spares the job that
+# would look into the files for one.
+SCHEMAS = {
+    "region": "r_regionkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_returnflag string",
+    "events": "event_id bigint, user_id bigint, value double",
+    "embeddings": "vec_id bigint, embedding array<float>",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def key_space(spark: SparkSession, sf_dir: str, name: str, key: str) -> int:
@@ -59,10 +74,11 @@ def customer_supplier(spark: SparkSession, sf_dir: str, cols: int | None = None,
                   F.lit(1.0), dims, merge=merge)
 
 
-def supplier_line(spark: SparkSession, sf_dir: str) -> CooTable:
+def supplier_line(spark: SparkSession, sf_dir: str, rows: int | None = None) -> CooTable:
     """Quantity and negated number of lines by supplier and line number."""
     return to_coo(table(spark, sf_dir, "lineitem"), "l_suppkey", F.col("l_linenumber") - 1,
-                  "l_quantity", F.lit(-1.0), (suppliers(spark, sf_dir), LINE_NUMBERS))
+                  "l_quantity", F.lit(-1.0),
+                  (rows or suppliers(spark, sf_dir), LINE_NUMBERS))
 
 
 def customer_supplier_counts(spark: SparkSession, sf_dir: str) -> CooTable:
@@ -95,12 +111,10 @@ def event_vector(spark: SparkSession, sf_dir: str, rows: int | None = None) -> C
                   dims=(rows or events(spark, sf_dir), 1), key=True)
 
 
-def event_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int, int, int]:
-    return round_up(events(spark, sf_dir), 1000) // 1000, 10, 10, 10
-
-
-def shaped_event_vector(spark: SparkSession, sf_dir: str) -> CooTable:
-    return event_vector(spark, sf_dir, round_up(events(spark, sf_dir), 1000))
+def shaped_event_vector(spark: SparkSession, sf_dir: str) -> tuple[CooTable, tuple[int, ...]]:
+    """The event vector padded to whole thousands, and its shape by digits."""
+    rows = round_up(events(spark, sf_dir), 1000)
+    return event_vector(spark, sf_dir, rows), (rows // 1000, 10, 10, 10)
 
 
 def nation_operator(spark: SparkSession, sf_dir: str) -> CooTable:
@@ -116,9 +130,9 @@ def nation_operator(spark: SparkSession, sf_dir: str) -> CooTable:
                   dims=(n, n), key=True)
 
 
-def nation_vector(spark: SparkSession, sf_dir: str) -> CooTable:
+def nation_vector(spark: SparkSession, sf_dir: str, rows: int | None = None) -> CooTable:
     return to_coo(table(spark, sf_dir, "nation"), "n_nationkey", F.lit(0),
-                  F.col("n_nationkey") - 12, dims=(nations(spark, sf_dir), 1), key=True)
+                  F.col("n_nationkey") - 12, dims=(rows or nations(spark, sf_dir), 1), key=True)
 
 
 def region_nation(spark: SparkSession, sf_dir: str) -> CooTable:
@@ -133,9 +147,9 @@ def customer_vector(spark: SparkSession, sf_dir: str, rows: int | None = None) -
                   key=True)
 
 
-def supplier_vector(spark: SparkSession, sf_dir: str) -> CooTable:
+def supplier_vector(spark: SparkSession, sf_dir: str, rows: int | None = None) -> CooTable:
     return to_coo(table(spark, sf_dir, "supplier"), "s_suppkey", F.lit(0),
-                  F.col("s_nationkey") - 12, dims=(suppliers(spark, sf_dir), 1), key=True)
+                  F.col("s_nationkey") - 12, dims=(rows or suppliers(spark, sf_dir), 1), key=True)
 
 
 def embedding_matrix(spark: SparkSession, sf_dir: str) -> CooTable:

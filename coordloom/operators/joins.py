@@ -17,9 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from coordloom.session import broadcast_entries
+from coordloom.session import broadcast_entries, local_table
 
 # Entries of one key that a single cell may hold on either side.
 HOT_ENTRIES = 65_536
@@ -88,8 +89,8 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, *,
     found = _hot_keys(left, right, key, hot) if hot is not None else []
     if not found:
         return left.join(right, key)
-    hot_keys = left.sparkSession.createDataFrame(
-        found, f"{key} bigint, _cells_l int, _cells_r int")
+    hot_keys = local_table(left.sparkSession, found, **{key: pa.int64()},
+                           _cells_l=pa.int32(), _cells_r=pa.int32())
     return _placed(left, hot_keys, key, spread[0], "l", "r").join(
         _placed(right, hot_keys, key, spread[1], "r", "l"), [key, "_cell_l", "_cell_r"]
     ).drop("_cell_l", "_cell_r")

@@ -88,16 +88,16 @@ def kron(a: CooTable, b: CooTable, product: str = COMPLEX,
 
     Zero products are kept. A side proven small is broadcast. Otherwise both are
     dealt into blocks of about ``block`` entries, for which the entry counts are
-    needed: give them as ``entries`` or they are counted by a job each.
+    needed: give them as ``entries``, or a side is stored and counted first.
     """
     check_product(product)
     dims = (a.dims[0] * b.dims[0], a.dims[1] * b.dims[1])
     bounds = [n if n is not None else t.bound for n, t in zip(entries, (a, b))]
     small = smaller_fitting((a.df, b.df), bounds)
     if small is None:
-        known = [n if n is not None else t.count() for n, t in zip(entries, (a, b))]
-        counts = [blocks(n, block) for n in known]
-        bounds = known
+        a, b = (t if n is not None else t.store() for n, t in zip(entries, (a, b)))
+        bounds = [n if n is not None else t.count() for n, t in zip(entries, (a, b))]
+        counts = [blocks(n, block) for n in bounds]
     else:
         counts = [1, 1]
     pairs = block_pairing(

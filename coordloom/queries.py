@@ -40,23 +40,23 @@ def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matmul_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matmul(inputs.customer_supplier(spark, sf_dir, merge=False),
-                  inputs.supplier_line(spark, sf_dir)).entries()
+    a = inputs.customer_supplier(spark, sf_dir, merge=False)
+    return matmul(a, inputs.supplier_line(spark, sf_dir, a.dims[1])).entries()
 
 
 def matmul_componentwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matmul(inputs.customer_supplier(spark, sf_dir, merge=False),
-                  inputs.supplier_line(spark, sf_dir), COMPONENTWISE).entries()
+    a = inputs.customer_supplier(spark, sf_dir, merge=False)
+    return matmul(a, inputs.supplier_line(spark, sf_dir, a.dims[1]), COMPONENTWISE).entries()
 
 
 def matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matmul(inputs.customer_supplier(spark, sf_dir, merge=False),
-                  inputs.supplier_vector(spark, sf_dir)).entries()
+    a = inputs.customer_supplier(spark, sf_dir, merge=False)
+    return matmul(a, inputs.supplier_vector(spark, sf_dir, a.dims[1])).entries()
 
 
 def matvec_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    operator = store_bucketed(inputs.customer_supplier(spark, sf_dir))
-    return matmul(operator, inputs.supplier_vector(spark, sf_dir)).entries()
+    a = store_bucketed(inputs.customer_supplier(spark, sf_dir))
+    return matmul(a, inputs.supplier_vector(spark, sf_dir, a.dims[1])).entries()
 
 
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +97,8 @@ def ravel_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_array(spark: SparkSession, sf_dir: str):
-    return reshape(inputs.shaped_event_vector(spark, sf_dir),
-                   inputs.event_shape(spark, sf_dir))
+    v, shape = inputs.shaped_event_vector(spark, sf_dir)
+    return reshape(v, shape)
 
 
 def sum_two_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,13 +118,13 @@ def sum_axis_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marginal(inputs.shaped_event_vector(spark, sf_dir),
-                    inputs.event_shape(spark, sf_dir), [2, 4]).df
+    v, shape = inputs.shaped_event_vector(spark, sf_dir)
+    return marginal(v, shape, [2, 4]).df
 
 
 def marginal_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marginal(inputs.shaped_event_vector(spark, sf_dir),
-                    inputs.event_shape(spark, sf_dir), [1, 2], ("?", "?", 5, 5)).df
+    v, shape = inputs.shaped_event_vector(spark, sf_dir)
+    return marginal(v, shape, [1, 2], ("?", "?", 5, 5)).df
 
 
 def zero_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,25 +132,28 @@ def zero_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u, x = inputs.nation_operator(spark, sf_dir), inputs.nation_vector(spark, sf_dir)
+    u = inputs.nation_operator(spark, sf_dir)
+    x = inputs.nation_vector(spark, sf_dir, u.dims[0])
     return chain_apply([u], x, 3).state.df
 
 
 def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u, x = inputs.nation_operator(spark, sf_dir), inputs.nation_vector(spark, sf_dir)
+    u = inputs.nation_operator(spark, sf_dir)
+    x = inputs.nation_vector(spark, sf_dir, u.dims[0])
     return chain_apply([compose([u, u, u])], x, 1).state.df
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u, x = inputs.nation_operator(spark, sf_dir), inputs.nation_vector(spark, sf_dir)
+    u = inputs.nation_operator(spark, sf_dir)
+    x = inputs.nation_vector(spark, sf_dir, u.dims[0])
     return chain_apply([u], x, 4, save_every=1).snapshots()
 
 
 def chain_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer to supplier and back, twice, over all order lines."""
     p = inputs.customer_supplier_counts(spark, sf_dir).store()
-    return chain_apply([p, p.transpose()], inputs.customer_vector(spark, sf_dir),
-                       2).state.entries()
+    x = inputs.customer_vector(spark, sf_dir, p.dims[0])
+    return chain_apply([p, p.transpose()], x, 2).state.entries()
 
 
 def _customer_report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -272,7 +275,8 @@ def tensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parquet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "matrix")
     write_parquet(inputs.customer_supplier(spark, sf_dir), path)
-    return matmul(read_parquet(spark, path), inputs.supplier_vector(spark, sf_dir)).entries()
+    a = read_parquet(spark, path)
+    return matmul(a, inputs.supplier_vector(spark, sf_dir, a.dims[1])).entries()
 
 
 def out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:

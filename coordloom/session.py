@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -78,6 +80,13 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], **types: pa.DataType) -> DataFrame:
+    """A few rows as a local relation, which needs no Python worker to be read."""
+    columns = zip(*rows) if rows else ((),) * len(types)
+    return spark.createDataFrame(pa.table(
+        {name: pa.array(c, t) for (name, t), c in zip(types.items(), columns)}))
+
+
 def broadcast_entries(spark: SparkSession) -> int:
     """How many matrix entries may be broadcast under the session's threshold."""
     text = spark.conf.get(_BROADCAST_THRESHOLD).strip().lower()

@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from coordloom.functions.indexing import strides
+from coordloom.session import local_table
 from coordloom.table import CooTable, check_dims
 
-SCHEMA = StructType([
-    StructField("row", LongType(), False),
-    StructField("col", LongType(), False),
-    StructField("re", DoubleType(), False),
-    StructField("im", DoubleType(), False),
-])
-
-
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -65,10 +58,10 @@ def from_rows(spark: SparkSession, rows: Iterable[Sequence[float]],
     """A small matrix written entry by entry: ``(row, col, re[, im])``."""
     data = [(int(r[0]), int(r[1]), float(r[2]), float(r[3]) if len(r) > 3 else 0.0)
             for r in rows]
-    dims = check_dims(dims)
     if any(not (0 <= r < dims[0] and 0 <= c < dims[1]) for r, c, _, _ in data):
         raise ValueError(f"an entry lies outside {dims}")
-    df = spark.createDataFrame(data, SCHEMA)
+    df = local_table(spark, data, row=pa.int64(), col=pa.int64(), re=pa.float64(),
+                     im=pa.float64())
     if not any(im for *_, im in data):
         df = df.drop("im")
     unique = len({d[:2] for d in data}) == len(data)

@@ -13,7 +13,7 @@ from coordloom.session import cut, new_folder
 
 
 def check_dims(dims: Iterable[int]) -> tuple[int, ...]:
-    """Dimensions as a tuple; each at least 1 and their product a BIGINT."""
+    """The shape of an array: sizes of at least 1, whose flat index is a BIGINT."""
     out = tuple(int(d) for d in dims)
     if any(d < 1 for d in out):
         raise ValueError(f"dimensions must be at least 1, got {out}")
@@ -49,9 +49,9 @@ class CooTable:
     path: str | None = None
 
     def __post_init__(self) -> None:
-        dims = check_dims(self.dims)
-        if len(dims) != 2:
-            raise ValueError(f"a matrix has two dimensions, got {dims}")
+        if len(self.dims) != 2:
+            raise ValueError(f"a matrix has two dimensions, got {self.dims}")
+        dims = tuple(n for d in self.dims for n in check_dims([d]))
         missing = {"row", "col", "re"} - set(self.df.columns)
         if missing:
             raise ValueError(f"a matrix table needs the columns {sorted(missing)}")

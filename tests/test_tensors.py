@@ -113,6 +113,8 @@ def test_wrong_arguments(spark, vector):
     t = reshape(v, SHAPE)
     with pytest.raises(ValueError):
         reshape(v, (2, 3))
+    with pytest.raises(ValueError):
+        reshape(v, (1 << 32, 1 << 32))
     for axes in ([0], [5], [-1]):
         with pytest.raises(ValueError):
             sum_axis(t, axes)
