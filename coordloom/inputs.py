@@ -118,13 +118,21 @@ def shaped_event_vector(spark: SparkSession, sf_dir: str) -> tuple[CooTable, tup
 
 
 def nation_operator(spark: SparkSession, sf_dir: str) -> CooTable:
-    """-1, 0 or 1 by customer nation and supplier nation, from the line counts."""
-    lines = (
-        order_lines(spark, sf_dir)
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("lines"))
-    )
+    """-1, 0 or 1 by customer nation and supplier nation, from the line counts.
+
+    The order lines are moved once, to meet the orders' nations, and counted by
+    supplier before they meet the suppliers: a supplier of any size is then one
+    row per nation.
+    """
+    order_nation = table(spark, sf_dir, "orders").join(
+        table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    ).select("o_orderkey", "c_nationkey")
+    by_supplier = table(spark, sf_dir, "lineitem").join(
+        order_nation, F.col("l_orderkey") == F.col("o_orderkey")
+    ).groupBy("c_nationkey", "l_suppkey").agg(F.count("*").alias("lines"))
+    lines = by_supplier.join(
+        table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")
+    ).groupBy("c_nationkey", "s_nationkey").agg(F.sum("lines").alias("lines"))
     n = nations(spark, sf_dir)
     return to_coo(lines, "c_nationkey", "s_nationkey", F.col("lines") % 3 - 1,
                   dims=(n, n), key=True)

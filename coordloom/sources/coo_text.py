@@ -57,10 +57,10 @@ def parse_coo(lines: DataFrame, role: str) -> DataFrame:
 
 
 def format_coo(t: CooTable, role: str) -> DataFrame:
-    """The entries as text lines, one column ``value``, without the header."""
+    """The entries as text lines, ``value``, with their index, without the header."""
     value = format_complex(F.col("re"), F.col("im"))
-    return t.entries().select(
-        F.concat_ws(DELIMITER, F.lit(check_role(role)), "row", "col", value).alias("value"))
+    line = F.concat_ws(DELIMITER, F.lit(check_role(role)), "row", "col", value)
+    return t.entries().select("row", "col", line.alias("value"))
 
 
 def _header(spark: SparkSession, role: str, dims: Sequence[int]) -> DataFrame:
@@ -91,35 +91,26 @@ def read_coo(spark: SparkSession, paths: Paths, role: str,
     return CooTable(df, dims or read_dims(spark, paths, role))
 
 
-def _write(header: DataFrame, body: DataFrame, order: Sequence[Column] | None,
-           path: str) -> None:
-    """Header and entries as text files; one file with the header first if an
-    ``order`` for the entries is given."""
-    if order is None:
-        header.unionByName(body.select("value")).write.mode("overwrite").text(path)
-        return
-    keyed = header.withColumn("first", F.lit(0)).unionByName(
-        body.withColumn("first", F.lit(1)), allowMissingColumns=True)
-    (keyed.coalesce(1).sortWithinPartitions("first", *order).select("value")
-     .write.mode("overwrite").text(path))
+def _write(header: DataFrame, body: DataFrame, index: Sequence[str], path: str,
+           ordered: bool) -> None:
+    """Header and entries (``value`` and the index columns) as text files."""
+    lines = header.unionByName(body.select("value"))
+    if ordered:
+        # A header sorts before all entries, as its index is NULL.
+        lines = header.unionByName(body, allowMissingColumns=True).orderBy(
+            *(F.col(c).asc_nulls_first() for c in index)).select("value")
+    lines.write.mode("overwrite").text(path)
 
 
-def write_coo(t: CooTable, path: str, role: str, single_file: bool = False) -> None:
+def write_coo(t: CooTable, path: str, role: str, ordered: bool = False) -> None:
     """Write the matrix with its header under the tag ``role``, replacing ``path``.
 
-    ``single_file`` is for handing a small result to another program: one file,
-    header first, entries by row and column, written by one task.
+    ``ordered`` sorts the lines over all files by row and column, the header first:
+    the files strung together by name are one file in order, though each is written
+    by a task of its own.
     """
-    spark = t.df.sparkSession
-    body = format_coo(t, role)
-    order = None
-    if single_file:
-        value = format_complex(F.col("re"), F.col("im"))
-        body = t.entries().select(
-            "row", "col",
-            F.concat_ws(DELIMITER, F.lit(check_role(role)), "row", "col", value).alias("value"))
-        order = [F.col("row"), F.col("col")]
-    _write(_header(spark, role, t.dims), body, order, path)
+    header = _header(t.df.sparkSession, check_role(role), t.dims)
+    _write(header, format_coo(t, role), ["row", "col"], path, ordered)
 
 
 def _tensor_value(t: TensorTable) -> Column:
@@ -128,12 +119,11 @@ def _tensor_value(t: TensorTable) -> Column:
     return format_complex(F.col("re"), F.col("im"))
 
 
-def write_tensor(t: TensorTable, path: str, role: str, single_file: bool = False) -> None:
+def write_tensor(t: TensorTable, path: str, role: str, ordered: bool = False) -> None:
     """Write an array with its header; see :func:`write_coo`."""
     line = F.concat_ws(DELIMITER, F.lit(check_role(role)), *t.axes, _tensor_value(t))
-    order = [F.col(a) for a in t.axes] if single_file else None
     body = t.df.select(*t.axes, line.alias("value"))
-    _write(_header(t.df.sparkSession, role, t.dims), body, order, path)
+    _write(_header(t.df.sparkSession, role, t.dims), body, t.axes, path, ordered)
 
 
 def read_tensor(spark: SparkSession, paths: Paths, role: str,
