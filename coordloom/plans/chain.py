@@ -58,8 +58,9 @@ def _stored_once(ops: Sequence[Operator], steps: int = 1,
                  ) -> list[Operator]:
     """The operators, those used more than once stored by one job each."""
     uses = Counter(id(op) for op in ops)
-    stored = {id(op): store(op) for op in ops if steps * uses[id(op)] > 1}
-    return [stored.get(id(op), op) for op in ops]
+    distinct = {id(op): op for op in ops}
+    stored = {key: store(op) if steps * uses[key] > 1 else op for key, op in distinct.items()}
+    return [stored[id(op)] for op in ops]
 
 
 def _store_for(v: CooTable) -> Callable[[Operator], Operator]:

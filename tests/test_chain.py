@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -127,10 +128,19 @@ def test_compose_equals_chain(square):
     assert np.array_equal(dense(once), dense(chain_apply(ops, state, 2).state))
 
 
-def test_repeated_operator_is_stored_once(square):
+def test_repeated_operator_is_stored_once(square, monkeypatch):
     (a, _, _), v, ops, state = square
-    got = compose([ops[0]] * 3)
+    op = replace(ops[0], stored=False)
+    written = []
+    store = CooTable.store
+    monkeypatch.setattr(CooTable, "store", lambda t: written.append(t) or store(t))
+    got = compose([op] * 3)
+    assert len(written) == 1
     assert np.array_equal(dense(got), a @ a @ a)
+    chain_apply([op, op], state, 1)
+    assert len(written) == 2
+    chain_apply(ops, state, 1)
+    assert len(written) == 2
 
 
 def test_snapshots(square):
