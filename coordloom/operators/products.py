@@ -60,12 +60,15 @@ def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
     If neither side can be broadcast, keys with more than ``hot`` entries are cut
     into cells, unless the shapes rule such keys out. Both sides are then read
     twice, so one that is not stored is written first; ``hot=None`` leaves skew
-    to adaptive execution instead.
+    to adaptive execution instead. A side bucketed by the join index stays in place
+    if the other side's shape rules hot keys out.
     """
     if a.dims[1] != b.dims[0]:
         raise ValueError(f"columns of {a.dims} differ from rows of {b.dims}")
     check_product(product)
-    in_place = a.bucketed == "col" or b.bucketed == "row"
+    limit = hot or HOT_ENTRIES
+    in_place = (a.bucketed == "col" and b.unique and b.dims[1] <= limit
+                or b.bucketed == "row" and a.unique and a.dims[0] <= limit)
     small = smaller_fitting((a.df, b.df), (a.bound, b.bound))
     if in_place or max(a.dims[0], b.dims[1]) <= (hot or 0):
         hot = None

@@ -63,16 +63,9 @@ def _stored_once(ops: Sequence[Operator], steps: int = 1,
     return [stored[id(op)] for op in ops]
 
 
-def _store_for(v: CooTable) -> Callable[[Operator], Operator]:
-    """How to store operators that will meet states of the size of ``v``."""
-    broadcast = v.dims[0] * v.dims[1] <= broadcast_entries(v.df.sparkSession)
-
-    def store(op: Operator) -> Operator:
-        if broadcast or isinstance(op, AxisOperator) or op.bucketed:
-            return op.store()
-        return store_bucketed(op)
-
-    return store
+def _reads_state_twice(op: Operator) -> bool:
+    """True if a product with a large state first looks for hot keys in it."""
+    return isinstance(op, CooTable) and op.bucketed is None
 
 
 def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
@@ -97,12 +90,15 @@ def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
         raise ValueError(f"save_every must lie within 1..{steps}, got {save_every}")
     _check(ops, v.dims, steps)
     saving = save_every is not None and save_every < steps
-    ops = _stored_once(ops, steps, _store_for(v))
+    large = v.dims[0] * v.dims[1] > broadcast_entries(v.df.sparkSession)
+    ops = _stored_once(ops, steps, lambda op: store_bucketed(op) if large
+                       and _reads_state_twice(op) else op.store())
     state, pending, saved, replaceable = v, 0, {}, None
     for step in range(steps):
         due = saving and step > 0 and step % save_every == 0
         for op in reversed(ops):
-            if due or pending >= products_per_cut:
+            limit = 1 if large and _reads_state_twice(op) else products_per_cut
+            if due or pending >= limit:
                 state, pending = state.store(), 0
                 if replaceable is not None:
                     discard(state.df.sparkSession, replaceable)

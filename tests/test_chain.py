@@ -100,6 +100,14 @@ def test_state_too_large_to_broadcast(spark, rng, no_broadcast):
     assert np.array_equal(dense(got), np.linalg.matrix_power(a, 3) @ v)
 
 
+def test_large_state_and_an_operator_too_skewed_to_bucket(spark, rng, no_broadcast):
+    a = random_sparse(rng, (64, 64), 0.05)
+    a[:, 3] = rng.integers(1, 4, 64)
+    v = random_sparse(rng, (64, 1), 0.8)
+    got = chain_apply([sparse(spark, a)], sparse(spark, v), 3).state
+    assert np.array_equal(dense(got), np.linalg.matrix_power(a, 3) @ v)
+
+
 def test_replaced_states_are_deleted(spark, square, monkeypatch):
     from pathlib import Path
 

@@ -199,6 +199,9 @@ def test_bucketed_operator_stays_in_place(spark, rng, no_broadcast):
     join = plan(got.df).split("SortMergeJoin")[1]
     assert join.count("Exchange hashpartitioning") == 1
     assert np.array_equal(dense(got), a @ v)
+    other = random_sparse(rng, (64, 30), 0.5)
+    for hot in (8, 64):  # a wide right side may hold hot keys, then nothing is in place
+        assert np.array_equal(dense(matmul(op, sparse(spark, other), hot=hot)), a @ other)
     row = store_bucketed(sparse(spark, a), by="row")
     assert row.transpose().bucketed == "col"
     assert np.array_equal(dense(matmul(row.transpose(), sparse(spark, a))), a.T @ a)

@@ -10,8 +10,8 @@ from coordloom.operators import matmul, norm, reshape, sum_axis
 from coordloom.session import broadcast_entries, cut, new_folder, shared_folder
 from coordloom.sources import (
     LEFT, RIGHT, basis_vector, cyclic_shift, from_rows, identity, read_coo, read_dims,
-    read_parquet, read_tensor, read_tensor_parquet, to_coo, uniform_vector, write_coo, write_norm, write_parquet,
-    write_tensor,
+    read_parquet, read_tensor, read_tensor_parquet, to_coo, uniform_vector, write_coo,
+    write_norm, write_parquet, write_tensor,
 )
 from coordloom.table import CooTable, check_bounds
 
