@@ -49,6 +49,20 @@ def _summed(pairs: DataFrame, row: Column, col: Column, value: list[Column],
     return prune_zeros(CooTable(df, dims, unique=True), eps)
 
 
+def _small_side(a: CooTable, b: CooTable) -> tuple[CooTable, CooTable, int | None]:
+    """The operands and which one to broadcast, if any.
+
+    A table that may repeat coordinates is proven small by its shape once they are
+    merged; only that side is.
+    """
+    sides = (a.df, b.df)
+    small = smaller_fitting(sides, (a.bound, b.bound))
+    if small is None:
+        small = smaller_fitting(sides, [t.dims[0] * t.dims[1] for t in (a, b)])
+        a, b = (t.merged() if n == small else t for n, t in enumerate((a, b)))
+    return a, b, small
+
+
 def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
            hot: int | None = HOT_ENTRIES) -> CooTable:
     """The product ``a . b``; sums that are zero in every part are dropped.
@@ -69,7 +83,7 @@ def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
     limit = hot or HOT_ENTRIES
     in_place = (a.bucketed == "col" and b.unique and b.dims[1] <= limit
                 or b.bucketed == "row" and a.unique and a.dims[0] <= limit)
-    small = smaller_fitting((a.df, b.df), (a.bound, b.bound))
+    a, b, small = _small_side(a, b)
     if in_place or max(a.dims[0], b.dims[1]) <= (hot or 0):
         hot = None
     if small is None and not in_place:
@@ -157,7 +171,7 @@ def apply_on_axis(matrix: CooTable, v: CooTable, sizes: Sequence[int], axis: int
         raise ValueError(f"sizes {op.sizes} differ from the {v.dims[0]} rows")
     check_product(product)
     inner = math.prod(op.sizes[axis:])
-    small = smaller_fitting((matrix.df, v.df), (matrix.bound, v.bound))
+    matrix, v, small = _small_side(matrix, v)
     if small is None:
         matrix, v = matrix.merged(), v.merged()
         if hot is not None:

@@ -138,6 +138,16 @@ def test_hot_keys_with_repeats(spark, no_broadcast):
     assert np.array_equal(dense(matmul(a, a.transpose(), hot=8)), want)
 
 
+def test_shape_proves_a_merged_side_small(spark, rng):
+    a, b = random_sparse(rng, (9, 4)), random_sparse(rng, (4, 3))
+    x, y = (CooTable(t.df, t.dims) for t in (sparse(spark, a), sparse(spark, b)))
+    assert x.bound is None and y.bound is None
+    got = matmul(x, y)
+    text = plan(got.df)
+    assert "BroadcastHashJoin" in text and text.count("Exchange hashpartitioning") == 2
+    assert np.array_equal(dense(got), a @ b)
+
+
 def test_no_hot_key_no_cells(spark, rng, no_broadcast):
     a = random_sparse(rng, (6, 6))
     x = sparse(spark, a)
