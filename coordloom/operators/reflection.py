@@ -74,7 +74,8 @@ def iterate_reflect(v: CooTable, steps: int | None = None,
     """``steps`` mean reflections of ``v``; by default ``floor(pi/4*sqrt(N))``.
 
     The row marked by default is ``N // 2``. Real and imaginary parts are both
-    transformed. The result has all ``N`` rows.
+    transformed. The result has all ``N`` rows. ``v`` is read twice, once for its
+    sums and once for its rows: store an expensive one first.
     """
     n = v.dims[0]
     steps = default_steps(n) if steps is None else int(steps)
