@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from coordloom.llm import bpe
+from coordloom.llm import bpe, chat, quality_rules, rule_ensemble, url_filter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,6 +24,50 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents, VOCABULARY).drop("text")
 
 
+#: The rules of the registered query: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest fitting rule and the verdict for the url of every page."""
+    rules = spark.createDataFrame(pa.table(
+        dict(zip(("host", "path", "verdict"), map(list, zip(*URL_RULES))))))
+    return url_filter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and verdicts of every document."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.verdicts(documents).drop("text")
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what the examples made from every conversation hold."""
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.examples(turns.unionByName(tricky)))
+
+
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by rules learned outside the held-out fold."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.fit(rule_ensemble.training_rows(
+        documents, _table(spark, sf_dir, "labels")))
+    return rule_ensemble.scored(documents, model).select(
+        "doc_id", rule_ensemble.in_fold(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= rule_ensemble.KEEP_FROM).cast("int").alias("predicted"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_url_filter": op4_url_filter,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_chat": op6_chat,
+    "op9_rule_ensemble": op9_rule_ensemble,
 }
