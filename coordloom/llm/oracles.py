@@ -2,4 +2,90 @@
 
 from __future__ import annotations
 
-LLM_ORACLES: dict[str, str] = {}
+URL_RULES_SQL = """
+WITH rules(host, path, verdict) AS (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages)
+SELECT page_id, host, path,
+  (SELECT r.host || r.path FROM rules r
+   WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+   ORDER BY length(r.host || r.path) DESC LIMIT 1) AS rule,
+  coalesce((SELECT r.verdict FROM rules r
+   WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+   ORDER BY length(r.host || r.path) DESC LIMIT 1), 'allow') AS verdict
+FROM parts p
+"""
+
+_WORDS = r"list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+QUALITY_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT doc_id, text, {_WORDS} AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts),
+placed AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1))) AS pos, w FROM worded),
+windows AS (SELECT doc_id, pos, list_slice(w, pos, pos + 4) AS five FROM placed),
+again AS (SELECT doc_id, unnest(range(pos, pos + 5)) AS place FROM (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, five) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM again GROUP BY doc_id),
+joined AS (SELECT *, array_to_string(w, '') AS solid FROM worded),
+measured AS (
+  SELECT j.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(solid) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+    len(lines) AS n_lines,
+    length(regexp_replace(solid, '[^A-Z]', '', 'g')) AS n_upper,
+    length(regexp_replace(solid, '[^a-z]', '', 'g')) AS n_lower,
+    len(list_filter(range(1, len(w)), lambda k: w[k] = w[k + 1])) AS n_same_next
+  FROM joined j LEFT JOIN covered c USING (doc_id)),
+judged AS (SELECT *, CAST(
+  (CASE WHEN n_words < 10 THEN 1 ELSE 0 END)
+  + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
+  + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END)
+  + (CASE WHEN n_upper > n_lower AND n_upper >= 20 THEN 8 ELSE 0 END)
+  + (CASE WHEN 5 * n_same_next > n_words THEN 16 ELSE 0 END)
+  + (CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END)
+  + (CASE WHEN word_chars > 40 * n_words THEN 64 ELSE 0 END) AS BIGINT) AS failures
+  FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures,
+  failures & 3 <> 0 AS base_failed, failures = 0 AS kept
+FROM judged
+"""
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1
+    AS last,
+    sum(15 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'),
+      '</turn>', '\t'), ':', '\c'))
+      + length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t')))
+      OVER (PARTITION BY conv_id ORDER BY turn, role, text
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+    AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  CAST(sum(prefix) FILTER (role = 'assistant' OR last) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+LLM_ORACLES: dict[str, str] = {
+    "op4_url_filter": URL_RULES_SQL,
+    "op5_quality_rules": QUALITY_SQL,
+    "op6_chat": CHAT_SQL,
+}
