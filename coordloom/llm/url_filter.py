@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most 64-bit blocks of a filter, 16 MB when broadcast with their numbers.
-MOST_BLOCKS = 1 << 20
-_KEYS_PER_BLOCK = 4
-_BITS = 5
+from coordloom.llm.bloom import block_of, blocks_for, filled, mask_of
 
 
 def host_of(url: Column) -> Column:
@@ -23,27 +20,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def _mask(key: Column) -> Column:
-    """A few bits of one 64-bit block."""
-    mixed = F.xxhash64(key, F.lit("bits"))
-    mask = F.lit(0).cast("long")
-    for k in range(_BITS):
-        place = F.shiftrightunsigned(mixed, 6 * k).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-    return mask
-
-
-def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """A blocked Bloom filter as rows (``block``, ``bits``): the blocks that are not empty,
-    at most ``blocks`` of them whatever the number of keys."""
-    return keys.groupBy(_block(F.col(key), blocks).alias("block")).agg(
-        F.bit_or(_mask(F.col(key))).alias("bits"))
-
-
 def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url",
           default: str = "allow") -> DataFrame:
     """Columns ``key``, ``host``, ``path``, ``rule`` and ``verdict`` for every row.
@@ -78,8 +54,8 @@ def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "u
     if not deepest["n"]:
         return pages.select(F.col("key_of_row").alias(key), "host", "path",
                             F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    blocks = min(MOST_BLOCKS, max(1, deepest["n"] // _KEYS_PER_BLOCK))
-    sieve = F.broadcast(bloom(listed, "key", blocks))
+    blocks = blocks_for(deepest["n"])
+    sieve = F.broadcast(filled(listed, "key", blocks))
 
     labels, parts = F.split("host", r"\."), F.split("path", "/")
     hosts = F.transform(
@@ -94,9 +70,9 @@ def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "u
         F.concat(h, p).alias("key"), F.length(h).alias("of_host")))))
     named = pages.withColumn("row", F.monotonically_increasing_id()).select(
         "row", "key_of_row", "host", "path", F.posexplode_outer(prefixes).alias("place", "p"))
-    passed = named.withColumn("block", _block(F.col("p.key"), blocks)).join(sieve, "block", "left")
+    passed = named.withColumn("block", block_of(F.col("p.key"), blocks)).join(sieve, "block", "left")
     possible = F.coalesce(
-        F.col("bits").bitwiseAND(_mask(F.col("p.key"))) == _mask(F.col("p.key")), F.lit(False))
+        F.col("bits").bitwiseAND(mask_of(F.col("p.key"))) == mask_of(F.col("p.key")), F.lit(False))
     # One row of every url goes on, under a key that no rule has and no other row.
     passed = passed.select(
         "row", "key_of_row", "host", "path", F.col("p.of_host").alias("of_host"),
