@@ -316,6 +316,16 @@ class ByteBpe:
 
     # -- public ---------------------------------------------------------------------
 
+    def ranks(self) -> dict[bytes, int] | None:
+        """Spellings with their ids, if ids rise with the places of merges in the list and
+        every token can be reached, so that ids are ranks; else none."""
+        made = np.array(self._made, np.int64)
+        plain = [t for t in range(self._size) if t not in self.special.values()]
+        alone = len(self._token_at) and len({t for t in self._token_at if t >= 0}) == len(plain)
+        if not alone or (np.diff(made) <= 0).any() or made.min() <= max(self._byte):
+            return None
+        return {self.bytes_of[t]: t for t in plain}
+
     def encode(self, texts: list[str | None]):
         """Yields an array of ids for each text, in order; null counts as empty."""
         held, size = [], 0

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordloom.llm import bpe, chat, quality_rules, rule_ensemble, url_filter
+from coordloom.llm import (
+    ann, bpe, chat, html_text, jaccard, packing, quality_rules, rule_ensemble, substring, url_filter,
+)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +26,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents, VOCABULARY).drop("text")
 
 
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, among all."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.packed(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 #: The rules of the registered query: host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -54,6 +66,17 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(tricky)))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extracted(pages)
+
+
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of every document."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by rules learned outside the held-out fold."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,10 +87,23 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= rule_ensemble.KEEP_FROM).cast("int").alias("predicted"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document as part of a repeated passage."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.without_repeats(documents).select(
+        "doc_id", "n_words", "n_removed",
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_learned_partitions": op2_learned_partitions,
+    "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat": op6_chat,
+    "op7_html_text": op7_html_text,
+    "op8_jaccard": op8_jaccard,
     "op9_rule_ensemble": op9_rule_ensemble,
+    "op10_substring": op10_substring,
 }
