@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordloom.llm.bloom import sifted
+from coordloom.llm.bloom import blocks_for, block_of, filled, mask_of, sifted
 from coordloom.llm.graph import components
 from coordloom.session import cut
 
@@ -298,3 +298,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id").unionByName(
         rows.filter("n = 0").select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
                                     F.col("id").alias("component_id")))
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                  percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one row left of each component of near duplicates, columns as they were.
+
+    The row with the smallest key stays; keys that repeat are told apart by their texts, and
+    of rows with one key and text one stays. Rows without words are kept unless they
+    repeat a key and text. Only rows that may have to go move: a filter parts them.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    own = F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("h1"),
+                   F.xxhash64(F.col(f"`{text}`"), F.lit("2")).alias("h2"))
+    keyed = docs.select(F.struct(*names).alias("own"), own.alias("key"))
+    found = near_duplicates(keyed.select("key", F.col(f"own.`{text}`").alias("text")),
+                            "key", "text", percent, size)
+    touched = cut(found.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("component_id").alias("component"))
+        .filter((F.col("n") > 1) | ~F.col("key").eqNullSafe(F.col("component")))
+        .select("key", (F.col("key").eqNullSafe(F.col("component"))).alias("stays")))
+    blocks, mask = blocks_for(touched.count()), mask_of(F.col("key"))
+    parted = keyed.withColumn("block", block_of(F.col("key"), blocks)).join(
+        F.broadcast(filled(touched, "key", blocks)), "block", "left")
+    maybe = F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))
+    moved = parted.filter(maybe).select("own", "key").join(
+        touched.select(F.col("key").alias("of"), "stays"), F.col("key").eqNullSafe(F.col("of")), "left")
+    once = moved.filter("stays").groupBy("key").agg(F.first("own").alias("own"))
+    return parted.filter(~maybe).select("own").unionByName(
+        moved.filter(F.col("stays").isNull()).select("own")).unionByName(once.select("own")).select("own.*")

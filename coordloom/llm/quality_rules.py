@@ -69,10 +69,9 @@ def rejected(policy: Sequence[str], failures: str = "failures") -> Column:
 
 def kept(df: DataFrame, policy: Sequence[str], text: str = "text") -> DataFrame:
     """The rows that a policy keeps, with the columns of ``df`` as they were."""
-    own = [F.col(f"own.`{c}`") for c in df.columns]
     packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own"),
                        F.col(f"`{text}`").alias("text"))
-    return ledger(packed).filter(~rejected(policy)).select(*own)
+    return ledger(packed).filter(~rejected(policy)).select("own.*")
 
 
 def ablations(ledger_df: DataFrame, policy: Sequence[str],

@@ -148,3 +148,11 @@ def scored(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     with the names of measurements are replaced; repeated rows stay.
     """
     return with_measures(documents.drop("score"), text, more=True).withColumn("score", model.score())
+
+
+def accepted(documents: DataFrame, model: Model, text: str = "text",
+             keep_from: float = KEEP_FROM) -> DataFrame:
+    """The documents that score ``keep_from`` or more, with their columns as they were."""
+    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("own"),
+                              F.col(f"`{text}`").alias("text"))
+    return scored(packed, model).filter(F.col("score") >= keep_from).select("own.*")

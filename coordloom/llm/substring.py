@@ -279,3 +279,21 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kind = dict(both.dtypes)["own"]
     made = both.mapInArrow(removed, f"own {kind}, n_words long, n_removed long, kept string")
     return made.select("own.*", "n_words", "n_removed", "kept")
+
+
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars",
+            window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """``docs`` with repeated passages taken out of their texts, columns as they were.
+
+    Texts without a repeat keep their spacing; in others the words left are joined by one
+    blank and ``n_chars``, where there is such a column, is the new length.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"),
+                         F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    found = without_repeats(packed, "key", "text", window, seed)
+    changed = F.col("n_removed") > 0
+    new = {text: F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    if n_chars in docs.columns:
+        new[n_chars] = F.when(changed, F.length("kept")).otherwise(F.col(f"own.`{n_chars}`")).cast(
+            dict(docs.dtypes)[n_chars])
+    return found.select(*(new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
