@@ -84,8 +84,55 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+_LOWERED = _WORDS.replace("(text,", "(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+                           "'abcdefghijklmnopqrstuvwxyz'),")
+
+JACCARD_SQL = rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT doc_id, {_LOWERED} AS w FROM texts),
+shingles AS (
+  SELECT DISTINCT doc_id, list_slice(w, pos, pos + 4) AS g FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS pos FROM worded WHERE len(w) > 0)),
+numbered AS (SELECT doc_id, md5(array_to_string(g, ' ')) AS g FROM shingles),
+sizes AS (SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+  FROM numbered x JOIN numbered y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * common >= 80 * (p.n + q.n - common)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other)
+SELECT r.doc_id, CAST(coalesce(max(s.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+SUBSTRING_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT doc_id, {_WORDS} AS w FROM texts),
+windows AS (
+  SELECT doc_id, pos, md5(array_to_string(list_slice(w, pos, pos + 34), ' ')) AS run FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS pos FROM worded)),
+again AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS place FROM (
+    SELECT doc_id, pos, count(*) OVER (PARTITION BY run) AS n FROM windows) WHERE n > 1),
+kept AS (
+  SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.place) AS kept, count(*) AS n FROM (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM worded) p
+  ANTI JOIN again g ON g.doc_id = p.doc_id AND g.place = p.place
+  GROUP BY p.doc_id)
+SELECT o.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM worded o LEFT JOIN kept k ON k.doc_id = o.doc_id
+"""
+
 LLM_ORACLES: dict[str, str] = {
     "op4_url_filter": URL_RULES_SQL,
     "op5_quality_rules": QUALITY_SQL,
     "op6_chat": CHAT_SQL,
+    "op8_jaccard": JACCARD_SQL,
+    "op10_substring": SUBSTRING_SQL,
 }
