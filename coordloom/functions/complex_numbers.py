@@ -15,8 +15,12 @@ COMPONENTWISE = "componentwise"
 
 
 def parse_complex(text: Column) -> tuple[Column, Column]:
-    """``'REjIM'`` as two doubles; malformed text raises under ANSI mode."""
-    part = [F.split_part(text, F.lit(SEPARATOR), F.lit(k)).cast("double") for k in (1, 2)]
+    """``'REjIM'`` as two doubles; malformed text raises under ANSI mode, and so does any
+    other number of parts than two."""
+    parts = F.split(text, SEPARATOR, -1)
+    wrong = F.raise_error(F.concat(F.lit("no complex number: "), text)).cast("string")
+    part = [F.when(text.isNull(), F.lit(None)).when(F.size(parts) == 2, parts[k])
+            .otherwise(wrong).cast("double") for k in (0, 1)]
     return part[0], part[1]
 
 

@@ -155,6 +155,12 @@ def customer_vector(spark: SparkSession, sf_dir: str, rows: int | None = None) -
                   key=True)
 
 
+def customer_pair_vector(spark: SparkSession, sf_dir: str, rows: int) -> CooTable:
+    """Nation less 12 (real) and 1 plus a third of the nation's number (imaginary)."""
+    return to_coo(table(spark, sf_dir, "customer"), "c_custkey", F.lit(0),
+                  F.col("c_nationkey") - 12, F.expr("1 + c_nationkey % 3"), dims=(rows, 1), key=True)
+
+
 def supplier_vector(spark: SparkSession, sf_dir: str, rows: int | None = None) -> CooTable:
     return to_coo(table(spark, sf_dir, "supplier"), "s_suppkey", F.lit(0),
                   F.col("s_nationkey") - 12, dims=(rows or suppliers(spark, sf_dir), 1), key=True)

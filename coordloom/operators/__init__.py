@@ -1,18 +1,14 @@
 """Operators on sparse matrices and arrays."""
 
 from coordloom.operators.products import (
-    AxisOperator, apply_on_axis, kron, matmul, prune_zeros,
+    AxisOperator, apply_on_axis, kron, matmul, prune_zeros, self_product,
 )
 from coordloom.operators.reductions import abs_square, norm
-from coordloom.operators.reflection import (
-    default_steps, densify, iterate_reflect, reflect,
-)
-from coordloom.operators.tensors import (
-    FREE, marginal, ravel, renamed, reshape, sum_axis,
-)
+from coordloom.operators.reflection import densify, iterate_reflect, reflect
+from coordloom.operators.tensors import FREE, marginal, ravel, renamed, reshape, sum_axis
 
 __all__ = [
-    "AxisOperator", "FREE", "abs_square", "apply_on_axis", "default_steps", "densify",
+    "AxisOperator", "FREE", "abs_square", "apply_on_axis", "densify",
     "iterate_reflect", "kron", "marginal", "matmul", "norm", "prune_zeros", "ravel",
-    "reflect", "renamed", "reshape", "sum_axis",
+    "reflect", "renamed", "reshape", "self_product", "sum_axis",
 ]

@@ -6,28 +6,24 @@ Three plans, the first that applies:
    side is not moved at all.
 2. A side bucketed by the key joins in place; only the other side moves.
 3. Otherwise both sides move by key. Unless the caller rules hot keys out, the
-   keys with more than ``hot`` entries are looked up first and cut into a grid of
-   cells. A key with ``n`` entries left and ``m`` right gets ``ceil(n/hot)`` by
-   ``ceil(m/hot)`` cells. A left entry belongs to one cell row and is repeated
-   along it, a right entry to one cell column, so each pair meets exactly once
-   and no task sees more than about ``hot * hot`` pairs of one key.
+   keys with more than ``hot`` entries on a side, or more than ``PAIRS`` pairs, are
+   looked up first and cut into a grid of cells that hold no more than these. A left
+   entry belongs to one cell row and is repeated along it, a right entry to one cell
+   column, so each pair meets exactly once. The list of such keys is a table like any
+   other, of whatever length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from coordloom.session import broadcast_entries, local_table
+from coordloom.session import broadcast_entries, cut
+from coordloom.table import HOT_ENTRIES
 
-# Entries of one key that a single cell may hold on either side.
-HOT_ENTRIES = 65_536
-
-# The hot-key list goes through the driver, so its length is fixed. Keys beyond it
-# are joined like all others: each of them holds less than 1/10,000 of the entries.
-HOT_KEYS_LISTED = 10_000
+# Pairs of one key that a single cell may form.
+PAIRS = 1 << 26
 
 
 def fits_broadcast(df: DataFrame, bound: int | None) -> bool:
@@ -41,8 +37,8 @@ def smaller_fitting(sides: tuple[DataFrame, DataFrame],
     return min(fitting, key=lambda n: bounds[n], default=None)
 
 
-def _hot_keys(left: DataFrame, right: DataFrame, key: str, hot: int) -> list[Row]:
-    """Cells per hot key: ``key, _cells_l, _cells_r``; at most the listed number.
+def hot_keys(left: DataFrame, right: DataFrame, key: str, hot: int, pairs: int) -> DataFrame:
+    """Cells of every hot key: ``key, _cells_l, _cells_r``.
 
     Counts are formed before the shuffle, so a hot key costs one row per task.
     """
@@ -52,33 +48,48 @@ def _hot_keys(left: DataFrame, right: DataFrame, key: str, hot: int) -> list[Row
         .unionAll(right.select(key, zero.alias("_l"), one.alias("_r")))
         .groupBy(key)
         .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-        .where((F.col("_l") > hot) | (F.col("_r") > hot))
-        .orderBy(F.greatest("_l", "_r").desc(), key)
-        .limit(HOT_KEYS_LISTED)
+        .where(((F.col("_l") > hot) | (F.col("_r") > hot) | (F.col("_l").cast("double") * F.col("_r") > pairs))
+               & (F.col("_l") > 0) & (F.col("_r") > 0))
     )
-    cells = [F.ceil(F.col(c) / hot).cast("int").alias(n)
-             for c, n in (("_l", "_cells_l"), ("_r", "_cells_r"))]
-    return counts.select(key, *cells).collect()
+    # The smaller side keeps its entries together as far as the pairs allow.
+    side = F.least(F.lit(hot), F.greatest("_l", "_r"))
+    less = F.least(F.lit(hot), F.least("_l", "_r"), F.lit(max(1, int(pairs ** 0.5))))
+    more = F.greatest(F.lit(1), F.least(side, F.floor(F.lit(pairs) / less)))
+    per_l = F.when(F.col("_l") <= F.col("_r"), less).otherwise(more)
+    per_r = F.when(F.col("_l") <= F.col("_r"), more).otherwise(less)
+    return counts.select(key, F.ceil(F.col("_l") / per_l).cast("int").alias("_cells_l"),
+                         F.ceil(F.col("_r") / per_r).cast("int").alias("_cells_r"))
 
 
-def _placed(df: DataFrame, hot: DataFrame, key: str, spread: str, own: str,
+def _placed(df: DataFrame, hot: DataFrame, key: str, spread: tuple[str, ...], own: str,
             other: str) -> DataFrame:
     """``df`` with its cell numbers; its own by hash, the other side's by repeat."""
-    own_cells, other_cells = (F.greatest(F.coalesce(f"_cells_{s}", F.lit(1)), F.lit(1))
-                              for s in (own, other))
+    own_cells, other_cells = (F.coalesce(f"_cells_{s}", F.lit(1)) for s in (own, other))
     return (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn(f"_cell_{own}", F.pmod(F.xxhash64(spread), own_cells).cast("int"))
+        df.join(hot, key, "left")
+        .withColumn(f"_cell_{own}", F.pmod(F.xxhash64(*spread), own_cells).cast("int"))
         .withColumn(f"_cell_{other}",
                     F.explode(F.sequence(F.lit(0), other_cells - F.lit(1))))
         .drop("_cells_l", "_cells_r")
     )
 
 
+def cells_join(left: DataFrame, right: DataFrame, key: str,
+               spread: tuple[tuple[str, ...], tuple[str, ...]], found: DataFrame) -> DataFrame:
+    """Inner join in which every key of ``found`` is cut into its cells.
+
+    Stored before, ``found`` has a true size, by which Spark picks its join.
+    """
+    return _placed(left, found, key, spread[0], "l", "r").join(
+        _placed(right, found, key, spread[1], "r", "l"), [key, "_cell_l", "_cell_r"]
+    ).drop("_cell_l", "_cell_r")
+
+
 def keyed_join(left: DataFrame, right: DataFrame, key: str, *,
-               spread: tuple[str, str], bounds: tuple[int | None, int | None],
-               hot: int | None = HOT_ENTRIES) -> DataFrame:
-    """Inner join on ``key``. ``spread`` names the column that tells the entries
+               spread: tuple[tuple[str, ...], tuple[str, ...]],
+               bounds: tuple[int | None, int | None],
+               hot: int | None = HOT_ENTRIES, pairs: int = PAIRS) -> DataFrame:
+    """Inner join on ``key``. ``spread`` names the columns that tell the entries
     of one key apart on either side, ``bounds`` the proven sizes. ``hot=None``
     looks for no hot keys: there are none, or a side is bucketed by the key."""
     small = smaller_fitting((left, right), bounds)
@@ -86,14 +97,10 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, *,
         return left.join(F.broadcast(right), key)
     if small == 0:
         return F.broadcast(left).join(right, key)
-    found = _hot_keys(left, right, key, hot) if hot is not None else []
-    if not found:
+    if hot is None:
         return left.join(right, key)
-    hot_keys = local_table(left.sparkSession, found, **{key: pa.int64()},
-                           _cells_l=pa.int32(), _cells_r=pa.int32())
-    return _placed(left, hot_keys, key, spread[0], "l", "r").join(
-        _placed(right, hot_keys, key, spread[1], "r", "l"), [key, "_cell_l", "_cell_r"]
-    ).drop("_cell_l", "_cell_r")
+    found = cut(hot_keys(left, right, key, hot, pairs))
+    return left.join(right, key) if found.isEmpty() else cells_join(left, right, key, spread, found)
 
 
 def blocks(entries: int, per_block: int) -> int:

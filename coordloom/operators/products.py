@@ -63,8 +63,13 @@ def _small_side(a: CooTable, b: CooTable) -> tuple[CooTable, CooTable, int | Non
     return a, b, small
 
 
+def _check_plan(plan: str, *known: str) -> None:
+    if plan not in ("auto", *known):
+        raise ValueError(f"plan must be one of {('auto', *known)}, got {plan!r}")
+
+
 def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
-           hot: int | None = HOT_ENTRIES) -> CooTable:
+           hot: int | None = HOT_ENTRIES, plan: str = "auto") -> CooTable:
     """The product ``a . b``; sums that are zero in every part are dropped.
 
     ``product="complex"`` multiplies complex numbers; ``"componentwise"``
@@ -73,18 +78,23 @@ def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
 
     If neither side can be broadcast, keys with more than ``hot`` entries are cut
     into cells, unless the shapes rule such keys out. Both sides are then read
-    twice, so one that is not stored is written first; ``hot=None`` leaves skew
-    to adaptive execution instead. A side bucketed by the join index stays in place
-    if the other side's shape rules hot keys out.
+    twice, so one that is not stored is written first, and the keys are counted: these
+    jobs run when the product is built. ``hot=None`` leaves skew to adaptive execution
+    instead. A side bucketed by the join index stays in place if neither its own
+    heaviest index nor the other side's shape allows hot keys. ``plan`` forces one of
+    the plans for large sides, ``"cells"`` or ``"in_place"``; the result is the same.
     """
+    _check_plan(plan, "cells", "in_place")
     if a.dims[1] != b.dims[0]:
         raise ValueError(f"columns of {a.dims} differ from rows of {b.dims}")
     check_product(product)
     limit = hot or HOT_ENTRIES
-    in_place = (a.bucketed == "col" and b.unique and b.dims[1] <= limit
-                or b.bucketed == "row" and a.unique and a.dims[0] <= limit)
-    a, b, small = _small_side(a, b)
-    if in_place or max(a.dims[0], b.dims[1]) <= (hot or 0):
+    in_place = (a.bucketed == "col" and a.heaviest <= limit and b.unique and b.dims[1] <= limit
+                or b.bucketed == "row" and b.heaviest <= limit and a.unique and a.dims[0] <= limit)
+    if plan == "in_place" and not in_place:
+        raise ValueError("no side is bucketed by the join index and free of hot keys")
+    a, b, small = _small_side(a, b) if plan == "auto" else (a, b, None)
+    if plan != "cells" and (in_place or max(a.dims[0], b.dims[1]) <= (hot or 0)):
         hot = None
     if small is None and not in_place:
         a, b = a.merged(), b.merged()
@@ -92,31 +102,61 @@ def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
             a, b = a.store(), b.store()
     pairs = keyed_join(
         _side(a, "a", col="_k", row="_i"), _side(b, "b", row="_k", col="_j"), "_k",
-        spread=("_i", "_j"), bounds=(a.bound, b.bound), hot=hot,
+        spread=(("_i",), ("_j",)), bounds=(a.bound, b.bound) if plan == "auto" else (None, None),
+        hot=hot,
     )
     value = _named(*multiply(_value(a, "a"), _value(b, "b"), product))
     return _summed(pairs, F.col("_i"), F.col("_j"), value, (a.dims[0], b.dims[1]), eps)
 
 
+def self_product(t: CooTable, eps: float = 0.0, hot: int | None = HOT_ENTRIES) -> CooTable:
+    """``t . transpose(t)`` of a real matrix, which is symmetric.
+
+    Only pairs with row <= column are formed and summed; the sums are then mirrored. So
+    half the pairs are joined and half the sums cross the second shuffle.
+    """
+    if t.is_complex:
+        raise ValueError("self_product takes a real matrix")
+    t = t.merged()
+    small = smaller_fitting((t.df, t.df), (t.bound, t.bound))
+    if small is None and hot is not None and t.dims[0] > hot:
+        t = t.store()
+    pairs = keyed_join(
+        _side(t, "a", col="_k", row="_i"), _side(t, "b", col="_k", row="_j"), "_k",
+        spread=(("_i",), ("_j",)), bounds=(t.bound, t.bound),
+        hot=None if t.dims[0] <= (hot or 0) else hot,
+    ).where(F.col("_i") <= F.col("_j"))
+    half = _summed(pairs, F.col("_i"), F.col("_j"), [(F.col("a_re") * F.col("b_re")).alias("re")],
+                   (t.dims[0], t.dims[0]), eps)
+    # One row for the diagonal, two for the rest, without reading the sums twice.
+    both = F.when(F.col("row") == F.col("col"), F.array(F.struct("row", "col"))).otherwise(
+        F.array(F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col"))))
+    df = half.df.select(F.explode(both).alias("at"), "re").select("at.row", "at.col", "re")
+    return CooTable(df, half.dims, unique=True)
+
+
 def kron(a: CooTable, b: CooTable, product: str = COMPLEX,
          entries: tuple[int | None, int | None] = (None, None),
-         block: int = HOT_ENTRIES) -> CooTable:
+         block: int = HOT_ENTRIES, plan: str = "auto") -> CooTable:
     """The Kronecker product: every entry of ``a`` with every entry of ``b``.
 
     Zero products are kept. A side proven small is broadcast. Otherwise both are
     dealt into blocks of about ``block`` entries, for which the entry counts are
-    needed: give them as ``entries``, or a side is stored and counted first.
+    needed: give them as ``entries``, or a side is stored and counted first. Counts
+    that are given set the number of blocks and nothing else, so wrong ones cost time only.
+    ``plan="blocks"`` takes the blocks for small sides too.
     """
     check_product(product)
+    _check_plan(plan, "blocks")
     dims = (a.dims[0] * b.dims[0], a.dims[1] * b.dims[1])
-    bounds = [n if n is not None else t.bound for n, t in zip(entries, (a, b))]
-    small = smaller_fitting((a.df, b.df), bounds)
+    small = smaller_fitting((a.df, b.df), (a.bound, b.bound)) if plan == "auto" else None
+    bounds = [a.bound, b.bound]
+    counts = [1, 1]
     if small is None:
         a, b = (t if n is not None else t.store() for n, t in zip(entries, (a, b)))
-        bounds = [n if n is not None else t.count() for n, t in zip(entries, (a, b))]
-        counts = [blocks(n, block) for n in bounds]
-    else:
-        counts = [1, 1]
+        counted = [None if n is not None else t.count() for n, t in zip(entries, (a, b))]
+        bounds = [t.bound if n is None else n for n, t in zip(counted, (a, b))]
+        counts = [blocks(n if n is not None else c, block) for n, c in zip(entries, counted)]
     pairs = block_pairing(
         _side(a, "a", row="_ai", col="_aj"), _side(b, "b", row="_bi", col="_bj"),
         left_id=["_ai", "_aj"], right_id=["_bi", "_bj"],
@@ -164,14 +204,18 @@ class AxisOperator:
 
 def apply_on_axis(matrix: CooTable, v: CooTable, sizes: Sequence[int], axis: int,
                   product: str = COMPLEX, eps: float = 0.0,
-                  hot: int | None = HOT_ENTRIES) -> CooTable:
-    """``(I (x) matrix (x) I) . v`` with ``matrix`` on axis ``axis`` of ``v``'s rows."""
+                  hot: int | None = HOT_ENTRIES, plan: str = "auto") -> CooTable:
+    """``(I (x) matrix (x) I) . v`` with ``matrix`` on axis ``axis`` of ``v``'s rows.
+
+    ``plan="cells"`` forces the plan that cuts hot keys into cells.
+    """
+    _check_plan(plan, "cells")
     op = AxisOperator(matrix, tuple(sizes), axis)
     if op.dims[1] != v.dims[0]:
         raise ValueError(f"sizes {op.sizes} differ from the {v.dims[0]} rows")
     check_product(product)
     inner = math.prod(op.sizes[axis:])
-    matrix, v, small = _small_side(matrix, v)
+    matrix, v, small = _small_side(matrix, v) if plan == "auto" else (matrix, v, None)
     if small is None:
         matrix, v = matrix.merged(), v.merged()
         if hot is not None:
@@ -180,7 +224,8 @@ def apply_on_axis(matrix: CooTable, v: CooTable, sizes: Sequence[int], axis: int
         "_k", div(F.col("_r"), inner) % F.lit(matrix.dims[1]).cast("bigint"))
     pairs = keyed_join(
         _side(matrix, "a", col="_k", row="_i"), state, "_k",
-        spread=("_i", "_r"), bounds=(matrix.bound, v.bound), hot=hot,
+        spread=(("_i",), ("_r", "_j")), hot=hot,
+        bounds=(matrix.bound, v.bound) if plan == "auto" else (None, None),
     )
     outer = div(F.col("_r"), inner * matrix.dims[1])
     low = F.col("_r") % F.lit(inner).cast("bigint")

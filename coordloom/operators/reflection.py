@@ -1,114 +1,95 @@
-"""Mean reflection with marked rows, once or many times.
+"""Reflection of a vector at its mean, with some rows flipped first, once or many times.
 
-One step is ``y = 2*mean(s*x) - s*x`` over all ``N`` rows, ``s`` being -1 on the
-marked rows and 1 elsewhere. It is affine in ``x`` with one shared scalar, so any
-number of steps is ``sign * x + shift`` per row. The shifts depend on the data
-only through two sums, one over the marked and one over the other rows: a single
-aggregate, a recurrence over two numbers, and a single projection.
+One step is ``y = 2*mean(s*x) - s*x`` over all ``N`` rows, ``s`` being -1 on the rows of
+a second table and 1 elsewhere. It is affine in ``x`` with one shared scalar, so any
+number of steps is ``sign * x + shift`` per row. The shifts depend on the data only
+through two sums and the number of flipped rows: a single aggregate, a recurrence over
+two numbers, and a single projection.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, functions as F
-
-from coordloom.operators.joins import fits_broadcast
-from coordloom.table import CooTable
-
-# Marked rows are written into the plan as literals, so their number is bounded.
-MOST_MARKED = 10_000
+from coordloom.table import CooTable, within
 
 
 def densify(v: CooTable) -> CooTable:
-    """A vector with a row for every index, zeros included."""
+    """A vector with a row for every index, zeros included; repeated rows are added up.
+
+    An index outside the dimensions raises, whatever join Spark picks.
+    """
     if v.full:
         return v
     if v.dims[1] != 1:
         raise ValueError(f"a vector has one column, got dimensions {v.dims}")
     index = v.df.sparkSession.range(v.dims[0]).select(F.col("id").alias("row"))
-    col = F.lit(0).cast("bigint").alias("col")
-    if v.unique and fits_broadcast(v.df, v.bound):
-        filled = index.join(F.broadcast(v.df.drop("col")), "row", "left")
-        df = filled.select(
-            "row", col, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in v.values))
-    else:
-        zeros = index.select("row", *(F.lit(0.0).alias(c) for c in v.values))
-        df = (
-            zeros.unionByName(v.df.select("row", *v.values))
-            .groupBy("row").agg(*(F.sum(c).alias(c) for c in v.values))
-            .select("row", col, *v.values)
-        )
-    return CooTable(df, v.dims, full=True)
+    entries = within(v.merged().df, ("row", "col"), v.dims).drop("col")
+    filled = index.join(entries, "row", "left").select(
+        "row", F.lit(0).cast("bigint").alias("col"),
+        *(F.coalesce(c, F.lit(0.0)).alias(c) for c in v.values))
+    return CooTable(filled, v.dims, full=True)
 
 
-def default_steps(n: int) -> int:
-    """The customary number of steps for a state of ``n`` rows."""
-    return math.floor(math.pi / 4 * math.sqrt(n))
-
-
-def _shifts(plain: Column, marked: Column, n: int, n_marked: int, steps: int) -> Column:
-    """Shift of the plain and of the marked rows after ``steps`` steps.
+def _shifts(plain: Column, flipped: Column, n: int, n_flipped: Column, steps: int) -> Column:
+    """Shift of the plain and of the flipped rows after ``steps`` steps.
 
     Each step adds ``2*mean`` to the negated plain rows and to the unchanged
-    marked rows; the two sums follow the same rule.
+    flipped rows; the two sums follow the same rule.
     """
     def struct(p: Column, m: Column, sp: Column, sm: Column) -> Column:
-        return F.struct(p.alias("plain_sum"), m.alias("marked_sum"),
-                        sp.alias("plain_shift"), sm.alias("marked_shift"))
+        return F.struct(p.alias("plain_sum"), m.alias("flipped_sum"),
+                        sp.alias("plain_shift"), sm.alias("flipped_shift"))
 
     def step(s: Column, _: Column) -> Column:
-        mean2 = 2.0 * ((s["plain_sum"] - s["marked_sum"]) / float(n))
-        return struct(mean2 * float(n - n_marked) - s["plain_sum"],
-                      mean2 * float(n_marked) + s["marked_sum"],
-                      mean2 - s["plain_shift"], mean2 + s["marked_shift"])
+        mean2 = 2.0 * ((s["plain_sum"] - s["flipped_sum"]) / float(n))
+        return struct(mean2 * (float(n) - n_flipped) - s["plain_sum"],
+                      mean2 * n_flipped + s["flipped_sum"],
+                      mean2 - s["plain_shift"], mean2 + s["flipped_shift"])
 
     zero = F.lit(0.0)
-    start = struct(plain, marked, zero, zero)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), struct(plain, flipped, zero, zero), step)
 
 
-def iterate_reflect(v: CooTable, steps: int | None = None,
-                    marked: Iterable[int] | None = None) -> CooTable:
-    """``steps`` mean reflections of ``v``; by default ``floor(pi/4*sqrt(N))``.
+def iterate_reflect(v: CooTable, steps: int, flipped: DataFrame | None = None) -> CooTable:
+    """``steps`` mean reflections of ``v``, the rows listed in ``flipped`` negated before each.
 
-    The row marked by default is ``N // 2``. Real and imaginary parts are both
-    transformed. The result has all ``N`` rows. ``v`` is read twice, once for its
-    sums and once for its rows: store an expensive one first.
+    ``flipped`` is a table of any size with a column ``row``; repeats and rows that ``v``
+    lacks as entries are allowed, an index outside raises. Real and imaginary parts are both
+    transformed. The result has all ``N`` rows. ``v`` is read twice, once for its sums and
+    once for its rows: store an expensive one first.
     """
-    n = v.dims[0]
-    steps = default_steps(n) if steps is None else int(steps)
+    n, steps = v.dims[0], int(steps)
     if steps < 1:
         raise ValueError(f"steps must be at least 1, got {steps}")
-    rows = sorted({n // 2} if marked is None else {int(r) for r in marked})
-    if len(rows) > MOST_MARKED:
-        raise ValueError(f"at most {MOST_MARKED} marked rows, got {len(rows)}")
-    if any(not 0 <= r < n for r in rows):
-        raise ValueError(f"marked rows must lie within 0..{n - 1}")
-    is_marked = F.col("row").isin(rows) if rows else F.lit(False)
-
-    def total(part: str, on_marked: bool) -> Column:
-        picked = is_marked if on_marked else ~is_marked
+    dense = densify(v).df
+    if flipped is None:
+        rows = dense.withColumn("_flip", F.lit(False))
+    else:
+        marks = within(flipped.select(F.col("row").cast("bigint")).distinct(), ("row",), (n,))
+        rows = dense.join(marks.withColumn("_flip", F.lit(True)), "row", "left").withColumn(
+            "_flip", F.coalesce("_flip", F.lit(False)))
+
+    def total(part: str, on_flipped: bool) -> Column:
+        picked = F.col("_flip") if on_flipped else ~F.col("_flip")
         return F.coalesce(F.sum(F.when(picked, F.col(part)).otherwise(0.0)), F.lit(0.0))
 
-    sums = v.df.agg(*(total(part, on).alias(f"{part}_{int(on)}")
-                      for part in v.values for on in (False, True)))
+    sums = rows.agg(F.sum(F.col("_flip").cast("double")).alias("k"), *(
+        total(part, on).alias(f"{part}_{int(on)}") for part in v.values for on in (False, True)))
     shifts = sums.select(F.struct(*(
-        _shifts(F.col(f"{part}_0"), F.col(f"{part}_1"), n, len(rows), steps).alias(part)
+        _shifts(F.col(f"{part}_0"), F.col(f"{part}_1"), n, F.col("k"), steps).alias(part)
         for part in v.values)).alias("shifts")).scalar()
-
     sign = -1.0 if steps % 2 else 1.0
 
     def moved(part: str) -> Column:
         x, shift = F.col(part), F.col("_shifts")[part]
-        return F.when(is_marked, shift["marked_shift"] + x).otherwise(
+        return F.when(F.col("_flip"), shift["flipped_shift"] + x).otherwise(
             shift["plain_shift"] + F.lit(sign) * x).alias(part)
 
-    df = densify(v).df.withColumn("_shifts", shifts)
+    df = rows.withColumn("_shifts", shifts)
     return CooTable(df.select("row", "col", *(moved(p) for p in v.values)), v.dims, full=True)
 
 
-def reflect(v: CooTable, marked: Iterable[int] | None = None) -> CooTable:
+def reflect(v: CooTable, flipped: DataFrame | None = None) -> CooTable:
     """One mean reflection of ``v``."""
-    return iterate_reflect(v, 1, marked)
+    return iterate_reflect(v, 1, flipped)

@@ -55,13 +55,18 @@ def check_axes(axes: Iterable[int], rank: int) -> set[int]:
     return out
 
 
-def _check_position(position: Sequence[int | str | None] | None, rank: int) -> dict[int, int]:
+def _check_position(position: Sequence[int | str | None] | None,
+                    dims: Sequence[int]) -> dict[int, int]:
     """Fixed coordinate by axis number."""
     if position is None:
         return {}
-    if len(position) != rank:
-        raise ValueError(f"a position for rank {rank} needs {rank} values, got {len(position)}")
-    return {k: int(p) for k, p in enumerate(position, start=1) if p not in (FREE, None)}
+    if len(position) != len(dims):
+        raise ValueError(f"a position for rank {len(dims)} needs {len(dims)} values, got {len(position)}")
+    fixed = {k: int(p) for k, p in enumerate(position, start=1) if p not in (FREE, None)}
+    for axis, at in fixed.items():
+        if not 0 <= at < dims[axis - 1]:
+            raise ValueError(f"position {at} is not on axis {axis} of size {dims[axis - 1]}")
+    return fixed
 
 
 def _at_position(t: TensorTable, fixed: dict[int, int]) -> DataFrame:
@@ -95,7 +100,7 @@ def sum_axis(t: TensorTable, axes: Iterable[int],
     """
     if t.values != ("val",):
         raise ValueError("sum_axis takes real values; use abs_square first")
-    fixed = _check_position(position, t.rank)
+    fixed = _check_position(position, t.dims)
     gone = check_axes(axes, t.rank) | set(fixed)
     kept = [k for k in range(1, t.rank + 1) if k not in gone]
     names = tuple(t.axes[k - 1] for k in kept)

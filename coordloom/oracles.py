@@ -68,11 +68,21 @@ def _hop(name: str, prev: str, to: str, by: str) -> str:
   GROUP BY 1 HAVING {re} <> 0 OR {im} <> 0)"""
 
 
-def _reflected(name: str, prev: str) -> str:
-    signed = "CASE WHEN i = n // 2 THEN -re ELSE re END"
+def _part_hop(name: str, prev: str, to: str, by: str) -> str:
+    """One product of real with real and imaginary with imaginary parts."""
+    re, im = f"sum(p.re * {prev}.re)", f"sum(p.im * {prev}.im)"
     return f"""{name} AS (
-  SELECT i, 2 * (SELECT sum({signed}) / max(n) FROM {prev}, n) - {signed} AS re
-  FROM {prev}, n)"""
+  SELECT p.{to} AS i, {re} AS re, {im} AS im FROM p JOIN {prev} ON p.{by} = {prev}.i
+  GROUP BY 1 HAVING {re} <> 0 OR {im} <> 0)"""
+
+
+_ODD = "odd AS (SELECT event_id AS i, TRUE AS flip FROM events WHERE user_id % 2 = 1)"
+
+
+def _reflected(name: str, prev: str) -> str:
+    return f"""{name}s AS (
+  SELECT p.i, CASE WHEN flip THEN -re ELSE re END AS re FROM {prev} p LEFT JOIN odd ON odd.i = p.i),
+{name} AS (SELECT i, 2 * (SELECT sum(re) / max(n) FROM {name}s, n) - re AS re FROM {name}s)"""
 
 
 def _on_axis(name: str, prev: str) -> str:
@@ -123,6 +133,9 @@ _AXIS = _with(_U, _V, _on_axis("y1", "v")) + _vector("y1")
 
 _ONE_HOP = _with(_P, _Y0, _hop("y1", "y0", "s", "c"), _hop("y2", "y1", "c", "s"))
 
+_HOPS = _with(_P, _Y0, _hop("y1", "y0", "s", "c"), _hop("y2", "y1", "c", "s"),
+              _hop("y3", "y2", "s", "c"), _hop("y4", "y3", "c", "s")) + _complex_vector("y4")
+
 _SHIFTED = """
 SELECT to_row AS "row", CAST(0 AS BIGINT) AS "col", re FROM moved WHERE re <> 0"""
 
@@ -170,46 +183,58 @@ GROUP BY 1, 2 HAVING sum(q) <> 0""",
                        "UNION ALL SELECT 3, * FROM x3)") + """
 SELECT CAST(step AS INTEGER) AS step, i AS "row", CAST(0 AS BIGINT) AS "col", re,
        CAST(0 AS DOUBLE) AS im FROM xs""",
-    "chain_hops": _with(_P, _Y0, _hop("y1", "y0", "s", "c"), _hop("y2", "y1", "c", "s"),
-                        _hop("y3", "y2", "s", "c"), _hop("y4", "y3", "c", "s"))
-    + _complex_vector("y4"),
+    "chain_hops": _HOPS,
     "chain_marginal": _ONE_HOP + """
 SELECT i % (SELECT max(n_nationkey) + 1 FROM nation) AS i2, sum(re * re + im * im) AS val
 FROM y2 GROUP BY 1""",
     "chain_norm": _ONE_HOP + "SELECT sqrt(sum(re * re + im * im)) AS norm FROM y2",
+    "chain_marginal_fixed": _ONE_HOP + """
+SELECT i // (SELECT max(n_nationkey) + 1 FROM nation) AS i1, sum(re * re + im * im) AS val
+FROM y2 WHERE i % (SELECT max(n_nationkey) + 1 FROM nation) = 3 GROUP BY 1""",
+    "chain_componentwise": _with(
+        _P, """y0 AS (
+  SELECT c_custkey AS i, CAST(c_nationkey - 12 AS DOUBLE) AS re,
+         CAST(1 + c_nationkey % 3 AS DOUBLE) AS im FROM customer)""",
+        _part_hop("y1", "y0", "s", "c"), _part_hop("y2", "y1", "c", "s")) + _complex_vector("y2"),
+    "matmul_cells": _MATMUL,
+    "apply_on_axis_cells": _AXIS,
+    "kron_blocks": _KRON.format(re="k.re * b.re - k.im * b.im", im="k.re * b.im + k.im * b.re"),
+    "matvec_in_place": _MATVEC,
+    "chain_in_place": _HOPS,
+    "chain_text": _ONE_HOP + """
+SELECT i % (SELECT max(n_nationkey) + 1 FROM nation) AS i2, sum(re * re + im * im) AS val,
+  'marginal' AS report FROM y2 GROUP BY 1
+UNION ALL SELECT -1, sqrt(sum(re * re + im * im)), 'norm' FROM y2""",
     "axis_apply": _AXIS,
     "axis_chain": _with(_U, _V, _on_axis("y1", "v"), _on_axis("y2", "y1")) + _vector("y2"),
     "kron_apply": _AXIS,
-    "reflect1": _with(_V, _N2, _D0, _reflected("d1", "d0")) + _vector("d1"),
-    "reflect2": _with(_V, _N2, _D0, _reflected("d1", "d0"), _reflected("d2", "d1"))
+    "reflect1": _with(_V, _N2, _D0, _ODD, _reflected("d1", "d0")) + _vector("d1"),
+    "reflect2": _with(_V, _N2, _D0, _ODD, _reflected("d1", "d0"), _reflected("d2", "d1"))
     + _vector("d2"),
     "reflect_iterated": _with(
-        _V, _N2, _D0,
+        _V, _N2, _D0, _ODD,
+        """parted AS (SELECT d0.i, re, coalesce(flip, FALSE) AS flip FROM d0 LEFT JOIN odd ON odd.i = d0.i)""",
         """start AS (
-  SELECT coalesce(sum(re) FILTER (WHERE i <> n // 2), 0) AS plain,
-         coalesce(sum(re) FILTER (WHERE i = n // 2), 0) AS marked FROM v, n)""",
-        """walk(step, plain, marked, plain_shift, marked_shift) AS (
-  SELECT 0, plain, marked, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM start
+  SELECT coalesce(sum(re) FILTER (WHERE NOT flip), 0) AS plain,
+         coalesce(sum(re) FILTER (WHERE flip), 0) AS flipped,
+         CAST(count(*) FILTER (WHERE flip) AS DOUBLE) AS k FROM parted)""",
+        """walk(step, plain, flipped, plain_shift, flipped_shift) AS (
+  SELECT 0, plain, flipped, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM start
   UNION ALL
-  SELECT step + 1, m * CAST(n - 1 AS DOUBLE) - plain, m + marked, m - plain_shift,
-         m + marked_shift
-  FROM (SELECT walk.*, n, 2 * ((plain - marked) / CAST(n AS DOUBLE)) AS m FROM walk, n)
-  WHERE step < CAST(floor(pi() / 4 * sqrt(n)) AS BIGINT))""",
-        """final AS (SELECT * FROM walk ORDER BY step DESC LIMIT 1)""",
+  SELECT step + 1, m * (CAST(n AS DOUBLE) - k) - plain, m * k + flipped, m - plain_shift,
+         m + flipped_shift
+  FROM (SELECT walk.*, n, k, 2 * ((walk.plain - walk.flipped) / CAST(n AS DOUBLE)) AS m
+        FROM walk, n, start)
+  WHERE step < 5)""",
+        """final AS (SELECT * FROM walk WHERE step = 5)""",
         """dn AS (
-  SELECT i, CASE WHEN i = n // 2 THEN marked_shift + re
-                 WHEN step % 2 = 1 THEN plain_shift - re ELSE plain_shift + re END AS re
-  FROM d0, n, final)""", recursive=True) + _vector("dn"),
-    "shift": _with(_V, "half AS (SELECT (max(event_id) + 2) // 2 AS s FROM events)", """moved AS (
-  SELECT i // s * s + (i % s + CASE i // s WHEN 0 THEN s - 1 ELSE 1 END) % s AS to_row, re
-  FROM v, half)""") + _SHIFTED,
+  SELECT i, CASE WHEN flip THEN flipped_shift + re ELSE plain_shift - re END AS re
+  FROM parted, final)""", recursive=True) + _vector("dn"),
+    "shift": _with(_V, _N, """moved AS (
+  SELECT (i - 3 + n) % n AS to_row, re FROM v, n)""") + _SHIFTED,
     "shift_2d": _with(_V, _N, """side AS (
-  SELECT CAST(floor(sqrt(n // 4)) AS BIGINT) + 1 AS s FROM n)""", """parts AS (
-  SELECT i // (s * s) // 2 AS j, i // (s * s) % 2 AS k, i // s % s AS x, i % s AS y, s, re
-  FROM v, side)""", """moved AS (
-  SELECT ((j * 2 + k) * s + (x + CASE j WHEN 0 THEN s - 1 ELSE 1 END) % s) * s
-         + (y + CASE k WHEN 0 THEN s - 1 ELSE 1 END) % s AS to_row, re FROM parts)""")
-    + _SHIFTED,
+  SELECT CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS s FROM n)""", """moved AS (
+  SELECT (i // s - 1 + s) % s * s + (i % s + 2) % s AS to_row, re FROM v, side)""") + _SHIFTED,
     "identity": _ENTRIES,
     "uniform": _with(_A, """w AS (
   SELECT 1 / pow(2, ceil(log2(max(s_suppkey) + 1) / 2)) AS w FROM supplier)""") + """

@@ -35,10 +35,10 @@ class ChainResult:
         return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def _apply(op: Operator, state: CooTable, product: str, eps: float) -> CooTable:
+def _apply(op: Operator, state: CooTable, product: str, eps: float, plan: str) -> CooTable:
     if isinstance(op, AxisOperator):
-        return apply_on_axis(op.matrix, state, op.sizes, op.axis, product, eps)
-    return matmul(op, state, product, eps)
+        return apply_on_axis(op.matrix, state, op.sizes, op.axis, product, eps, plan=plan)
+    return matmul(op, state, product, eps, plan=plan)
 
 
 def _check(ops: Sequence[Operator], dims: tuple[int, int], steps: int) -> None:
@@ -70,7 +70,7 @@ def _reads_state_twice(op: Operator) -> bool:
 
 def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
                 save_every: int | None = None, product: str = COMPLEX, eps: float = 0.0,
-                products_per_cut: int = PRODUCTS_PER_CUT) -> ChainResult:
+                products_per_cut: int = PRODUCTS_PER_CUT, plan: str = "auto") -> ChainResult:
     """``steps`` times ``v <- U0 . (U1 . ( ... (Un . v)))``: the last operator first.
 
     With ``save_every=k`` the state at the start of step ``i`` is saved for each
@@ -79,7 +79,8 @@ def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
     index if the state is too large to broadcast. The state is stored every
     ``products_per_cut`` products, so that neither the plan nor what a lost
     executor costs grows with the number of steps; a stored state that the next
-    one replaces is deleted.
+    one replaces is deleted; the rest goes with the ``release()`` of a
+    :func:`coordloom.session.scratch` block. ``plan`` is passed to every product.
     """
     steps = int(steps)
     if steps < 1:
@@ -105,7 +106,7 @@ def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
                 replaceable = None if due else state.path
             if due:
                 saved[step], due = state, False
-            state = _apply(op, state, product, eps)
+            state = _apply(op, state, product, eps, plan)
             pending += 1
     return ChainResult(state, saved)
 
@@ -122,19 +123,22 @@ def compose(ops: Sequence[CooTable], product: str = COMPLEX, eps: float = 0.0) -
 
 def run(ops: Sequence[Operator], v: CooTable, steps: int, *,
         dims: Iterable[int] | None = None, measured: Iterable[int] | None = None,
+        position: Sequence[int | str | None] | None = None,
         save_every: int | None = None, product: str = COMPLEX,
         eps: float = 0.0) -> dict[str, DataFrame]:
     """One call: ``state``, its ``norm``, and on request ``marginal``, ``snapshots``.
 
-    The final state is written once, as all the reports read it.
+    ``position`` takes the marginal at fixed coordinates. The final state is written once,
+    as all the reports read it. What the call stores is deleted by the ``release()`` of a
+    :func:`coordloom.session.scratch` block around it.
     """
-    if (dims is None) != (measured is None):
+    if (dims is None) != (measured is None) or position is not None and dims is None:
         raise ValueError("a marginal needs both dims and measured")
     result = chain_apply(ops, v, steps, save_every=save_every, product=product, eps=eps)
     state = result.state.store()
     report = {"state": state.entries(), "norm": norm(state)}
     if dims is not None:
-        report["marginal"] = marginal(state, dims, measured).df
+        report["marginal"] = marginal(state, dims, measured, position).df
     snapshots = result.snapshots()
     if snapshots is not None:
         report["snapshots"] = snapshots

@@ -6,7 +6,7 @@ Each reads the whole of its tables in ``sf_dir`` and returns a DataFrame.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,16 +15,16 @@ from coordloom import inputs
 from coordloom.functions import COMPONENTWISE, parse_complex
 from coordloom.operators import (
     AxisOperator, abs_square, apply_on_axis, iterate_reflect, kron, marginal, matmul, norm,
-    prune_zeros, ravel, reflect, reshape, sum_axis,
+    prune_zeros, ravel, reflect, reshape, self_product, sum_axis,
 )
 from coordloom.plans import chain_apply, compose, run
 from coordloom.session import new_folder
 from coordloom.sources import (
     LEFT, RIGHT, basis_vector, cyclic_shift, format_coo, identity, parse_coo, read_coo,
-    read_parquet, read_tensor, store_bucketed, uniform_vector, write_coo, write_parquet,
-    write_tensor,
+    read_norm, read_parquet, read_tensor, store_bucketed, uniform_vector, write_coo, write_norm,
+    write_parquet, write_tensor,
 )
-from coordloom.table import CooTable, check_bounds
+from coordloom.table import CooTable, TensorTable, check_bounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,13 +60,11 @@ def matvec_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = inputs.embedding_matrix(spark, sf_dir)
-    return matmul(x.transpose(), x).df
+    return self_product(inputs.embedding_matrix(spark, sf_dir).transpose()).df
 
 
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = inputs.supplier_part(spark, sf_dir)
-    return matmul(s, s.transpose()).df
+    return self_product(inputs.supplier_part(spark, sf_dir)).df
 
 
 def kron_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,13 +154,14 @@ def chain_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_apply([p, p.transpose()], x, 2).state.entries()
 
 
-def _customer_report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _customer_report(spark: SparkSession, sf_dir: str, measured: Sequence[int] = (2,),
+                     position: Sequence[int | str] | None = None) -> dict[str, DataFrame]:
     p = inputs.customer_supplier_counts(spark, sf_dir).store()
     n = inputs.nations(spark, sf_dir)
     rows = inputs.round_up(p.dims[0], n)
     p = replace(p, dims=(rows, p.dims[1]))
     return run([p, p.transpose()], inputs.customer_vector(spark, sf_dir, rows), 1,
-               dims=(rows // n, n), measured=[2])
+               dims=(rows // n, n), measured=measured, position=position)
 
 
 def chain_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +173,77 @@ def chain_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customer_report(spark, sf_dir)["norm"]
 
 
+def chain_marginal_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's marginal over the first customers of each block of nations."""
+    return _customer_report(spark, sf_dir, measured=[1], position=("?", 3))["marginal"]
+
+
+def chain_componentwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops, lines and returned lines multiplied apart."""
+    p = inputs.customer_supplier_counts(spark, sf_dir).store()
+    x = inputs.customer_pair_vector(spark, sf_dir, p.dims[0])
+    return chain_apply([p, p.transpose()], x, 1, product=COMPONENTWISE).state.entries()
+
+
+def chain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operators and state from text folders, the chain, norm and marginal to text and back."""
+    p = inputs.customer_supplier_counts(spark, sf_dir)
+    n = inputs.nations(spark, sf_dir)
+    rows = inputs.round_up(p.dims[0], n)
+    p = replace(p, dims=(rows, p.dims[1])).store()
+    folders = [new_folder(spark, "text") for _ in range(5)]
+    write_coo(p, folders[0], LEFT)
+    write_coo(p.transpose(), folders[1], LEFT)
+    write_coo(inputs.customer_vector(spark, sf_dir, rows), folders[2], RIGHT)
+    ops = [replace(read_coo(spark, f, LEFT), unique=True) for f in folders[:2]]
+    report = run(ops, read_coo(spark, folders[2], RIGHT), 1, dims=(rows // n, n), measured=[2])
+    write_norm(report["norm"], folders[3])
+    write_tensor(TensorTable(report["marginal"], (n,), ("i2",)), folders[4], RIGHT)
+    marginals = read_tensor(spark, folders[4], RIGHT).df.select(
+        F.col("i1").alias("i2"), "val", F.lit("marginal").alias("report"))
+    total = read_norm(spark, folders[3]).select(
+        F.lit(-1).cast("bigint").alias("i2"), F.col("norm").alias("val"), F.lit("norm").alias("report"))
+    return marginals.unionByName(total)
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[CooTable, CooTable]:
+    """Operands of the plans for large data: stored, so that no size bound is known."""
+    a = inputs.customer_supplier(spark, sf_dir).store()
+    b = inputs.supplier_line(spark, sf_dir, a.dims[1]).store()
+    return replace(a, unique=False), replace(b, unique=False)
+
+
+def matmul_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product by the plan that cuts hot keys into cells, with small cells."""
+    a, b = _cells(spark, sf_dir)
+    return matmul(a, b, hot=50, plan="cells").entries()
+
+
+def apply_on_axis_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, v, outer = _nation_axis(spark, sf_dir)
+    return apply_on_axis(u, v, (outer, u.dims[1]), 2, hot=100, plan="cells").df
+
+
+def kron_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Kronecker product by blocks of both sides."""
+    return kron(inputs.region_nation(spark, sf_dir), inputs.supplier_line(spark, sf_dir),
+                block=100, plan="blocks").entries()
+
+
+def matvec_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator bucketed by its join index stays where it is; the vector moves."""
+    a = store_bucketed(inputs.customer_supplier(spark, sf_dir))
+    return matmul(a, inputs.supplier_vector(spark, sf_dir, a.dims[1]), plan="in_place").entries()
+
+
+def chain_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops and back with bucketed operators that stay in place."""
+    p = inputs.customer_supplier_counts(spark, sf_dir).store()
+    ops = [store_bucketed(op) for op in (p, p.transpose())]
+    x = inputs.customer_vector(spark, sf_dir, p.dims[0])
+    return chain_apply(ops, x, 2, plan="in_place").state.entries()
+
+
 def _nation_axis(spark: SparkSession, sf_dir: str) -> tuple[CooTable, CooTable, int]:
     u = inputs.nation_operator(spark, sf_dir)
     rows = inputs.round_up(inputs.events(spark, sf_dir), u.dims[0])
@@ -200,28 +270,38 @@ def _power_of_two_events(spark: SparkSession, sf_dir: str) -> CooTable:
     return inputs.event_vector(spark, sf_dir, 1 << (n - 1).bit_length())
 
 
+def _odd_user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "events").where("user_id % 2 = 1").select(
+        F.col("event_id").alias("row"))
+
+
 def reflect_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reflect(_power_of_two_events(spark, sf_dir)).df
+    """Event values reflected at their mean, those of odd users negated before."""
+    return reflect(_power_of_two_events(spark, sf_dir), _odd_user_events(spark, sf_dir)).df
 
 
 def reflect_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reflect(reflect(_power_of_two_events(spark, sf_dir))).df
+    flipped = _odd_user_events(spark, sf_dir)
+    return reflect(reflect(_power_of_two_events(spark, sf_dir), flipped), flipped).df
 
 
 def reflect_iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iterate_reflect(_power_of_two_events(spark, sf_dir)).df
+    """Five reflections as one plan."""
+    return iterate_reflect(_power_of_two_events(spark, sf_dir), 5,
+                           _odd_user_events(spark, sf_dir)).df
 
 
 def shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.round_up(inputs.events(spark, sf_dir), 2)
-    return matmul(cyclic_shift(spark, (rows // 2,)),
-                  inputs.event_vector(spark, sf_dir, rows)).df
+    """Every event's value taken from three events on."""
+    v = inputs.event_vector(spark, sf_dir)
+    return matmul(cyclic_shift(spark, (v.dims[0],), (3,)), v).df
 
 
 def shift_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = math.isqrt(inputs.events(spark, sf_dir) // 4) + 1
-    return matmul(cyclic_shift(spark, (side, side)),
-                  inputs.event_vector(spark, sf_dir, 4 * side * side)).df
+    """Event values on a square, moved by one along and two back across."""
+    side = math.isqrt(inputs.events(spark, sf_dir) - 1) + 1
+    return matmul(cyclic_shift(spark, (side, side), (1, -2)),
+                  inputs.event_vector(spark, sf_dir, side * side)).df
 
 
 def identity_product(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +394,14 @@ QUERIES: dict[str, Query] = {
     "chain_hops": chain_hops,
     "chain_marginal": chain_marginal,
     "chain_norm": chain_norm,
+    "chain_marginal_fixed": chain_marginal_fixed,
+    "chain_componentwise": chain_componentwise,
+    "chain_text": chain_text,
+    "matmul_cells": matmul_cells,
+    "apply_on_axis_cells": apply_on_axis_cells,
+    "kron_blocks": kron_blocks,
+    "matvec_in_place": matvec_in_place,
+    "chain_in_place": chain_in_place,
     "axis_apply": axis_apply,
     "axis_chain": axis_chain,
     "kron_apply": kron_apply,

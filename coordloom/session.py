@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+import warnings
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +52,9 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     folder = spark.conf.get(_CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    local = context.master.startswith(("local[", "local-cluster")) or context.master == "local"
+    if folder is not None and not local and folder.startswith("file:"):
+        warnings.warn(f"{_CHECKPOINT_DIR}={folder} must be a mount that all executors share")
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError(
@@ -60,9 +66,65 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@dataclass
+class Scratch:
+    """What operators stored while it was open; :meth:`release` deletes all of it."""
+
+    spark: SparkSession
+    folders: list[str] = field(default_factory=list)
+    tables: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.folders:
+            discard(self.spark, path)
+        self.tables.clear()
+        self.folders.clear()
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Notes every folder and table that operators store within the block.
+
+    Results stay readable after the block, until ``release()`` of what it gives.
+    """
+    noted = Scratch(spark)
+    _open.append(noted)
+    try:
+        yield noted
+    finally:
+        _open.remove(noted)
+
+
+def note_table(name: str) -> None:
+    """Have the open scratch blocks drop this catalog table."""
+    for noted in _open:
+        noted.tables.append(name)
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """An unused path below the shared folder."""
-    return f"{shared_folder(spark)}/coordloom/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/coordloom/{purpose}-{uuid.uuid4().hex}"
+    for noted in _open:
+        noted.folders.append(path)
+    return path
+
+
+def refuse_own_source(df: DataFrame, path: str) -> None:
+    """Raise if replacing ``path`` would delete files that ``df`` still has to read."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri()
+    place = whole.getPath().rstrip("/") + "/"
+    for file in df.inputFiles():
+        source = spark._jvm.java.net.URI(file)
+        if source.getScheme() == whole.getScheme() and f"{source.getPath()}/".startswith(place):
+            raise ValueError(f"{path} holds files that the table to be written is read from; "
+                             "write to another folder")
 
 
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:

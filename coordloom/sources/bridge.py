@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from coordloom.functions.indexing import strides
 from coordloom.session import local_table
-from coordloom.table import CooTable, check_dims
+from coordloom.table import CooTable, check_dims, within
+
 
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -25,9 +26,9 @@ def to_coo(df: DataFrame, row: Column | str, col: Column | str, re: Column | str
            key: bool = False, merge: bool = True) -> CooTable:
     """A matrix from the rows of any table; repeated coordinates are added up.
 
-    A NULL value or index raises. ``key=True`` states that the coordinates are a
-    key of the table, neither repeated nor NULL: no group-by is needed, and bare
-    index columns let range filters reach the scan. ``merge=False`` leaves
+    A NULL value or index raises, and so does an index outside given ``dims``, so that
+    the shape bounds the number of entries. ``key=True`` states that the coordinates are
+    a key of the table, not repeated: no group-by is needed. ``merge=False`` leaves
     repeated coordinates as they are; a product adds them up in any case, so an
     operand with few repeats saves a shuffle. Without ``dims`` the largest
     indices are looked up by a job.
@@ -38,11 +39,9 @@ def to_coo(df: DataFrame, row: Column | str, col: Column | str, re: Column | str
     out = df.select(*(c.alias(n) for n, c in (index | values).items()))
     if merge and not key:
         out = out.groupBy("row", "col").agg(*(F.sum(v).alias(v) for v in values))
-    if not key:
-        out = out.select(*(_required(F.col(n), "bigint", n).alias(n) for n in index), *values)
     if dims is None:
         dims = measured_dims(out)
-    return CooTable(out, dims, unique=merge or key)
+    return CooTable(within(out, ("row", "col"), check_dims(dims)), dims, unique=merge or key)
 
 
 def measured_dims(df: DataFrame) -> tuple[int, int]:

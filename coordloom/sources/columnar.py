@@ -1,7 +1,7 @@
 """Matrices and arrays as Parquet, the normal storage, and as bucketed tables.
 
 Dimensions travel in the column metadata of the index columns, which Spark keeps in
-the Parquet schema: reading them back costs no job.
+the Parquet schema: reading them back takes a look into the footers and no scan.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coordloom.session import discard, new_folder
-from coordloom.table import CooTable, TensorTable
+from coordloom.session import discard, new_folder, note_table, refuse_own_source
+from coordloom.table import HOT_ENTRIES, CooTable, TensorTable, check_dims, within
 
 _SIZE = "size"
 _UNIQUE = "unique"
@@ -40,6 +40,7 @@ def write_parquet(t: CooTable | TensorTable, path: str, clustered: bool = False)
     if clustered:
         index = ["row", "col"] if isinstance(t, CooTable) else list(t.axes)
         df = df.repartitionByRange(*index).sortWithinPartitions(*index)
+    refuse_own_source(df, path)
     df.write.mode("overwrite").parquet(path)
 
 
@@ -52,6 +53,8 @@ def read_parquet(spark: SparkSession, path: str,
         if _SIZE not in rows or _SIZE not in cols:
             raise ValueError("the files carry no dimensions; give dims")
         dims = (rows[_SIZE], cols[_SIZE])
+    else:
+        df = within(df, ("row", "col"), check_dims(dims))
     return CooTable(df, dims, unique=bool(rows.get(_UNIQUE)), full=bool(rows.get(_FULL)),
                     stored=True)
 
@@ -66,21 +69,19 @@ def read_tensor_parquet(spark: SparkSession, path: str) -> TensorTable:
     return TensorTable(df, tuple(sizes.values()), tuple(sizes), values)
 
 
-def hottest_share(t: CooTable, by: str) -> float:
-    """Share of the entries that the commonest index holds; runs a job."""
-    counts = t.df.groupBy(by).count()
-    top, total = counts.agg(F.max("count"), F.sum("count")).first()
-    return top / total if total else 0.0
+def heaviest(t: CooTable, by: str) -> int:
+    """Entries of the commonest index; runs a job."""
+    return t.df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
 
 
-def store_bucketed(t: CooTable, by: str = "col", buckets: int | None = None) -> CooTable:
+def store_bucketed(t: CooTable, by: str = "col", buckets: int | None = None,
+                   hot: int = HOT_ENTRIES) -> CooTable:
     """Store an operator that many products will read, bucketed by its join index.
 
     A product with a state too large to broadcast then moves only the state. A
-    bucket cannot be split at run time, so if the commonest index would overfill
-    one (more than twice an even share) the matrix is stored unbucketed and
-    products fall back to the plan that cuts hot keys. The files are registered
-    in the session catalog as an external table.
+    bucket cannot be split at run time, so if the commonest index has more than ``hot``
+    entries the matrix is stored unbucketed and products fall back to the plan that cuts
+    hot keys. The files are registered in the session catalog as an external table.
     """
     if by not in ("row", "col"):
         raise ValueError(f"bucket by 'row' or 'col', not {by!r}")
@@ -88,7 +89,8 @@ def store_bucketed(t: CooTable, by: str = "col", buckets: int | None = None) ->
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     t = t.merged()
     stored = t.store()
-    if hottest_share(stored, by) > 2.0 / n:
+    top = heaviest(stored, by)
+    if top > hot:
         return stored
     name = f"coordloom_{uuid.uuid4().hex}"
     path = new_folder(spark, "bucketed")
@@ -97,4 +99,5 @@ def store_bucketed(t: CooTable, by: str = "col", buckets: int | None = None) ->
      .option("path", path).saveAsTable(name))
     if stored is not t:
         discard(spark, stored.path)
-    return replace(stored, df=spark.table(name), bucketed=by, path=path)
+    note_table(name)
+    return replace(stored, df=spark.table(name), bucketed=by, heaviest=top, path=path)

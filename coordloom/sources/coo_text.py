@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from coordloom.functions import format_complex, parse_complex
-from coordloom.table import CooTable, TensorTable, axis_names
+from coordloom.session import refuse_own_source
+from coordloom.table import CooTable, TensorTable, axis_names, within
 
 # Fixed values of the text format.
 LEFT = "A"
@@ -87,8 +88,8 @@ def read_dims(spark: SparkSession, paths: Paths, role: str) -> tuple[int, ...]:
 def read_coo(spark: SparkSession, paths: Paths, role: str,
              dims: tuple[int, int] | None = None) -> CooTable:
     """The matrix tagged ``role`` in one or more folders of text files."""
-    df = parse_coo(_lines(spark, paths), role)
-    return CooTable(df, dims or read_dims(spark, paths, role))
+    dims = dims or read_dims(spark, paths, role)
+    return CooTable(within(parse_coo(_lines(spark, paths), role), ("row", "col"), dims), dims)
 
 
 def _write(header: DataFrame, body: DataFrame, index: Sequence[str], path: str,
@@ -99,6 +100,7 @@ def _write(header: DataFrame, body: DataFrame, index: Sequence[str], path: str,
         # A header sorts before all entries, as its index is NULL.
         lines = header.unionByName(body, allowMissingColumns=True).orderBy(
             *(F.col(c).asc_nulls_first() for c in index)).select("value")
+    refuse_own_source(lines, path)
     lines.write.mode("overwrite").text(path)
 
 
@@ -135,9 +137,16 @@ def read_tensor(spark: SparkSession, paths: Paths, role: str,
     df = _fields(_lines(spark, paths), check_role(role), len(dims) + 2).select(
         *(f[k].cast("bigint").alias(a) for k, a in enumerate(axes, start=1)),
         f[len(dims) + 1].cast("double").alias("val"))
-    return TensorTable(df, dims, axes)
+    return TensorTable(within(df, axes, dims), dims, axes)
 
 
 def write_norm(norm: DataFrame, path: str) -> None:
     """The one number of a norm table as text."""
+    refuse_own_source(norm, path)
     norm.select(F.col("norm").cast("string")).write.mode("overwrite").text(path)
+
+
+def read_norm(spark: SparkSession, path: str) -> DataFrame:
+    """The number that :func:`write_norm` wrote."""
+    return spark.read.schema("value string").text(path).select(
+        F.col("value").cast("double").alias("norm"))

@@ -26,21 +26,20 @@ def uniform_vector(spark: SparkSession, n: int) -> CooTable:
     return CooTable(df, (n, 1), full=True, stored=True)
 
 
-def cyclic_shift(spark: SparkSession, sizes: Sequence[int]) -> CooTable:
-    """The shift on a periodic lattice, one direction bit per lattice axis.
+def cyclic_shift(spark: SparkSession, sizes: Sequence[int],
+                 offsets: Sequence[int] | None = None) -> CooTable:
+    """The permutation that moves every axis of an array by its offset, round the edge.
 
-    A flat index is (direction bits, lattice coordinates), row-major. Direction 0
-    sends a coordinate one up, direction 1 one down, round the edge. For one axis
-    of size S: row ``j*S + x`` goes to column ``j*S + (x +- 1) mod S``.
+    Row and column are flat row-major indices of shape ``sizes``: row ``x`` takes what
+    column ``(x + offset) mod size`` holds, axis by axis. Offsets default to 1.
     """
     sizes = check_dims(sizes)
-    shape = (2,) * len(sizes) + sizes
-    n = math.prod(check_dims(shape))
-    coords = unravel(F.col("id"), shape)
-    bits, places = coords[:len(sizes)], coords[len(sizes):]
-    moved = [F.pmod(x + F.lit(1) - bit * 2, F.lit(s).cast("bigint"))
-             for bit, x, s in zip(bits, places, sizes)]
-    df = spark.range(n).select(F.col("id").alias("row"),
-                               ravel(bits + moved, shape).alias("col"),
+    offsets = tuple(int(o) for o in offsets) if offsets is not None else (1,) * len(sizes)
+    if len(offsets) != len(sizes):
+        raise ValueError(f"{len(sizes)} axes but offsets {offsets}")
+    n = math.prod(sizes)
+    moved = [F.pmod(x + F.lit(o), F.lit(s).cast("bigint"))
+             for x, s, o in zip(unravel(F.col("id"), sizes), sizes, offsets)]
+    df = spark.range(n).select(F.col("id").alias("row"), ravel(moved, sizes).alias("col"),
                                F.lit(1.0).alias("re"))
     return CooTable(df, (n, n), unique=True, at_most=n, stored=True)

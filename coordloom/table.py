@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from coordloom.session import cut, new_folder
 
 
+# Entries of one key that a single cell of a join may hold on either side.
+HOT_ENTRIES = 65_536
+
+
 def check_dims(dims: Iterable[int]) -> tuple[int, ...]:
     """The shape of an array: sizes of at least 1, whose flat index is a BIGINT."""
     out = tuple(int(d) for d in dims)
@@ -35,7 +39,8 @@ class CooTable:
     * ``full``: every coordinate occurs exactly once;
     * ``at_most``: a proven upper bound on the number of entries;
     * ``stored``: ``df`` is a plain scan or a generated range, cheap to read twice;
-    * ``bucketed``: the files are bucketed by this column;
+    * ``bucketed``: the files are bucketed by this column, whose commonest index has
+      ``heaviest`` entries;
     * ``path``: the folder that :meth:`store` wrote.
     """
 
@@ -46,6 +51,7 @@ class CooTable:
     at_most: int | None = None
     stored: bool = False
     bucketed: str | None = None
+    heaviest: int = 0
     path: str | None = None
 
     def __post_init__(self) -> None:
@@ -134,12 +140,26 @@ def axis_names(rank: int) -> tuple[str, ...]:
     return tuple(f"i{k}" for k in range(1, rank + 1))
 
 
+def within(df: DataFrame, axes: Sequence[str], dims: Sequence[int]) -> DataFrame:
+    """``df``, where an index that is NULL or outside ``dims`` raises.
+
+    A filter, so that it costs no job and column pruning cannot lose it; ranges on the
+    index still reach the scan.
+    """
+    inside = reduce(lambda a, b: a & b, (
+        F.coalesce((F.col(a) >= 0) & (F.col(a) < d), F.lit(False)) for a, d in zip(axes, dims)))
+    wrong = F.raise_error(F.concat(
+        F.lit(f"an index is NULL or outside {tuple(dims)}: "),
+        F.concat_ws(",", *(F.coalesce(F.col(a).cast("string"), F.lit("NULL")) for a in axes))))
+    return df.where(F.when(inside, F.lit(True)).otherwise(wrong.cast("boolean")))
+
+
 def check_bounds(t: CooTable | TensorTable) -> DataFrame:
-    """The entries whose index lies outside the table's dimensions."""
+    """The entries whose index is NULL or outside the table's dimensions."""
     axes = ("row", "col") if isinstance(t, CooTable) else t.axes
 
     def outside(axis: str, size: int) -> Column:
-        return (F.col(axis) < 0) | (F.col(axis) >= size)
+        return F.col(axis).isNull() | (F.col(axis) < 0) | (F.col(axis) >= size)
 
     tests = [outside(axis, size) for axis, size in zip(axes, t.dims)]
     return t.df.where(reduce(lambda a, b: a | b, tests, F.lit(False)))

@@ -9,67 +9,61 @@ import pytest
 from conftest import dense, random_sparse, sparse
 from coordloom.operators import AxisOperator, kron, matmul, norm
 from coordloom.plans import chain_apply, compose, run
-from coordloom.session import discard
-from coordloom.sources import basis_vector, cyclic_shift, from_rows, identity
+from coordloom.session import discard, scratch, shared_folder
+from coordloom.sources import from_rows, identity
 from coordloom.table import CooTable
 
-SIDE = 5
-SIZES = (10, 10, 10, 10)
-DIMS = (2, 5) * 4
-
-
-def coin_then_shift(spark) -> CooTable:
-    """The 20-entry step operator of one walker on a ring of ``SIDE`` places."""
-    r = 0.7071067811865475
-    coin = from_rows(spark, [(0, 0, r), (0, 1, r), (1, 0, r), (1, 1, -r)], (2, 2))
-    return matmul(cyclic_shift(spark, (SIDE,)), kron(coin, identity(spark, SIDE)))
-
-
-def start(spark) -> CooTable:
-    """Four walkers in the middle, one of them turned, with alternating signs."""
-    amplitudes = {}
-    for walker, sign in ((3, 1), (2, -1), (1, 1), (0, -1)):
-        coords = [0, 2] * 4
-        coords[2 * walker] = 1
-        amplitudes[tuple(coords)] = 0.5 * sign
-    return basis_vector(spark, DIMS, amplitudes)
-
-
-def check_report(report: dict) -> None:
-    assert report["norm"].first()["norm"] == pytest.approx(1, abs=1e-12)
-    rows = report["marginal"].collect()
-    assert len(rows) == 250
-    assert sum(r["val"] for r in rows) == pytest.approx(1, abs=1e-12)
-    top = max(r["val"] for r in rows)
-    assert top == pytest.approx(0.045166015625, abs=1e-12)
-    best = {(r["i2"], r["i4"], r["i6"], r["i8"]) for r in rows if abs(r["val"] - top) < 1e-12}
-    assert best == {(1, 1, 1, 3), (1, 1, 3, 1), (1, 3, 1, 1), (3, 1, 1, 1)}
-
-
-def test_start_state(spark):
-    rows = {r["row"]: r["re"] for r in start(spark).df.collect()}
-    assert rows == {2227: 0.5, 2272: -0.5, 2722: 0.5, 7222: -0.5}
-
-
-def test_lattice_with_full_operators(spark):
-    """Four operators of 20,000 entries, three steps, marginal of the places."""
-    w = coin_then_shift(spark).store()
-    assert w.count() == 20
-    ops = [kron(kron(identity(spark, 10 ** k), w), identity(spark, 10 ** (3 - k)))
-           for k in (0, 3, 2, 1)]
-    assert [op.dims for op in ops] == [(10_000, 10_000)] * 4
-    assert ops[2].count() == 20_000
-    report = run(ops, start(spark), 3, dims=DIMS, measured=[2, 4, 6, 8], save_every=2)
-    check_report(report)
-    saved = report["snapshots"]
-    assert {r["step"] for r in saved.select("step").distinct().collect()} == {2}
-    assert norm(CooTable(saved, (10_000, 1))).first()["norm"] == pytest.approx(1, abs=1e-12)
-
-
-def test_lattice_with_axis_operators(spark):
-    w = coin_then_shift(spark)
-    ops = [AxisOperator(w, SIZES, axis) for axis in (1, 4, 3, 2)]
-    check_report(run(ops, start(spark), 3, dims=DIMS, measured=[2, 4, 6, 8]))
+SIZES = (4, 5, 3)
+
+
+def axis_arrays(rng) -> list[np.ndarray]:
+    return [random_sparse(rng, (n, n), 0.6) for n in SIZES]
+
+
+def test_report_with_full_and_with_axis_operators(spark, rng):
+    """One operator on each axis of a state, two steps, marginals free and at a position."""
+    arrays, v = axis_arrays(rng), random_sparse(rng, (60, 1), 0.7)
+    step = np.kron(np.kron(arrays[0], arrays[1]), arrays[2])
+    want = (np.linalg.matrix_power(step, 2) @ v).reshape(SIZES)
+    full = [kron(kron(identity(spark, math.prod(SIZES[:k])), sparse(spark, u)),
+                 identity(spark, math.prod(SIZES[k + 1:]))) for k, u in enumerate(arrays)]
+    assert [op.dims for op in full] == [(60, 60)] * 3
+    along = [AxisOperator(sparse(spark, u), SIZES, k) for k, u in enumerate(arrays, start=1)]
+    for ops in (full, along):
+        report = run(ops, sparse(spark, v), 2, dims=SIZES, measured=[1, 3], save_every=1)
+        assert report["norm"].first()["norm"] == pytest.approx(np.linalg.norm(want))
+        got = {(r["i1"], r["i3"]): r["val"] for r in report["marginal"].collect()}
+        sums = (abs(want) ** 2).sum(axis=1)
+        assert all(got.get(k, 0.0) == pytest.approx(x) for k, x in np.ndenumerate(sums))
+        saved = report["snapshots"]
+        assert {r["step"] for r in saved.select("step").distinct().collect()} == {1}
+        assert norm(CooTable(saved, (60, 1))).first()["norm"] == pytest.approx(np.linalg.norm(step @ v))
+    fixed = run(along, sparse(spark, v), 2, dims=SIZES, measured=[1], position=("?", 2, "?"))["marginal"]
+    got = {r["i1"]: r["val"] for r in fixed.collect()}
+    assert all(got.get(k, 0.0) == pytest.approx(x) for k, x in enumerate((abs(want[:, 2]) ** 2).sum(axis=1)))
+
+
+def test_release_leaves_nothing(spark, rng, no_broadcast):
+    from pathlib import Path
+
+    def left() -> tuple[set, set]:
+        folders = Path(shared_folder(spark).removeprefix("file:")) / "coordloom"
+        return (set(folders.iterdir()) if folders.exists() else set(),
+                {t.name for t in spark.catalog.listTables()})
+
+    a, v = random_sparse(rng, (64, 64), 0.2), random_sparse(rng, (64, 1), 0.8)
+    before = left()
+    with scratch(spark) as stored:
+        op, state = (replace(sparse(spark, x), stored=False) for x in (a, v))
+        report = run([op], state, 3, save_every=1)
+        wide = matmul(compose([op, op]), op, hot=4)
+        blocks = kron(op, state, block=50)
+    assert np.array_equal(dense(wide), a @ a @ a)  # readable until the release
+    assert blocks.count() and report["norm"].first()["norm"] == pytest.approx(
+        np.linalg.norm(np.linalg.matrix_power(a, 3) @ v))
+    assert left() != before
+    stored.release()
+    assert left() == before
 
 
 @pytest.fixture

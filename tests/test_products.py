@@ -7,7 +7,10 @@ import pytest
 
 from conftest import dense, random_sparse, sparse
 from coordloom.functions import COMPONENTWISE
-from coordloom.operators import AxisOperator, apply_on_axis, kron, matmul, norm, prune_zeros
+from coordloom.operators import (
+    AxisOperator, apply_on_axis, joins, kron, matmul, norm, prune_zeros, self_product,
+)
+from coordloom.operators.joins import cells_join, hot_keys
 from coordloom.sources import from_rows, identity, store_bucketed
 from coordloom.table import CooTable
 
@@ -131,6 +134,73 @@ def test_hot_keys_in_cells(spark, rng, no_broadcast):
     assert np.array_equal(dense(matmul(x, y)), a @ b)
 
 
+@pytest.mark.parametrize("hot, pairs", [(16, 1 << 20), (16, 40), (1000, 25), (3, 3)])
+def test_no_cell_exceeds_its_bounds(spark, rng, hot, pairs):
+    """More hot keys than any list once held one, of many shapes."""
+    left = [(int(k), i) for i, k in enumerate(rng.zipf(1.3, 3000) % 200)]
+    right = [(int(k), i) for i, k in enumerate(rng.zipf(1.5, 2000) % 200)]
+    a = spark.createDataFrame(left, "k long, i long").cache()
+    b = spark.createDataFrame(right, "k long, j long").cache()
+    found = hot_keys(a, b, "k", hot, pairs).cache()
+    sizes = {r["k"]: (r["_cells_l"], r["_cells_r"]) for r in found.collect()}
+    placed_l = joins._placed(a, found, "k", ("i",), "l", "r").groupBy("k", "_cell_l", "_cell_r").count().collect()
+    placed_r = joins._placed(b, found, "k", ("j",), "r", "l").groupBy("k", "_cell_l", "_cell_r").count().collect()
+    n, m = ({k: sum(1 for x, _ in side if x == k) for k in range(200)} for side in (left, right))
+    for k, (l, r) in sizes.items():
+        per_l, per_r = -(-n[k] // l), -(-m[k] // r)
+        assert per_l <= hot and per_r <= hot and per_l * per_r <= max(pairs, 1)
+    for k in set(n) - set(sizes):
+        assert not m[k] or not n[k] or n[k] <= hot and m[k] <= hot and n[k] * m[k] <= pairs
+    for rows in (placed_l, placed_r):  # hashing deals about evenly
+        assert all(x["count"] <= 8 * hot for x in rows if x["k"] in sizes)
+    joined = cells_join(a, b, "k", (("i",), ("j",)), found)
+    assert joined.count() == sum(n[k] * m[k] for k in n)
+    assert joined.distinct().count() == joined.count()
+
+
+def test_a_wide_state_of_few_rows_is_dealt_over_cells(spark, no_broadcast):
+    rows = [(0, j, 1.0) for j in range(2000)]
+    state = from_rows(spark, rows, (4, 2000))
+    u = from_rows(spark, [(i, k, 1.0) for i in range(4) for k in range(4)], (4, 4))
+    got = apply_on_axis(u, state, (1, 4), 2, hot=100)
+    cells = got.df._jdf.queryExecution().analyzed().toString()
+    assert "_cell_l" in cells and got.count() == 8000
+
+
+@pytest.mark.parametrize("call", [
+    lambda x, y: matmul(x, y, plan="cells"), lambda x, y: kron(x, y, plan="blocks"),
+    lambda x, y: matmul(store_bucketed(x), y, plan="in_place")])
+def test_forced_plans_do_not_broadcast_an_operand(spark, rng, call):
+    a, b = random_sparse(rng, (8, 8)), random_sparse(rng, (8, 5))
+    got = call(sparse(spark, a), sparse(spark, b))
+    want = np.kron(a, b) if got.dims[0] == 64 else a @ b
+    assert np.array_equal(dense(got), want)
+    for wrong in (lambda: matmul(sparse(spark, a), sparse(spark, b), plan="in_place"),
+                  lambda: matmul(sparse(spark, a), sparse(spark, b), plan="blocks")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_given_counts_never_broadcast(spark, rng):
+    rows = spark.range(3000).selectExpr("id AS row", "id AS col", "1.0D AS re")
+    x = CooTable(rows, (1 << 20, 1 << 20))
+    got = kron(x, x, entries=(10, 10))
+    assert got.at_most is None and got.bound is None
+    # Spark may still broadcast by the true size; the given counts force nothing.
+    assert "ResolvedHint" not in got.df._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("hot", [3, 65_536])
+def test_self_product(spark, rng, hot, request):
+    if hot == 3:
+        request.getfixturevalue("no_broadcast")
+    a = random_sparse(rng, (12, 9), complex_values=False)
+    got = self_product(sparse(spark, a), hot=hot)
+    assert np.array_equal(dense(got), a @ a.T) and got.count() == np.count_nonzero(a @ a.T)
+    with pytest.raises(ValueError):
+        self_product(sparse(spark, random_sparse(rng, (3, 3)) + 1j))
+
+
 def test_hot_keys_with_repeats(spark, no_broadcast):
     rows = [(i % 40, 0, 1) for i in range(400)] + [(i, 1, 2) for i in range(40)]
     a = from_rows(spark, rows, (40, 2))
@@ -219,7 +289,7 @@ def test_bucketed_operator_stays_in_place(spark, rng, no_broadcast):
 
 def test_skewed_operator_is_not_bucketed(spark):
     rows = [(i, 0, 1) for i in range(90)] + [(i, i, 1) for i in range(1, 30)]
-    op = store_bucketed(from_rows(spark, rows, (90, 30)))
+    op = store_bucketed(from_rows(spark, rows, (90, 30)), hot=60)
     assert op.bucketed is None and op.stored
     with pytest.raises(ValueError):
         store_bucketed(op, by="re")

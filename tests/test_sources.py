@@ -6,11 +6,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import dense, random_sparse, sparse
+from coordloom.functions import parse_complex
 from coordloom.operators import matmul, norm, reshape, sum_axis
 from coordloom.session import broadcast_entries, cut, new_folder, shared_folder
 from coordloom.sources import (
     LEFT, RIGHT, basis_vector, cyclic_shift, from_rows, identity, read_coo, read_dims,
-    read_parquet, read_tensor, read_tensor_parquet, to_coo, uniform_vector, write_coo,
+    read_norm, read_parquet, read_tensor, read_tensor_parquet, to_coo, uniform_vector, write_coo,
     write_norm, write_parquet, write_tensor,
 )
 from coordloom.table import CooTable, check_bounds
@@ -225,19 +226,70 @@ def test_generators(spark):
 
 
 def test_cyclic_shift(spark):
-    up = np.roll(np.eye(5), 1, axis=1)
-    want = np.block([[up, np.zeros((5, 5))], [np.zeros((5, 5)), up.T]])
-    assert np.array_equal(dense(cyclic_shift(spark, (5,))), want)
+    assert np.array_equal(dense(cyclic_shift(spark, (5,))), np.roll(np.eye(5), 1, axis=1))
+    assert np.array_equal(dense(cyclic_shift(spark, (5,), (-7,))), np.roll(np.eye(5), -7, axis=1))
 
 
 def test_cyclic_shift_on_two_axes(spark):
-    got = dense(cyclic_shift(spark, (3, 4)))
-    want = np.zeros((48, 48))
-    for j, k, x, y in np.ndindex(2, 2, 3, 4):
-        to = (j, k, (x + (-1) ** j) % 3, (y + (-1) ** k) % 4)
-        want[np.ravel_multi_index((j, k, x, y), (2, 2, 3, 4)),
-             np.ravel_multi_index(to, (2, 2, 3, 4))] = 1
-    assert np.array_equal(got, want)
+    x = np.arange(12.0).reshape(3, 4)
+    got = dense(cyclic_shift(spark, (3, 4), (1, -2))) @ x.ravel()
+    assert np.array_equal(got.real, np.roll(x, (-1, 2), axis=(0, 1)).ravel())
+    with pytest.raises(ValueError):
+        cyclic_shift(spark, (3, 4), (1,))
+
+
+# -- indices outside, own sources, stored data --------------------------------
+
+
+@pytest.mark.parametrize("key", [True, False])
+@pytest.mark.parametrize("row", [(2, 0), (0, 2), (-1, 0), (None, 0), (0, None)])
+def test_an_index_outside_or_null_raises(spark, row, key):
+    df = spark.createDataFrame([(*row, 1.0), (1, 1, 2.0)], "r long, c long, v double")
+    t = to_coo(df, "r", "c", "v", dims=(2, 2), key=key)
+    with pytest.raises(Exception, match="NULL or outside"):
+        t.df.select("re").collect()
+    plain = CooTable(df.select(F.col("r").alias("row"), F.col("c").alias("col"), F.col("v").alias("re")), (2, 2))
+    assert check_bounds(plain).count() == 1
+
+
+def test_text_outside_given_dims_raises(spark, tmp_path):
+    path = str(tmp_path / "m")
+    write_coo(from_rows(spark, [(3, 0, 1)], (4, 1)), path, LEFT)
+    assert read_coo(spark, path, LEFT).count() == 1
+    with pytest.raises(Exception, match="outside"):
+        read_coo(spark, path, LEFT, (3, 1)).count()
+
+
+@pytest.mark.parametrize("kind", ["text", "ordered", "tensor", "parquet", "norm"])
+def test_writing_onto_the_own_source_is_refused(spark, tmp_path, kind):
+    path = str(tmp_path / "m")
+    t = from_rows(spark, [(0, 0, 1), (1, 0, 2)], (2, 1))
+    if kind in ("text", "ordered"):
+        write_coo(t, path, LEFT)
+        again = lambda: write_coo(read_coo(spark, path, LEFT), path, LEFT, kind == "ordered")
+        left = lambda: read_coo(spark, path, LEFT).count()
+    elif kind == "tensor":
+        write_tensor(reshape(t, (2,)), path, LEFT)
+        again = lambda: write_tensor(read_tensor(spark, path, LEFT), path, LEFT)
+        left = lambda: read_tensor(spark, path, LEFT).df.count()
+    elif kind == "parquet":
+        write_parquet(t, path)
+        again = lambda: write_parquet(read_parquet(spark, path), path)
+        left = lambda: read_parquet(spark, path).count()
+    else:
+        write_norm(spark.createDataFrame([(1.5,), (2.5,)], "norm double"), path)
+        again = lambda: write_norm(read_norm(spark, path), path)
+        left = lambda: read_norm(spark, path).count()
+    with pytest.raises(ValueError, match="another folder"):
+        again()
+    assert left() == 2
+
+
+@pytest.mark.parametrize("text", ["1j2j3", "1", "", "j", "1jx"])
+def test_malformed_complex_numbers_raise(spark, text):
+    re, im = parse_complex(F.col("t"))
+    with pytest.raises(Exception):
+        spark.createDataFrame([(text,)], "t string").select(re, im).collect()
 
 
 # -- session ----------------------------------------------------------------
