@@ -101,7 +101,7 @@ def _blocks(html: str) -> list[tuple[_Element, str, int]]:
     now = _Block(root)
 
     def text(raw: str) -> None:
-        if not raw:
+        if not raw or top.dropped or top.named and not now.element.named:
             return
         now.parts.append(unescape(raw) if "&" in raw else raw)
         if links:

@@ -31,7 +31,10 @@ COMMON_FROM = 64
 #: The most common shingles that are told to the tasks (16 bytes each); the choice only
 #: orders shingles, results are the same without it.
 MOST_COMMON = 1_000_000
-_STARS = 4
+#: Least hashes by which near copies are tied to a first one, and how many must agree.
+_STARS, _AGREEING = 8, 6
+#: Shingles kept beyond a prefix, to stand in for common ones.
+_SPARE, _SPARE_PART = 8, 10
 _LARGEST_BOUNDARY = 16
 _ROWS_AT_ONCE = 512
 _WORDS_REMEMBERED = 500_000
@@ -104,7 +107,7 @@ def subset_sizes(size: int, boundary: int, percent: int = PERCENT) -> tuple[int,
 class _Pass:
     """What one pass over the texts emits, besides the key and the set's signature."""
 
-    tokens: str  # "prefix", "all", "subsets"
+    tokens: str  # "prefix" (and spare ones, unless the common are known), "all", "subsets"
     percent: int = PERCENT
     boundary: int = 0
     common: object = None  # broadcast (sorted tokens, their ranks)
@@ -122,7 +125,9 @@ class _Pass:
             known, rank = self.common.value
             at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
             tokens = tokens[np.lexsort((tokens, np.where(known[at] == tokens, rank[at], 0)))]
-        return tokens[:prefix_length(len(tokens), self.percent)]
+            return tokens[:prefix_length(len(tokens), self.percent)]
+        p = prefix_length(len(tokens), self.percent)
+        return tokens[:p + _SPARE + p // _SPARE_PART]
 
 
 def _shingled(docs: DataFrame, emit: _Pass, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -145,15 +150,15 @@ def _shingled(docs: DataFrame, emit: _Pass, size: int = SHINGLE_WORDS) -> DataFr
 
     kind = dict(docs.dtypes)["id"]
     return docs.select("id", "text").mapInArrow(
-        shingled, f"id {kind}, n long, s1 long, s2 long, stars array<long>, tokens array<long>")
+        shingled, f"id {kind}, n long, s1 long, s2 long, stars array<long>, tokens array<long>"
+    ).withColumn("who", F.xxhash64("id"))
 
 
 def _of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of a pass that stand for a class: those of its first id, with its node. The id
-    is part of the join key, so the copies of a text do not meet in one task."""
-    own = classes.select("node", "first", F.col("s1").alias("c1"), F.col("s2").alias("c2"))
-    return rows.join(own, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))
-                     & F.col("id").eqNullSafe(F.col("first"))).drop("c1", "c2", "first", "id")
+    """Rows of a pass that stand for a class, those of its first id, one for each node. The id
+    is part of the key, so the copies of a text do not meet in one task."""
+    keys = ["s1", "s2", "who"]
+    return rows.drop("id").dropDuplicates(keys).join(classes.select("node", *keys), keys).drop(*keys)
 
 
 def _passed_again(texts: DataFrame, classes: DataFrame, nodes: DataFrame, emit: _Pass,
@@ -172,8 +177,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: i
     and once for each pair it is in.
     """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(_passed_again(texts, classes, nodes, _Pass("all"), size).dropDuplicates(["node"])
-               .select("node", "n", "tokens"))
+    sets = cut(_passed_again(texts, classes, nodes, _Pass("all"), size).select("node", "n", "tokens"))
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"),
                                  F.col("tokens").alias("ta")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"),
@@ -197,11 +201,11 @@ def _boundary(classes: DataFrame, percent: int) -> int:
 
 def _star_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of each node with the first node of its buckets of equal least hashes, where
-    two buckets agree. They tie large groups of near copies together in linear work."""
+    most buckets agree. They tie large groups of near copies together in linear work."""
     starred = rows.select("node", F.posexplode("stars").alias("k", "star"))
     heads = starred.groupBy("k", "star").agg(F.min("node").alias("a"), F.max("node").alias("last"))
     return starred.join(heads.filter("a < last"), ["k", "star"]).filter("a < node").groupBy(
-        "a", F.col("node").alias("b")).agg(F.countDistinct("k").alias("k")).filter("k >= 2").select("a", "b")
+        "a", F.col("node").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= _AGREEING).select("a", "b")
 
 
 def _subset_pairs(texts: DataFrame, classes: DataFrame, boundary: int, percent: int,
@@ -210,48 +214,67 @@ def _subset_pairs(texts: DataFrame, classes: DataFrame, boundary: int, percent:
     the size that a link needs."""
     top = 100 * boundary // percent
     small = classes.filter(F.col("n") <= top).select("node")
-    kept = _passed_again(texts, classes, small, _Pass("subsets", percent, boundary), size).select(
-        "node", "n", F.explode("tokens").alias("token")).distinct()
-    return _meeting(cut(kept), percent)
+    kept = _passed_again(texts, classes.drop("n"), small, _Pass("subsets", percent, boundary), size)
+    return _meeting(cut(kept.select("node", "n", F.explode(F.array_distinct("tokens")).alias("token"))),
+                    percent, False)
 
 
-def _meeting(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows (token, node, n, and c if given) that share a token,
-    with sizes that can link; with ``c`` only those of different ``c``."""
-    part = "c" if "c" in rows.columns else "node"
-    ends = rows.groupBy("token").agg(F.min(part).alias("lo"), F.max(part).alias("hi"))
-    live = rows.join(ends.filter("lo < hi").select("token"), "token", "left_semi")
-    x = live.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n")), F.col(part).alias("p_a"))
-    y = live.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n")), F.col(part).alias("p_b"))
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return x.join(y, "token").filter(
-        (F.col("p_a") < F.col("p_b")) & (100 * least >= percent * most)).select(
-        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
+def _meeting(rows: DataFrame, percent: int, prefixes: bool) -> DataFrame:
+    """Pairs (a, b) of rows (token, node, n, and c if given) that share a token, with sizes
+    that can link; with ``c`` only those of different ``c``.
 
-def _rare_first(texts: DataFrame, classes: DataFrame, rows: DataFrame, percent: int,
+    Of prefixes in one order, two linked sets share so many that the rest of either
+    prefix's set cannot make up for fewer; other pairs are left out.
+    """
+    part = "c" if "c" in rows.columns else "node"
+    shared = rows.groupBy("token").agg(F.min(part).alias("lo"), F.max(part).alias("hi")).filter("lo < hi")
+    live = sifted(rows, "token", cut(shared.select("token")), "token")
+    x = live.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col(part).alias("pa"))
+    y = live.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col(part).alias("pb"))
+    least, most = F.least("na", "nb"), F.greatest("na", "nb")
+    met = x.join(y, "token").filter(
+        (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * least >= percent * most))
+    if not prefixes:
+        return met.select("a", "b").distinct()
+    # Shingles of a set behind its prefix: ceil(percent * n / 100) - 1.
+    behind = F.floor((percent * most + 99) / 100) - 1
+    both = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(
+        F.col("met") >= both - behind).select("a", "b")
+
+
+def _rare_first(texts: DataFrame, classes: DataFrame, own: DataFrame, percent: int,
                 size: int) -> DataFrame:
-    """(token, node, n): the inverted lists of prefixes, with common shingles taken last.
+    """(node, n, tokens): the prefix of each set, with common shingles taken last.
 
     Shingles are first taken by hash and counted. Sets that hold a common one choose again
     with the common ones last, by rising count, so that a passage many texts share
     leaves the lists of all texts that have enough else. Any common order is right.
     """
-    lists = rows.select("node", "n", F.explode("tokens").alias("token"))
-    common = cut(lists.groupBy("token").count().filter(F.col("count") > COMMON_FROM)
+    first = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    chosen = own.select("node", "n", "tokens", first.cast("int").alias("p"))
+    plain = F.slice("tokens", F.lit(1), F.col("p")).alias("tokens")
+    common = cut(chosen.select(F.explode(plain).alias("token")).groupBy("token").count()
+                 .filter(F.col("count") > COMMON_FROM)
                  .orderBy(F.desc("count"), "token").limit(MOST_COMMON))
     told = common.toPandas()
     if not len(told):
-        return lists
+        return chosen.select("node", "n", plain)
+    held = sifted(chosen.select("node", F.explode("tokens").alias("token")), "token", common, "token").join(
+        F.broadcast(common.select("token")), "token").groupBy("node").agg(F.collect_set("token").alias("common"))
+    again = chosen.join(held, "node", "left").withColumn(
+        "rare", F.when(F.col("common").isNull(), F.col("tokens"))
+        .otherwise(F.array_except("tokens", "common")))
+    again = cut(again.select("node", "n", F.slice("rare", F.lit(1), F.col("p")).alias("tokens"),
+                             (F.size("rare") >= F.col("p")).alias("enough")))
     tokens = told["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     order_of = texts.sparkSession.sparkContext.broadcast(
         (tokens[order], told["count"].to_numpy(np.int64)[order]))
-    touched = cut(lists.join(F.broadcast(common.select("token")), "token", "left_semi")
-                  .select("node").distinct())
-    again = _passed_again(texts, classes, touched, _Pass("prefix", percent, common=order_of), size)
-    return lists.join(touched, "node", "left_anti").unionByName(
-        again.select("node", "n", F.explode("tokens").alias("token")))
+    deep = _passed_again(texts, classes, again.filter("NOT enough").select("node"),
+                         _Pass("prefix", percent, common=order_of), size)
+    return again.filter("enough").select("node", "n", "tokens").unionByName(
+        deep.select("node", "n", "tokens"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -274,21 +297,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = cut(_shingled(texts, _Pass("prefix", percent), size))
     full = rows.filter("n > 0")
-    classes = cut(full.groupBy("s1", "s2").agg(
-        F.min("n").alias("n"), F.min("id").alias("first"))
-        .withColumn("node", F.monotonically_increasing_id()))
-    own = cut(_of_classes(full, classes).dropDuplicates(["node"]).select("node", "n", "stars", "tokens"))
-    stars = cut(_verified(cut(_star_pairs(own)), texts, classes, percent, size))
+    classes = cut(full.groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("id").alias("first"))
+                  .withColumns({"node": F.monotonically_increasing_id(), "who": F.xxhash64("first")}))
+    own = cut(_of_classes(full, classes.drop("n")).select("node", "n", "stars", "tokens"))
+    stars = cut(_verified(cut(_star_pairs(own)), texts, classes.drop("n"), percent, size))
     first = components(stars)
 
     boundary = _boundary(classes, percent)
-    lists = _rare_first(texts, classes, own.filter(F.col("n") > boundary), percent, size)
-    parted = lists.join(first, "node", "left").select(
-        "token", "node", "n", F.coalesce("component", "node").alias("c"))
-    pairs = _meeting(cut(parted), percent)
+    prefixes = _rare_first(texts, classes.drop("n"), own.filter(F.col("n") > boundary), percent, size)
+    lists = cut(prefixes.join(first, "node", "left").select(
+        "node", "n", F.coalesce("component", "node").alias("c"), "tokens"))
+    pairs = _meeting(lists.select("node", "n", "c", F.explode("tokens").alias("token")), percent, True)
     if boundary:
         pairs = pairs.unionByName(_subset_pairs(texts, classes, boundary, percent, size)).distinct()
-    links = _verified(cut(pairs), texts, classes, percent, size).unionByName(stars)
+    links = _verified(cut(pairs), texts, classes.drop("n"), percent, size).unionByName(stars)
     found = classes.join(components(links), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("first").alias("component_id"))

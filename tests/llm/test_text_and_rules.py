@@ -1,0 +1,113 @@
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+from conftest_llm import words_of
+from hypothesis import given, settings, strategies as st
+
+from coordloom.llm import quality_rules, rule_ensemble
+from coordloom.llm.text_stats import base, measure
+
+
+def brute(text):
+    words = words_of(text)
+    windows = [tuple(words[k:k + 5]) for k in range(len(words) - 4)]
+    counts = Counter(windows)
+    covered = {k + j for k, w in enumerate(windows) if counts[w] > 1 for j in range(5)}
+    seen, duplicate = set(), 0
+    for line in (text or "").split("\n"):
+        if words_of(line):
+            duplicate += line in seen
+            seen.add(line)
+    return [len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""),
+            duplicate, len(covered)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n\t#é \x1c", max_size=80))
+def test_base_measurements(text):
+    assert base(text) == brute(text)
+    assert measure(text)[:5] == brute(text)
+
+
+def test_long_repetitions():
+    rng = random.Random(1)
+    text = " ".join(rng.choice("abc") for _ in range(3000))
+    assert base(text) == brute(text)
+    assert base(None) == [0] * 5
+
+
+def test_ledger_policies_and_ablations(spark):
+    texts = ["clean words in a row that say ten different things today", "too short", None, "",
+             "a b c d e " * 20, "##$ %%% *** &&& ### $$$ &&& *** ||| <<< one more",
+             "STOP SHOUTING AT ME ALL DAY LONG MY FRIEND PLEASE STOP NOW OK"]
+    df = spark.createDataFrame([(k, t, "own") for k, t in enumerate(texts)],
+                               "doc_id long, text string, n_words string")
+    got = {r.doc_id: r for r in quality_rules.verdicts(df).collect()}
+    assert [got[k].kept for k in range(7)] == [True, False, False, False, False, False, False]
+    assert [got[k].base_failed for k in range(7)] == [False, True, True, True, True, False, False]
+    assert got[5].failures & quality_rules.mask_of(["symbols"])
+    ledger = quality_rules.ledger(df)
+    policy = quality_rules.POLICIES["v2"]
+    table = {r.rule: r for r in quality_rules.ablations(ledger, policy).collect()}
+    bits = [got[k].failures for k in range(7)]
+    for name in policy:
+        bit, rest = quality_rules.mask_of([name]), quality_rules.mask_of([p for p in policy if p != name])
+        assert table[name].n_failing == sum(b & bit > 0 for b in bits)
+        assert table[name].n_only_this == sum(b == bit for b in bits)
+        assert table[name].n_without == sum(b & rest > 0 for b in bits)
+    kept = quality_rules.kept(df, policy)
+    assert kept.columns == df.columns and [r.n_words for r in kept.collect()] == ["own"]
+    assert {r.n_failing for r in quality_rules.ablations(ledger.limit(0), policy).collect()} == {0}
+
+
+def test_tree_paths_become_rules():
+    described = """RandomForestClassificationModel
+  Tree 0 (weight 1.0):
+    If (feature 0 <= 1.5)
+     If (feature 0 <= 0.5)
+      Predict: 0.0
+     Else (feature 0 > 0.5)
+      Predict: 1.0
+    Else (feature 0 > 1.5)
+     Predict: 1.0
+"""
+    assert set(rule_ensemble.tree_rules(described)) == {
+        ((0, "<=", 1.5),), ((0, "<=", 0.5),), ((0, "<=", 1.5), (0, ">", 0.5)), ((0, ">", 1.5),)}
+
+
+def test_ensemble_learns_and_never_sees_held_out_labels(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for k in range(300):
+        junk = k % 4 == 0
+        words = [f"w{rng.randrange(200)}{'###' if junk else ''}" for _ in range(60)]
+        rows.append((k, " ".join(words), "score text"))
+        labels.append((k, int(not junk)))
+    docs = spark.createDataFrame(rows + [(900, None, ""), (None, "", "")],
+                                 "doc_id long, text string, score string")
+    known = spark.createDataFrame(labels + labels[:40] + [(None, 1), (5, None)],
+                                  "doc_id long, quality int")
+    held = known.filter(rule_ensemble.in_fold(known.doc_id))
+    training = rule_ensemble.training_rows(docs, known)
+    assert training.count() == known.select("doc_id").dropna().distinct().count() \
+        - held.select("doc_id").distinct().count()
+    model = rule_ensemble.fit(training)
+    scored = {r.doc_id: r.score for r in rule_ensemble.scored(docs, model).collect()}
+    assert len(scored) == 302 and all(0 <= s <= 1 for s in scored.values())
+    wrong = [k for k, quality in labels if (scored[k] >= 0.3) != bool(quality)]
+    assert not wrong
+    taken = rule_ensemble.accepted(docs, model)
+    assert taken.columns == docs.columns and taken.filter("doc_id < 300").count() == 225
+    flipped = known.withColumn("quality", 1 - known.quality).filter(rule_ensemble.in_fold(known.doc_id))
+    again = rule_ensemble.training_rows(docs, known.filter(~rule_ensemble.in_fold(known.doc_id)).unionByName(flipped))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, training.collect()))
+
+
+def test_constant_models(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert rule_ensemble.fit(rule_ensemble.training_rows(docs, none)).bias == 0
+    ones = spark.createDataFrame([(k, 1) for k in (1, 2)], "doc_id long, quality int")
+    assert rule_ensemble.fit(rule_ensemble.training_rows(docs, ones)).rules == ()
