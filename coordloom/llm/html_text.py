@@ -9,6 +9,7 @@ taken whole, but for what its tags or names mark as menus, adverts and the like.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -51,21 +52,50 @@ _ENDS = {  # a start tag of the key ends open elements of the values
 _SCOPE = set("""html body article section main div aside nav header footer table td th ul ol dl
 form fieldset blockquote""".split())
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?--!?>|.*\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>", re.S)
+_MARKUP = re.compile(r"<(?:!--|([/]?)([a-zA-Z][^\s/>]*)|[!?])")
+_COMMENT_END = re.compile(r"--!?>")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(
     r"(?:^|[\s/])(class|id|role|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~¡-¿‐-‧、-〃！-／]")
 
 
+class _Page:
+    """The elements of a page, parents first, and numbers of its tag paths."""
+
+    def __init__(self) -> None:
+        self.elements: list[_Element] = []
+        self._paths: dict[tuple[int, str], int] = {}
+
+    def path(self, above: int, tag: str) -> int:
+        return self._paths.setdefault((above, tag), len(self._paths) + 1)
+
+    def summed(self, values: dict[int, float]) -> list[float]:
+        """For each element the sum of its own and its descendants' values."""
+        sums = [values.get(k, 0.0) for k in range(len(self.elements))]
+        for element in reversed(self.elements[1:]):
+            sums[element.parent.number] += sums[element.number]
+        return sums
+
+    def within(self, whole: _Element) -> list[bool]:
+        """Whether each element lies in another."""
+        inside = [False] * len(self.elements)
+        for element in self.elements:
+            inside[element.number] = element is whole or bool(
+                element.parent and inside[element.parent.number])
+        return inside
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "path", "dropped", "named", "article", "depth")
+    __slots__ = ("tag", "parent", "page", "path", "number", "dropped", "named", "article", "depth")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str) -> None:
         self.tag, self.parent = tag, parent
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        self.page: _Page = parent.page if parent else _Page()
+        self.path = self.page.path(parent.path, tag) if parent else 0
+        self.number = len(self.page.elements)
+        self.page.elements.append(self)
         self.depth = parent.depth + 1 if parent else 0
         names: set[str] = set()
         hidden = False
@@ -94,11 +124,35 @@ class _Block:
         self.element, self.parts, self.linked = element, [], 0
 
 
+def _tag_end(html: str, at: int, unclosed: set[str]) -> int:
+    """Place of the ``>`` that ends a tag; quotes count after a ``=``."""
+    while m := _STOP.search(html, at):
+        found, at = m.group(), m.end()
+        if found == ">":
+            return m.start()
+        before = m.start() - 1
+        while html[before].isspace():
+            before -= 1
+        if html[before] == "=" and found not in unclosed:
+            close = html.find(found, at)
+            if close < 0:
+                unclosed.add(found)
+            else:
+                at = close + 1
+    return -1
+
+
 def _blocks(html: str) -> list[tuple[_Element, str, int]]:
-    """Blocks of text in page order, with the element they lie in and their link characters."""
+    """Blocks of text in page order, with the element they lie in and their link characters.
+
+    One pass: a tag is looked for in the open elements only if one of its name is open.
+    """
     root = _Element("#", None, "")
     top, links, at, out = root, 0, 0, []
     now = _Block(root)
+    is_open: Counter[str] = Counter()
+    unclosed: set[str] = set()
+    raw_ends: dict[str, re.Pattern] = {}
 
     def text(raw: str) -> None:
         if not raw or top.dropped or top.named and not now.element.named:
@@ -115,27 +169,45 @@ def _blocks(html: str) -> list[tuple[_Element, str, int]]:
                 out.append((now.element, words, now.linked))
         now = _Block(element)
 
-    end, find = len(html), _TOKEN.search
+    def closed(place: _Element) -> None:
+        """Close the open elements up to this one."""
+        nonlocal top
+        while top is not place:
+            is_open[top.tag] -= 1
+            top = top.parent
+        is_open[place.tag] -= 1
+        top = place.parent
+
+    end, last = len(html), html.rfind(">")
     while at < end:
-        m = find(html, at)
-        if not m:
+        m = _MARKUP.search(html, at)
+        if not m or m.start() > last and not html.startswith("<!--", m.start()):
             text(html[at:])
             break
         text(html[at:m.start()])
-        at = m.end()
-        tag = m.group(2)
+        if html.startswith("<!--", m.start()):
+            close = _COMMENT_END.search(html, m.end())
+            at = close.end() if close else end
+            continue
+        tag = (m.group(2) or "").lower()
+        stop = _tag_end(html, m.end(), unclosed) if tag else html.find(">", m.end())
+        if stop < 0:
+            text(html[m.start():m.end()])
+            at = m.end()
+            continue
+        attributes, at = html[m.end():stop], stop + 1
         if not tag:
             continue
-        tag = tag.lower()
         if m.group(1):
-            place = top
-            while place is not root and place.tag != tag:
-                if tag not in _BLOCK and place.tag in _SCOPE or tag == "p" and place.tag in _SCOPE:
-                    place = root
-                    break
-                place = place.parent
-            if place is not root:
-                top = place.parent
+            if is_open[tag]:
+                place = top
+                while place is not root and place.tag != tag:
+                    if place.tag in _SCOPE and (tag not in _BLOCK or tag == "p"):
+                        place = root
+                        break
+                    place = place.parent
+                if place is not root:
+                    closed(place)
             links -= tag == "a" and links > 0
             if tag in _BLOCK:
                 links = links if tag not in _SCOPE else 0
@@ -149,21 +221,26 @@ def _blocks(html: str) -> list[tuple[_Element, str, int]]:
             continue
         if tag in _BLOCK:
             closing = _ENDS.get(tag, set()) | {"p"}
-            place = top
-            while place is not root and (place.tag not in _SCOPE or place.tag in closing):
-                if place.tag in closing:
-                    top = place.parent
-                place = place.parent
-            top = _Element(tag, top, m.group(3))
+            place, inner = top, None
+            if any(is_open[t] for t in closing):
+                while place is not root and (place.tag not in _SCOPE or place.tag in closing):
+                    if place.tag in closing:
+                        inner = place
+                    place = place.parent
+            if inner:
+                closed(inner)
             links = 0
-            ended(top)
         else:
-            top = _Element(tag, top, m.group(3))
             links += tag == "a"
-        if tag in _RAW and not m.group(3).endswith("/"):
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+        top = _Element(tag, top, attributes)
+        is_open[tag] += 1
+        if tag in _BLOCK:
+            ended(top)
+        if tag in _RAW and not attributes.endswith("/"):
+            ends = raw_ends.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I))
+            close = ends.search(html, at)
             at = close.end() if close else end
-            top = top.parent
+            closed(top)
             if tag in _BLOCK:
                 ended(top)
     ended(root)
@@ -179,7 +256,7 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
 
 def content_scores(blocks: list[tuple[_Element, str, int]]) -> np.ndarray:
     """Fused and smoothed ratio of each block's path."""
-    paths: dict[str, list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for element, words, linked in blocks:
         sums = paths.setdefault(element.path, [0, 0, 0])
         sums[0] += max(len(words) - linked, 0)
@@ -190,23 +267,9 @@ def content_scores(blocks: list[tuple[_Element, str, int]]) -> np.ndarray:
     return _smoothed(length) * (1 + _smoothed(marks))
 
 
-def _within(element: _Element | None, whole: _Element) -> bool:
-    while element and element is not whole:
-        element = element.parent
-    return element is not None
-
-
-def _headed(element: _Element | None) -> bool:
-    while element and element.tag not in _HEADINGS:
-        element = element.parent
-    return element is not None
-
-
 def main_text(html: str | None, threshold: float = THRESHOLD, share: float = SHARE) -> str:
     """The main text of a page; empty if there is none."""
-    blocks = [b for b in _blocks(html or "") if not b[0].dropped]
-    plain = [b for b in blocks if not b[0].named]
-    blocks = plain
+    blocks = [b for b in _blocks(html or "") if not b[0].dropped and not b[0].named]
     if not blocks:
         return ""
     scores = content_scores(blocks)
@@ -214,27 +277,29 @@ def main_text(html: str | None, threshold: float = THRESHOLD, share: float = SHA
     weights = np.where(scores >= threshold * scores.mean(), sizes, 0.0)
     if not weights.sum():
         weights = sizes
-    held: dict[_Element, float] = {}
+    page = blocks[0][0].page
+    held: dict[int, float] = {}
+    plain: dict[int, float] = {}  # blocks that are no headings
     articles: dict[_Element, float] = {}
     for (element, _, _), weight in zip(blocks, weights):
+        held[element.number] = held.get(element.number, 0.0) + weight
+        plain[element.number] = plain.get(element.number, 0.0) + (element.tag not in _HEADINGS)
         if element.article:
             articles[element.article] = articles.get(element.article, 0.0) + weight + 1e-9
-        place = element
-        while place:
-            held[place] = held.get(place, 0.0) + weight
-            place = place.parent
     if articles:
         chosen = max(articles, key=articles.get)
     else:
+        sums, others = page.summed(held), page.summed(plain)
         enough = share * weights.sum()
-        chosen = max((e for e, w in held.items() if w >= enough), key=lambda e: e.depth)
+        chosen = max((e for e in page.elements if sums[e.number] >= enough), key=lambda e: e.depth)
         while chosen.parent and chosen.tag not in _SCOPE and chosen.tag != "#":
             chosen = chosen.parent
         # Headings beside the content belong to it.
-        while chosen.parent and chosen.parent.tag not in ("html", "#") and all(
-                _within(e, chosen) or _headed(e) for e, _, _ in blocks if _within(e, chosen.parent)):
+        while chosen.parent and chosen.parent.tag not in ("html", "#") and (
+                others[chosen.parent.number] == others[chosen.number]):
             chosen = chosen.parent
-    return "\n\n".join(words for element, words, _ in blocks if _within(element, chosen))
+    inside = page.within(chosen)
+    return "\n\n".join(words for element, words, _ in blocks if inside[element.number])
 
 
 def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

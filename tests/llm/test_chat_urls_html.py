@@ -114,6 +114,14 @@ def test_blocks_and_references():
     assert main_text("<article>" + "<div>" * 3000 + "deep, text" + "</div>" * 3000) == "deep, text"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div>" + "<font>a, " * 20000, ("a, " * 20000).strip()), ("<p " * 30000 + ">", ""), ("<a =\"'" * 30001 + ">", ""),
+    ("<!--" * 30000, ""), ("<script>" * 30000, ""), ("<p>x</b></i></section>" * 3, "x\n\nx\n\nx"),
+    ("<p>don't, <a title=\"a>b\">it's</a></p>", "don't, it's"), ("a < b, c", "a < b, c")])
+def test_odd_pages_take_linear_time(page, want):
+    assert main_text(page) == want
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "x"), (2, None, None, "y"), (2, None, None, "y")],
                                "page_id long, url string, html string, text string")
