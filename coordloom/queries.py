@@ -21,7 +21,7 @@ from coordloom.plans import chain_apply, compose, run
 from coordloom.session import new_folder
 from coordloom.sources import (
     LEFT, RIGHT, basis_vector, cyclic_shift, format_coo, identity, parse_coo, read_coo,
-    read_norm, read_parquet, read_tensor, store_bucketed, uniform_vector, write_coo, write_norm,
+    read_headers, read_norm, read_parquet, read_tensor, store_bucketed, uniform_vector, write_coo, write_norm,
     write_parquet, write_tensor,
 )
 from coordloom.table import CooTable, TensorTable, check_bounds
@@ -338,12 +338,14 @@ def coo_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both operands of a product through text files in two folders, one read each."""
+    """Both operands of a product through text files in two folders: one read for the
+    headers of both, one for each operand."""
     left, right = new_folder(spark, "text"), new_folder(spark, "text")
     write_coo(inputs.customer_supplier(spark, sf_dir), left, LEFT)
     write_coo(inputs.supplier_line(spark, sf_dir), right, RIGHT)
     both = [left, right]
-    return matmul(read_coo(spark, both, LEFT), read_coo(spark, both, RIGHT)).entries()
+    dims = read_headers(spark, both)
+    return matmul(*(read_coo(spark, both, role, dims[role]) for role in (LEFT, RIGHT))).entries()
 
 
 def tensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,14 @@ from coordloom.sources.columnar import (
     read_parquet, read_tensor_parquet, store_bucketed, write_parquet,
 )
 from coordloom.sources.coo_text import (
-    LEFT, RIGHT, format_coo, parse_coo, read_coo, read_dims, read_norm, read_tensor,
+    LEFT, RIGHT, format_coo, parse_coo, read_coo, read_dims, read_headers, read_norm, read_tensor,
     write_coo, write_norm, write_tensor,
 )
 from coordloom.sources.generate import cyclic_shift, identity, uniform_vector
 
 __all__ = [
     "LEFT", "RIGHT", "basis_vector", "cyclic_shift", "format_coo", "from_rows",
-    "identity", "measured_dims", "parse_coo", "read_coo", "read_dims", "read_parquet",
+    "identity", "measured_dims", "parse_coo", "read_coo", "read_dims", "read_headers", "read_parquet",
     "read_norm", "read_tensor", "read_tensor_parquet", "store_bucketed", "to_coo", "uniform_vector", "write_coo",
     "write_norm", "write_parquet", "write_tensor",
 ]

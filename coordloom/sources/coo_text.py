@@ -69,20 +69,29 @@ def _header(spark: SparkSession, role: str, dims: Sequence[int]) -> DataFrame:
     return spark.range(1).select(F.lit(line).alias("value"))
 
 
-def read_dims(spark: SparkSession, paths: Paths, role: str) -> tuple[int, ...]:
-    """The dimensions from the header line of ``role``, in whichever file it is.
+def read_headers(spark: SparkSession, paths: Paths) -> dict[str, tuple[int, ...]]:
+    """The dimensions of every role that has a header line, in whichever files they are.
 
-    This scans the text once; a reader given ``dims`` skips it.
+    One scan of the text serves all roles; a reader given ``dims`` skips it.
     """
-    prefix = HEADER + check_role(role) + DELIMITER
     found = (
-        _lines(spark, paths).where(F.col("value").startswith(prefix))
-        .select(F.trim("value").alias("value")).distinct().limit(2).collect()
+        _lines(spark, paths).where(F.col("value").rlike(f"^{HEADER}[{LEFT}{RIGHT}]{DELIMITER}"))
+        .select(F.trim("value").alias("value")).distinct().limit(3).collect()
     )
-    if len(found) != 1:
-        what = "no header" if not found else "more than one header"
-        raise ValueError(f"{what} for role {role!r} under {paths}")
-    return tuple(int(d) for d in found[0]["value"][len(prefix):].split(DELIMITER))
+    headers: dict[str, tuple[int, ...]] = {}
+    for role, *dims in (row["value"].removeprefix(HEADER).split(DELIMITER) for row in found):
+        if role in headers:
+            raise ValueError(f"more than one header for role {role!r} under {paths}")
+        headers[role] = tuple(int(d) for d in dims)
+    return headers
+
+
+def read_dims(spark: SparkSession, paths: Paths, role: str) -> tuple[int, ...]:
+    """The dimensions from the header line of ``role``; scans the text once."""
+    headers = read_headers(spark, paths)
+    if check_role(role) not in headers:
+        raise ValueError(f"no header for role {role!r} under {paths}")
+    return headers[role]
 
 
 def read_coo(spark: SparkSession, paths: Paths, role: str,
