@@ -20,21 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coordloom.llm.bloom import blocks_for, block_of, filled, mask_of, sifted
+from coordloom.llm.counters import cell_of, counted, ranks
 from coordloom.llm.graph import components
 from coordloom.session import cut
 
 SHINGLE_WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Shingles in more sets than this are taken last when a set's rare shingles are chosen.
-COMMON_FROM = 64
-#: The most common shingles that are told to the tasks (16 bytes each); the choice only
-#: orders shingles, results are the same without it.
-MOST_COMMON = 1_000_000
 #: Least hashes by which near copies are tied to a first one, and how many must agree.
-_STARS, _AGREEING = 8, 6
-#: Shingles kept beyond a prefix, to stand in for common ones.
-_SPARE, _SPARE_PART = 8, 10
+_STARS, _AGREEING = 8, 5
 _LARGEST_BOUNDARY = 16
 _ROWS_AT_ONCE = 512
 _WORDS_REMEMBERED = 500_000
@@ -107,10 +101,10 @@ def subset_sizes(size: int, boundary: int, percent: int = PERCENT) -> tuple[int,
 class _Pass:
     """What one pass over the texts emits, besides the key and the set's signature."""
 
-    tokens: str  # "prefix" (and spare ones, unless the common are known), "all", "subsets"
+    tokens: str  # "prefix", "all", "subsets"
     percent: int = PERCENT
     boundary: int = 0
-    common: object = None  # broadcast (sorted tokens, their ranks)
+    common: object = None  # broadcast ranks of counters
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         if self.tokens == "all":
@@ -121,13 +115,9 @@ class _Pass:
                 for c in subset_sizes(len(tokens), self.boundary, self.percent)
                 for part in combinations(tokens.tolist(), c)]
             return np.array(made, np.uint64)
-        if self.common is not None:
-            known, rank = self.common.value
-            at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-            tokens = tokens[np.lexsort((tokens, np.where(known[at] == tokens, rank[at], 0)))]
-            return tokens[:prefix_length(len(tokens), self.percent)]
-        p = prefix_length(len(tokens), self.percent)
-        return tokens[:p + _SPARE + p // _SPARE_PART]
+        rank = self.common.value[cell_of(tokens)]
+        order = np.argsort(rank, kind="stable") if rank.any() else slice(None)
+        return tokens[order][:prefix_length(len(tokens), self.percent)]
 
 
 def _shingled(docs: DataFrame, emit: _Pass, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -243,40 +233,6 @@ def _meeting(rows: DataFrame, percent: int, prefixes: bool) -> DataFrame:
         F.col("met") >= both - behind).select("a", "b")
 
 
-def _rare_first(texts: DataFrame, classes: DataFrame, own: DataFrame, percent: int,
-                size: int) -> DataFrame:
-    """(node, n, tokens): the prefix of each set, with common shingles taken last.
-
-    Shingles are first taken by hash and counted. Sets that hold a common one choose again
-    with the common ones last, by rising count, so that a passage many texts share
-    leaves the lists of all texts that have enough else. Any common order is right.
-    """
-    first = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    chosen = own.select("node", "n", "tokens", first.cast("int").alias("p"))
-    plain = F.slice("tokens", F.lit(1), F.col("p")).alias("tokens")
-    common = cut(chosen.select(F.explode(plain).alias("token")).groupBy("token").count()
-                 .filter(F.col("count") > COMMON_FROM)
-                 .orderBy(F.desc("count"), "token").limit(MOST_COMMON))
-    told = common.toPandas()
-    if not len(told):
-        return chosen.select("node", "n", plain)
-    held = sifted(chosen.select("node", F.explode("tokens").alias("token")), "token", common, "token").join(
-        F.broadcast(common.select("token")), "token").groupBy("node").agg(F.collect_set("token").alias("common"))
-    again = chosen.join(held, "node", "left").withColumn(
-        "rare", F.when(F.col("common").isNull(), F.col("tokens"))
-        .otherwise(F.array_except("tokens", "common")))
-    again = cut(again.select("node", "n", F.slice("rare", F.lit(1), F.col("p")).alias("tokens"),
-                             (F.size("rare") >= F.col("p")).alias("enough")))
-    tokens = told["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    order_of = texts.sparkSession.sparkContext.broadcast(
-        (tokens[order], told["count"].to_numpy(np.int64)[order]))
-    deep = _passed_again(texts, classes, again.filter("NOT enough").select("node"),
-                         _Pass("prefix", percent, common=order_of), size)
-    return again.filter("enough").select("node", "n", "tokens").unionByName(
-        deep.select("node", "n", "tokens"))
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row (``key``, ``n_shingles``, ``component_id``) for each row of ``docs``.
@@ -287,15 +243,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     exactly. Repeated rows and keys each keep their row; null keys take part and a
     component of null keys alone has a null id.
 
-    1. Equal sets become classes by a 128-bit signature, with partial minima.
-    2. Star pairs tie groups of near copies; verified, they give first components.
-    3. Subsets (small sets) and inverted lists (large ones) give the remaining candidate
-       pairs, only across these components, so a group of thousands of near copies does
-       not give millions of pairs. Whoever links into a component by any pair is found.
-    4. Verified links of both kinds give the components.
+    1. All shingles are counted in a table of fixed size, which orders them: the rarer
+       first, those that very many texts share last. Any common order is right; this one
+       keeps a passage out of the lists of all texts that have enough else.
+    2. Equal sets become classes by a 128-bit signature, with partial minima.
+    3. Star pairs tie groups of near copies; verified, they give first components.
+    4. Subsets (small sets) and inverted lists of prefixes (large ones) give the remaining
+       candidate pairs, only across these components, so a group of thousands of near
+       copies does not give millions of pairs. Whoever links into a component is found.
+    5. Verified links of both kinds give the components.
     """
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = cut(_shingled(texts, _Pass("prefix", percent), size))
+    order = docs.sparkSession.sparkContext.broadcast(
+        ranks(counted(texts, "text", lambda t: shingle_set(t, size))))
+    rows = cut(_shingled(texts, _Pass("prefix", percent, common=order), size))
     full = rows.filter("n > 0")
     classes = cut(full.groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("id").alias("first"))
                   .withColumns({"node": F.monotonically_increasing_id(), "who": F.xxhash64("first")}))
@@ -304,10 +265,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = components(stars)
 
     boundary = _boundary(classes, percent)
-    prefixes = _rare_first(texts, classes.drop("n"), own.filter(F.col("n") > boundary), percent, size)
-    lists = cut(prefixes.join(first, "node", "left").select(
-        "node", "n", F.coalesce("component", "node").alias("c"), "tokens"))
-    pairs = _meeting(lists.select("node", "n", "c", F.explode("tokens").alias("token")), percent, True)
+    lists = own.filter(F.col("n") > boundary).select("node", "n", "tokens").join(first, "node", "left")
+    pairs = _meeting(cut(lists.select("node", "n", F.coalesce("component", "node").alias("c"), "tokens"))
+                     .select("node", "n", "c", F.explode("tokens").alias("token")), percent, True)
     if boundary:
         pairs = pairs.unionByName(_subset_pairs(texts, classes, boundary, percent, size)).distinct()
     links = _verified(cut(pairs), texts, classes.drop("n"), percent, size).unionByName(stars)

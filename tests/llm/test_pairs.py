@@ -7,10 +7,12 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from conftest_llm import prose, words_of
 
 from coordloom.llm import jaccard, substring
+from coordloom.llm.counters import cell_of, counted, ranks
 from coordloom.llm.graph import components
 
 
@@ -67,9 +69,13 @@ def corpus():
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize("common_from", [jaccard.COMMON_FROM, 3])
-def test_components_equal_brute_force(spark, corpus, monkeypatch, common_from):
-    monkeypatch.setattr(jaccard, "COMMON_FROM", common_from)
+@pytest.mark.parametrize("order", ["counted", "none", "random"])
+def test_components_equal_brute_force(spark, corpus, monkeypatch, order):
+    """Whatever order the counters give."""
+    if order != "counted":
+        top = 1 if order == "none" else 256
+        monkeypatch.setattr(jaccard, "ranks", lambda table: np.random.default_rng(1).integers(
+            0, top, len(table)).astype(np.uint8))
     df = spark.createDataFrame([(k, t, k) for k, t in corpus], "doc_id long, text string, n long")
     got = sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str)
     assert got == brute_components(corpus)
@@ -174,3 +180,17 @@ def test_cleaned_keeps_columns_and_untouched_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, key int")
     got = sorted(map(tuple, substring.cleaned(df).collect()))
     assert got == [(1, "a  b\nc", 6, 1), (2, "one two", 7, 2), (3, "", 0, 3)]
+
+
+def test_counters_cover_every_row(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << 64, 500, np.uint64)
+    df = spark.range(3000, numPartitions=7).select("id")
+    table = counted(df, "id", lambda k: keys[: k % 500])
+    want = np.zeros_like(table)
+    for k in range(3000):
+        np.add.at(want, cell_of(keys[: k % 500]), 1)
+    assert (table == want).all()
+    rank = ranks(table)
+    assert rank[cell_of(keys[:1])[0]] > 0 and (rank[table == 0] == 0).all()
+    assert not ranks(np.zeros(64, np.int64)).any()
