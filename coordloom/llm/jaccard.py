@@ -28,7 +28,7 @@ SHINGLE_WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Least hashes by which near copies are tied to a first one, and how many must agree.
-_STARS, _AGREEING = 8, 5
+_STARS, _AGREEING, _AGREEING_LATER = 8, 5, 3
 _LARGEST_BOUNDARY = 16
 _ROWS_AT_ONCE = 512
 _WORDS_REMEMBERED = 500_000
@@ -198,6 +198,20 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
         "a", F.col("node").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= _AGREEING).select("a", "b")
 
 
+def _second_pairs(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Pairs of nodes still outside the first component of their buckets with two of its
+    nodes, where some buckets agree: near copies that were too far from the first node."""
+    starred = rows.select("node", F.posexplode("stars").alias("k", "star")).join(
+        first, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    heads = starred.groupBy("k", "star").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    met = starred.join(heads, ["k", "star"])
+    ends = met.filter("c = lo").groupBy("k", "star").agg(F.min("node").alias("x"), F.max("node").alias("y"))
+    out = met.filter("c > lo").select("k", "star", "node", "lo").join(ends, ["k", "star"]).groupBy(
+        "lo", "node").agg(F.count("*").alias("k"), F.min("x").alias("x"), F.max("y").alias("y"))
+    pairs = out.filter(F.col("k") >= _AGREEING_LATER).select("node", F.explode(F.array("x", "y")).alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def _subset_pairs(texts: DataFrame, classes: DataFrame, boundary: int, percent: int,
                   size: int) -> DataFrame:
     """Candidate pairs whose smaller set is within the boundary: they hold one subset of
@@ -262,6 +276,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                   .withColumns({"node": F.monotonically_increasing_id(), "who": F.xxhash64("first")}))
     own = cut(_of_classes(full, classes.drop("n")).select("node", "n", "stars", "tokens"))
     stars = cut(_verified(cut(_star_pairs(own)), texts, classes.drop("n"), percent, size))
+    if not stars.isEmpty():
+        more = _second_pairs(own, components(stars))
+        stars = cut(stars.unionByName(_verified(cut(more), texts, classes.drop("n"), percent, size)))
     first = components(stars)
 
     boundary = _boundary(classes, percent)
