@@ -15,9 +15,12 @@ from coordloom.llm.token_ids import token_ids
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-@pytest.fixture(scope="module")
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+@pytest.fixture
 def library():
-    return Tokenizer.from_file(PATH)
+    return LIBRARY
 
 
 def same(library, texts):
@@ -29,13 +32,13 @@ def same(library, texts):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=6))
 def test_any_text(texts):
-    same(Tokenizer.from_file(PATH), texts)
+    same(LIBRARY, texts)
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab's trevelm \n\t<|endofx> é1!", max_size=60), max_size=4))
 def test_splitting(texts):
-    same(Tokenizer.from_file(PATH), texts)
+    same(LIBRARY, texts)
 
 
 def test_edges(library):
