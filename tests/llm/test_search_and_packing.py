@@ -52,7 +52,7 @@ def test_small_tables_are_searched_exactly(spark):
 def test_ties_and_one_vector_that_most_rows_repeat(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL_VECTORS", 64)
     monkeypatch.setattr(ann, "CELL_QUERIES", 8)
-    rows = vectors(200) + [(i, [1.0, 2, 3, 0, 0, 0, 1, 1]) for i in range(200, 700)]
+    rows = vectors(200) + [(i, [1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 1.0, 1.0]) for i in range(200, 700)]
     rows += [(21, [3.0] * 8), (699, rows[-1][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(df, F.col("vec_id") % 20 == 0, 20).collect())
