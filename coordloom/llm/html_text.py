@@ -55,12 +55,21 @@ form fieldset blockquote""".split())
 _MARKUP = re.compile(r"<(?:!--|([/]?)([a-zA-Z][^\s/>]*)|[!?])")
 _COMMENT_END = re.compile(r"--!?>")
 _STOP = re.compile(r"[>\"']")
-_ATTRIBUTE = re.compile(
-    r"(?:^|[\s/])(class|id|role|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# One attribute after the other, so that what stands in a value is no attribute.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~¡-¿‐-‧、-〃！-／]")
 
 
+def _attributes(written: str) -> dict[str, str]:
+    """Values of the attributes that matter here; of a repeated one the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(written):
+        if (name := name.lower()) in ("class", "id", "role", "hidden", "style"):
+            found.setdefault(name, "".join(values))
+    return found
+
+
 class _Page:
     """The elements of a page, parents first, and numbers of its tag paths."""
 
@@ -99,8 +108,7 @@ class _Element:
         self.depth = parent.depth + 1 if parent else 0
         names: set[str] = set()
         hidden = False
-        for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-            key, value = key.lower(), value.strip("\"'")
+        for key, value in _attributes(attributes).items() if attributes else ():
             if key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
                 hidden = True
             elif key != "style":

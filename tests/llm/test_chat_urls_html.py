@@ -122,6 +122,19 @@ def test_odd_pages_take_linear_time(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("attributes", [
+    "title='The hidden cost'", 'data-note="a hidden gem"', "href='/hidden-gems'", "href=/hidden-gems", "data-hidden",
+    "alt='x' title='style=display:none'", 'data-x="1 class=ad"', "hidden-gem", "class=post class=ad"])
+def test_attributes_are_read_whole(attributes):
+    assert main_text(f"<article>{ARTICLE}<p {attributes}>More.</p></article>") == WANT + "\n\nMore."
+
+
+@pytest.mark.parametrize("attributes", [
+    "hidden", "HIDDEN", "hidden=''", "id=x hidden", "id='x'hidden", "hidden/", "title=\"it's\" style='display: none'", "class = ad"])
+def test_hidden_parts_stay_out(attributes):
+    assert main_text(f"<article>{ARTICLE}<div {attributes}>More.</div></article>") == WANT
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "x"), (2, None, None, "y"), (2, None, None, "y")],
                                "page_id long, url string, html string, text string")
