@@ -3,14 +3,15 @@
 The text of a page is summed over its root-to-leaf tag paths: characters and punctuation
 for each node of a path. Both ratios are smoothed along the page and multiplied; nodes on
 paths above a share of the mean are content. The element that holds the content is then
-taken whole, but for what its tags or names mark as menus, adverts and the like.
+taken whole, but for menus, adverts and the like: what a tag says is one, and what a name
+marks as one if the ratio of its paths is low too or most of it is links.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
@@ -34,7 +35,7 @@ tr ul""".split())
 _NO_TEXT = set("""aside button canvas dialog footer form head iframe input map menu nav noscript
 object optgroup option script search select style svg template textarea title video audio""".split())
 _HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
-# Names in class, id or role that mark what is not the main text.
+# Names in class, id or role that mark what may not be the main text.
 _NAMES = set("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo
 promoted promotion banner menu menus nav navbar navigation breadcrumb breadcrumbs topbar header
 masthead footer copyright contentinfo sidebar aside complementary rail widget widgets cookie
@@ -43,6 +44,12 @@ subscribe subscription newsletter signup login signin form search comment commen
 commentlist reply replies respond disqus share sharing social related recommended
 recommendations pagination pager toolbar skip paywall""".split())
 _COMMENTS = set("comment comments commentlist reply replies respond disqus".split())
+# What is written like the main text, so that no ratio tells it apart, if it is named so whole.
+_ADS = set("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted
+promotion cookie cookies consent gdpr""".split())
+# Words that add nothing to a name.
+_AROUND = set("""area block body bottom box container content inner item left list main outer right
+section slot top unit wrap wrapper""".split())
 _ENDS = {  # a start tag of the key ends open elements of the values
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -97,39 +104,51 @@ class _Page:
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "page", "path", "number", "dropped", "named", "article", "depth")
+    __slots__ = ("tag", "parent", "page", "path", "number", "dropped", "mark", "sure", "article", "depth")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str) -> None:
         self.tag, self.parent = tag, parent
         self.page: _Page = parent.page if parent else _Page()
-        self.path = self.page.path(parent.path, tag) if parent else 0
         self.number = len(self.page.elements)
         self.page.elements.append(self)
         self.depth = parent.depth + 1 if parent else 0
-        names: set[str] = set()
+        names: list[set[str]] = []
         hidden = False
         for key, value in _attributes(attributes).items() if attributes else ():
             if key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
                 hidden = True
-            elif key != "style":
-                names.update(n.lower() for n in _NAME.findall(value))
+            elif key != "style" and not (key == "id" and tag in _HEADINGS):
+                names += ({n.lower() for n in _NAME.findall(name)} for name in value.split())
         within = parent.article if parent else None
-        own = tag in ("article", "main") and not names & _COMMENTS and within is None
+        own = tag in ("article", "main") and within is None and not any(n & _COMMENTS for n in names)
         self.article = self if own else within
         dropped = hidden or tag in _NO_TEXT or tag == "header" and within is None
         self.dropped = dropped or bool(parent and parent.dropped)
-        marked = tag not in ("html", "body") and not own and bool(names & _NAMES)
+        #: The nearest element, this one included, that a name marks, and that marks it surely.
+        self.mark, self.sure = (parent.mark, parent.sure) if parent else (None, None)
+        words = marked = sure = None
         if tag == "header" and within is not None:
-            marked = True
-        heading = tag in _HEADINGS and parent is not None and parent.tag == "header"
-        self.named = (marked or bool(parent and parent.named)) and not heading
+            marked = sure = True
+        elif names and not own and tag not in ("html", "body"):
+            whole = [n for n in names if n & _NAMES and n <= _NAMES | _AROUND]
+            sure = any(n & _ADS or n & _COMMENTS and tag in _BLOCK for n in whole)
+            loose = tag in _SCOPE and any(n & _NAMES for n in names)
+            marked = sure or tag not in _HEADINGS | {"article", "main"} and (bool(whole) or loose)
+            words = sorted(set().union(*names) & _NAMES) if marked else None
+        elif tag in _HEADINGS and parent is not None and parent.tag == "header" and parent.parent:
+            self.mark, self.sure = parent.parent.mark, parent.parent.sure
+        if marked:
+            self.mark, self.sure = self, self if sure else self.sure
+        # What a name marks has paths of its own.
+        self.path = self.page.path(parent.path, " ".join([tag, *words]) if words else tag) if parent else 0
 
 
 class _Block:
-    __slots__ = ("element", "parts", "linked")
+    __slots__ = ("element", "parts", "linked", "marks")
 
     def __init__(self, element: _Element) -> None:
         self.element, self.parts, self.linked = element, [], 0
+        self.marks: set[_Element | None] = set()  # of the elements in the block with its text
 
 
 def _tag_end(html: str, at: int, unclosed: set[str]) -> int:
@@ -163,8 +182,11 @@ def _blocks(html: str) -> list[tuple[_Element, str, int]]:
     raw_ends: dict[str, re.Pattern] = {}
 
     def text(raw: str) -> None:
-        if not raw or top.dropped or top.named and not now.element.named:
+        block = now.element.number
+        if not raw or top.dropped or top.sure and top.sure.number > block:
             return
+        if not raw.isspace():
+            now.marks.add(top.mark if top.mark and top.mark.number > block else None)
         now.parts.append(unescape(raw) if "&" in raw else raw)
         if links:
             now.linked += len(raw.strip())
@@ -174,7 +196,10 @@ def _blocks(html: str) -> list[tuple[_Element, str, int]]:
         if now.parts:
             words = " ".join("".join(now.parts).split())
             if words:
-                out.append((now.element, words, now.linked))
+                # Marked words amid others stay; if they are the whole block it is marked.
+                whole = now.marks.pop() if len(now.marks) == 1 else None
+                heads = now.element.tag in _HEADINGS
+                out.append((now.element if heads else whole or now.element, words, now.linked))
         now = _Block(element)
 
     def closed(place: _Element) -> None:
@@ -262,8 +287,8 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), mode="valid")
 
 
-def content_scores(blocks: list[tuple[_Element, str, int]]) -> np.ndarray:
-    """Fused and smoothed ratio of each block's path."""
+def _path_means(blocks: list[tuple[_Element, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean characters beside links and mean punctuation of each block's path."""
     paths: dict[int, list[float]] = {}
     for element, words, linked in blocks:
         sums = paths.setdefault(element.path, [0, 0, 0])
@@ -272,14 +297,17 @@ def content_scores(blocks: list[tuple[_Element, str, int]]) -> np.ndarray:
         sums[2] += 1
     length = np.array([paths[e.path][0] / paths[e.path][2] for e, _, _ in blocks])
     marks = np.array([paths[e.path][1] / paths[e.path][2] for e, _, _ in blocks])
+    return length, marks
+
+
+def content_scores(blocks: list[tuple[_Element, str, int]]) -> np.ndarray:
+    """Fused and smoothed ratio of each block's path."""
+    length, marks = _path_means(blocks)
     return _smoothed(length) * (1 + _smoothed(marks))
 
 
-def main_text(html: str | None, threshold: float = THRESHOLD, share: float = SHARE) -> str:
-    """The main text of a page; empty if there is none."""
-    blocks = [b for b in _blocks(html or "") if not b[0].dropped and not b[0].named]
-    if not blocks:
-        return ""
+def _chosen(blocks: list[tuple[_Element, str, int]], threshold: float, share: float) -> _Element:
+    """The element that holds the content."""
     scores = content_scores(blocks)
     sizes = np.array([len(words) - min(linked, len(words)) for _, words, linked in blocks], float)
     weights = np.where(scores >= threshold * scores.mean(), sizes, 0.0)
@@ -295,18 +323,72 @@ def main_text(html: str | None, threshold: float = THRESHOLD, share: float = SHA
         if element.article:
             articles[element.article] = articles.get(element.article, 0.0) + weight + 1e-9
     if articles:
-        chosen = max(articles, key=articles.get)
-    else:
-        sums, others = page.summed(held), page.summed(plain)
-        enough = share * weights.sum()
-        chosen = max((e for e in page.elements if sums[e.number] >= enough), key=lambda e: e.depth)
-        while chosen.parent and chosen.tag not in _SCOPE and chosen.tag != "#":
-            chosen = chosen.parent
-        # Headings beside the content belong to it.
-        while chosen.parent and chosen.parent.tag not in ("html", "#") and (
-                others[chosen.parent.number] == others[chosen.number]):
-            chosen = chosen.parent
-    inside = page.within(chosen)
+        return max(articles, key=articles.get)
+    sums, others = page.summed(held), page.summed(plain)
+    enough = share * weights.sum()
+    chosen = max((e for e in page.elements if sums[e.number] >= enough), key=lambda e: e.depth)
+    while chosen.parent and chosen.tag not in _SCOPE and chosen.tag != "#":
+        chosen = chosen.parent
+    # Headings beside the content belong to it.
+    while chosen.parent and chosen.parent.tag not in ("html", "#") and (
+            others[chosen.parent.number] == others[chosen.number]):
+        chosen = chosen.parent
+    return chosen
+
+
+def _without_marked(blocks: list[tuple[_Element, str, int]], threshold: float,
+                    share: float) -> list[tuple[_Element, str, int]]:
+    """Blocks without those that a name marks and the method does not hold for content.
+
+    Of the marked elements none goes that holds the content of the page scored as a whole.
+    Of the others go adverts, comments and bylines, what is mostly links, and what has
+    paths of a low ratio, each against the mean of the blocks without a mark.
+    """
+    free = [b for b in blocks if not b[0].sure]
+    if not free or any(b[0].article for b in blocks) and not any(b[0].article for b in free):
+        free = blocks
+    kept, above = set(), _chosen(free, threshold, share)
+    while above:
+        kept.add(above)
+        above = above.parent
+    length, marks = _path_means(blocks)
+    ratios = length * (1 + marks)
+    page = blocks[0][0].page
+
+    def under(holds: Callable[[_Element], bool]) -> list[bool]:
+        """Whether each element, or one that marks it, is such a marked element."""
+        found = [False] * len(page.elements)
+        for element in page.elements:
+            above = element.parent if element.mark is element else element
+            found[element.number] = bool(above.mark and found[above.mark.number]) or (
+                element.mark is element and element not in kept and holds(element))
+        return found
+
+    marked = under(lambda element: True)
+    by_ratio, sizes, links = {}, {}, {}
+    usual = [0.0, 0.0]
+    for (element, words, linked), ratio in zip(blocks, ratios):
+        size = len(words) * (1e-9 if element.tag in _HEADINGS else 1.0)  # headings are short anyway
+        for sums, value in ((by_ratio, ratio), (sizes, 1.0), (links, min(linked / len(words), 1.0))):
+            sums[element.number] = sums.get(element.number, 0.0) + value * size
+        if not marked[element.number]:
+            usual = [usual[0] + ratio * size, usual[1] + size]
+    low = threshold * usual[0] / usual[1] if usual[1] else 0.0
+    by_ratio, sizes, links = map(page.summed, (by_ratio, sizes, links))
+    gone = under(lambda element: element.sure is element or 2 * links[element.number] > sizes[
+        element.number] or by_ratio[element.number] < low * sizes[element.number])
+    return [b for b in blocks if not gone[b[0].number]]
+
+
+def main_text(html: str | None, threshold: float = THRESHOLD, share: float = SHARE) -> str:
+    """The main text of a page; empty if there is none."""
+    blocks = [b for b in _blocks(html or "") if not b[0].dropped]
+    if any(b[0].mark for b in blocks):
+        blocks = _without_marked(blocks, threshold, share)
+    if not blocks:
+        return ""
+    chosen = _chosen(blocks, threshold, share)
+    inside = chosen.page.within(chosen)
     return "\n\n".join(words for element, words, _ in blocks if inside[element.number])
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,34 @@ def test_hidden_parts_stay_out(attributes):
     assert main_text(f"<article>{ARTICLE}<div {attributes}>More.</div></article>") == WANT
 
 
+LONG = "A long paragraph, with commas; and more. It goes on, as the others do, to its end."
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='page has-sidebar'><article>{}</article></div>", "<div class=no-sidebar><main>{}</main></div>",
+    "<div id=page class=header-fixed><div><a>Home</a></div><div>{}</div></div>", "<div class=widget><div class=search>{}</div></div>",
+    "<div class=paywall><article>{}</article><div class=sidebar><a>x</a></div></div>", "<article class='post with-sidebar'>{}</article>",
+    "<div class=sidebar><a href=/>Home</a> <a href=/x>News</a></div><div class='form-page'>{}</div><div class='share'>Share</div>",
+    "<article><div class='widget'>{}</div><div class='related'><ul><li><a>Other, one</a><li><a>Two</a></ul></div></article>",
+    "<div class=ad>{}</div>", "<div class='content'>{}</div><div id=comments class=comments-area><p>" + LONG + LONG + "</p></div>"])
+def test_a_name_does_not_remove_the_content(page):
+    assert main_text(page.format(f"{ARTICLE}<p>{LONG}</p>")) == f"{WANT}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("part", [
+    f"<section id='related-work'><p>{LONG}</p></section>", f"<section id=notice><p>{LONG}</p></section>",
+    f"<h2 id='search-algorithm'>Search</h2><p>{LONG}</p>", f"<h2 class='section-header'>Search</h2><p>{LONG}</p>",
+    f"<p>An <span class=notice>amid, words</span> <a class='related-link'>link</a>. {LONG}</p>",
+    f"<pre>x = 1 <span class='comment'># one, two</span></pre><p>{LONG}</p>", f"<article class=header-fixed><p>{LONG}</p></article>"])
+def test_parts_of_an_article_with_a_name_stay(part):
+    want = main_text(re.sub(r"(class|id)=('[^']*'|[^ >]*)", "", f"<article>{ARTICLE}<p>{LONG}</p>{part}</article>"))
+    assert main_text(f"<article>{ARTICLE}<p>{LONG}</p>{part}</article>") == want and want.count(LONG) == 2
+
+
+def test_many_marks_take_linear_time():
+    assert set(main_text("<div class=x-form>a, " * 30000).split("\n\n")) == {"a,"}
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "x"), (2, None, None, "y"), (2, None, None, "y")],
                                "page_id long, url string, html string, text string")
