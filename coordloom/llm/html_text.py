@@ -94,11 +94,11 @@ class _Page:
             sums[element.parent.number] += sums[element.number]
         return sums
 
-    def within(self, whole: _Element) -> list[bool]:
-        """Whether each element lies in another."""
+    def within(self, wholes: set[_Element]) -> list[bool]:
+        """Whether each element lies in one of others."""
         inside = [False] * len(self.elements)
         for element in self.elements:
-            inside[element.number] = element is whole or bool(
+            inside[element.number] = element in wholes or bool(
                 element.parent and inside[element.parent.number])
         return inside
 
@@ -306,8 +306,8 @@ def content_scores(blocks: list[tuple[_Element, str, int]]) -> np.ndarray:
     return _smoothed(length) * (1 + _smoothed(marks))
 
 
-def _chosen(blocks: list[tuple[_Element, str, int]], threshold: float, share: float) -> _Element:
-    """The element that holds the content."""
+def _chosen(blocks: list[tuple[_Element, str, int]], threshold: float, share: float) -> list[_Element]:
+    """The element that holds the content; of articles side by side all that do, the main one first."""
     scores = content_scores(blocks)
     sizes = np.array([len(words) - min(linked, len(words)) for _, words, linked in blocks], float)
     weights = np.where(scores >= threshold * scores.mean(), sizes, 0.0)
@@ -317,13 +317,18 @@ def _chosen(blocks: list[tuple[_Element, str, int]], threshold: float, share: fl
     held: dict[int, float] = {}
     plain: dict[int, float] = {}  # blocks that are no headings
     articles: dict[_Element, float] = {}
-    for (element, _, _), weight in zip(blocks, weights):
+    whole: dict[_Element, float] = {}
+    for (element, _, _), weight, size in zip(blocks, weights, sizes):
         held[element.number] = held.get(element.number, 0.0) + weight
         plain[element.number] = plain.get(element.number, 0.0) + (element.tag not in _HEADINGS)
         if element.article:
             articles[element.article] = articles.get(element.article, 0.0) + weight + 1e-9
+            whole[element.article] = whole.get(element.article, 0.0) + size
     if articles:
-        return max(articles, key=articles.get)
+        first = max(articles, key=articles.get)
+        others = [] if any(a.tag == "main" for a in articles) else [
+            a for a in articles if a is not first and whole[a] and 2 * articles[a] >= whole[a]]
+        return [first, *others]
     sums, others = page.summed(held), page.summed(plain)
     enough = share * weights.sum()
     chosen = max((e for e in page.elements if sums[e.number] >= enough), key=lambda e: e.depth)
@@ -333,7 +338,7 @@ def _chosen(blocks: list[tuple[_Element, str, int]], threshold: float, share: fl
     while chosen.parent and chosen.parent.tag not in ("html", "#") and (
             others[chosen.parent.number] == others[chosen.number]):
         chosen = chosen.parent
-    return chosen
+    return [chosen]
 
 
 def _without_marked(blocks: list[tuple[_Element, str, int]], threshold: float,
@@ -347,7 +352,7 @@ def _without_marked(blocks: list[tuple[_Element, str, int]], threshold: float,
     free = [b for b in blocks if not b[0].sure]
     if not free or any(b[0].article for b in blocks) and not any(b[0].article for b in free):
         free = blocks
-    kept, above = set(), _chosen(free, threshold, share)
+    kept, above = set(), _chosen(free, threshold, share)[0]
     while above:
         kept.add(above)
         above = above.parent
@@ -388,7 +393,7 @@ def main_text(html: str | None, threshold: float = THRESHOLD, share: float = SHA
     if not blocks:
         return ""
     chosen = _chosen(blocks, threshold, share)
-    inside = chosen.page.within(chosen)
+    inside = chosen[0].page.within(set(chosen))
     return "\n\n".join(words for element, words, _ in blocks if inside[element.number])
 
 

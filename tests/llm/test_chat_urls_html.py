@@ -160,6 +160,16 @@ def test_parts_of_an_article_with_a_name_stay(part):
     assert main_text(f"<article>{ARTICLE}<p>{LONG}</p>{part}</article>") == want and want.count(LONG) == 2
 
 
+def test_articles_side_by_side_are_all_read():
+    more = f"<h2>Next</h2><p>{LONG}</p>"
+    teaser = "<article><h3><a href=/x>Other news</a></h3><p><a href=/x>Read it, now.</a></p></article>"
+    page = f"<div class=has-sidebar><article>{ARTICLE}<p>{LONG}</p></article>{teaser}<article>{more}</article></div>"
+    assert main_text(page) == f"{WANT}\n\n{LONG}\n\nNext\n\n{LONG}"
+    assert main_text(f"<main>{ARTICLE}<p>{LONG}</p></main><article>{more}</article>") == f"{WANT}\n\n{LONG}"
+    comment = f"<article class=comment><p>{LONG}</p></article>"
+    assert main_text(f"<article>{ARTICLE}</article><div id=comments>{comment}</div>") == WANT
+
+
 def test_many_marks_take_linear_time():
     assert set(main_text("<div class=x-form>a, " * 30000).split("\n\n")) == {"a,"}
 
