@@ -3,12 +3,16 @@
 A sample's neighbour graph is cut into balanced parts, a small classifier learns which
 parts hold the neighbours of a vector, every vector is filed under its most probable part,
 and a query is compared exactly with all vectors of its most probable parts.
+
+Nearness is the inner product, so lengths count: a vector is filed with one coordinate more,
+which makes all equally long and is zero for a query. The few longest are in a part of their
+own that every query visits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +27,24 @@ SAMPLE = 8_192
 PART_ROWS, MOST_PARTS = 512, 256
 #: Share of the true neighbours that the sample's held-out queries must find.
 RECALL = 0.93
+#: Rows longer than this share of the sample, with a margin for rounding, are in every query's list.
+LONG, LONG_MARGIN = 0.99, 1.01
 #: Most vectors and queries that meet in one task at a time.
 CELL_VECTORS, CELL_QUERIES = 8_192, 4_096
 _GRAPH_NEIGHBOURS, _STEPS, _AT_ONCE = 16, 1_000_000, 256
 
 
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(1))
+
+
+def _even(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors with a coordinate more, all of length 1: nearest then means largest product."""
+    x = vectors / longest
+    x = np.column_stack([x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))])
+    return x / _lengths(x)[:, None]
+
+
 @dataclass(frozen=True)
 class Router:
     """A linear classifier over parts, and how many parts a query visits."""
@@ -35,11 +52,26 @@ class Router:
     weights: np.ndarray
     bias: np.ndarray
     visits: int
+    longest: float = np.inf
+
+    @property
+    def parts(self) -> int:
+        """Parts of the classifier; the part with this number holds the longest vectors."""
+        return len(self.bias)
+
+    def ranked(self, queries: np.ndarray) -> np.ndarray:
+        """Parts of each query, most probable first."""
+        if self.parts == 1:
+            return np.zeros((len(queries), 1), np.int64)
+        x = queries / _lengths(queries)[:, None]
+        return np.argsort(-(x @ self.weights[:-1] + self.bias), axis=1, kind="stable")
 
-    def ranked(self, vectors: np.ndarray) -> np.ndarray:
-        """Parts of each vector, most probable first."""
-        length = np.sqrt((vectors * vectors).sum(1, keepdims=True))
-        return np.argsort(-(vectors / length @ self.weights + self.bias), axis=1, kind="stable")
+    def filed(self, vectors: np.ndarray) -> np.ndarray:
+        """The part of each vector."""
+        if self.parts == 1:
+            return np.zeros(len(vectors), np.int64)
+        part = np.argmax(_even(vectors, self.longest) @ self.weights + self.bias, axis=1)
+        return np.where(_lengths(vectors) > LONG_MARGIN * self.longest, self.parts, part)
 
 
 def _neighbours(x: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
@@ -95,40 +127,50 @@ def balanced_parts(graph: np.ndarray, parts: int, seed: int = 5) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, parts: int, k: int, recall: float = RECALL) -> Router:
-    """A router for unit directions, fitted on a sample of vectors."""
+    """A router fitted on a sample of vectors."""
     n, dims = sample.shape
     if parts <= 1 or n < 4 * parts:
-        return Router(np.zeros((dims, 1)), np.zeros(1), 1)
-    x = (sample / np.sqrt((sample * sample).sum(1, keepdims=True))).astype(np.float32)
+        return Router(np.zeros((dims + 1, 1)), np.zeros(1), 1)
+    lengths = _lengths(sample)
+    longest = float(np.quantile(lengths, LONG, method="higher"))
+    scaled = (sample / longest).astype(np.float32)
+    x = _even(sample, longest).astype(np.float32)
     graph = _neighbours(x, np.arange(n), _GRAPH_NEIGHBOURS)
     part = balanced_parts(graph, parts)
-    target = np.zeros((n, parts), np.float32)
-    for column in graph.T:
-        target[np.arange(n), part[column]] += 1
-    target[np.arange(n), part] += graph.shape[1] / 4
-    target /= target.sum(1, keepdims=True)
-    w, c = np.zeros((dims, parts), np.float32), np.zeros(parts, np.float32)
+
+    def shares(near: np.ndarray, own: float) -> np.ndarray:
+        target = np.zeros((n, parts), np.float32)
+        for column in near.T:
+            target[np.arange(n), part[column]] += 1
+        target[np.arange(n), part] += own * near.shape[1]
+        return target / target.sum(1, keepdims=True)
+
+    target = shares(graph, 0.25)
+    if lengths.min() * LONG_MARGIN < longest:  # as a query a vector has other neighbours
+        asking = np.column_stack([sample / lengths[:, None], np.zeros(n)]).astype(np.float32)
+        near = _neighbours(scaled, np.arange(n), _GRAPH_NEIGHBOURS)
+        x, target = np.concatenate([x, asking]), np.concatenate([target, shares(near, 0.0)])
+    w, c = np.zeros((dims + 1, parts), np.float32), np.zeros(parts, np.float32)
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(c), np.zeros_like(c)]
     for step in range(1, 201):
         scores = x @ w + c
         scores -= scores.max(1, keepdims=True)
         error = np.exp(scores)
-        error = (error / error.sum(1, keepdims=True) - target) / n
+        error = (error / error.sum(1, keepdims=True) - target) / len(x)
         for value, slope, one, two in ((w, x.T @ error, *moments[:2]), (c, error.sum(0), *moments[2:])):
             one += 0.1 * (slope - one)
             two += 0.01 * (slope * slope - two)
             value -= 0.2 * (one / (1 - 0.9 ** step)) / (np.sqrt(two / (1 - 0.99 ** step)) + 1e-12)
-    router = Router(w.astype(float), c.astype(float), parts)
+    router = Router(w.astype(float), c.astype(float), parts, longest)
     # Visit as many parts as the sample's queries need to find the share asked for.
     asked = np.arange(0, n, max(1, n // 1024))
-    ranked = router.ranked(x)
-    place = np.empty_like(ranked)
-    np.put_along_axis(place, ranked, np.arange(parts)[None, :].repeat(n, 0), 1)
-    filed = ranked[:, 0]
-    true = _neighbours(x, asked, k)
-    needed = place[asked[:, None], filed[true]].ravel()
+    ranked = router.ranked(sample[asked])
+    place = np.zeros((len(asked), parts + 1), np.int64)  # the longest are met at once
+    np.put_along_axis(place, ranked, np.arange(parts)[None, :].repeat(len(asked), 0), 1)
+    true = _neighbours(scaled, asked, k)
+    needed = np.take_along_axis(place, router.filed(sample)[true], 1).ravel()
     found = np.cumsum(np.bincount(needed, minlength=parts)) / len(needed)
-    return Router(router.weights, router.bias, int(np.argmax(found >= min(recall, found[-1]))) + 1)
+    return replace(router, visits=int(np.argmax(found >= min(recall, found[-1]))) + 1)
 
 
 def _usable(vector: Column) -> Column:
@@ -228,21 +270,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     learned = taken.select("id", "vector").toArrow().sort_by("id") if parts > 1 else None
     router = fit(learned.column("vector").combine_chunks().flatten().to_numpy().reshape(
         learned.num_rows, -1), parts, k, recall) if learned else Router(
-        np.zeros((lengths["size"], 1)), np.zeros(1), 1)
+        np.zeros((lengths["size"] + 1, 1)), np.zeros(1), 1)
+    parts = router.parts
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            ranked = router.ranked(x)[:, :router.visits].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(list(ranked), pa.list_(pa.int32()))],
-                [*batch.schema.names, "parts"])
+                [*batch.columns, pa.array(router.filed(x), pa.int32())], [*batch.schema.names, "part"])
+
+    files = cut(rows.mapInArrow(filed, f"id {kind}, vector array<double>, asks boolean, part int"))
+    sizes = {r["part"]: r["count"] for r in files.groupBy("part").count().collect()}
+    always = [parts] if parts in sizes else []
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            visited = [[*always, *own] for own in router.ranked(x)[:, :router.visits].tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(visited, pa.list_(pa.int32()))], [*batch.schema.names, "parts"])
 
-    files = cut(rows.mapInArrow(filed, f"id {kind}, vector array<double>, asks boolean, parts array<int>"))
-    sizes = {r["part"]: r["count"] for r in files.select(
-        F.element_at("parts", 1).alias("part")).groupBy("part").count().collect()}
     cells, filling = {}, 0  # neighbouring parts share a cell as far as they fit
-    for part in range(parts):
+    for part in range(parts + 1):
         if filling + sizes.get(part, 0) > CELL_VECTORS and filling:
             filling = 0
         fresh = not filling
@@ -262,9 +311,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
             every, F.explode(F.sequence(F.lit(0), other - 1)))
 
     in_cell = F.element_at(blocks, F.col("cell"))
-    left = dealt(files.filter("asks").select("id", "vector", "parts", F.explode(F.array_distinct(
+    asking = files.filter("asks").select("id", "vector").mapInArrow(
+        routed, f"id {kind}, vector array<double>, parts array<int>")
+    left = dealt(asking.select("id", "vector", "parts", F.explode(F.array_distinct(
         F.transform("parts", lambda p: F.element_at(cell_of, p)))).alias("cell")), turns, in_cell, "q", "v")
-    right = files.select("id", "vector", F.element_at("parts", 1).alias("part"))
+    right = files.select("id", "vector", "part")
     right = dealt(right.withColumn("cell", F.element_at(cell_of, F.col("part"))), in_cell, turns, "v", "q")
 
     def compared(queries: pa.Table, candidates: pa.Table) -> pa.Table:

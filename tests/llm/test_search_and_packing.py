@@ -75,6 +75,33 @@ def test_routing_finds_nine_of_ten(spark, monkeypatch):
     assert hits >= 0.9 * 20 * got.query_id.nunique()
 
 
+def found(spark, x, k=20, sample=ann.SAMPLE):
+    """Rows of each query, and the share of the true neighbours among them."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k, sample=sample).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += (own.score.to_numpy() >= np.sort(scores)[-k] - 1e-9).sum()
+    queries = len(range(0, len(x), 20))
+    return got.groupby("query_id").size().reindex(range(0, len(x), 20), fill_value=0), hits / k / queries
+
+
+@pytest.mark.parametrize("lengths", ["spread", "two", "one_giant"])
+def test_long_vectors_are_found(spark, monkeypatch, lengths):
+    monkeypatch.setattr(ann, "PART_ROWS", 128)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, 4000)] + 0.3 * rng.normal(size=(4000, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x *= {"spread": np.exp(rng.normal(size=4000)), "two": rng.choice([1.0, 4.0], 4000, p=[0.7, 0.3]),
+          "one_giant": np.where(np.arange(4000) == 7, 1e6, 1.0)}[lengths][:, None]
+    sizes, recall = found(spark, x)
+    assert (sizes == 20).all() and recall >= 0.9
+    if lengths == "one_giant":
+        assert found(spark, x, 1, sample=2000)[1] >= 0.9
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1000, 8)).astype(np.float32)
