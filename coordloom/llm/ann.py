@@ -127,9 +127,12 @@ def balanced_parts(graph: np.ndarray, parts: int, seed: int = 5) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, parts: int, k: int, recall: float = RECALL) -> Router:
-    """A router fitted on a sample of vectors."""
+    """A router fitted on the different vectors of a sample."""
+    sample = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]
     n, dims = sample.shape
-    if parts <= 1 or n < 4 * parts:
+    while parts > 1 and n < 4 * parts:
+        parts //= 2
+    if parts <= 1:
         return Router(np.zeros((dims + 1, 1)), np.zeros(1), 1)
     lengths = _lengths(sample)
     longest = float(np.quantile(lengths, LONG, method="higher"))
@@ -249,7 +252,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     that repeat a key the nearest counts once.
 
     The router is fitted on at most about ``sample`` vectors; every row is filed by it.
-    A part of any size, such as that of a vector which a third of all rows repeat, is dealt
+    A query visits as many parts as the sample needs for ``recall``, and more where these hold
+    fewer than ``k`` others. A part of any size, such as that of a vector which a third of all rows repeat, is dealt
     into blocks that meet blocks of the queries, so a task's work is bounded.
     """
     kind = dict(vectors.dtypes)[key]
@@ -282,11 +286,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     files = cut(rows.mapInArrow(filed, f"id {kind}, vector array<double>, asks boolean, part int"))
     sizes = {r["part"]: r["count"] for r in files.groupBy("part").count().collect()}
     always = [parts] if parts in sizes else []
+    # Every id counts in one of its parts, so that a sum over parts counts none twice.
+    ids = {r["part"]: r["count"] for r in files.groupBy("id").agg(
+        F.min("part").alias("part")).groupBy("part").count().collect()}
+    ids = np.array([ids.get(part, 0) for part in range(parts)])
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            visited = [[*always, *own] for own in router.ranked(x)[:, :router.visits].tolist()]
+            ranked = router.ranked(x)
+            # As many parts as usual, and further ones until they hold k ids besides the own.
+            short = (np.cumsum(ids[ranked], axis=1) <= k).sum(1) + 1
+            visited = [[*always, *own[:max(router.visits, n)]] for own, n in zip(ranked.tolist(), short.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(visited, pa.list_(pa.int32()))], [*batch.schema.names, "parts"])
 

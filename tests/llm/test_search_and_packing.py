@@ -75,10 +75,10 @@ def test_routing_finds_nine_of_ten(spark, monkeypatch):
     assert hits >= 0.9 * 20 * got.query_id.nunique()
 
 
-def found(spark, x, k=20, sample=ann.SAMPLE):
+def found(spark, x, k=20, **how):
     """Rows of each query, and the share of the true neighbours among them."""
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = ann.search(df, F.col("vec_id") % 20 == 0, k, sample=sample).toPandas()
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k, **how).toPandas()
     hits = 0
     for q, own in got.groupby("query_id"):
         scores = x @ x[q]
@@ -102,6 +102,23 @@ def test_long_vectors_are_found(spark, monkeypatch, lengths):
         assert found(spark, x, 1, sample=2000)[1] >= 0.9
 
 
+def test_every_query_gets_k_rows_beside_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 32)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 3000)] + 0.1 * rng.normal(size=(3000, 16))
+    x[rng.permutation(3000)[:1000]] = x[0]
+    x[::100] = rng.normal(size=(30, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    sizes, recall = found(spark, x, recall=0.0)  # one part a query is enough for this share
+    assert (sizes == 20).all()
+
+
+def test_copies_do_not_lower_the_visits():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 16))
+    assert ann.fit(np.concatenate([x, np.repeat(x[:1], 1500, 0)]), 16, 20).visits == ann.fit(x, 16, 20).visits > 1
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1000, 8)).astype(np.float32)
