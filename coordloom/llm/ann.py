@@ -25,8 +25,8 @@ from coordloom.session import cut
 SAMPLE = 8_192
 #: Vectors for each part aimed at, and the most parts.
 PART_ROWS, MOST_PARTS = 512, 256
-#: Share of the true neighbours that the sample's held-out queries must find.
-RECALL = 0.93
+#: Share of the true neighbours that the sample's held-out queries must find, and their number.
+RECALL, HELD_OUT = 0.93, 1_024
 #: Rows longer than this share of the sample, with a margin for rounding, are in every query's list.
 LONG, LONG_MARGIN = 0.99, 1.01
 #: Most vectors and queries that meet in one task at a time.
@@ -127,8 +127,13 @@ def balanced_parts(graph: np.ndarray, parts: int, seed: int = 5) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, parts: int, k: int, recall: float = RECALL) -> Router:
-    """A router fitted on the different vectors of a sample."""
-    sample = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]
+    """A router fitted on the different vectors of a sample.
+
+    About ``HELD_OUT`` of them, an eighth at most, are kept out and only say how many parts to visit.
+    """
+    whole = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]
+    asked = np.arange(0, len(whole), max(8, len(whole) // HELD_OUT))
+    sample = np.delete(whole, asked, axis=0)
     n, dims = sample.shape
     while parts > 1 and n < 4 * parts:
         parts //= 2
@@ -165,13 +170,12 @@ def fit(sample: np.ndarray, parts: int, k: int, recall: float = RECALL) -> Route
             two += 0.01 * (slope * slope - two)
             value -= 0.2 * (one / (1 - 0.9 ** step)) / (np.sqrt(two / (1 - 0.99 ** step)) + 1e-12)
     router = Router(w.astype(float), c.astype(float), parts, longest)
-    # Visit as many parts as the sample's queries need to find the share asked for.
-    asked = np.arange(0, n, max(1, n // 1024))
-    ranked = router.ranked(sample[asked])
+    # Visit as many parts as the queries held out need to find the share asked for.
+    ranked = router.ranked(whole[asked])
     place = np.zeros((len(asked), parts + 1), np.int64)  # the longest are met at once
     np.put_along_axis(place, ranked, np.arange(parts)[None, :].repeat(len(asked), 0), 1)
-    true = _neighbours(scaled, asked, k)
-    needed = np.take_along_axis(place, router.filed(sample)[true], 1).ravel()
+    true = _neighbours((whole / longest).astype(np.float32), asked, k)
+    needed = np.take_along_axis(place, router.filed(whole)[true], 1).ravel()
     found = np.cumsum(np.bincount(needed, minlength=parts)) / len(needed)
     return replace(router, visits=int(np.argmax(found >= min(recall, found[-1]))) + 1)
 

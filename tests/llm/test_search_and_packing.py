@@ -119,6 +119,15 @@ def test_copies_do_not_lower_the_visits():
     assert ann.fit(np.concatenate([x, np.repeat(x[:1], 1500, 0)]), 16, 20).visits == ann.fit(x, 16, 20).visits > 1
 
 
+def test_visits_are_set_on_vectors_held_out(monkeypatch):
+    x = np.random.default_rng(8).normal(size=(8192, 16))
+    asked, fitted, neighbours, parts = [], [], ann._neighbours, ann.balanced_parts
+    monkeypatch.setattr(ann, "_neighbours", lambda x, of, k: asked.append((len(x), len(of))) or neighbours(x, of, k))
+    monkeypatch.setattr(ann, "balanced_parts", lambda graph, n: fitted.append(len(graph)) or parts(graph, n))
+    ann.fit(x, 16, 20)
+    assert asked[-1] == (8192, 1024) and fitted == [8192 - 1024]
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1000, 8)).astype(np.float32)
