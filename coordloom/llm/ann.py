@@ -255,7 +255,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     component take no part, nor do those of another length than most, nor null keys. Of rows
     that repeat a key the nearest counts once.
 
-    The router is fitted on at most about ``sample`` vectors; every row is filed by it.
+    The router is fitted on at most about ``sample`` vectors, one of an id; every row is filed by it.
     A query visits as many parts as the sample needs for ``recall``, and more where these hold
     fewer than ``k`` others. A part of any size, such as that of a vector which a third of all rows repeat, is dealt
     into blocks that meet blocks of the queries, so a task's work is bounded.
@@ -265,7 +265,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("asks")).filter(
         F.col("id").isNotNull() & _usable(F.col("vector")))
-    lengths = rows.groupBy(F.size("vector").alias("size")).count().orderBy(
+    lengths = rows.groupBy(F.size("vector").alias("size")).agg(
+        F.count("*").alias("count"), F.approx_count_distinct("id").alias("ids")).orderBy(
         F.desc("count"), F.desc("size")).first()
     schema = f"query_id {kind}, rank int, `{key}` {kind}, score double"
     if lengths is None:
@@ -273,9 +274,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     rows = rows.filter(F.size("vector") == lengths["size"])
     n = lengths["count"]
     parts = 1 << max(0, min(MOST_PARTS, n // PART_ROWS).bit_length() - 1)
-    taken = rows.filter(F.pmod(F.xxhash64("id"), F.lit(_STEPS)) < int(_STEPS * sample / n)) \
-        if n > sample else rows
-    learned = taken.select("id", "vector").toArrow().sort_by("id") if parts > 1 else None
+    taken = rows.filter(F.pmod(F.xxhash64("id"), F.lit(_STEPS)) < int(_STEPS * sample / lengths["ids"])) \
+        if lengths["ids"] > sample else rows
+    # One vector of an id, which any number of rows may repeat.
+    learned = taken.groupBy("id").agg(F.min("vector").alias("vector")).toArrow().sort_by("id") \
+        if parts > 1 else None
     router = fit(learned.column("vector").combine_chunks().flatten().to_numpy().reshape(
         learned.num_rows, -1), parts, k, recall) if learned else Router(
         np.zeros((lengths["size"] + 1, 1)), np.zeros(1), 1)

@@ -18,7 +18,7 @@ TRAINING_ROWS = 20_000
 TREES, DEPTH, PENALTY, SEED = 24, 3, 0.0005, 17
 #: Scores from here on count as label 1.
 KEEP_FROM = 0.3
-_STEPS = 1_000_000
+_STEPS, _PIECES = 1_000_000, 8
 
 #: Statistics of a text, over its measurements.
 STATISTICS = {
@@ -99,7 +99,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
                   at_most: int = TRAINING_ROWS) -> DataFrame:
     """``label`` and measurements of labelled texts outside the held-out fold.
 
-    Where more than ``at_most`` keys are labelled, a share of them by hash is taken.
+    Where more than ``at_most`` keys are labelled, a share of them by hash is taken; of rows
+    that repeat a key and its text one, and of more than ``at_most`` such rows a share again.
     A key with several labels counts with its smallest; null labels are left out. The
     keys taken are few by that bound and are therefore broadcast.
     """
@@ -110,8 +111,15 @@ def training_rows(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
         share = int(_STEPS * at_most / n)
         known = known.filter(F.pmod(F.xxhash64(key), F.lit(_STEPS)) < share)
     texts = documents.select(F.col(key), F.col(text).alias("text"))
-    return cut(with_measures(texts.join(F.broadcast(known), key), "text", more=True)
-               .select("label", *BASE, *MORE))
+    drawn = F.pmod(F.xxhash64(key, "text"), F.lit(_STEPS)).alias("drawn")
+    once = texts.join(F.broadcast(known), key).dropDuplicates([key, "text"]).select("label", "text", drawn)
+    rows = cut(with_measures(once, "text", more=True).select("label", "drawn", *BASE, *MORE))
+    n = rows.count()
+    if n > at_most:
+        rows = rows.filter(F.col("drawn") < int(_STEPS * at_most / n))
+    # The trees draw rows by their place, so the order is made the same in every run.
+    return rows.repartition(_PIECES, "drawn").sortWithinPartitions(
+        "drawn", "label", *BASE, *MORE).drop("drawn")
 
 
 def fit(rows: DataFrame) -> Model:

@@ -128,6 +128,18 @@ def test_visits_are_set_on_vectors_held_out(monkeypatch):
     assert asked[-1] == (8192, 1024) and fitted == [8192 - 1024]
 
 
+def test_rows_that_repeat_an_id_do_not_swell_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 256)
+    x = np.random.default_rng(9).normal(size=(3000, 8))
+    df = spark.createDataFrame([(min(i, 2000), v.tolist()) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>")
+    sizes, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda sample, *how: sizes.append(len(sample)) or fit(sample, *how))
+    assert ann.search(df, F.col("vec_id") % 20 == 0, 20, sample=2200).count()
+    assert ann.search(df, F.col("vec_id") % 20 == 0, 20, sample=1000).count()
+    assert sizes[0] == 2001 and 800 <= sizes[1] <= 1200
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1000, 8)).astype(np.float32)

@@ -105,6 +105,18 @@ def test_ensemble_learns_and_never_sees_held_out_labels(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, training.collect()))
 
 
+def test_rows_that_repeat_a_key_do_not_swell_the_training(spark):
+    rows = [(k, f"text {k}") for k in range(100)] + [(1, "text 1")] * 50
+    known = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
+    free = known.filter(~rule_ensemble.in_fold(known.doc_id)).select("doc_id").collect()
+    one = free[0].doc_id
+    rows += [(one, f"text {one}")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rule_ensemble.training_rows(docs, known).count() == len(free)
+    many = spark.createDataFrame(rows + [(one, f"other {k}") for k in range(2000)], "doc_id long, text string")
+    assert 150 <= rule_ensemble.training_rows(many, known, at_most=200).count() <= 250
+
+
 def test_constant_models(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
