@@ -129,10 +129,107 @@ SELECT o.doc_id, CAST(len(w) AS BIGINT) AS n_words,
 FROM worded o LEFT JOIN kept k ON k.doc_id = o.doc_id
 """
 
+MIXING_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+placed AS (SELECT *, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':'
+  || size), 1, 15) AS BIGINT) AS place FROM sized),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM sums),
+filled AS (SELECT *,
+  sum(3 * source_size) OVER o - 3 * source_size AS full_before, sum(w) OVER o - w AS w_before,
+  sum(source_size) OVER () AS t, sum(w) OVER () AS ws
+  FROM weighed WINDOW o AS (ORDER BY 3.0 * source_size / w, source NULLS LAST)),
+clamped AS (SELECT *, (t - full_before) * w >= 3 * source_size * (ws - w_before) AS full_up FROM filled),
+aimed AS (SELECT source, source_size, CASE WHEN full_up THEN CAST(3 * source_size AS DOUBLE) ELSE
+  CAST(t - coalesce(sum(3 * source_size) FILTER (WHERE full_up) OVER (), 0) AS DOUBLE) * w
+  / (ws - coalesce(sum(w) FILTER (WHERE full_up) OVER (), 0)) END AS target FROM clamped),
+planned AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS whole FROM aimed),
+wanted AS (SELECT *, round(target - whole * source_size) AS want FROM planned),
+ranked AS (SELECT p.doc_id, p.size, n.source_size, n.target, n.whole, n.want,
+  sum(p.size) OVER (PARTITION BY p.source ORDER BY p.place) AS upto,
+  sum(p.size) OVER (PARTITION BY p.source, p.place) AS same,
+  count(*) OVER (PARTITION BY p.source, p.place) AS copies,
+  row_number() OVER (PARTITION BY p.source, p.place) AS k
+  FROM placed p JOIN wanted n ON p.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE
+  WHEN upto <= want THEN 1 WHEN upto - same > want THEN 0
+  WHEN k <= round((want - (upto - same)) * copies / same) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ranked
+"""
+
+NEGATIVES_SQL = """
+WITH whole AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND len(a.q) = len(b.q)
+    AND (a.vec_id <> b.vec_id OR a.label <> b.label)),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+# The checksum of a run is taken byte by byte with a table of 256 numbers made from its polynomial.
+VARIANTS_SQL = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(
+    list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+coded AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)]
+      ELSE [CAST(192 + ord(x) // 64 AS BIGINT), CAST(128 + ord(x) % 64 AS BIGINT)] END)) AS bytes FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS h FROM coded, crc),
+spelled AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT))
+    || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelled
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+short AS (
+  SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS less
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM short a JOIN short b
+    ON a.less = b.less AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM short a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM short a JOIN words b ON a.less = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY 1),
+top AS (SELECT b.word, b.n_near, b.m, min(other) AS other FROM best b JOIN near x ON b.word = x.word AND b.m = x.m
+  GROUP BY ALL),
+formed AS (
+  SELECT w.word, CASE WHEN t.m >= 5 * w.n THEN t.other END AS form, w.n,
+    coalesce(t.n_near, 0) AS n_near, CASE WHEN t.m >= 5 * w.n THEN t.m END AS form_n
+  FROM words w LEFT JOIN top t USING (word)),
+followed AS (
+  SELECT word, word AS root, form FROM formed
+  UNION ALL SELECT f.word, f.form, g.form FROM followed f JOIN formed g ON f.form = g.word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN followed r ON f.word = r.word AND r.form IS NULL
+"""
+
 LLM_ORACLES: dict[str, str] = {
     "op4_url_filter": URL_RULES_SQL,
     "op5_quality_rules": QUALITY_SQL,
     "op6_chat": CHAT_SQL,
     "op8_jaccard": JACCARD_SQL,
     "op10_substring": SUBSTRING_SQL,
+    "op11_hard_negatives": NEGATIVES_SQL,
+    "op12_mixing": MIXING_SQL,
+    "op13_variants": VARIANTS_SQL,
 }

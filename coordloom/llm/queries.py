@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coordloom.llm import (
-    ann, bpe, chat, html_text, jaccard, packing, quality_rules, rule_ensemble, substring, url_filter,
+    ann, bpe, chat, hard_negatives, html_text, jaccard, mixing, packing, quality_rules, rule_ensemble,
+    substring, url_filter, variants,
 )
+from coordloom.session import cut
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -95,6 +97,24 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hard negatives of every positive of every vector whose id is divisible by 50."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    counted = cut(_table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.words_in(F.col("text")).alias("size")))
+    return mixing.mixed(counted, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with the word that it is taken for a variant of."""
+    return variants.grouped(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_learned_partitions": op2_learned_partitions,
@@ -106,4 +126,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_rule_ensemble": op9_rule_ensemble,
     "op10_substring": op10_substring,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_mixing": op12_mixing,
+    "op13_variants": op13_variants,
 }

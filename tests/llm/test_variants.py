@@ -1,0 +1,135 @@
+"""Spelling variants against brute force."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from coordloom.llm import variants
+
+SCHEMA = "doc_id long, text string"
+
+
+def near(a: str, b: str) -> bool:
+    """Exactly one inserted, deleted or replaced code point, by trying all."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+
+def plain(rows: list[tuple]) -> dict:
+    """word: (form, root, n, n_near, form_n)."""
+    counts: Counter = Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            counts[run[:h % len(run)] + run[h % len(run) + 1:] if h % 199 == 0 else run] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 6 and c >= 5}
+    form, degree = {}, {}
+    for w in n:
+        others = [o for o in n if abs(len(o) - len(w)) < 2 and near(w, o)]
+        degree[w] = len(others)
+        top = min(others, key=lambda o: (-n[o], o), default=None)
+        form[w] = top if top and n[top] >= 5 * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (form[w], root, n[w], degree[w], n.get(form[w]))
+    return out
+
+
+def got_of(spark, rows) -> dict:
+    found = variants.grouped(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len({r.word for r in found}) == len(found)
+    return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in found}
+
+
+def corpus(seed: int, letters: str, words: int, docs: int) -> list[tuple]:
+    """Words of few letters with many variants, of very different numbers."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choices(letters, k=rng.randint(5, 9))) for _ in range(words)]
+    for w in list(base):
+        for _ in range(4):
+            at = rng.randrange(len(w))
+            base.append(rng.choice([w[:at] + w[at + 1:], w[:at] + rng.choice(letters) + w[at:],
+                                    w[:at] + rng.choice(letters) + w[at + 1:], w + w[-1], w[0] + w]))
+    weights = [1 / (1 + k % 37) ** 2 for k in range(len(base))]
+    return [(k, " ".join(w.upper() if rng.random() < .2 else w for w in rng.choices(base, weights, k=120)))
+            for k in range(docs)]
+
+
+@pytest.mark.parametrize("seed, letters, words", [(1, "ab", 60), (2, "abcdefgh", 80), (3, "aàÿéz", 60), (4, "a", 5)])
+def test_equals_brute_force(spark, seed, letters, words):
+    rows = corpus(seed, letters, words, 60)
+    want = plain(rows)
+    got = got_of(spark, rows)
+    assert got == want
+    if len(letters) > 1:
+        assert sum(v[0] is not None for v in want.values()) > 2
+
+
+@pytest.mark.parametrize("share", [2, 5, 20, 1000])
+def test_pairs_do_not_depend_on_the_dictionary(spark, share):
+    rng = random.Random(share)
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(6, 8))) for _ in range(400)})
+    table = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
+    got = {(r.a, r.b) for r in variants.near_pairs(table, share).collect()}
+    assert got == {(a, b) for a in words for b in words if a < b and near(a, b)}
+
+
+def test_bounds_hold_for_every_edit():
+    rng = random.Random(9)
+    for trial in range(300):
+        extended = frozenset("".join(rng.choices("ab^$", k=k)) for k in (2, 3) for _ in range(rng.randint(0, 12)))
+        word = "".join(rng.choices("ab", k=rng.randint(6, 12)))
+        own = variants.decomposed(word, extended)
+        may = variants.affected(own, len(word))
+        assert len(own) > may
+        edits = {word[:k] + c + word[k + m:] for k in range(len(word) + 1) for c in ("", "a", "b") for m in (0, 1)}
+        for other in edits - {word}:
+            theirs = set(variants.decomposed(other, extended))
+            shift = len(other) - len(word)
+            kept = sum((at, g) in theirs or (at + shift, g) in theirs for at, g in own)
+            assert kept >= len(own) - may
+
+
+def test_forms_follow_to_the_last(spark):
+    rows = [(1, "abcdefg " * 5 + "abcdefh " * 30 + "abcdeih " * 200 + "abcjeih " * 1200)]
+    got = got_of(spark, rows)
+    assert got["abcdefg"][:2] == ("abcdefh", "abcjeih") and got["abcjeih"][0] is None
+    assert got["abcdefg"][3:] == (1, 30)
+
+
+def test_ties_go_to_the_first_code_points(spark):
+    rows = [(1, "abcdef " * 5 + "abcdeé " * 25 + "abcdez " * 25)]
+    assert got_of(spark, rows)["abcdef"][0] == "abcdez"
+
+
+def test_odd_rows(spark):
+    assert got_of(spark, []) == {}
+    rows = [(None, "abcdef " * 3), (1, None), (2, ""), (3, "abcdef"), (3, "abcdef"), (4, "Ābcdefg ×÷" * 6)]
+    assert got_of(spark, rows) == plain(rows)
+    long_run = "ab" * 2_000
+    rows = [(k, f"{long_run} {long_run}c") for k in range(6)]
+    assert got_of(spark, rows) == plain(rows)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "abcdef abcdeg") for k in range(6)], SCHEMA).select(
+        "*", F.lit("x").alias("word"), F.lit(1).alias("n"), F.lit(2).alias("a.b"), F.lit(3).alias("key"))
+    assert {r.word for r in variants.grouped(docs).collect()} == {"abcdef", "abcdeg"}
+
+
+def test_short_words_are_refused(spark):
+    with pytest.raises(ValueError):
+        variants.grouped(spark.createDataFrame([], SCHEMA), least_length=5)
