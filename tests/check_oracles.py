@@ -24,6 +24,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)]
+    df = df.astype({c: "float64" for c in df if str(df[c].dtype) == "Int64"})  # longs with nulls
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
@@ -40,7 +41,7 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return f"{len(got)} rows != {len(want)}"
     if not len(got):
         return "both empty"
-    unequal = [c for c in got if not (got[c] == want[c]).all()]
+    unequal = [c for c in got if not ((got[c] == want[c]) | got[c].isna() & want[c].isna()).all()]
     return f"values differ in {unequal}" if unequal else None
 
 
