@@ -13,16 +13,17 @@ from coordloom.functions.complex_numbers import check_product
 from coordloom.operators.joins import (
     HOT_ENTRIES, block_pairing, blocks, keyed_join, smaller_fitting,
 )
-from coordloom.table import CooTable
+from coordloom.table import CooTable, present
 
 
 def _side(t: CooTable, prefix: str, **renamed: str) -> DataFrame:
     """The table's columns under names that do not clash in a join.
 
     The join index comes first on both sides: a table multiplied by its own
-    transpose then needs one shuffle, which the other side reuses.
+    transpose then needs one shuffle, which the other side reuses. A NULL index raises.
     """
-    cols = [F.col(c).alias(n) for c, n in renamed.items()]
+    index = F.col if t.bucketed else present  # bucketed files were checked as they were written
+    cols = [index(c).alias(n) for c, n in renamed.items()]
     return t.df.select(*cols, *(F.col(v).alias(f"{prefix}_{v}") for v in t.values))
 
 

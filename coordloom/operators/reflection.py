@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coordloom.table import CooTable, within
+from coordloom.table import CooTable, present, within
 
 
 def densify(v: CooTable) -> CooTable:
@@ -24,7 +24,7 @@ def densify(v: CooTable) -> CooTable:
     if v.dims[1] != 1:
         raise ValueError(f"a vector has one column, got dimensions {v.dims}")
     index = v.df.sparkSession.range(v.dims[0]).select(F.col("id").alias("row"))
-    entries = within(v.merged().df, ("row", "col"), v.dims).drop("col")
+    entries = within(v.merged().df, ("row", "col"), v.dims).select(present("row").alias("row"), *v.values)
     filled = index.join(entries, "row", "left").select(
         "row", F.lit(0).cast("bigint").alias("col"),
         *(F.coalesce(c, F.lit(0.0)).alias(c) for c in v.values))
@@ -66,7 +66,8 @@ def iterate_reflect(v: CooTable, steps: int, flipped: DataFrame | None = None) -
     if flipped is None:
         rows = dense.withColumn("_flip", F.lit(False))
     else:
-        marks = within(flipped.select(F.col("row").cast("bigint")).distinct(), ("row",), (n,))
+        marks = within(flipped.select(F.col("row").cast("bigint")).distinct(), ("row",), (n,)).select(
+            present("row").alias("row"))
         rows = dense.join(marks.withColumn("_flip", F.lit(True)), "row", "left").withColumn(
             "_flip", F.coalesce("_flip", F.lit(False)))
 

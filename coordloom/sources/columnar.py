@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coordloom.session import discard, new_folder, note_table, refuse_own_source
-from coordloom.table import HOT_ENTRIES, CooTable, TensorTable, check_dims, within
+from coordloom.table import HOT_ENTRIES, CooTable, TensorTable, check_dims, present, within
 
 _SIZE = "size"
 _UNIQUE = "unique"
@@ -20,12 +20,12 @@ _FULL = "full"
 
 
 def _with_facts(t: CooTable | TensorTable) -> DataFrame:
-    """The table with its facts in the metadata of the index columns."""
+    """The table with its facts in the metadata of the index columns, which hold no NULL."""
     if isinstance(t, TensorTable):
         axes, facts = t.axes, {}
     else:
         axes, facts = ("row", "col"), {_UNIQUE: t.unique, _FULL: t.full}
-    index = [F.col(a).alias(a, metadata={_SIZE: d, **facts}) for a, d in zip(axes, t.dims)]
+    index = [present(a).alias(a, metadata={_SIZE: d, **facts}) for a, d in zip(axes, t.dims)]
     return t.df.select(*index, *t.values)
 
 

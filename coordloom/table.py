@@ -140,6 +140,16 @@ def axis_names(rank: int) -> tuple[str, ...]:
     return tuple(f"i{k}" for k in range(1, rank + 1))
 
 
+def present(name: str) -> Column:
+    """An index column, where a NULL raises.
+
+    A join takes only keys that are not NULL, and the optimizer filters by that in the scan,
+    before or beside any other filter: a check next to the key would never see the row. So
+    the check is part of the key.
+    """
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"an index is NULL: {name}")).cast("bigint"))
+
+
 def within(df: DataFrame, axes: Sequence[str], dims: Sequence[int]) -> DataFrame:
     """``df``, where an index that is NULL or outside ``dims`` raises.
 
