@@ -2,7 +2,10 @@
 
 Sets of up to a boundary size find partners by the subsets of fixed size that a link
 needs both to hold; larger sets scan inverted lists of their rarest shingles. The boundary
-is where listing subsets would cost more than scanning lists.
+is where listing subsets would cost more than scanning lists, by the lengths of the lists in
+the data. A list of few sets is scanned pair by pair. Sets that meet in a long one form a
+cluster, whose sets are compared block by block as products of incidence matrices; such a
+comparison gives links enough to connect what is linked, never the pairs.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +25,20 @@ from pyspark.sql import functions as F
 from coordloom.llm.bloom import blocks_for, block_of, filled, mask_of, sifted
 from coordloom.llm.counters import cell_of, counted, ranks
 from coordloom.llm.graph import components
-from coordloom.session import cut
+from coordloom.session import cut, new_folder, scratch
 
 SHINGLE_WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Least hashes by which near copies are tied to a first one, and how many must agree.
-_STARS, _AGREEING = 8, 5
+#: A list of more sets than this is not paired out but makes a cluster of them.
+LONG_LIST = 24
+#: Sets and shingles of a block of a cluster; a task holds two blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 1_024, 1 << 20
+_FEW_HOLDERS, _COLUMNS = 8, 2_048
 _LARGEST_BOUNDARY = 16
 _ROWS_AT_ONCE = 512
 _WORDS_REMEMBERED = 500_000
-_WEIGHTS = np.random.default_rng(11).integers(1, 1 << 64, 8 + _STARS, np.uint64) | np.uint64(1)
+_WEIGHTS = np.random.default_rng(11).integers(1, 1 << 64, 8, np.uint64) | np.uint64(1)
 
 
 def needed(s: int, t: int, percent: int = PERCENT) -> int:
@@ -121,7 +127,7 @@ class _Pass:
 
 
 def _shingled(docs: DataFrame, emit: _Pass, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, n, s1, s2, stars, tokens) of every row of (id, text) with at least one word."""
+    """(id, n, s1, s2, tokens) of every row of (id, text) with at least one word."""
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
@@ -129,18 +135,16 @@ def _shingled(docs: DataFrame, emit: _Pass, size: int = SHINGLE_WORDS) -> DataFr
                 rows = []
                 for text in part.column(1).to_pylist():
                     tokens = shingle_set(text, size)
-                    stars = [_mix(tokens * w).min() for w in _WEIGHTS[8:]] if len(tokens) else []
                     rows.append((len(tokens), *_signature(tokens),
-                                 np.array(stars, np.uint64).view(np.int64),
                                  emit.of(tokens).view(np.int64) if len(tokens) else []))
                 longs, kinds = pa.int64(), pa.list_(pa.int64())
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (longs, longs, longs, kinds, kinds))]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (longs, longs, longs, kinds))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *columns], ["id", "n", "s1", "s2", "stars", "tokens"])
+                    [part.column(0), *columns], ["id", "n", "s1", "s2", "tokens"])
 
     kind = dict(docs.dtypes)["id"]
     return docs.select("id", "text").mapInArrow(
-        shingled, f"id {kind}, n long, s1 long, s2 long, stars array<long>, tokens array<long>"
+        shingled, f"id {kind}, n long, s1 long, s2 long, tokens array<long>"
     ).withColumn("who", F.xxhash64("id"))
 
 
@@ -159,15 +163,8 @@ def _passed_again(texts: DataFrame, classes: DataFrame, nodes: DataFrame, emit:
     return _of_classes(_shingled(near, emit, size), wanted)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int,
-              size: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose full sets link.
-
-    Only texts of nodes in a pair are shingled again. A set travels once under its own key
-    and once for each pair it is in.
-    """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(_passed_again(texts, classes, nodes, _Pass("all"), size).select("node", "n", "tokens"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets (node, n, tokens) link."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"),
                                  F.col("tokens").alias("ta")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"),
@@ -176,61 +173,164 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: i
     return two.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def _boundary(classes: DataFrame, percent: int) -> int:
-    """The size up to which subsets are cheaper than lists, by their numbers in these data."""
+def boundary(own: DataFrame, percent: int = PERCENT) -> int:
+    """The size of sets up to which subsets cost less than scanning lists.
+
+    ``own`` has the prefixes (node, n, tokens). A set that scans lists costs a row for each
+    token of its prefix and one for every other set of each list, shared by the two; one that
+    lists subsets costs a row for each. Only sets that the largest boundary concerns are told
+    apart by size, so a few numbers are collected.
+    """
     top = 100 * _LARGEST_BOUNDARY // percent + 1
-    counts = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= top).groupBy("n").count().collect()}
-    total = {}
+    entries = own.select("n", F.explode("tokens").alias("token"))
+    small = entries.filter(F.col("n") <= _LARGEST_BOUNDARY)
+    held = entries.groupBy("token").agg(
+        F.count("*").alias("held"), F.count_if(F.col("n") <= _LARGEST_BOUNDARY).alias("ours")).filter("ours > 0")
+    scans = {r["n"]: r["scanned"] for r in small.join(held, "token").groupBy("n").agg(
+        F.sum(1 + (F.col("held") - 1) / 2).alias("scanned")).collect()}
+    counts = {r["n"]: r["count"] for r in own.filter(F.col("n") <= top).groupBy("n").count().collect()}
+    cost = {}
     for b in range(_LARGEST_BOUNDARY + 1):
-        listed = sum(k * sum(math.comb(u, c) for c in subset_sizes(u, b, percent))
-                     for u, k in counts.items())
-        scanned = sum(k * prefix_length(u, percent) for u, k in counts.items() if u > b)
-        total[b] = listed + scanned
-    return min(total, key=lambda b: (total[b], b))
+        listed = sum(k * sum(math.comb(u, c) for c in subset_sizes(u, b, percent)) for u, k in counts.items())
+        cost[b] = listed + sum(x for n, x in scans.items() if n > b)
+    return min(cost, key=lambda b: (cost[b], b))
 
 
-def _star_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of each node with the first node of its buckets of equal least hashes, where
-    most buckets agree. They tie large groups of near copies together in linear work."""
-    starred = rows.select("node", F.posexplode("stars").alias("k", "star"))
-    heads = starred.groupBy("k", "star").agg(F.min("node").alias("a"), F.max("node").alias("last"))
-    return starred.join(heads.filter("a < last"), ["k", "star"]).filter("a < node").groupBy(
-        "a", F.col("node").alias("b")).agg(F.count("*").alias("k")).filter(F.col("k") >= _AGREEING).select("a", "b")
+def _entries(own: DataFrame, texts: DataFrame, classes: DataFrame, limit: int, percent: int,
+             size: int) -> DataFrame:
+    """(node, n, token, listed) of the inverted lists: prefixes of the sets above the boundary,
+    subsets of those that may have a partner within it."""
+    scanned = own.filter(F.col("n") > limit).select(
+        "node", "n", F.explode("tokens").alias("token"), F.lit(False).alias("listed"))
+    if not limit:
+        return scanned
+    small = classes.filter(F.col("n") <= 100 * limit // percent).select("node")
+    kept = _passed_again(texts, classes.drop("n"), small, _Pass("subsets", percent, limit), size)
+    return scanned.unionByName(kept.select(
+        "node", "n", F.explode(F.array_distinct("tokens")).alias("token"), F.lit(True).alias("listed")))
 
 
-def _subset_pairs(texts: DataFrame, classes: DataFrame, boundary: int, percent: int,
-                  size: int) -> DataFrame:
-    """Candidate pairs whose smaller set is within the boundary: they hold one subset of
-    the size that a link needs."""
-    top = 100 * boundary // percent
-    small = classes.filter(F.col("n") <= top).select("node")
-    kept = _passed_again(texts, classes.drop("n"), small, _Pass("subsets", percent, boundary), size)
-    return _meeting(cut(kept.select("node", "n", F.explode(F.array_distinct("tokens")).alias("token"))),
-                    percent, False)
+def _clusters(long: DataFrame) -> DataFrame:
+    """(node, cluster) of the sets that meet in long lists, directly or by others."""
+    heads = long.groupBy("token").agg(F.min("node").alias("b"))
+    return components(long.select("token", F.col("node").alias("a")).join(heads, "token").select("a", "b")).select(
+        "node", F.col("component").alias("cluster"))
 
 
-def _meeting(rows: DataFrame, percent: int, prefixes: bool) -> DataFrame:
-    """Pairs (a, b) of rows (token, node, n, and c if given) that share a token, with sizes
-    that can link; with ``c`` only those of different ``c``.
+def _meeting(short: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different clusters that meet in short lists and may link.
 
     Of prefixes in one order, two linked sets share so many that the rest of either
     prefix's set cannot make up for fewer; other pairs are left out.
     """
-    part = "c" if "c" in rows.columns else "node"
-    shared = rows.groupBy("token").agg(F.min(part).alias("lo"), F.max(part).alias("hi")).filter("lo < hi")
-    live = sifted(rows, "token", cut(shared.select("token")), "token")
-    x = live.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col(part).alias("pa"))
-    y = live.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col(part).alias("pb"))
+    placed = short.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    x, y = (placed.select("token", "listed", F.col("node").alias(a), F.col("n").alias(f"n{a}"),
+                          F.col("cluster").alias(f"p{a}")) for a in "ab")
     least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    met = x.join(y, "token").filter(
+    met = x.join(y, ["token", "listed"]).filter(
         (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * least >= percent * most))
-    if not prefixes:
-        return met.select("a", "b").distinct()
     # Shingles of a set behind its prefix: ceil(percent * n / 100) - 1.
     behind = F.floor((percent * most + 99) / 100) - 1
     both = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(
-        F.col("met") >= both - behind).select("a", "b")
+    return met.groupBy("a", "b", "na", "nb").agg(
+        F.count("*").alias("met"), F.max("listed").alias("listed")).filter(
+        F.col("listed") | (F.col("met") >= both - behind)).select("a", "b")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many members each of the left sets shares with each right one; ``right`` may be the
+    left ones themselves. Members that few sets hold are counted pair by pair, the others
+    as products of incidence matrices."""
+    sets = left + (right or [])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    members = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    order = np.argsort(members, kind="stable")
+    owner, members = owner[order], members[order]
+    start = np.flatnonzero(np.append(True, members[1:] != members[:-1])) if len(members) else np.zeros(0, np.int64)
+    held = np.diff(np.append(start, len(members)))
+    wide = len(left) if right is None else len(right)
+    shift = 0 if right is None else len(left)
+    out = np.zeros(len(left) * wide, np.float64)
+    for n in range(2, _FEW_HOLDERS + 1):
+        at, cells = start[held == n], []
+        for p, q in permutations(range(n), 2):
+            a, b = owner[at + p], owner[at + q] - shift
+            fits = (a < len(left)) & (b >= 0)
+            cells.append(a[fits] * wide + b[fits])
+        if len(at):
+            out += np.bincount(np.concatenate(cells), minlength=len(out))
+    out = out.reshape(len(left), wide)
+    often = np.flatnonzero(held > _FEW_HOLDERS)
+    for first in range(0, len(often), _COLUMNS):
+        some = often[first:first + _COLUMNS]
+        column = np.repeat(np.arange(len(some)), held[some])
+        place = np.concatenate([np.arange(s, s + h) for s, h in zip(start[some], held[some])])
+        matrix = np.zeros((len(sets), len(some)), np.float32)
+        matrix[owner[place], column] = 1
+        out += matrix[:len(left)] @ matrix[shift:].T
+    return out
+
+
+def spanning(links: np.ndarray, square: bool) -> list[tuple[int, int]]:
+    """Edges (row, column) of a forest that connects all that a matrix of links does. In a
+    square one rows and columns are the same nodes, else different ones."""
+    edges, free_rows, free_columns = [], np.ones(links.shape[0], bool), np.ones(links.shape[1], bool)
+    for root in range(links.shape[0]):
+        if not free_rows[root]:
+            continue
+        free_rows[root], todo = False, [(root, True)]
+        while todo:
+            node, is_row = todo.pop()
+            if square:
+                fresh = np.flatnonzero(links[node] & free_rows)
+                free_rows[fresh] = False
+                edges += [(node, k) for k in fresh.tolist()]
+                todo += [(k, True) for k in fresh.tolist()]
+            elif is_row:
+                fresh = np.flatnonzero(links[node] & free_columns)
+                free_columns[fresh] = False
+                edges += [(node, k) for k in fresh.tolist()]
+                todo += [(k, False) for k in fresh.tolist()]
+            else:
+                fresh = np.flatnonzero(links[:, node] & free_rows)
+                free_rows[fresh] = False
+                edges += [(k, node) for k in fresh.tolist()]
+                todo += [(k, True) for k in fresh.tolist()]
+    return edges
+
+
+def _within(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all linked sets of each cluster.
+
+    A cluster is dealt into blocks of bounded size; each two blocks, and each with itself, are
+    compared in a group of their own, which gives fewer links than it has sets.
+    """
+    inside = sets.join(clusters, "node")
+    held = inside.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+    blocks = held.select(F.col("cluster").alias("of"), F.greatest(
+        F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = inside.join(blocks, F.col("cluster") == F.col("of")).withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "tokens")
+
+    def compared(cell: pa.Table) -> pa.Table:
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        nodes, own = cell.column("node").to_numpy(), cell.column("own").to_numpy()
+        column = cell.column("tokens").combine_chunks()
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+        sets = [values[ends[k]:ends[k + 1]] for k in range(len(nodes))]
+        sides = [np.flatnonzero(own == b) for b in ((i,) if i == j else (i, j))]
+        left = [sets[k] for k in sides[0]]
+        right = None if i == j else [sets[k] for k in sides[1]]
+        both = shared_counts(left, right)
+        na, nb = (np.array([len(x) for x in side]) for side in (left, left if right is None else right))
+        links = 100 * both >= percent * (na[:, None] + nb[None, :] - both)
+        edges = spanning(links, right is None)
+        a, b = (np.array(x, np.int64) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": nodes[sides[0][a]], "b": nodes[sides[-1][b]]})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -247,35 +347,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
        first, those that very many texts share last. Any common order is right; this one
        keeps a passage out of the lists of all texts that have enough else.
     2. Equal sets become classes by a 128-bit signature, with partial minima.
-    3. Star pairs tie groups of near copies; verified, they give first components.
-    4. Subsets (small sets) and inverted lists of prefixes (large ones) give the remaining
-       candidate pairs, only across these components, so a group of thousands of near
-       copies does not give millions of pairs. Whoever links into a component is found.
-    5. Verified links of both kinds give the components.
+    3. Subsets (small sets) and prefixes (large ones) fill the inverted lists, the boundary
+       by their cost. Sets that meet in lists of more than ``LONG_LIST`` form clusters.
+    4. Short lists give candidate pairs between clusters, in number at most ``LONG_LIST / 2``
+       times that of the lists' entries; verified, those that link are left. Within a
+       cluster blocks of sets are compared, which gives links enough to connect it.
+    5. The links of both kinds give the components.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    order = docs.sparkSession.sparkContext.broadcast(
-        ranks(counted(texts, "text", lambda t: shingle_set(t, size))))
+    order = spark.sparkContext.broadcast(ranks(counted(texts, "text", lambda t: shingle_set(t, size))))
     rows = cut(_shingled(texts, _Pass("prefix", percent, common=order), size))
     full = rows.filter("n > 0")
-    classes = cut(full.groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("id").alias("first"))
-                  .withColumns({"node": F.monotonically_increasing_id(), "who": F.xxhash64("first")}))
-    own = cut(_of_classes(full, classes.drop("n")).select("node", "n", "stars", "tokens"))
-    stars = cut(_verified(cut(_star_pairs(own)), texts, classes.drop("n"), percent, size))
-    first = components(stars)
-
-    boundary = _boundary(classes, percent)
-    lists = own.filter(F.col("n") > boundary).select("node", "n", "tokens").join(first, "node", "left")
-    pairs = _meeting(cut(lists.select("node", "n", F.coalesce("component", "node").alias("c"), "tokens"))
-                     .select("node", "n", "c", F.explode("tokens").alias("token")), percent, True)
-    if boundary:
-        pairs = pairs.unionByName(_subset_pairs(texts, classes, boundary, percent, size)).distinct()
-    links = _verified(cut(pairs), texts, classes.drop("n"), percent, size).unionByName(stars)
-    found = classes.join(components(links), "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    least = found.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = found.join(least, "component").select(
-        F.col("s1").alias("c1"), F.col("s2").alias("c2"), "component_id")
+    place = new_folder(spark, "classes")
+    with scratch(spark) as noted:  # what only leads to the components goes
+        classes = cut(full.groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("id").alias("first"))
+                      .withColumns({"node": F.monotonically_increasing_id(), "who": F.xxhash64("first")}))
+        own = cut(_of_classes(full, classes.drop("n")).select("node", "n", "tokens"))
+        entries = cut(_entries(own, texts, classes, boundary(own, percent), percent, size))
+        held = cut(entries.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1"))
+        lists = cut(sifted(entries, "token", held, "token").join(held, "token"))
+        clusters = cut(_clusters(lists.filter(F.col("held") > LONG_LIST)))
+        pairs = cut(_meeting(lists.filter(F.col("held") <= LONG_LIST), clusters, percent))
+        nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(
+            clusters.select("node")).distinct())
+        sets = cut(_passed_again(texts, classes.drop("n"), nodes, _Pass("all"), size).select("node", "n", "tokens"))
+        links = cut(_verified(pairs, sets, percent).unionByName(_within(clusters, sets, percent)))
+        found = classes.join(components(links), "node", "left").withColumn(
+            "component", F.coalesce("component", "node"))
+        least = found.groupBy("component").agg(F.min("first").alias("component_id"))
+        named = cut(found.join(least, "component").select(
+            F.col("s1").alias("c1"), F.col("s2").alias("c2"), "component_id"), place)
+    noted.release()
     return full.join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id").unionByName(
         rows.filter("n = 0").select(F.col("id").alias(key), F.col("n").alias("n_shingles"),

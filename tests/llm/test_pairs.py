@@ -83,13 +83,66 @@ def test_components_equal_brute_force(spark, corpus, monkeypatch, order):
 
 @pytest.mark.parametrize("boundary", [0, 12])
 def test_boundary_does_not_matter(spark, corpus, monkeypatch, boundary):
-    monkeypatch.setattr(jaccard, "_boundary", lambda classes, percent: boundary)
+    monkeypatch.setattr(jaccard, "boundary", lambda own, percent: boundary)
     small = [(k, t) for k, t in corpus if len(t or "") < 150]
     df = spark.createDataFrame(small, "doc_id long, text string")
     got = sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str)
     assert got == brute_components(small)
 
 
+def test_lists_and_blocks_of_any_length(spark, corpus, monkeypatch):
+    """Most lists count as long, and clusters take many blocks."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 9)
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str)
+    assert got == brute_components(corpus)
+
+
+def test_boundary_follows_the_cost_of_lists(spark):
+    """Short texts that differ in one of few words fill long lists; sets of their size then
+    list subsets, and the result is the same."""
+    rng = random.Random(12)
+    texts = {" ".join([*"abcd", *(f"{c}{rng.randrange(3)}" for c in "efghij")]) for _ in range(400)}
+    rows = list(enumerate(sorted(texts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prefix = jaccard._shingled(df.selectExpr("doc_id AS id", "text"), jaccard._Pass(
+        "prefix", common=spark.sparkContext.broadcast(np.zeros(1 << 20, np.uint8))))
+    own = prefix.selectExpr("id AS node", "n", "tokens")
+    assert 6 <= jaccard.boundary(own)
+    long_texts = own.filter("n > 100")
+    assert jaccard.boundary(long_texts) == 0
+    got = sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str)
+    assert got == brute_components(rows)
+
+
+def test_shared_counts_and_forests():
+    rng = np.random.default_rng(2)
+    for few in (1, 8):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(30)]
+        for right in (None, sets[12:]):
+            left = sets if right is None else sets[:12]
+            got = jaccard.shared_counts(left, right)
+            for i, x in enumerate(left):
+                for j, y in enumerate(left if right is None else right):
+                    if right is not None or i != j:
+                        assert got[i, j] == len(np.intersect1d(x, y)), few
+    for square in (True, False):
+        links = rng.random((20, 20 if square else 14)) < 0.08
+        links = links | links.T if square else links
+        edges = jaccard.spanning(links, square)
+        assert all(links[a, b] for a, b in edges)
+
+        def groups(pairs):
+            head = list(range(40))
+            for a, b in pairs:
+                a, b = int(a), int(b) if square else int(b) + 20
+                old, new = head[b], head[a]
+                head = [new if h == old else h for h in head]
+            return [head.index(h) for h in head]
+        assert groups(edges) == groups(np.argwhere(links)) and len(edges) < 34
+
+
 def test_repeated_rows_null_keys_and_no_rows(spark):
     text = " ".join(f"x{k}" for k in range(30))
     rows = [(4, text), (4, text), (2, text + " y"), (4, "else"), (None, "else"), (None, None), (7, None)]
