@@ -267,5 +267,5 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", least_leng
         raise ValueError(f"least_length is at least {2 * LONGEST - 2}, ratio at least 2")
     vocabulary = cut(words(docs, key, text, least_length, least_count, misprint))
     most = vocabulary.agg(F.max("n")).first()[0] or 0
-    table = cut(forms(vocabulary, near_pairs(vocabulary), ratio))
+    table = cut(forms(vocabulary, cut(near_pairs(vocabulary)), ratio))
     return roots(table, most, ratio).select("word", "form", "root", "n", "n_near", "form_n")
