@@ -18,9 +18,9 @@ from coordloom.session import cut
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = "mix"
-#: Places of a document in the order of its source have 60 bits, looked at in these steps:
-#: a source has at most 2^14 and 2^16 sums in the first two, few documents in the last.
-_BITS, _SHIFTS = 60, (46, 30, 0)
+#: Places of a document in the order of its source have 60 bits, looked at in these steps: a
+#: source has at most 2^10 sums in each of the first two, few documents in the last ones.
+_BITS, _SHIFTS = 60, (50, 40, 20, 0)
 _NEW = ("size", "source_size", "target", "repeats", "taken")
 
 
