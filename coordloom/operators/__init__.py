@@ -1,5 +1,6 @@
 """Operators on sparse matrices and arrays."""
 
+from coordloom.operators.factors import axis_form, kron_factors
 from coordloom.operators.products import (
     AxisOperator, apply_on_axis, kron, matmul, prune_zeros, self_product,
 )
@@ -8,7 +9,7 @@ from coordloom.operators.reflection import densify, iterate_reflect, reflect
 from coordloom.operators.tensors import FREE, marginal, ravel, renamed, reshape, sum_axis
 
 __all__ = [
-    "AxisOperator", "FREE", "abs_square", "apply_on_axis", "densify",
-    "iterate_reflect", "kron", "marginal", "matmul", "norm", "prune_zeros", "ravel",
+    "AxisOperator", "FREE", "abs_square", "apply_on_axis", "axis_form",
+    "densify", "iterate_reflect", "kron", "kron_factors", "marginal", "matmul", "norm", "prune_zeros", "ravel",
     "reflect", "renamed", "reshape", "self_product", "sum_axis",
 ]

@@ -178,6 +178,9 @@ FROM (SELECT l_suppkey, l_partkey, CASE l_returnflag
 GROUP BY 1, 2 HAVING sum(q) <> 0""",
     "chain3": _CHAIN3,
     "compose": _CHAIN3,
+    "compose_ordered": _ONE_HOP + _complex_vector("y2"),
+    "axis_form": _with(_U) + """
+SELECT "row", "col", re, CAST(4 AS INTEGER) AS "outer", CAST(3 AS INTEGER) AS "inner" FROM u""",
     "snapshots": _with(_U, _X0, _step("x1", "x0"), _step("x2", "x1"), _step("x3", "x2"),
                        "xs AS (SELECT 1 AS step, * FROM x1 UNION ALL SELECT 2, * FROM x2 "
                        "UNION ALL SELECT 3, * FROM x3)") + """

@@ -1,5 +1,7 @@
 """Multi-step plans built from the operators."""
 
-from coordloom.plans.chain import ChainResult, chain_apply, compose, run
+from coordloom.plans.chain import ChainResult, chain_apply, compose, run, simplified
+from coordloom.plans.ordering import cheapest_order, estimated_entries
 
-__all__ = ["ChainResult", "chain_apply", "compose", "run"]
+__all__ = ["ChainResult", "chain_apply", "cheapest_order", "compose", "estimated_entries", "run",
+           "simplified"]

@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from coordloom.functions import COMPLEX
-from coordloom.operators import AxisOperator, apply_on_axis, marginal, matmul, norm
+from coordloom.operators import AxisOperator, apply_on_axis, axis_form, marginal, matmul, norm
+from coordloom.plans.ordering import SMALL, Order, cheapest_order
 from coordloom.session import broadcast_entries, discard
 from coordloom.sources import store_bucketed
 from coordloom.table import CooTable
@@ -111,14 +112,49 @@ def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
     return ChainResult(state, saved)
 
 
-def compose(ops: Sequence[CooTable], product: str = COMPLEX, eps: float = 0.0) -> CooTable:
+def compose(ops: Sequence[CooTable], product: str = COMPLEX, eps: float = 0.0,
+            order: str | Order = "auto") -> CooTable:
     """The single operator ``U0 . U1 . ... . Un``.
 
-    Worth it if the product stays sparse and is applied many times.
+    Worth it if the product stays sparse and is applied many times. ``order="auto"``
+    multiplies in the order that forms the fewest pairs: by the shapes if these are small, else
+    by sketches of the operators, for which jobs run. ``"left"`` goes from left to right, and
+    nested pairs of operator numbers say it themselves, such as ``(0, (1, 2))``.
     """
     if not ops:
         raise ValueError("a chain needs at least one operator")
-    return reduce(lambda a, b: matmul(a, b, product, eps), _stored_once(ops))
+    _check(ops, (ops[-1].dims[1], 1), 1)
+    ops = _stored_once(ops)
+    if order == "left":
+        return reduce(lambda a, b: matmul(a, b, product, eps), ops)
+    if order == "auto":
+        if len(ops) > 2:
+            ops = [op.store() if op.dims[0] * op.dims[1] > SMALL else op for op in ops]
+        order = cheapest_order(ops)
+
+    def formed(at: Order) -> tuple[CooTable, list[int]]:
+        if isinstance(at, int):
+            return ops[at], [at]
+        (a, left), (b, right) = map(formed, at)
+        return matmul(a, b, product, eps), left + right
+
+    result, used = formed(order)
+    if used != list(range(len(ops))):
+        raise ValueError(f"the order {order} does not name the operators 0..{len(ops) - 1} in turn")
+    return result
+
+
+def simplified(ops: Sequence[Operator]) -> list[Operator]:
+    """The operators, those of the form ``I (x) W (x) I`` as operators on one axis.
+
+    Worth it before a chain of many steps: a product then costs what ``W`` does. Each
+    operator is looked at once, however often it is in the list; runs jobs.
+    """
+    found = {id(op): op for op in ops}
+    for key, op in found.items():
+        if isinstance(op, CooTable):
+            found[key] = axis_form(op) or op
+    return [found[id(op)] for op in ops]
 
 
 def run(ops: Sequence[Operator], v: CooTable, steps: int, *,

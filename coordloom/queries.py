@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from coordloom import inputs
 from coordloom.functions import COMPONENTWISE, parse_complex
 from coordloom.operators import (
-    AxisOperator, abs_square, apply_on_axis, iterate_reflect, kron, marginal, matmul, norm,
+    AxisOperator, abs_square, apply_on_axis, axis_form, iterate_reflect, kron, marginal, matmul, norm,
     prune_zeros, ravel, reflect, reshape, self_product, sum_axis,
 )
 from coordloom.plans import chain_apply, compose, run
@@ -141,6 +141,21 @@ def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_apply([compose([u, u, u])], x, 1).state.df
 
 
+def compose_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers to suppliers and back, applied to a vector, as one product: sketches of the
+    operators tell that it has to be formed from the right."""
+    p = inputs.customer_supplier_counts(spark, sf_dir).store()
+    return compose([p, p.transpose(), inputs.customer_vector(spark, sf_dir, p.dims[0])]).entries()
+
+
+def axis_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation operator found again in ``I (x) operator (x) I``."""
+    u = inputs.nation_operator(spark, sf_dir).store()
+    found = axis_form(kron(kron(identity(spark, 4), u), identity(spark, 3)))
+    outer, _, inner = found.sizes
+    return found.matrix.df.select("row", "col", "re", F.lit(outer).alias("outer"), F.lit(inner).alias("inner"))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = inputs.nation_operator(spark, sf_dir)
     x = inputs.nation_vector(spark, sf_dir, u.dims[0])
@@ -392,6 +407,8 @@ QUERIES: dict[str, Query] = {
     "zero_prune": zero_prune,
     "chain3": chain3,
     "compose": composed,
+    "compose_ordered": compose_ordered,
+    "axis_form": axis_found,
     "snapshots": snapshots,
     "chain_hops": chain_hops,
     "chain_marginal": chain_marginal,
