@@ -3,8 +3,8 @@
 Sets of up to a boundary size find partners by the subsets of fixed size that a link
 needs both to hold; larger sets scan inverted lists of their rarest shingles. The boundary
 is where listing subsets would cost more than scanning lists, by the lengths of the lists in
-the data. A list of few sets is scanned pair by pair. Sets that meet in a long one form a
-cluster, whose sets are compared block by block as products of incidence matrices; such a
+the data. A list of few sets is scanned pair by pair. Sets that meet in many long ones form
+a cluster, whose sets are compared block by block as products of incidence matrices; such a
 comparison gives links enough to connect what is linked, never the pairs.
 """
 
@@ -30,8 +30,11 @@ from coordloom.session import cut, new_folder, scratch
 SHINGLE_WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: A list of more sets than this is not paired out but makes a cluster of them.
-LONG_LIST = 24
+#: A list of more sets than this is not paired out; sets that share several make a cluster.
+LONG_LIST = 16
+#: Prefixes are so much longer than one common shingle asks for, and linked sets share so
+#: many more in them. A set with fewer shingles in long lists has no partner by these alone.
+EXTRA = 4
 #: Sets and shingles of a block of a cluster; a task holds two blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 1_024, 1 << 20
 _FEW_HOLDERS, _COLUMNS = 8, 2_048
@@ -123,7 +126,7 @@ class _Pass:
             return np.array(made, np.uint64)
         rank = self.common.value[cell_of(tokens)]
         order = np.argsort(rank, kind="stable") if rank.any() else slice(None)
-        return tokens[order][:prefix_length(len(tokens), self.percent)]
+        return tokens[order][:prefix_length(len(tokens), self.percent) + EXTRA]
 
 
 def _shingled(docs: DataFrame, emit: _Pass, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -173,22 +176,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def boundary(own: DataFrame, percent: int = PERCENT) -> int:
+def _held(entries: DataFrame) -> DataFrame:
+    """(token, held): the lists of more than one set."""
+    return entries.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+
+
+def boundary(own: DataFrame, held: DataFrame, percent: int = PERCENT) -> int:
     """The size of sets up to which subsets cost less than scanning lists.
 
-    ``own`` has the prefixes (node, n, tokens). A set that scans lists costs a row for each
-    token of its prefix and one for every other set of each list, shared by the two; one that
-    lists subsets costs a row for each. Only sets that the largest boundary concerns are told
-    apart by size, so a few numbers are collected.
+    ``own`` has the prefixes (node, n, tokens), ``held`` the lengths of their lists. A set that
+    scans lists costs a row for each token of its prefix and one for every other set of each
+    list, shared by the two; one that lists subsets costs a row for each. Only sets that the
+    largest boundary concerns are looked at, and a few numbers collected.
     """
     top = 100 * _LARGEST_BOUNDARY // percent + 1
-    entries = own.select("n", F.explode("tokens").alias("token"))
-    small = entries.filter(F.col("n") <= _LARGEST_BOUNDARY)
-    held = entries.groupBy("token").agg(
-        F.count("*").alias("held"), F.count_if(F.col("n") <= _LARGEST_BOUNDARY).alias("ours")).filter("ours > 0")
-    scans = {r["n"]: r["scanned"] for r in small.join(held, "token").groupBy("n").agg(
-        F.sum(1 + (F.col("held") - 1) / 2).alias("scanned")).collect()}
-    counts = {r["n"]: r["count"] for r in own.filter(F.col("n") <= top).groupBy("n").count().collect()}
+    small = own.filter(F.col("n") <= top)
+    scans = {r["n"]: r["scanned"] for r in small.filter(F.col("n") <= _LARGEST_BOUNDARY).select(
+        "n", F.explode("tokens").alias("token")).join(held, "token", "left").groupBy("n").agg(
+        F.sum(1 + (F.coalesce("held", F.lit(1)) - 1) / 2).alias("scanned")).collect()}
+    counts = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
     cost = {}
     for b in range(_LARGEST_BOUNDARY + 1):
         listed = sum(k * sum(math.comb(u, c) for c in subset_sizes(u, b, percent)) for u, k in counts.items())
@@ -206,8 +212,28 @@ def _entries(own: DataFrame, texts: DataFrame, classes: DataFrame, limit: int, p
         return scanned
     small = classes.filter(F.col("n") <= 100 * limit // percent).select("node")
     kept = _passed_again(texts, classes.drop("n"), small, _Pass("subsets", percent, limit), size)
-    return scanned.unionByName(kept.select(
-        "node", "n", F.explode(F.array_distinct("tokens")).alias("token"), F.lit(True).alias("listed")))
+    return scanned.unionByName(cut(kept.select(
+        "node", "n", F.explode(F.array_distinct("tokens")).alias("token"), F.lit(True).alias("listed"))))
+
+
+def _parted(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Short lists, long ones, and (node, far), how many long lists each set is in.
+
+    Linked sets that share a shingle of a short list meet there. Others share shingles of long
+    lists only, ``EXTRA + 1`` of them or all that a link needs: sets in fewer leave the long
+    lists, some of which are short then.
+    """
+    far = lists.filter(F.col("held") > LONG_LIST)
+    least = F.least(F.lit(EXTRA + 1), F.ceil(percent * F.col("n") / 100))
+    counts = cut(far.groupBy("node").agg(
+        F.count_if(~F.col("listed")).alias("far"), F.max("listed").alias("any"), F.min("n").alias("n")).select(
+        "node", "far", (F.col("any") | (F.col("far") >= least)).alias("stays")))
+    stay = cut(far.drop("held").join(counts.filter("stays").select("node"), "node"))
+    now = cut(_held(stay))
+    stay = stay.join(now, "token")
+    long = stay.filter(F.col("held") > LONG_LIST)
+    short = lists.filter(F.col("held") <= LONG_LIST).unionByName(stay.filter(F.col("held") <= LONG_LIST))
+    return short, long, counts.select("node", "far")
 
 
 def _clusters(long: DataFrame) -> DataFrame:
@@ -217,24 +243,26 @@ def _clusters(long: DataFrame) -> DataFrame:
         "node", F.col("component").alias("cluster"))
 
 
-def _meeting(short: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+def _meeting(short: DataFrame, clusters: DataFrame, far: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of different clusters that meet in short lists and may link.
 
     Of prefixes in one order, two linked sets share so many that the rest of either
-    prefix's set cannot make up for fewer; other pairs are left out.
+    prefix's set cannot make up for fewer, nor can the long lists that both may be in;
+    other pairs are left out.
     """
-    placed = short.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    placed = short.join(clusters.join(far, "node", "full"), "node", "left").withColumns({
+        "cluster": F.coalesce("cluster", "node"), "far": F.coalesce("far", F.lit(0))})
     x, y = (placed.select("token", "listed", F.col("node").alias(a), F.col("n").alias(f"n{a}"),
-                          F.col("cluster").alias(f"p{a}")) for a in "ab")
+                          F.col("cluster").alias(f"p{a}"), F.col("far").alias(f"f{a}")) for a in "ab")
     least, most = F.least("na", "nb"), F.greatest("na", "nb")
     met = x.join(y, ["token", "listed"]).filter(
         (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * least >= percent * most))
-    # Shingles of a set behind its prefix: ceil(percent * n / 100) - 1.
-    behind = F.floor((percent * most + 99) / 100) - 1
+    # Shingles of a set behind its prefix: ceil(percent * n / 100) - 1 - EXTRA.
+    behind = F.greatest(F.floor((percent * most + 99) / 100) - 1 - EXTRA, F.lit(0))
     both = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     return met.groupBy("a", "b", "na", "nb").agg(
-        F.count("*").alias("met"), F.max("listed").alias("listed")).filter(
-        F.col("listed") | (F.col("met") >= both - behind)).select("a", "b")
+        F.count("*").alias("met"), F.max("listed").alias("listed"), F.min(F.least("fa", "fb")).alias("far")).filter(
+        F.col("listed") | (F.col("met") + F.col("far") >= both - behind)).select("a", "b")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -348,7 +376,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
        keeps a passage out of the lists of all texts that have enough else.
     2. Equal sets become classes by a 128-bit signature, with partial minima.
     3. Subsets (small sets) and prefixes (large ones) fill the inverted lists, the boundary
-       by their cost. Sets that meet in lists of more than ``LONG_LIST`` form clusters.
+       by their cost. Sets that meet in lists of more than ``LONG_LIST``, and are in
+       so many of them that they may link by these alone, form clusters.
     4. Short lists give candidate pairs between clusters, in number at most ``LONG_LIST / 2``
        times that of the lists' entries; verified, those that link are left. Within a
        cluster blocks of sets are compared, which gives links enough to connect it.
@@ -364,11 +393,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         classes = cut(full.groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("id").alias("first"))
                       .withColumns({"node": F.monotonically_increasing_id(), "who": F.xxhash64("first")}))
         own = cut(_of_classes(full, classes.drop("n")).select("node", "n", "tokens"))
-        entries = cut(_entries(own, texts, classes, boundary(own, percent), percent, size))
-        held = cut(entries.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1"))
+        entries = _entries(own, texts, classes, 0, percent, size)
+        held = cut(_held(entries))
+        limit = boundary(own, held, percent)
+        if limit:
+            entries = _entries(own, texts, classes, limit, percent, size)
+            held = cut(_held(entries))
         lists = cut(sifted(entries, "token", held, "token").join(held, "token"))
-        clusters = cut(_clusters(lists.filter(F.col("held") > LONG_LIST)))
-        pairs = cut(_meeting(lists.filter(F.col("held") <= LONG_LIST), clusters, percent))
+        short, long, far = _parted(lists, percent)
+        clusters = cut(_clusters(long))
+        pairs = cut(_meeting(short, clusters, far, percent))
         nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(
             clusters.select("node")).distinct())
         sets = cut(_passed_again(texts, classes.drop("n"), nodes, _Pass("all"), size).select("node", "n", "tokens"))

@@ -83,7 +83,7 @@ def test_components_equal_brute_force(spark, corpus, monkeypatch, order):
 
 @pytest.mark.parametrize("boundary", [0, 12])
 def test_boundary_does_not_matter(spark, corpus, monkeypatch, boundary):
-    monkeypatch.setattr(jaccard, "boundary", lambda own, percent: boundary)
+    monkeypatch.setattr(jaccard, "boundary", lambda own, held, percent: boundary)
     small = [(k, t) for k, t in corpus if len(t or "") < 150]
     df = spark.createDataFrame(small, "doc_id long, text string")
     got = sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str)
@@ -109,9 +109,9 @@ def test_boundary_follows_the_cost_of_lists(spark):
     prefix = jaccard._shingled(df.selectExpr("doc_id AS id", "text"), jaccard._Pass(
         "prefix", common=spark.sparkContext.broadcast(np.zeros(1 << 20, np.uint8))))
     own = prefix.selectExpr("id AS node", "n", "tokens")
-    assert 6 <= jaccard.boundary(own)
-    long_texts = own.filter("n > 100")
-    assert jaccard.boundary(long_texts) == 0
+    held = jaccard._held(own.selectExpr("explode(tokens) AS token"))
+    assert 6 <= jaccard.boundary(own, held)
+    assert jaccard.boundary(own, held.limit(0)) == 0
     got = sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str)
     assert got == brute_components(rows)
 
