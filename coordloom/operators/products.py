@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coordloom.functions import COMPLEX, div, is_nonzero, multiply, ravel
+from coordloom.functions import COMPLEX, div, exact_sums, is_nonzero, multiply, ravel
 from coordloom.functions.complex_numbers import check_product
 from coordloom.operators.joins import (
     HOT_ENTRIES, block_pairing, blocks, keyed_join, smaller_fitting,
@@ -43,10 +43,11 @@ def prune_zeros(t: CooTable, eps: float = 0.0) -> CooTable:
 
 
 def _summed(pairs: DataFrame, row: Column, col: Column, value: list[Column],
-            dims: tuple[int, int], eps: float) -> CooTable:
-    sums = pairs.select(row.alias("row"), col.alias("col"), *value).groupBy("row", "col")
+            dims: tuple[int, int], eps: float, exact: bool = False) -> CooTable:
+    formed = pairs.select(row.alias("row"), col.alias("col"), *value)
     names = ["re", "im"][:len(value)]
-    df = sums.agg(*(F.sum(n).alias(n) for n in names))
+    df = exact_sums(formed, ["row", "col"], names) if exact else formed.groupBy("row", "col").agg(
+        *(F.sum(n).alias(n) for n in names))
     return prune_zeros(CooTable(df, dims, unique=True), eps)
 
 
@@ -70,7 +71,7 @@ def _check_plan(plan: str, *known: str) -> None:
 
 
 def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
-           hot: int | None = HOT_ENTRIES, plan: str = "auto") -> CooTable:
+           hot: int | None = HOT_ENTRIES, plan: str = "auto", exact: bool = False) -> CooTable:
     """The product ``a . b``; sums that are zero in every part are dropped.
 
     ``product="complex"`` multiplies complex numbers; ``"componentwise"``
@@ -84,6 +85,8 @@ def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
     instead. A side bucketed by the join index stays in place if neither its own
     heaviest index nor the other side's shape allows hot keys. ``plan`` forces one of
     the plans for large sides, ``"cells"`` or ``"in_place"``; the result is the same.
+    ``exact`` adds the products of one coordinate without rounding, in whatever order; repeats
+    of an operand's own coordinates are added up first, as in any product.
     """
     _check_plan(plan, "cells", "in_place")
     if a.dims[1] != b.dims[0]:
@@ -107,7 +110,7 @@ def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
         hot=hot,
     )
     value = _named(*multiply(_value(a, "a"), _value(b, "b"), product))
-    return _summed(pairs, F.col("_i"), F.col("_j"), value, (a.dims[0], b.dims[1]), eps)
+    return _summed(pairs, F.col("_i"), F.col("_j"), value, (a.dims[0], b.dims[1]), eps, exact)
 
 
 def self_product(t: CooTable, eps: float = 0.0, hot: int | None = HOT_ENTRIES) -> CooTable:

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from coordloom.functions import magnitude_squared
+from coordloom.functions import exact_sums, magnitude_squared
 from coordloom.table import CooTable
 
 
@@ -14,11 +14,15 @@ def _magnitude_squared(t: CooTable):
     return magnitude_squared(F.col("re"), F.col("im") if t.is_complex else None)
 
 
-def norm(t: CooTable) -> DataFrame:
+def norm(t: CooTable, exact: bool = False) -> DataFrame:
     """The Frobenius norm as one row ``norm DOUBLE``; 0.0 for an empty table.
 
-    Repeated coordinates count as separate entries.
+    Repeated coordinates count as separate entries. ``exact`` adds the squares without
+    rounding, so that the result does not depend on how the entries are dealt over tasks.
     """
+    if exact:
+        total = exact_sums(t.df.select(_magnitude_squared(t).alias("norm")), [], ["norm"])
+        return total.agg(F.coalesce(F.sqrt(F.max("norm")), F.lit(0.0)).alias("norm"))
     return t.df.agg(
         F.coalesce(F.sqrt(F.sum(_magnitude_squared(t))), F.lit(0.0)).alias("norm"))
 

@@ -8,7 +8,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from coordloom.functions import ravel as ravel_index, strides, unravel
+from coordloom.functions import exact_sums, ravel as ravel_index, strides, unravel
 from coordloom.operators.reductions import abs_square
 from coordloom.table import CooTable, TensorTable, axis_names, check_dims
 
@@ -91,12 +91,13 @@ def _at_position(t: TensorTable, fixed: dict[int, int]) -> DataFrame:
 
 
 def sum_axis(t: TensorTable, axes: Iterable[int],
-             position: Sequence[int | str | None] | None = None) -> TensorTable:
+             position: Sequence[int | str | None] | None = None, exact: bool = False) -> TensorTable:
     """Sum over ``axes``; keep only entries at ``position`` where one is given.
 
     ``position`` holds one value per axis, ``"?"`` for a free one; fixed axes
     leave the result. All axis numbers refer to the array as given. One group-by
-    does it whatever the number of axes; zero sums are kept.
+    does it whatever the number of axes; zero sums are kept. ``exact`` adds without
+    rounding: the same sums to the last bit however the entries are dealt over tasks.
     """
     if t.values != ("val",):
         raise ValueError("sum_axis takes real values; use abs_square first")
@@ -106,12 +107,17 @@ def sum_axis(t: TensorTable, axes: Iterable[int],
     names = tuple(t.axes[k - 1] for k in kept)
     total = F.sum("val").alias("val") if names else F.coalesce(
         F.sum("val"), F.lit(0.0)).alias("val")
-    df = _at_position(t, fixed).groupBy(*names).agg(total)
+    entries = _at_position(t, fixed)
+    if exact:
+        sums = exact_sums(entries, names, ["val"])
+        df = sums if names else sums.agg(F.coalesce(F.max("val"), F.lit(0.0)).alias("val"))
+    else:
+        df = entries.groupBy(*names).agg(total)
     return TensorTable(df, tuple(t.dims[k - 1] for k in kept), names)
 
 
 def marginal(v: CooTable, dims: Iterable[int], measured: Iterable[int],
-             position: Sequence[int | str | None] | None = None) -> TensorTable:
+             position: Sequence[int | str | None] | None = None, exact: bool = False) -> TensorTable:
     """Squared magnitudes of a state, summed over every axis not measured.
 
     A measured axis that ``position`` fixes is dropped like in :func:`sum_axis`.
@@ -120,7 +126,7 @@ def marginal(v: CooTable, dims: Iterable[int], measured: Iterable[int],
     """
     t = reshape(abs_square(v), dims)
     keep = check_axes(measured, t.rank)
-    return sum_axis(t, set(range(1, t.rank + 1)) - keep, position)
+    return sum_axis(t, set(range(1, t.rank + 1)) - keep, position, exact)
 
 
 def renamed(t: TensorTable) -> TensorTable:

@@ -159,6 +159,14 @@ FROM s a JOIN s b ON a."col" = b."col" GROUP BY 1, 2 HAVING sum(a.re * b.re) <>
     "kron": _KRON.format(re="k.re * b.re - k.im * b.im", im="k.re * b.im + k.im * b.re"),
     "kron_componentwise": _KRON.format(re="k.re * b.re", im="k.im * b.im"),
     "norm": _with(_A) + "SELECT coalesce(sqrt(sum(re * re + im * im)), 0) AS norm FROM a",
+    # Whole multiples of a power of two add up without rounding.
+    "norm_exact": """
+SELECT sqrt(CAST(sum(CAST(CAST(x AS DOUBLE) * x * pow(2, 100) AS HUGEINT)) AS DOUBLE) / pow(2, 100)) AS norm
+FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)""",
+    "sum_axis_exact": """
+SELECT event_id // 100 % 10 AS i2, event_id % 10 AS i4,
+  CAST(sum(CAST(value * pow(2, 70) AS HUGEINT)) AS DOUBLE) / pow(2, 70) AS val
+FROM events GROUP BY 1, 2""",
     "abs_square": _with(_A) + 'SELECT "row", "col", re * re + im * im AS val FROM a',
     "reshape": _with(_T) + "SELECT i1, i2, i3, i4, val FROM t",
     "ravel": _with(_V) + _vector("v"),

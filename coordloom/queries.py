@@ -21,8 +21,8 @@ from coordloom.plans import chain_apply, compose, run
 from coordloom.session import new_folder
 from coordloom.sources import (
     LEFT, RIGHT, basis_vector, cyclic_shift, format_coo, identity, parse_coo, read_coo,
-    read_headers, read_norm, read_parquet, read_tensor, store_bucketed, uniform_vector, write_coo, write_norm,
-    write_parquet, write_tensor,
+    read_headers, read_norm, read_parquet, read_tensor, store_bucketed, to_coo, uniform_vector,
+    write_coo, write_norm, write_parquet, write_tensor,
 )
 from coordloom.table import CooTable, TensorTable, check_bounds
 
@@ -81,6 +81,23 @@ def frobenius_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm(inputs.customer_supplier(spark, sf_dir))
 
 
+def norm_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norm of the embeddings as they are, not rounded to thousandths: the same bits however
+    the rows are dealt."""
+    cells = inputs.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.posexplode("embedding").alias("position", "x"))
+    n = inputs.key_space(spark, sf_dir, "embeddings", "vec_id")
+    width = cells.agg(F.max("position")).first()[0] + 1
+    return norm(to_coo(cells, "vec_id", "position", "x", dims=(n, width), key=True), exact=True)
+
+
+def sum_axis_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values as they are, summed over two axes of four."""
+    rows = inputs.round_up(inputs.events(spark, sf_dir), 1000)
+    v = to_coo(inputs.table(spark, sf_dir, "events"), "event_id", F.lit(0), "value", dims=(rows, 1), key=True)
+    return sum_axis(reshape(v, (rows // 1000, 10, 10, 10)), [1, 3], exact=True).df
+
+
 def squared_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = abs_square(inputs.customer_supplier(spark, sf_dir))
     return t.df.withColumnRenamed("re", "val")
@@ -395,10 +412,12 @@ QUERIES: dict[str, Query] = {
     "kron": kron_complex,
     "kron_componentwise": kron_componentwise,
     "norm": frobenius_norm,
+    "norm_exact": norm_exact,
     "abs_square": squared_magnitude,
     "reshape": reshape_vector,
     "ravel": ravel_array,
     "sum_axis": sum_two_axes,
+    "sum_axis_exact": sum_axis_exact,
     "sum_axis_all": sum_all_axes,
     "sum_axis_fixed": sum_axis_fixed,
     "sum_axis_leading": sum_axis_leading,
