@@ -263,6 +263,7 @@ SELECT event_id, CAST(floor(value) AS DOUBLE) AS re, -CAST(user_id AS DOUBLE) AS
 FROM events""",
     "coo_text": _ENTRIES,
     "text_files": _MATMUL,
+    "text_source": _MATMUL,
     "tensor_files": _SUM_TWO,
     "parquet_files": _MATVEC,
     "check_bounds": _with(_A) + """

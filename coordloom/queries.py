@@ -20,8 +20,8 @@ from coordloom.operators import (
 from coordloom.plans import chain_apply, compose, run
 from coordloom.session import new_folder
 from coordloom.sources import (
-    LEFT, RIGHT, basis_vector, cyclic_shift, format_coo, identity, parse_coo, read_coo,
-    read_headers, read_norm, read_parquet, read_tensor, store_bucketed, to_coo, uniform_vector,
+    LEFT, RIGHT, basis_vector, cyclic_shift, format_coo, identity, load_coo, parse_coo, read_coo,
+    read_headers, read_norm, read_parquet, read_tensor, save_coo, store_bucketed, to_coo, uniform_vector,
     write_coo, write_norm, write_parquet, write_tensor,
 )
 from coordloom.table import CooTable, TensorTable, check_bounds
@@ -380,6 +380,14 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matmul(*(read_coo(spark, both, role, dims[role]) for role in (LEFT, RIGHT))).entries()
 
 
+def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same product, written and read by the data source of the text format."""
+    left, right = new_folder(spark, "text"), new_folder(spark, "text")
+    save_coo(inputs.customer_supplier(spark, sf_dir), left, LEFT)
+    save_coo(inputs.supplier_line(spark, sf_dir), right, RIGHT)
+    return matmul(load_coo(spark, left, LEFT), load_coo(spark, right, RIGHT)).entries()
+
+
 def tensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "text")
     write_tensor(_event_array(spark, sf_dir), path, RIGHT)
@@ -454,6 +462,7 @@ QUERIES: dict[str, Query] = {
     "parse_complex": complex_text,
     "coo_text": coo_text,
     "text_files": text_files,
+    "text_source": text_source,
     "tensor_files": tensor_files,
     "parquet_files": parquet_files,
     "check_bounds": out_of_bounds,

@@ -7,6 +7,7 @@ for an array; one header line ``#TAG,d1,..,dn`` in any of the files.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -20,6 +21,9 @@ RIGHT = "B"
 HEADER = "#"
 DELIMITER = ","
 
+# Characters of a file's head, and files opened at once for them.
+HEAD_CHARS, HEADS_AT_ONCE = 512, 8
+
 Paths = str | Sequence[str]
 
 
@@ -69,17 +73,52 @@ def _header(spark: SparkSession, role: str, dims: Sequence[int]) -> DataFrame:
     return spark.range(1).select(F.lit(line).alias("value"))
 
 
-def read_headers(spark: SparkSession, paths: Paths) -> dict[str, tuple[int, ...]]:
-    """The dimensions of every role that has a header line, in whichever files they are.
+def _first_lines(spark: SparkSession, paths: Paths) -> list[str]:
+    """The first line of every file, at most ``HEAD_CHARS`` characters of it.
 
-    One scan of the text serves all roles; a reader given ``dims`` skips it.
+    Any file system that Spark reads will do; files are opened a few at a time.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(conf)
+        for found in system.globStatus(target) or []:
+            inside = system.listStatus(found.getPath()) if found.isDirectory() else [found]
+            files += [(system, f.getPath()) for f in inside
+                      if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+
+    def head(file: tuple) -> str:
+        system, place = file
+        stream = system.open(place)
+        try:
+            reader = jvm.java.io.InputStreamReader(stream, "UTF-8")
+            buffer = spark.sparkContext._gateway.new_array(jvm.char, HEAD_CHARS)
+            n = reader.read(buffer)
+            return jvm.java.lang.String.valueOf(buffer, 0, n).split("\n", 1)[0].strip() if n > 0 else ""
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        return list(pool.map(head, files))
+
+
+def read_headers(spark: SparkSession, paths: Paths,
+                 roles: Sequence[str] = (LEFT, RIGHT)) -> dict[str, tuple[int, ...]]:
+    """The dimensions of every role that has a header line.
+
+    Headers that begin a file are found by the first lines alone. Only if one of ``roles`` has
+    none there the text is scanned, since a header may stand anywhere; a reader given ``dims``
+    needs neither.
     """
-    found = (
-        _lines(spark, paths).where(F.col("value").rlike(f"^{HEADER}[{LEFT}{RIGHT}]{DELIMITER}"))
-        .select(F.trim("value").alias("value")).distinct().limit(3).collect()
-    )
+    start = tuple(f"{HEADER}{role}{DELIMITER}" for role in (LEFT, RIGHT))
+    found = {line for line in _first_lines(spark, paths) if line.startswith(start)}
+    if not all(any(line.startswith(f"{HEADER}{role}{DELIMITER}") for line in found) for role in roles):
+        rows = _lines(spark, paths).where(F.col("value").rlike(f"^{HEADER}[{LEFT}{RIGHT}]{DELIMITER}")).select(
+            F.trim("value").alias("value")).distinct().limit(3).collect()
+        found = {row["value"] for row in rows}
     headers: dict[str, tuple[int, ...]] = {}
-    for role, *dims in (row["value"].removeprefix(HEADER).split(DELIMITER) for row in found):
+    for role, *dims in (line.removeprefix(HEADER).split(DELIMITER) for line in sorted(found)):
         if role in headers:
             raise ValueError(f"more than one header for role {role!r} under {paths}")
         headers[role] = tuple(int(d) for d in dims)
@@ -87,9 +126,9 @@ def read_headers(spark: SparkSession, paths: Paths) -> dict[str, tuple[int, ...]
 
 
 def read_dims(spark: SparkSession, paths: Paths, role: str) -> tuple[int, ...]:
-    """The dimensions from the header line of ``role``; scans the text once."""
-    headers = read_headers(spark, paths)
-    if check_role(role) not in headers:
+    """The dimensions from the header line of ``role``; see :func:`read_headers`."""
+    headers = read_headers(spark, paths, [check_role(role)])
+    if role not in headers:
         raise ValueError(f"no header for role {role!r} under {paths}")
     return headers[role]
 
