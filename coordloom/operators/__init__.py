@@ -1,6 +1,7 @@
 """Operators on sparse matrices and arrays."""
 
 from coordloom.operators.factors import axis_form, kron_factors
+from coordloom.operators.lattice import marginals, sum_sets
 from coordloom.operators.products import (
     AxisOperator, apply_on_axis, kron, matmul, prune_zeros, self_product,
 )
@@ -10,6 +11,6 @@ from coordloom.operators.tensors import FREE, marginal, ravel, renamed, reshape,
 
 __all__ = [
     "AxisOperator", "FREE", "abs_square", "apply_on_axis", "axis_form",
-    "densify", "iterate_reflect", "kron", "kron_factors", "marginal", "matmul", "norm", "prune_zeros", "ravel",
-    "reflect", "renamed", "reshape", "self_product", "sum_axis",
+    "densify", "iterate_reflect", "kron", "kron_factors", "marginal", "marginals", "matmul", "norm", "prune_zeros", "ravel",
+    "reflect", "renamed", "reshape", "self_product", "sum_axis", "sum_sets",
 ]

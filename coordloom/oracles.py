@@ -139,6 +139,12 @@ _HOPS = _with(_P, _Y0, _hop("y1", "y0", "s", "c"), _hop("y2", "y1", "c", "s"),
 _SHIFTED = """
 SELECT to_row AS "row", CAST(0 AS BIGINT) AS "col", re FROM moved WHERE re <> 0"""
 
+_SNAPSHOTS = _with(_U, _X0, _step("x1", "x0"), _step("x2", "x1"), _step("x3", "x2"),
+                   "xs AS (SELECT 1 AS step, * FROM x1 UNION ALL SELECT 2, * FROM x2 "
+                   "UNION ALL SELECT 3, * FROM x3)") + """
+SELECT CAST(step AS INTEGER) AS step, i AS "row", CAST(0 AS BIGINT) AS "col", re,
+       CAST(0 AS DOUBLE) AS im FROM xs"""
+
 ORACLES: dict[str, str] = {
     "coo_build": _ENTRIES,
     "dims": _with(_A) + """
@@ -179,6 +185,10 @@ SELECT i3, sum(val) AS val FROM t WHERE i1 = 0 AND i2 = 3 GROUP BY 1""",
     "marginal": _with(_T) + "SELECT i2, i4, sum(val * val) AS val FROM t GROUP BY 1, 2",
     "marginal_fixed": _with(_T) + """
 SELECT i1, i2, sum(val * val) AS val FROM t WHERE i3 = 5 AND i4 = 5 GROUP BY 1, 2""",
+    "marginal_sets": _with(_T) + """
+SELECT CAST(CASE GROUPING_ID(i1, i2, i4) WHEN 4 THEN 0 WHEN 3 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 3
+  WHEN 1 THEN 4 ELSE 5 END AS INTEGER) AS "set", i1, i2, i4, sum(val * val) AS val
+FROM t GROUP BY GROUPING SETS ((i2, i4), (i1), (i2), (i4), (i1, i2), ())""",
     "zero_prune": """
 SELECT l_suppkey AS "row", l_partkey AS "col", sum(q) AS re
 FROM (SELECT l_suppkey, l_partkey, CASE l_returnflag
@@ -189,11 +199,8 @@ GROUP BY 1, 2 HAVING sum(q) <> 0""",
     "compose_ordered": _ONE_HOP + _complex_vector("y2"),
     "axis_form": _with(_U) + """
 SELECT "row", "col", re, CAST(4 AS INTEGER) AS "outer", CAST(3 AS INTEGER) AS "inner" FROM u""",
-    "snapshots": _with(_U, _X0, _step("x1", "x0"), _step("x2", "x1"), _step("x3", "x2"),
-                       "xs AS (SELECT 1 AS step, * FROM x1 UNION ALL SELECT 2, * FROM x2 "
-                       "UNION ALL SELECT 3, * FROM x3)") + """
-SELECT CAST(step AS INTEGER) AS step, i AS "row", CAST(0 AS BIGINT) AS "col", re,
-       CAST(0 AS DOUBLE) AS im FROM xs""",
+    "snapshots": _SNAPSHOTS,
+    "history": _SNAPSHOTS,
     "chain_hops": _HOPS,
     "chain_marginal": _ONE_HOP + """
 SELECT i % (SELECT max(n_nationkey) + 1 FROM nation) AS i2, sum(re * re + im * im) AS val

@@ -64,6 +64,14 @@ def _stored_once(ops: Sequence[Operator], steps: int = 1,
     return [stored[id(op)] for op in ops]
 
 
+def stored_operators(ops: Sequence[Operator], v: CooTable, steps: int) -> list[Operator]:
+    """The operators of a chain as it stores them: what is applied more than once by one job
+    each, bucketed by its join index if the state is too large to broadcast."""
+    large = v.dims[0] * v.dims[1] > broadcast_entries(v.df.sparkSession)
+    return _stored_once(ops, steps, lambda op: store_bucketed(op) if large
+                        and _reads_state_twice(op) else op.store())
+
+
 def _reads_state_twice(op: Operator) -> bool:
     """True if a product with a large state first looks for hot keys in it."""
     return isinstance(op, CooTable) and op.bucketed is None
@@ -93,8 +101,7 @@ def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
     _check(ops, v.dims, steps)
     saving = save_every is not None and save_every < steps
     large = v.dims[0] * v.dims[1] > broadcast_entries(v.df.sparkSession)
-    ops = _stored_once(ops, steps, lambda op: store_bucketed(op) if large
-                       and _reads_state_twice(op) else op.store())
+    ops = stored_operators(ops, v, steps)
     state, pending, saved, replaceable = v, 0, {}, None
     for step in range(steps):
         due = saving and step > 0 and step % save_every == 0

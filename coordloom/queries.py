@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from coordloom import inputs
 from coordloom.functions import COMPONENTWISE, parse_complex
 from coordloom.operators import (
-    AxisOperator, abs_square, apply_on_axis, axis_form, iterate_reflect, kron, marginal, matmul, norm,
-    prune_zeros, ravel, reflect, reshape, self_product, sum_axis,
+    AxisOperator, abs_square, apply_on_axis, axis_form, iterate_reflect, kron, marginal, marginals,
+    matmul, norm, prune_zeros, ravel, reflect, reshape, self_product, sum_axis,
 )
-from coordloom.plans import chain_apply, compose, run
+from coordloom.plans import chain_apply, chain_history, compose, run
 from coordloom.session import new_folder
 from coordloom.sources import (
     LEFT, RIGHT, basis_vector, cyclic_shift, format_coo, identity, load_coo, parse_coo, read_coo,
@@ -142,6 +142,12 @@ def marginal_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marginal(v, shape, [1, 2], ("?", "?", 5, 5)).df
 
 
+def marginal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six marginals of the events by digits of their ids, from one scan."""
+    v, shape = inputs.shaped_event_vector(spark, sf_dir)
+    return marginals(v, shape, [[2, 4], [1], [2], [4], [1, 2], []])
+
+
 def zero_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prune_zeros(inputs.returned_against_accepted(spark, sf_dir)).df
 
@@ -179,6 +185,13 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_apply([u], x, 4, save_every=1).snapshots()
 
 
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots again, kept as changes from step to step."""
+    u = inputs.nation_operator(spark, sf_dir)
+    x = inputs.nation_vector(spark, sf_dir, u.dims[0])
+    return chain_history([u], x, 4, save_every=1).snapshots()
+
+
 def chain_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer to supplier and back, twice, over all order lines."""
     p = inputs.customer_supplier_counts(spark, sf_dir).store()
@@ -431,12 +444,14 @@ QUERIES: dict[str, Query] = {
     "sum_axis_leading": sum_axis_leading,
     "marginal": event_marginal,
     "marginal_fixed": marginal_fixed,
+    "marginal_sets": marginal_sets,
     "zero_prune": zero_prune,
     "chain3": chain3,
     "compose": composed,
     "compose_ordered": compose_ordered,
     "axis_form": axis_found,
     "snapshots": snapshots,
+    "history": history,
     "chain_hops": chain_hops,
     "chain_marginal": chain_marginal,
     "chain_norm": chain_norm,
