@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coordloom.llm import jaccard, packing, quality_rules, rule_ensemble, substring
 from coordloom.llm.queries import VOCABULARY
-from coordloom.session import cut
+from coordloom.session import cut, new_folder, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,9 +58,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; what a stage stored on its way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *stages, (_, last) = STAGES
-    for _, stage in stages:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in stages:
+        path = new_folder(spark, name)
+        with scratch(spark) as noted:
+            docs = cut(stage(spark, docs, sf_dir), path)
+        noted.release()
     return last(spark, docs, sf_dir)
