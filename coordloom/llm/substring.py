@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coordloom.llm.bloom import blocks_for, block_of, filled, mask_of, sifted
 from coordloom.session import cut
@@ -201,7 +202,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     holders = rows.select("row", "s1").join(around.select("row").distinct(), "row")
     near = sifted(texts, "s1", holders, "s1")
     hashes = sifted(_window_hashes(near, window, seed), "around", around, "around")
-    hashes = cut(hashes.join(around, ["anchor", "around"]).dropDuplicates(["anchor", "around"]))
+    # Copies go where they are made, before the join could bring them together.
+    hashes = cut(hashes.dropDuplicates(["anchor", "around"]).join(around, ["anchor", "around"]))
     single = hashes.select("n", "row", "k", F.posexplode(F.arrays_zip("w1", "w2")).alias("o", "w")).select(
         "n", "row", "k", "o", F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
     common = single.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1")
@@ -276,8 +278,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
                      pa.array(kept, pa.string())], ["own", "n_words", "n_removed", "kept"])
 
-    kind = dict(both.dtypes)["own"]
-    made = both.mapInArrow(removed, f"own {kind}, n_words long, n_removed long, kept string")
+    long = T.LongType()
+    made = both.mapInArrow(removed, T.StructType([
+        both.schema["own"], T.StructField("n_words", long), T.StructField("n_removed", long),
+        T.StructField("kept", T.StringType())]))
     return made.select("own.*", "n_words", "n_removed", "kept")
 
 
