@@ -335,8 +335,9 @@ def _within(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     inside = sets.join(clusters, "node")
     held = inside.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
-    blocks = held.select(F.col("cluster").alias("of"), F.greatest(
-        F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # Stored, it has a true size: a join by cluster, which may be one hot key, is rarely needed.
+    blocks = cut(held.select(F.col("cluster").alias("of"), F.greatest(
+        F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = inside.join(blocks, F.col("cluster") == F.col("of")).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
