@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from coordloom.functions import COMPLEX, div, exact_sums, is_nonzero, multiply, ravel
 from coordloom.functions.complex_numbers import check_product
 from coordloom.operators.joins import (
-    HOT_ENTRIES, block_pairing, blocks, keyed_join, smaller_fitting,
+    HOT_ENTRIES, PAIRS, block_pairing, blocks, keyed_join, smaller_fitting,
 )
 from coordloom.table import CooTable, present
 
@@ -70,6 +70,12 @@ def _check_plan(plan: str, *known: str) -> None:
         raise ValueError(f"plan must be one of {('auto', *known)}, got {plan!r}")
 
 
+def _too_few(a: CooTable, b: CooTable, hot: int | None) -> bool:
+    """True if counts noted on writing rule hot keys out."""
+    counts = a.counted, b.counted
+    return None not in counts and max(counts) <= (hot or 0) and counts[0] * counts[1] <= PAIRS
+
+
 def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
            hot: int | None = HOT_ENTRIES, plan: str = "auto", exact: bool = False) -> CooTable:
     """The product ``a . b``; sums that are zero in every part are dropped.
@@ -98,7 +104,7 @@ def matmul(a: CooTable, b: CooTable, product: str = COMPLEX, eps: float = 0.0,
     if plan == "in_place" and not in_place:
         raise ValueError("no side is bucketed by the join index and free of hot keys")
     a, b, small = _small_side(a, b) if plan == "auto" else (a, b, None)
-    if plan != "cells" and (in_place or max(a.dims[0], b.dims[1]) <= (hot or 0)):
+    if plan != "cells" and (in_place or max(a.dims[0], b.dims[1]) <= (hot or 0) or _too_few(a, b, hot)):
         hot = None
     if small is None and not in_place:
         a, b = a.merged(), b.merged()
@@ -158,7 +164,7 @@ def kron(a: CooTable, b: CooTable, product: str = COMPLEX,
     counts = [1, 1]
     if small is None:
         a, b = (t if n is not None else t.store() for n, t in zip(entries, (a, b)))
-        counted = [None if n is not None else t.count() for n, t in zip(entries, (a, b))]
+        counted = [None if n is not None else t.count() for n, t in zip(entries, (a, b))]  # no job: stored
         bounds = [t.bound if n is None else n for n, t in zip(counted, (a, b))]
         counts = [blocks(n if n is not None else c, block) for n, c in zip(entries, counted)]
     pairs = block_pairing(
@@ -206,6 +212,52 @@ class AxisOperator:
         return AxisOperator(self.matrix.store(), self.sizes, self.axis)
 
 
+@dataclass(frozen=True)
+class SplitOperator:
+    """A stored operator whose hot columns lie apart: ``light`` is bucketed by column and has no
+    hot one, ``heavy`` holds the entries of ``keys`` hot columns, laid out by row."""
+
+    light: CooTable
+    heavy: CooTable
+    hot_columns: DataFrame
+    keys: int
+
+    @property
+    def dims(self) -> tuple[int, int]:
+        return self.light.dims
+
+    def store(self) -> SplitOperator:
+        return self
+
+
+def apply_split(op: SplitOperator, v: CooTable, product: str = COMPLEX, eps: float = 0.0,
+                exact: bool = False) -> CooTable:
+    """``op . v`` with neither part of the operator moved.
+
+    The state moves to the buckets of the light columns. What it has at the hot columns, at
+    most ``keys`` rows of it, is broadcast to the heavy part if that is proven small; otherwise
+    that part is multiplied by the plan that cuts hot keys into cells.
+    """
+    if op.dims[1] != v.dims[0]:
+        raise ValueError(f"columns of {op.dims} differ from rows of {v.dims}")
+    check_product(product)
+    v = v.merged()
+    picked = v.df.join(op.hot_columns.withColumnRenamed("col", "row"), "row", "left_semi")
+    few = CooTable(picked, v.dims, unique=True, at_most=op.keys * v.dims[1])
+    parts = []
+    for matrix, state, hot in ((op.light, v, None), (op.heavy, few, HOT_ENTRIES)):
+        small = smaller_fitting((matrix.df, state.df), (None, state.bound)) if matrix is op.heavy else None
+        if matrix is op.heavy and small is None:
+            state = state.store()
+        pairs = keyed_join(_side(matrix, "a", col="_k", row="_i"), _side(state, "b", row="_k", col="_j"), "_k",
+                           spread=(("_i",), ("_j",)), hot=hot,
+                           bounds=(None, state.bound if matrix is op.heavy else None))
+        value = _named(*multiply(_value(matrix, "a"), _value(state, "b"), product))
+        parts.append(pairs.select("_i", "_j", *value))
+    values = [F.col(n) for n in parts[0].columns[2:]]
+    return _summed(parts[0].unionAll(parts[1]), F.col("_i"), F.col("_j"), values, (op.dims[0], v.dims[1]), eps, exact)
+
+
 def apply_on_axis(matrix: CooTable, v: CooTable, sizes: Sequence[int], axis: int,
                   product: str = COMPLEX, eps: float = 0.0,
                   hot: int | None = HOT_ENTRIES, plan: str = "auto") -> CooTable:

@@ -219,6 +219,7 @@ FROM y2 WHERE i % (SELECT max(n_nationkey) + 1 FROM nation) = 3 GROUP BY 1""",
     "kron_blocks": _KRON.format(re="k.re * b.re - k.im * b.im", im="k.re * b.im + k.im * b.re"),
     "matvec_in_place": _MATVEC,
     "chain_in_place": _HOPS,
+    "chain_split": _HOPS,
     "chain_text": _ONE_HOP + """
 SELECT i % (SELECT max(n_nationkey) + 1 FROM nation) AS i2, sum(re * re + im * im) AS val,
   'marginal' AS report FROM y2 GROUP BY 1

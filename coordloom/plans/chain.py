@@ -10,13 +10,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from coordloom.functions import COMPLEX
-from coordloom.operators import AxisOperator, apply_on_axis, axis_form, marginal, matmul, norm
+from coordloom.operators import (
+    AxisOperator, SplitOperator, apply_on_axis, apply_split, axis_form, marginal, matmul, norm,
+)
 from coordloom.plans.ordering import SMALL, Order, cheapest_order
 from coordloom.session import broadcast_entries, discard
-from coordloom.sources import store_bucketed
+from coordloom.sources import store_split
 from coordloom.table import CooTable
 
-Operator = CooTable | AxisOperator
+Operator = CooTable | AxisOperator | SplitOperator
 
 # Products planned as one query before the state is written out.
 PRODUCTS_PER_CUT = 8
@@ -39,6 +41,8 @@ class ChainResult:
 def _apply(op: Operator, state: CooTable, product: str, eps: float, plan: str) -> CooTable:
     if isinstance(op, AxisOperator):
         return apply_on_axis(op.matrix, state, op.sizes, op.axis, product, eps, plan=plan)
+    if isinstance(op, SplitOperator):
+        return apply_split(op, state, product, eps)
     return matmul(op, state, product, eps, plan=plan)
 
 
@@ -66,15 +70,15 @@ def _stored_once(ops: Sequence[Operator], steps: int = 1,
 
 def stored_operators(ops: Sequence[Operator], v: CooTable, steps: int) -> list[Operator]:
     """The operators of a chain as it stores them: what is applied more than once by one job
-    each, bucketed by its join index if the state is too large to broadcast."""
+    each, bucketed by its join index if the state is too large to broadcast, hot columns apart."""
     large = v.dims[0] * v.dims[1] > broadcast_entries(v.df.sparkSession)
-    return _stored_once(ops, steps, lambda op: store_bucketed(op) if large
-                        and _reads_state_twice(op) else op.store())
+    return _stored_once(ops, steps, lambda op: store_split(op) if large and isinstance(op, CooTable)
+                        and op.bucketed is None else op.store())
 
 
 def _reads_state_twice(op: Operator) -> bool:
-    """True if a product with a large state first looks for hot keys in it."""
-    return isinstance(op, CooTable) and op.bucketed is None
+    """True if a product with a large state first looks for hot keys in it, or has two parts."""
+    return isinstance(op, SplitOperator) or isinstance(op, CooTable) and op.bucketed is None
 
 
 def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
@@ -85,7 +89,7 @@ def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
     With ``save_every=k`` the state at the start of step ``i`` is saved for each
     ``i`` above 0 that ``k`` divides; the final state is not among them. An
     operator that is applied more than once is stored first, bucketed by its join
-    index if the state is too large to broadcast. The state is stored every
+    index if the state is too large to broadcast, with hot columns in a part of their own. The state is stored every
     ``products_per_cut`` products, so that neither the plan nor what a lost
     executor costs grows with the number of steps; a stored state that the next
     one replaces is deleted; the rest goes with the ``release()`` of a
@@ -106,7 +110,8 @@ def chain_apply(ops: Sequence[Operator], v: CooTable, steps: int, *,
     for step in range(steps):
         due = saving and step > 0 and step % save_every == 0
         for op in reversed(ops):
-            limit = 1 if large and _reads_state_twice(op) else products_per_cut
+            twice = _reads_state_twice(op) and (large or isinstance(op, SplitOperator))
+            limit = 1 if twice else products_per_cut
             if due or pending >= limit:
                 state, pending = state.store(), 0
                 if replaceable is not None:

@@ -21,7 +21,7 @@ from coordloom.plans import chain_apply, chain_history, compose, run
 from coordloom.session import new_folder
 from coordloom.sources import (
     LEFT, RIGHT, basis_vector, cyclic_shift, format_coo, identity, load_coo, parse_coo, read_coo,
-    read_headers, read_norm, read_parquet, read_tensor, save_coo, store_bucketed, to_coo, uniform_vector,
+    read_headers, read_norm, read_parquet, read_tensor, save_coo, store_bucketed, store_split, to_coo, uniform_vector,
     write_coo, write_norm, write_parquet, write_tensor,
 )
 from coordloom.table import CooTable, TensorTable, check_bounds
@@ -289,6 +289,13 @@ def chain_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_apply(ops, x, 2, plan="in_place").state.entries()
 
 
+def chain_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops and back with operators whose heavier columns are stored apart."""
+    p = inputs.customer_supplier_counts(spark, sf_dir).store()
+    ops = [store_split(op, hot=op.count() // op.dims[1]) for op in (p, p.transpose())]
+    return chain_apply(ops, inputs.customer_vector(spark, sf_dir, p.dims[0]), 2).state.entries()
+
+
 def _nation_axis(spark: SparkSession, sf_dir: str) -> tuple[CooTable, CooTable, int]:
     u = inputs.nation_operator(spark, sf_dir)
     rows = inputs.round_up(inputs.events(spark, sf_dir), u.dims[0])
@@ -463,6 +470,7 @@ QUERIES: dict[str, Query] = {
     "kron_blocks": kron_blocks,
     "matvec_in_place": matvec_in_place,
     "chain_in_place": chain_in_place,
+    "chain_split": chain_split,
     "axis_apply": axis_apply,
     "axis_chain": axis_chain,
     "kron_apply": kron_apply,

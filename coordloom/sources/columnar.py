@@ -11,7 +11,8 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coordloom.session import discard, new_folder, note_table, refuse_own_source
+from coordloom.operators.products import SplitOperator
+from coordloom.session import cut, discard, new_folder, note_table, refuse_own_source
 from coordloom.table import HOT_ENTRIES, CooTable, TensorTable, check_dims, present, within
 
 _SIZE = "size"
@@ -89,15 +90,48 @@ def store_bucketed(t: CooTable, by: str = "col", buckets: int | None = None,
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     t = t.merged()
     stored = t.store()
-    top = heaviest(stored, by)
+    # Fewer entries than make a hot index need no look at the indices.
+    top = stored.counted if stored.counted is not None and stored.counted <= hot else heaviest(stored, by)
     if top > hot:
         return stored
+    bucketed = _bucketed(stored, by, n, top)
+    if stored is not t:
+        discard(spark, stored.path)
+    return bucketed
+
+
+def _bucketed(stored: CooTable, by: str, n: int, top: int) -> CooTable:
+    spark = stored.df.sparkSession
     name = f"coordloom_{uuid.uuid4().hex}"
     path = new_folder(spark, "bucketed")
     # One task per bucket, so that each bucket is one file.
     (_with_facts(stored).repartition(n, by).write.format("parquet").bucketBy(n, by)
      .option("path", path).saveAsTable(name))
-    if stored is not t:
-        discard(spark, stored.path)
     note_table(name)
     return replace(stored, df=spark.table(name), bucketed=by, heaviest=top, path=path)
+
+
+def store_split(t: CooTable, buckets: int | None = None, hot: int = HOT_ENTRIES) -> CooTable | SplitOperator:
+    """Store an operator for many products, its hot columns apart.
+
+    Columns of at most ``hot`` entries are bucketed as by :func:`store_bucketed`. Entries of
+    the others are written in ranges of rows and columns, so that no file holds a whole hot
+    column. A product moves the state alone, see :func:`~coordloom.operators.apply_split`.
+    Without a hot column this is :func:`store_bucketed`.
+    """
+    spark = t.df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = t.merged()
+    stored = t.store()
+    keys = cut(stored.df.groupBy("col").count().where(F.col("count") > hot).select("col"))
+    count = keys.count()
+    if not count:
+        return store_bucketed(stored, "col", buckets, hot)
+    light = replace(stored, df=stored.df.join(keys, "col", "left_anti").select("row", "col", *stored.values),
+                    counted=None, full=False)
+    heavy = replace(stored, df=stored.df.join(keys, "col", "left_semi").select("row", "col", *stored.values)
+                    .repartitionByRange(n, "row", "col"), stored=False, counted=None, full=False)
+    split = SplitOperator(_bucketed(light, "col", n, hot), heavy.store(), keys, count)
+    if stored is not t:
+        discard(spark, stored.path)
+    return split

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from coordloom.session import cut, new_folder
 
@@ -38,6 +38,7 @@ class CooTable:
     * ``unique``: no coordinate occurs twice;
     * ``full``: every coordinate occurs exactly once;
     * ``at_most``: a proven upper bound on the number of entries;
+    * ``counted``: the number of entries, noted as they were written;
     * ``stored``: ``df`` is a plain scan or a generated range, cheap to read twice;
     * ``bucketed``: the files are bucketed by this column, whose commonest index has
       ``heaviest`` entries;
@@ -49,6 +50,7 @@ class CooTable:
     unique: bool = False
     full: bool = False
     at_most: int | None = None
+    counted: int | None = None
     stored: bool = False
     bucketed: str | None = None
     heaviest: int = 0
@@ -71,7 +73,7 @@ class CooTable:
     @property
     def bound(self) -> int | None:
         """Most entries the table can hold, if that is known."""
-        known = [self.at_most] if self.at_most is not None else []
+        known = [n for n in (self.at_most, self.counted) if n is not None]
         if self.unique:
             known.append(self.dims[0] * self.dims[1])
         return min(known, default=None)
@@ -86,8 +88,8 @@ class CooTable:
         return self.df.select("row", "col", "re", im)
 
     def count(self) -> int:
-        """Number of entries; runs a job."""
-        return self.df.count()
+        """Number of entries; runs a job unless it was noted as they were written."""
+        return self.df.count() if self.counted is None else self.counted
 
     def transpose(self) -> CooTable:
         df = self.df.select(F.col("col").alias("row"), F.col("row").alias("col"),
@@ -100,14 +102,27 @@ class CooTable:
         if self.unique:
             return self
         df = self.df.groupBy("row", "col").agg(*(F.sum(v).alias(v) for v in self.values))
-        return CooTable(df, self.dims, unique=True, at_most=self.at_most)
+        return CooTable(df, self.dims, unique=True, at_most=self.bound)
 
     def store(self) -> CooTable:
-        """Write the entries once to the shared folder and read them from there."""
+        """Write the entries once to the shared folder and read them from there.
+
+        They are counted on the way, which no later operator has to do then. Indices outside
+        the dimensions raise, as the shape is a fact that plans build on.
+        """
         if self.stored:
             return self
         path = new_folder(self.df.sparkSession, "matrix")
-        return replace(self, df=cut(self.df, path), stored=True, path=path)
+        seen = Observation()
+        df = cut(self.df.observe(seen, F.count(F.lit(1)).alias("entries"), *(
+            f(c).alias(f"{c}_{n}") for c in ("row", "col") for n, f in (("least", F.min), ("most", F.max)))), path)
+        facts = seen.get
+        for axis, size in zip(("row", "col"), self.dims):
+            if facts["entries"] and facts[f"{axis}_least"] is not None and not (
+                    0 <= facts[f"{axis}_least"] and facts[f"{axis}_most"] < size):
+                raise ValueError(f"an index is outside {self.dims}: {axis} from "
+                                 f"{facts[f'{axis}_least']} to {facts[f'{axis}_most']}")
+        return replace(self, df=df, stored=True, path=path, counted=facts["entries"])
 
 
 @dataclass(frozen=True)
