@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
@@ -38,12 +37,17 @@ _NAME = re.compile(r"part-\d+-[0-9a-f]+-rows-(-?\d+)-(-?\d+)\.txt$")
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def _opened(path: str) -> tuple:
+    """The file system of a path and the place on it."""
+    from pyarrow import fs  # starts threads, so only where files are opened
+
     return fs.FileSystem.from_uri(path)
 
 
-def _files(path: str) -> list[fs.FileInfo]:
+def _files(path: str) -> list:
     """The data files of a folder in the order of their names, or the file itself."""
+    from pyarrow import fs
+
     system, place = _opened(path)
     info = system.get_file_info(place)
     if info.type == fs.FileType.File:
@@ -238,6 +242,8 @@ class CooWriter(DataSourceArrowWriter):
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
         system, place = _opened(self.path)
         left = f"{place}/_temporary-{self.job}"
         if system.get_file_info(left).type == fs.FileType.Directory:
