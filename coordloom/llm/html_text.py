@@ -4,7 +4,8 @@ The text of a page is summed over its root-to-leaf tag paths: characters and pun
 for each node of a path. Both ratios are smoothed along the page and multiplied; nodes on
 paths above a share of the mean are content. The element that holds the content is then
 taken whole, but for menus, adverts and the like: what a tag says is one, and what a name
-marks as one if the ratio of its paths is low too or most of it is links.
+marks as one if the ratio of its paths is low too, most of it is links, or it is a line of its
+own beside paragraphs. Parts of it that are mostly links go too, whatever their name.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -47,6 +49,11 @@ _COMMENTS = set("comment comments commentlist reply replies respond disqus".spli
 # What is written like the main text, so that no ratio tells it apart, if it is named so whole.
 _ADS = set("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted
 promotion cookie cookies consent gdpr""".split())
+# Words that say whose comments are meant.
+_WHOSE = set("""all article blog latest new page post reader readers recent thread user users visitor
+visitors""".split())
+# Elements that hold parts of a page; one inside the content whose text is mostly links goes.
+_PARTS = set("aside div dl ol section table td ul".split())
 # Words that add nothing to a name.
 _AROUND = set("""area block body bottom box container content inner item left list main outer right
 section slot top unit wrap wrapper""".split())
@@ -77,6 +84,16 @@ def _attributes(written: str) -> dict[str, str]:
     return found
 
 
+@lru_cache(1 << 14)
+def _words(name: str) -> frozenset[str]:
+    """The words of a name in class, id or role; those written as one, as in adbox, apart."""
+    found = set()
+    for word in map(str.lower, _NAME.findall(name)):
+        heads = [word[:k] for k in range(2, len(word)) if word[:k] in _NAMES and word[k:] in _AROUND]
+        found |= {word} if word in _NAMES or not heads else {heads[0], word[len(heads[0]):]}
+    return frozenset(found)
+
+
 class _Page:
     """The elements of a page, parents first, and numbers of its tag paths."""
 
@@ -112,13 +129,13 @@ class _Element:
         self.number = len(self.page.elements)
         self.page.elements.append(self)
         self.depth = parent.depth + 1 if parent else 0
-        names: list[set[str]] = []
+        names: list[frozenset[str]] = []
         hidden = False
         for key, value in _attributes(attributes).items() if attributes else ():
             if key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
                 hidden = True
             elif key != "style" and not (key == "id" and tag in _HEADINGS):
-                names += ({n.lower() for n in _NAME.findall(name)} for name in value.split())
+                names += map(_words, value.split())
         within = parent.article if parent else None
         own = tag in ("article", "main") and within is None and not any(n & _COMMENTS for n in names)
         self.article = self if own else within
@@ -130,7 +147,8 @@ class _Element:
         if tag == "header" and within is not None:
             marked = sure = True
         elif names and not own and tag not in ("html", "body"):
-            whole = [n for n in names if n & _NAMES and n <= _NAMES | _AROUND]
+            whole = [n for n in names if n & _NAMES and n <= _NAMES | _AROUND
+                     or n & _COMMENTS and n <= _COMMENTS | _WHOSE | _AROUND]
             sure = any(n & _ADS or n & _COMMENTS and tag in _BLOCK for n in whole)
             loose = tag in _SCOPE and any(n & _NAMES for n in names)
             marked = sure or tag not in _HEADINGS | {"article", "main"} and (bool(whole) or loose)
@@ -380,11 +398,35 @@ def _without_marked(blocks: list[tuple[_Element, str, int]], threshold: float,
             usual = [usual[0] + ratio * size, usual[1] + size]
     low = threshold * usual[0] / usual[1] if usual[1] else 0.0
     by_ratio, sizes, links = map(page.summed, (by_ratio, sizes, links))
+    # A path of its own: the text of a marked part with no paragraph, beside content in paragraphs.
+    own_paths: Counter[int] = Counter(e.path for e, _, _ in blocks if e.mark is e and e.tag in _PARTS)
+    parts = page.summed({e.number: 1.0 for e, _, _ in blocks})
+    in_paragraphs = 2 * sum(len(w) for e, w, _ in blocks if e.tag == "p") > sum(len(w) for _, w, _ in blocks)
     gone = under(lambda element: element.sure is element or 2 * links[element.number] > sizes[
-        element.number] or by_ratio[element.number] < low * sizes[element.number])
+        element.number] or by_ratio[element.number] < low * sizes[element.number]
+        or in_paragraphs and own_paths[element.path] > 0 and parts[element.number] == 1)
     return [b for b in blocks if not gone[b[0].number]]
 
 
+def _without_linked(blocks: list[tuple[_Element, str, int]], chosen: list[_Element]) -> list[tuple[_Element, str, int]]:
+    """Blocks without the parts inside the content that are mostly links, such as lists of other
+    pages beside the text; none goes if less than half of the text would be left."""
+    if not any(linked for _, _, linked in blocks):
+        return blocks
+    page = chosen[0].page
+    sizes: dict[int, float] = {}
+    links: dict[int, float] = {}
+    for element, words, linked in blocks:
+        sizes[element.number] = sizes.get(element.number, 0.0) + len(words)
+        links[element.number] = links.get(element.number, 0.0) + min(linked, len(words))
+    sizes, links = page.summed(sizes), page.summed(links)
+    whole = {e for e in page.elements if e.tag in _PARTS and e not in chosen
+             and 2 * links[e.number] > sizes[e.number] > 0}
+    gone = page.within(whole)
+    left = [b for b in blocks if not gone[b[0].number]]
+    return left if 2 * sum(len(w) for _, w, _ in left) >= sum(len(w) for _, w, _ in blocks) else blocks
+
+
 def main_text(html: str | None, threshold: float = THRESHOLD, share: float = SHARE) -> str:
     """The main text of a page; empty if there is none."""
     blocks = [b for b in _blocks(html or "") if not b[0].dropped]
@@ -394,7 +436,8 @@ def main_text(html: str | None, threshold: float = THRESHOLD, share: float = SHA
         return ""
     chosen = _chosen(blocks, threshold, share)
     inside = chosen[0].page.within(set(chosen))
-    return "\n\n".join(words for element, words, _ in blocks if inside[element.number])
+    kept = _without_linked([b for b in blocks if inside[b[0].number]], chosen)
+    return "\n\n".join(words for _, words, _ in kept)
 
 
 def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from coordloom.llm import chat, url_filter
+from coordloom.llm import chat, html_text, url_filter
 from coordloom.llm.html_text import main_text, extracted
 
 TRICKY = ["", "plain", "\\### Assistant: </turn> ok", "###", "####", "\\h\\t\\\\", "</turn>\n### user: x",
@@ -160,6 +161,52 @@ def test_parts_of_an_article_with_a_name_stay(part):
     assert main_text(f"<article>{ARTICLE}<p>{LONG}</p>{part}</article>") == want and want.count(LONG) == 2
 
 
+@pytest.mark.parametrize("part", [
+    "<div class='notice'>This page was moved here in May, from the old site.</div>",
+    f"<ul class='user-comments'><li>{LONG}</li><li>{LONG} I agree.</li></ul>",
+    f"<div id='readerComments'><p>{LONG}</p></div>", f"<div class='adbox'>{LONG}</div>", f"<div class=adslot><p>{LONG}</p></div>",
+    "<div><a href=/1>Another story, of last week</a><a href=/2>One more</a></div>",
+    "<ul><li><a href=/1>Another story, of last week</a></li><li><a href=/2>One more</a></li></ul>",
+    "<section><h4><a href=/3>Elsewhere</a></h4><p><a href=/2>Short text, all link.</a></p></section>"])
+def test_parts_inside_an_article_go(part):
+    """Notices, readers' comments, adverts of any name and unnamed lists of links."""
+    for page in (f"<article>{ARTICLE}<p>{LONG}</p>{part}</article>", f"<article>{part}{ARTICLE}<p>{LONG}</p></article>",
+                 f"<div class=page><article>{ARTICLE}<div>{part}</div><p>{LONG}</p></article></div>"):
+        assert main_text(page) == f"{WANT}\n\n{LONG}"
+
+
+def test_links_in_running_text_stay():
+    text = f"<p>{LONG} <a href=/x>Read on, there</a>.</p><p><a href=/y>All of this short one is a link.</a></p>"
+    got = main_text(f"<article>{ARTICLE}{text}</article>")
+    assert got.endswith("All of this short one is a link.") and "Read on, there" in got
+    only = "<div><a href=/1>One, two</a></div><div><a href=/2>Three</a></div>"
+    assert main_text(f"<main>{only}</main>") == "One, two\n\nThree"
+
+
+def test_scores_equal_a_plain_scorer():
+    """Characters beside links and punctuation by path, smoothed and multiplied, step by step."""
+    page = f"<div><p>{LONG}</p><p>Short, <a>a link</a>.</p><ul><li>x<li><a>y, z</a></ul><div><p>{LONG}!</p></div></div>"
+    blocks = html_text._blocks(page)
+    paths = {}
+    for element, words, linked in blocks:
+        chain, above = [], element
+        while above:
+            chain.append(above.tag)
+            above = above.parent
+        paths.setdefault(tuple(chain), []).append((len(words) - linked, len(re.findall(r"[!-/:-@\[-`{-~]", words))))
+        element_chain = tuple(chain)
+        paths.setdefault("order", []).append(element_chain)
+    order = paths.pop("order")
+    mean = {p: [sum(x) / len(x) for x in zip(*v)] for p, v in paths.items()}
+    weights = [math.exp(-k * k / 2) for k in range(-2, 3)]
+    at = lambda k: mean[order[min(max(k, 0), len(order) - 1)]]
+    want = []
+    for k in range(len(order)):
+        length, marks = (sum(w * at(k + d - 2)[part] for d, w in enumerate(weights)) / sum(weights) for part in (0, 1))
+        want.append(length * (1 + marks))
+    assert html_text.content_scores(blocks) == pytest.approx(want)
+
+
 def test_articles_side_by_side_are_all_read():
     more = f"<h2>Next</h2><p>{LONG}</p>"
     teaser = "<article><h3><a href=/x>Other news</a></h3><p><a href=/x>Read it, now.</a></p></article>"
