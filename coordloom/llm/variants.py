@@ -189,13 +189,15 @@ def near_pairs(vocabulary: DataFrame, share: int = SHARE) -> DataFrame:
     hold one: only these lists are merged, by gram, place and length, a long list thus in many
     parts. A pair that meets there must share all but ``may`` grams of either; then it is verified.
     """
-    rows = cut(indexed(vocabulary, frequent_grams(vocabulary, share)))
-    lists = rows.select("word", F.explode("grams").alias("g")).select("word", "g.place", "g.gram")
+    # Rows of single grams go by a number, as a word may be long.
+    rows = cut(indexed(vocabulary, frequent_grams(vocabulary, share)).withColumn(
+        "node", F.monotonically_increasing_id()))
+    lists = rows.select("node", F.explode("grams").alias("g")).select("node", "g.place", "g.gram")
     held = lists.groupBy("gram").agg(F.count("*").alias("held"))
     # Equal grams of a word stand in the order of their places, in every word.
-    rarest = lists.join(held, "gram").groupBy("word").agg(F.array_sort(F.collect_list(
+    rarest = lists.join(held, "gram").groupBy("node").agg(F.array_sort(F.collect_list(
         F.struct("held", "gram", "place"))).alias("by"))
-    probes = cut(rows.join(rarest, "word").select(
+    probes = cut(rows.join(rarest, "node").select(
         "word", "n", "size", "letters", "may", F.transform("by", lambda x: F.hash(x["gram"])).alias("all"),
         F.explode(F.slice("by", F.lit(1), F.col("may") + 1)).alias("x")).select(
         "word", "n", "size", "letters", "may", "all", F.xxhash64("x.gram").alias("gram"), "x.place"))

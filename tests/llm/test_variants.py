@@ -122,6 +122,10 @@ def test_odd_rows(spark):
     long_run = "ab" * 2_000
     rows = [(k, f"{long_run} {long_run}c") for k in range(6)]
     assert got_of(spark, rows) == plain(rows)
+    run = "ab" * 50_000
+    very_long = spark.createDataFrame([(run, 6), (run + "c", 40), ("abcdef", 7)], "word string, n long")
+    assert [(r.a == run, r.b == run + "c", r.na, r.nb) for r in variants.near_pairs(very_long).collect()] == [
+        (True, True, 6, 40)]
 
 
 def test_clashing_columns(spark):
