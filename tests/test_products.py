@@ -293,3 +293,17 @@ def test_skewed_operator_is_not_bucketed(spark):
     assert op.bucketed is None and op.stored
     with pytest.raises(ValueError):
         store_bucketed(op, by="re")
+
+
+def test_own_pairs_are_formed_from_lists(spark, rng, no_broadcast):
+    """Columns of one list each are paired without a join; keys of long lists are joined."""
+    a = np.kron(np.eye(4), random_sparse(rng, (5, 9), 0.6, False))
+    t = sparse(spark, a)
+    got = self_product(t)
+    assert "Join" not in got.df._jdf.queryExecution().optimizedPlan().toString()
+    assert np.array_equal(dense(got), a @ a.T)
+    for listed, task, hot in ((1000, 7, 50), (2, 1000, 50), (3, 5, 2), (1, 1000, 1)):
+        pairs = joins.own_pairs(t.df, "col", "row", "re", hot, listed, task)
+        found = sorted(tuple(r) for r in pairs.select("_i", "_j", "_a", "_b").collect())
+        assert found == sorted((i, j, a[i, k], a[j, k]) for k in range(a.shape[1]) for i in range(20)
+                               for j in range(i, 20) if a[i, k] and a[j, k]), (listed, task, hot)
