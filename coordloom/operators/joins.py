@@ -26,6 +26,8 @@ from coordloom.table import HOT_ENTRIES
 PAIRS = 1 << 26
 # Pairs that a task forms on average: the sums it forms of them stay in memory.
 TASK_PAIRS = 1 << 22
+# Entries that a task sorts on average.
+TASK_ENTRIES = 1 << 21
 # Entries of a key whose pairs with each other are formed from one list.
 LISTED = 1 << 10
 
@@ -130,8 +132,8 @@ def own_pairs(df: DataFrame, key: str, own: str, value: str, hot: int = HOT_ENTR
         joined = keyed_join(heavy.select(key, *columns), heavy.select(key, *others), key, spread=(("_i",), ("_j",)),
                             bounds=(None, None), hot=hot).where(F.col("_i") <= F.col("_j")).select("_i", "_a", "_j", "_b")
         df = df.join(long, key, "left_anti")
-    dealt = df.repartitionByRange(tasks, key) if tasks > 1 else df
-    lists = dealt.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("_l"))
+    ranges = df.repartitionByRange(tasks, key) if tasks > 1 else df
+    lists = ranges.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("_l"))
     pairs = lists.select(F.explode("_l").alias("_x"), "_l").select("_x", F.explode("_l").alias("_y")).where(
         F.col("_x._i") <= F.col("_y._i")).select("_x._i", "_x._a", F.col("_y._i").alias("_j"), F.col("_y._a").alias("_b"))
     return pairs if joined is None else pairs.unionAll(joined)
@@ -141,6 +143,13 @@ def blocks(entries: int, per_block: int) -> int:
     return max(1, -(-entries // per_block))
 
 
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``df`` by its keys over ``tasks`` partitions, which adaptive execution, that knows bytes
+    and no pairs, does not put together; data for one task is left to it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, least), *keys) if tasks > 1 else df.repartition(*keys)
+
+
 def block_pairing(left: DataFrame, right: DataFrame, *, left_id: list[str],
                   right_id: list[str], left_blocks: int, right_blocks: int,
                   small: int | None) -> DataFrame:

@@ -5,7 +5,8 @@ reaches through the chain tell how many columns it reaches, that is how many ent
 row has in the product, whichever order forms it. One pass per matrix carries the minima
 of all sub-chains that end further right; a second one does the same for columns from the
 left. The pairs that a product would form are then sums over one index of entries on the
-left times entries on the right.
+left times entries on the right. Minima are kept as one of four levels an octave, eight to a
+word, so that a sketch is 32 bytes wherever it moves.
 """
 
 from __future__ import annotations
@@ -13,66 +14,125 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from coordloom.operators.joins import TASK_ENTRIES, blocks, dealt
 from coordloom.session import cut, scratch
-from coordloom.table import CooTable
+from coordloom.table import HOT_ENTRIES, CooTable
 
 #: Random numbers of a sketch; the relative error of one row is about 1 / sqrt(RANKS - 2).
 RANKS = 32
 #: Chains whose shapes allow no more pairs than this are ordered by shape, without a job.
 SMALL = 1 << 22
 
+#: Levels of a kept number for each octave: a level is a fifth wide, a sketch has an error of 18 %.
+STEPS = 4
+
 _SPACE = 1 << 62
+_PACKED = 8
 Order = int | tuple  # the number of an operator, or a pair of orders
 
 
-def _minima(ranks: int) -> list[str]:
-    return [f"m{k}" for k in range(ranks)]
+def _words(ranks: int) -> list[str]:
+    return [f"m{k}" for k in range(-(-ranks // _PACKED))]
+
+
+def _level(number: Column) -> Column:
+    """A number below 2^62 as one of 256 levels, the smallest number as the highest."""
+    octaves = F.lit(62.0) - F.log2(number.cast("double") + 1)
+    return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(octaves * STEPS))).cast("bigint")
+
+
+def _packed(levels: Sequence[Column]) -> list[Column]:
+    """Levels as words of eight bytes each."""
+    shifted = [F.shiftleft(level, 8 * (k % _PACKED)) for k, level in enumerate(levels)]
+    return [reduce(Column.bitwiseOR, shifted[k:k + _PACKED]).alias(m)
+            for k, m in zip(range(0, len(shifted), _PACKED), _words(len(shifted)))]
+
+
+def _unpacked(ranks: int) -> list[Column]:
+    words = _words(ranks)
+    return [F.shiftrightunsigned(words[k // _PACKED], 8 * (k % _PACKED)).bitwiseAND(F.lit(255).cast("bigint"))
+            for k in range(ranks)]
 
 
 def _drawn(index: str, ranks: int) -> list[Column]:
     """Random whole numbers below 2^62 of an index."""
-    return [F.xxhash64(F.col(index), F.lit(k)).bitwiseAND(F.lit(_SPACE - 1)).alias(m)
-            for k, m in enumerate(_minima(ranks))]
+    return [F.xxhash64(F.col(index), F.lit(k)).bitwiseAND(F.lit(_SPACE - 1)) for k in range(ranks)]
+
+
+def _gathered(moved: DataFrame, keys: list[str], entries: int, heaviest: int, best: Callable[[Column], Column],
+              numbers: Sequence[Column]) -> DataFrame:
+    """The ``best`` of every number by ``keys``, as ``_n0 ..``, formed after the rows moved.
+
+    Rows move with the index ``_draw`` that they draw from or with packed levels, as a task
+    has too few of one index to reduce them there. An index of many rows is cut by ``_draw``.
+    """
+    cells = blocks(heaviest, HOT_ENTRIES)
+    if cells > 1:
+        moved = moved.withColumn("_cell", F.pmod(F.xxhash64("_draw"), F.lit(cells)))
+    by = keys + ["_cell"] * (cells > 1)
+    found = dealt(moved, blocks(entries, TASK_ENTRIES), *by).groupBy(*by).agg(
+        *(best(x).alias(f"_n{k}") for k, x in enumerate(numbers)))
+    if cells > 1:
+        found = found.groupBy(*keys).agg(*(best(F.col(f"_n{k}")).alias(f"_n{k}") for k in range(len(numbers))))
+    return found
 
 
 def _carried(op: CooTable, own: str, other: str, number: int, before: DataFrame | None,
-             ranks: int) -> DataFrame:
+             ranks: int, last: bool = False) -> DataFrame:
     """Minima (at, end, entries, m0 ..) of one matrix: ``own`` its index that stays, ``other`` the
-    one that meets ``before``. A sub-chain is told by the number of its other end."""
-    names = _minima(ranks)
-    fresh = op.df.select(F.col(own).alias("at"), F.lit(number).alias("end"), F.lit(1).alias("entries"),
-                         *_drawn(other, ranks))
-    if before is not None:
-        fresh = fresh.unionAll(op.df.select(F.col(own).alias("at"), F.col(other).alias("_k")).join(
-            before.withColumnRenamed("at", "_k"), "_k").select("at", "end", F.lit(0).alias("entries"), *names))
-    return cut(fresh.groupBy("at", "end").agg(
-        F.sum("entries").alias("entries"), *(F.min(m).alias(m) for m in names)))
+    one that meets ``before``. A sub-chain is told by the number of its other end. Of the
+    ``last`` matrix nothing is carried on, so that its own entries are only counted."""
+    words = _words(ranks)
+    seen = Observation()
+    counts = cut(op.df.groupBy(F.col(own).alias("at")).agg(F.count(F.lit(1)).alias("entries")).observe(
+        seen, F.sum("entries").alias("entries"), F.max("entries").alias("heaviest")))
+    entries, heaviest = (int(seen.get.get(n) or 0) for n in ("entries", "heaviest"))
+    end = F.lit(number).alias("end")
+    if last:
+        fresh = counts.select("at", end, "entries", *(F.lit(0).cast("bigint").alias(m) for m in words))
+    else:
+        drawn = _gathered(op.df.select(F.col(own).alias("at"), F.col(other).alias("_draw")), ["at"], entries, heaviest,
+                          F.min, _drawn("_draw", ranks))
+        levels = [_level(F.col(f"_n{k}")) for k in range(ranks)]
+        fresh = drawn.join(counts, "at").select("at", end, "entries", *_packed(levels))
+    if before is None:
+        return cut(fresh)
+    ends = len(before.select("end").distinct().collect())
+    met = op.df.select(F.col(own).alias("at"), F.col(other).alias("_draw")).join(
+        before.select(F.col("at").alias("_draw"), "end", *words), "_draw")
+    joined = _gathered(met, ["at", "end"], entries * ends, heaviest, F.max, _unpacked(ranks))
+    levels = [F.col(f"_n{k}") for k in range(ranks)]
+    return cut(fresh.unionAll(joined.select("at", "end", F.lit(0).cast("bigint").alias("entries"), *_packed(levels))))
 
 
 def _estimated(minima: DataFrame, number: int, ranks: int) -> DataFrame:
     """(number, end, at, entries): estimates, for the matrix itself the count."""
-    total = reduce(lambda a, b: a + b, (-F.log1p(-F.col(m) / F.lit(float(_SPACE))) for m in _minima(ranks)))
+    # The middle of a level, as a share of the space.
+    shares = (F.pow(F.lit(2.0), -(level + 0.5) / F.lit(float(STEPS))) for level in _unpacked(ranks))
+    total = reduce(lambda a, b: a + b, (-F.log1p(-share) for share in shares))
     return minima.select(F.lit(number).alias("number"), "end", "at", F.when(
         F.col("end") == number, F.col("entries").cast("double")).otherwise((ranks - 1) / total).alias("entries"))
 
 
-def estimates(ops: Sequence[CooTable], ranks: int = RANKS) -> tuple[DataFrame, DataFrame]:
+def estimates(ops: Sequence[CooTable], ranks: int = RANKS, inner: bool = False) -> tuple[DataFrame, DataFrame]:
     """Entries of every row and of every column of every sub-chain.
 
     ``(first, last, at, entries)`` twice: ``at`` is a row of the product of the operators
-    ``first`` to ``last``, and in the second table a column.
+    ``first`` to ``last``, and in the second table a column. ``inner`` leaves out what no
+    product meets: rows of sub-chains from the first operator on, columns of those to the last.
     """
     if ranks < 3:
         raise ValueError("a sketch takes at least 3 ranks")
     before, rows, columns = None, [], []
-    for n in reversed(range(len(ops))):
-        before = _carried(ops[n], "row", "col", n, before, ranks)
+    for n in reversed(range(inner, len(ops))):
+        before = _carried(ops[n], "row", "col", n, before, ranks, n == inner)
         rows.append(_estimated(before, n, ranks))
     before = None
-    for n, op in enumerate(ops):
-        before = _carried(op, "col", "row", n, before, ranks)
+    final = len(ops) - 1 - inner
+    for n, op in enumerate(ops[:final + 1]):
+        before = _carried(op, "col", "row", n, before, ranks, n == final)
         columns.append(_estimated(before, n, ranks))
     by_row = reduce(DataFrame.unionAll, rows).select(
         F.col("number").alias("first"), F.col("end").alias("last"), "at", "entries")
@@ -117,12 +177,13 @@ def cheapest_order(ops: Sequence[CooTable], ranks: int = RANKS, small: int = SMA
     if by_shape[0] <= small:
         return by_shape[1]
     with scratch(ops[0].df.sparkSession) as noted:
-        rows, columns = estimates([op.merged().store() for op in ops], ranks)
+        rows, columns = estimates([op.merged().store() for op in ops], ranks, inner=True)
         met = columns.select(F.col("first").alias("i"), F.col("last").alias("k"), "at", F.col("entries").alias("c")).join(
             rows.select((F.col("first") - 1).alias("k"), F.col("last").alias("j"), "at", F.col("entries").alias("r")),
             ["k", "at"]).groupBy("i", "k", "j").agg(F.sum(F.col("c") * F.col("r")).alias("pairs"))
         pairs = {(r["i"], r["k"], r["j"]): r["pairs"] for r in met.collect()}
+        both = rows.unionAll(columns.where(F.col("first") == 0))
         entries = {(r["first"], r["last"]): r["n"] for r in
-                   rows.groupBy("first", "last").agg(F.sum("entries").alias("n")).collect()}
+                   both.groupBy("first", "last").agg(F.sum("entries").alias("n")).collect()}
     noted.release()
     return _best(n, lambda *at: pairs.get(at, 0.0), lambda *at: entries.get(at, 0.0))[1]

@@ -9,6 +9,7 @@ import pytest
 from conftest import dense, random_sparse, sparse
 
 from coordloom.operators import AxisOperator, apply_on_axis, axis_form, kron, kron_factors, matmul
+from coordloom.plans import ordering
 from coordloom.plans import chain_apply, cheapest_order, compose, estimated_entries, simplified
 from coordloom.sources import from_rows, identity
 from coordloom.table import CooTable
@@ -146,3 +147,22 @@ def test_kron_factors(spark, rng, complex_values):
     assert kron_factors(CooTable(t.df.limit(0), t.dims), (2, 3)) is None
     with pytest.raises(ValueError):
         kron_factors(t, (3, 3))
+
+
+def test_sketches_are_packed_and_only_met_sides_are_sketched(spark, rng, monkeypatch):
+    """Minima move as four words, and the outer sides of a chain, which no product meets, not at all."""
+    arrays = [random_sparse(rng, s, 0.3, False) for s in ((30, 20), (20, 25), (25, 9))]
+    ops = [sparse(spark, a).store() for a in arrays]
+    kept = ordering._carried(ops[1], "row", "col", 1, ordering._carried(ops[2], "row", "col", 2, None, 32), 32)
+    assert sum(c.startswith("m") for c in kept.columns) == 4
+    rows, columns = ordering.estimates(ops, inner=True)
+    assert {tuple(r) for r in rows.select("first", "last").distinct().collect()} == {(1, 1), (1, 2), (2, 2)}
+    assert {tuple(r) for r in columns.select("first", "last").distinct().collect()} == {(0, 0), (0, 1), (1, 1)}
+    whole = ordering.estimates(ops)
+    for some, every in zip((rows, columns), whole):
+        assert set(map(tuple, some.collect())) <= set(map(tuple, every.collect()))
+    # Indices of many rows are cut into cells, with the same minima.
+    monkeypatch.setattr(ordering, "HOT_ENTRIES", 2)
+    monkeypatch.setattr(ordering, "TASK_ENTRIES", 7)
+    for cut, every in zip(ordering.estimates(ops), whole):
+        assert set(map(tuple, cut.collect())) == set(map(tuple, every.collect()))
