@@ -25,7 +25,7 @@ from coordloom.table import HOT_ENTRIES
 # Pairs of one key that a single cell may form.
 PAIRS = 1 << 26
 # Pairs that a task forms on average: the sums it forms of them stay in memory.
-TASK_PAIRS = 1 << 22
+TASK_PAIRS = 1 << 23
 # Entries that a task sorts on average.
 TASK_ENTRIES = 1 << 21
 # Entries of a key whose pairs with each other are formed from one list.
@@ -43,10 +43,12 @@ def smaller_fitting(sides: tuple[DataFrame, DataFrame],
     return min(fitting, key=lambda n: bounds[n], default=None)
 
 
-def hot_keys(left: DataFrame, right: DataFrame, key: str, hot: int, pairs: int) -> DataFrame:
+def hot_keys(left: DataFrame, right: DataFrame, key: str, hot: int, pairs: int,
+             seen: Observation | None = None) -> DataFrame:
     """Cells of every hot key: ``key, _cells_l, _cells_r``.
 
-    Counts are formed before the shuffle, so a hot key costs one row per task.
+    Counts are formed before the shuffle, so a hot key costs one row per task. ``seen`` takes
+    the ``entries`` and ``pairs`` of all keys as the table is written.
     """
     one, zero = F.lit(1), F.lit(0)
     counts = (
@@ -54,9 +56,12 @@ def hot_keys(left: DataFrame, right: DataFrame, key: str, hot: int, pairs: int)
         .unionAll(right.select(key, zero.alias("_l"), one.alias("_r")))
         .groupBy(key)
         .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-        .where(((F.col("_l") > hot) | (F.col("_r") > hot) | (F.col("_l").cast("double") * F.col("_r") > pairs))
-               & (F.col("_l") > 0) & (F.col("_r") > 0))
     )
+    if seen is not None:
+        counts = counts.observe(seen, F.sum(F.col("_l") + F.col("_r")).alias("entries"),
+                                F.sum(F.col("_l").cast("double") * F.col("_r")).alias("pairs"))
+    counts = counts.where(((F.col("_l") > hot) | (F.col("_r") > hot) | (F.col("_l").cast("double") * F.col("_r") > pairs))
+                          & (F.col("_l") > 0) & (F.col("_r") > 0))
     # The smaller side keeps its entries together as far as the pairs allow.
     side = F.least(F.lit(hot), F.greatest("_l", "_r"))
     less = F.least(F.lit(hot), F.least("_l", "_r"), F.lit(max(1, int(pairs ** 0.5))))
@@ -81,14 +86,20 @@ def _placed(df: DataFrame, hot: DataFrame, key: str, spread: tuple[str, ...], ow
 
 
 def cells_join(left: DataFrame, right: DataFrame, key: str,
-               spread: tuple[tuple[str, ...], tuple[str, ...]], found: DataFrame) -> DataFrame:
-    """Inner join in which every key of ``found`` is cut into its cells.
+               spread: tuple[tuple[str, ...], tuple[str, ...]], found: DataFrame, tasks: int = 1) -> DataFrame:
+    """Inner join in which every key of ``found`` is cut into its cells, over ``tasks`` tasks.
 
     Stored before, ``found`` has a true size, by which Spark picks its join.
     """
-    return _placed(left, found, key, spread[0], "l", "r").join(
-        _placed(right, found, key, spread[1], "r", "l"), [key, "_cell_l", "_cell_r"]
-    ).drop("_cell_l", "_cell_r")
+    return _dealt_join(_placed(left, found, key, spread[0], "l", "r"), _placed(right, found, key, spread[1], "r", "l"),
+                       [key, "_cell_l", "_cell_r"], tasks).drop("_cell_l", "_cell_r")
+
+
+def _dealt_join(left: DataFrame, right: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """Inner join over at least ``tasks`` tasks, for which one leaves the deal to Spark."""
+    if tasks > 1:
+        left, right = (dealt(side, tasks, *keys) for side in (left, right))
+    return left.join(right, keys)
 
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str, *,
@@ -97,7 +108,8 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, *,
                hot: int | None = HOT_ENTRIES, pairs: int = PAIRS) -> DataFrame:
     """Inner join on ``key``. ``spread`` names the columns that tell the entries
     of one key apart on either side, ``bounds`` the proven sizes. ``hot=None``
-    looks for no hot keys: there are none, or a side is bucketed by the key."""
+    looks for no hot keys: there are none, or a side is bucketed by the key. Where they are
+    looked for, entries and pairs are known, and set the number of tasks."""
     small = smaller_fitting((left, right), bounds)
     if small == 1:
         return left.join(F.broadcast(right), key)
@@ -105,8 +117,13 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, *,
         return F.broadcast(left).join(right, key)
     if hot is None:
         return left.join(right, key)
-    found = cut(hot_keys(left, right, key, hot, pairs))
-    return left.join(right, key) if found.isEmpty() else cells_join(left, right, key, spread, found)
+    seen = Observation()
+    found = cut(hot_keys(left, right, key, hot, pairs, seen))
+    total = {n: int(seen.get.get(n) or 0) for n in ("entries", "pairs")}
+    tasks = max(blocks(total["entries"], TASK_ENTRIES), blocks(total["pairs"], TASK_PAIRS))
+    if found.isEmpty():
+        return _dealt_join(left, right, [key], tasks)
+    return cells_join(left, right, key, spread, found, tasks)
 
 
 def own_pairs(df: DataFrame, key: str, own: str, value: str, hot: int = HOT_ENTRIES,
@@ -121,7 +138,7 @@ def own_pairs(df: DataFrame, key: str, own: str, value: str, hot: int = HOT_ENTR
     seen = Observation()
     n = F.col("_n").cast("double")
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).observe(
-        seen, F.sum(n * (n + 1) / 2).alias("pairs"))
+        seen, F.sum(n * n).alias("pairs"))
     long = cut(counts.where(F.col("_n") > min(hot, listed)).select(key))
     tasks = blocks(int(seen.get.get("pairs") or 0), task)
     columns = [F.col(own).alias("_i"), F.col(value).alias("_a")]
@@ -146,7 +163,7 @@ def blocks(entries: int, per_block: int) -> int:
 def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
     """``df`` by its keys over ``tasks`` partitions, which adaptive execution, that knows bytes
     and no pairs, does not put together; data for one task is left to it."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(max(tasks, least), *keys) if tasks > 1 else df.repartition(*keys)
 
 

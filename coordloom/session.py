@@ -19,6 +19,10 @@ _BROADCAST_THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
           "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
 
+# Of files that a task reads and of shuffle partitions that are put together for one.
+TASK_BYTES = 16 << 20
+_TASK_SIZES = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
 # Four 8-byte columns plus the row overhead of Spark's hashed relation.
 _BYTES_PER_ENTRY = 64
 
@@ -127,6 +131,21 @@ def refuse_own_source(df: DataFrame, path: str) -> None:
                              "write to another folder")
 
 
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Has the jobs of the block read files, and put shuffle partitions together, by at most
+    ``TASK_BYTES``: sums of many keys take ten times the bytes of their packed rows."""
+    before = {name: spark.conf.get(name) for name in _TASK_SIZES}
+    try:
+        for name, text in before.items():
+            if _bytes(name, text) > TASK_BYTES:
+                spark.conf.set(name, f"{TASK_BYTES}b")
+        yield
+    finally:
+        for name, text in before.items():
+            spark.conf.set(name, text)
+
+
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
@@ -135,7 +154,8 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_folder(spark, "cut")
-    df.write.parquet(path)
+    with small_tasks(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -154,10 +174,15 @@ def local_table(spark: SparkSession, rows: Sequence[Sequence], **types: pa.DataT
         {name: pa.array(c, t) for (name, t), c in zip(types.items(), columns)}))
 
 
-def broadcast_entries(spark: SparkSession) -> int:
-    """How many matrix entries may be broadcast under the session's threshold."""
-    text = spark.conf.get(_BROADCAST_THRESHOLD).strip().lower()
+def _bytes(name: str, text: str) -> int:
+    """A size setting in bytes."""
+    text = text.strip().lower()
     match = re.fullmatch(r"(-?\d+)\s*([a-z]*)", text)
     if match is None or match.group(2) not in _UNITS:
-        raise ValueError(f"cannot read {_BROADCAST_THRESHOLD}={text!r}")
-    return max(int(match.group(1)) * _UNITS[match.group(2)], 0) // _BYTES_PER_ENTRY
+        raise ValueError(f"cannot read {name}={text!r}")
+    return int(match.group(1)) * _UNITS[match.group(2)]
+
+
+def broadcast_entries(spark: SparkSession) -> int:
+    """How many matrix entries may be broadcast under the session's threshold."""
+    return max(_bytes(_BROADCAST_THRESHOLD, spark.conf.get(_BROADCAST_THRESHOLD)), 0) // _BYTES_PER_ENTRY

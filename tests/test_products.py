@@ -307,3 +307,15 @@ def test_own_pairs_are_formed_from_lists(spark, rng, no_broadcast):
         found = sorted(tuple(r) for r in pairs.select("_i", "_j", "_a", "_b").collect())
         assert found == sorted((i, j, a[i, k], a[j, k]) for k in range(a.shape[1]) for i in range(20)
                                for j in range(i, 20) if a[i, k] and a[j, k]), (listed, task, hot)
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_tasks_of_a_join_follow_its_entries_and_pairs(spark, rng, no_broadcast, monkeypatch, hot):
+    """The product of large sides is dealt over as many tasks as its pairs ask for."""
+    a, b = random_sparse(rng, (40, 6), 0.8), random_sparse(rng, (6, 30), 0.8)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 200)
+    pairs = int((np.count_nonzero(a, axis=0) * np.count_nonzero(b, axis=1)).sum())
+    got = matmul(sparse(spark, a), sparse(spark, b), hot=hot, plan="cells")
+    assert ("_cell_l" in plan(got.df)) == (hot == 3)
+    assert plan(got.df).count(f", {-(-pairs // 200)}), REPARTITION_BY_NUM") >= 2 and -(-pairs // 200) > 8
+    assert np.array_equal(dense(got), a @ b)

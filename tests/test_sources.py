@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import dense, random_sparse, sparse
+from coordloom import session
 from coordloom.functions import parse_complex
 from coordloom.operators import matmul, norm, reshape, sum_axis
 from coordloom.session import broadcast_entries, cut, new_folder, shared_folder
@@ -309,3 +310,25 @@ def test_broadcast_threshold_is_the_sessions(spark, no_broadcast):
     assert broadcast_entries(spark) == 0
     spark.conf.set(key, "64MB")
     assert broadcast_entries(spark) == 1 << 20
+
+
+def test_stored_tables_are_written_by_small_tasks(spark, monkeypatch):
+    """Files and shuffle partitions of a job that stores a table are cut small, and only of that."""
+    sizes = {name: spark.conf.get(name) for name in session._TASK_SIZES}
+    monkeypatch.setattr(session, "TASK_BYTES", 4_000)
+    df = spark.range(40_000).groupBy((F.col("id") * 7 % 30_011).alias("k")).count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    try:
+        stored = session.cut(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
+    assert len(stored.inputFiles()) == 8 and stored.count() == 30_011
+    assert {name: spark.conf.get(name) for name in sizes} == sizes
+    for name in sizes:
+        spark.conf.set(name, "2000b")
+    try:
+        with session.small_tasks(spark):
+            assert all(spark.conf.get(name) == "2000b" for name in sizes)
+    finally:
+        for name, text in sizes.items():
+            spark.conf.set(name, text)
