@@ -49,3 +49,15 @@ def sifted(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataF
         F.broadcast(sieve.withColumnRenamed("block", "of_block")),
         (F.col("block") == F.col("of_block")) & (F.col("bits").bitwiseAND(mask) == mask),
         "left_semi").drop("block")
+
+
+def without(df: DataFrame, key: str, others: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``others``, a table of keys of the same name that are
+    not null. Only rows whose key may be there move."""
+    blocks = blocks_for(others.count())
+    mask = mask_of(F.col(key))
+    parted = df.withColumn("block", block_of(F.col(key), blocks)).join(
+        F.broadcast(filled(others, key, blocks)), "block", "left").withColumn(
+        "maybe", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False)))
+    moved = parted.filter("maybe").join(others, key, "left_anti")
+    return parted.filter("not maybe").unionByName(moved).drop("block", "bits", "maybe")

@@ -11,6 +11,7 @@ comparison gives links enough to connect what is linked, never the pairs.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordloom.llm.bloom import blocks_for, block_of, filled, mask_of, sifted
-from coordloom.llm.counters import cell_of, counted, ranks
+from coordloom.llm.bloom import blocks_for, block_of, filled, mask_of, sifted, without
+from coordloom.llm.counters import bits_for, cell_of, frequent, ranks, slot_column, tallied
 from coordloom.llm.graph import components
 from coordloom.session import cut, new_folder, scratch
 
@@ -38,9 +39,12 @@ EXTRA = 4
 #: Sets and shingles of a block of a cluster; a task holds two blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 1_024, 1 << 20
 _FEW_HOLDERS, _COLUMNS = 8, 2_048
+#: Slots for each entry of the lists, where entries that share none are told from others.
+_SLOTS = 64
 _LARGEST_BOUNDARY = 16
 _ROWS_AT_ONCE = 512
 _WORDS_REMEMBERED = 500_000
+_BYTES_PER_WORD = 6
 _WEIGHTS = np.random.default_rng(11).integers(1, 1 << 64, 8, np.uint64) | np.uint64(1)
 
 
@@ -124,7 +128,7 @@ class _Pass:
                 for c in subset_sizes(len(tokens), self.boundary, self.percent)
                 for part in combinations(tokens.tolist(), c)]
             return np.array(made, np.uint64)
-        rank = self.common.value[cell_of(tokens)]
+        rank = self.common.value[cell_of(tokens, len(self.common.value))]
         order = np.argsort(rank, kind="stable") if rank.any() else slice(None)
         return tokens[order][:prefix_length(len(tokens), self.percent) + EXTRA]
 
@@ -155,7 +159,7 @@ def _of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of a pass that stand for a class, those of its first id, one for each node. The id
     is part of the key, so the copies of a text do not meet in one task."""
     keys = ["s1", "s2", "who"]
-    return rows.drop("id").dropDuplicates(keys).join(classes.select("node", *keys), keys).drop(*keys)
+    return rows.drop("id").dropDuplicates(keys).join(classes, keys).drop(*keys)
 
 
 def _passed_again(texts: DataFrame, classes: DataFrame, nodes: DataFrame, emit: _Pass,
@@ -163,17 +167,65 @@ def _passed_again(texts: DataFrame, classes: DataFrame, nodes: DataFrame, emit:
     """Another pass over the texts that stand for the given nodes, and few others."""
     wanted = cut(classes.join(nodes, "node"))
     near = sifted(texts, "id", wanted, "first")
-    return _of_classes(_shingled(near, emit, size), wanted)
+    return _of_classes(_shingled(near, emit, size), wanted.select("node", "s1", "s2", "who"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets (node, n, tokens) link."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"),
-                                 F.col("tokens").alias("ta")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"),
-                               F.col("tokens").alias("tb")), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return two.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+def _own(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, n, tokens) of the classes, from the rows that are their nodes. Few rows move."""
+    places = full.select("at")
+    nodes = classes.select(F.col("node").alias("at"))
+    spare = cut(places.join(nodes, "at", "left_anti"))
+    others, kept = spare.count(), classes.count()
+    few = others <= kept // 8
+    one = without(full, "at", spare) if others <= kept else sifted(full, "at", nodes, "at").join(nodes, "at")
+    named = one.select(F.col("at").alias("node"), "n", "tokens")
+    return named if few else cut(named)
+
+
+def _packed_sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``nodes`` with the packed text that stands for each: a text takes less than half the bytes of
+    its set, and gives the set again where it is needed."""
+    wanted = cut(classes.join(nodes, "node"))
+    near = sifted(texts, "id", wanted, "first")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                part = batch.slice(at, _ROWS_AT_ONCE)
+                found = part.column(1).to_pylist()
+                signs = [_signature(shingle_set(text, size)) for text in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array([x[k] for x in signs], pa.int64()) for k in (0, 1)),
+                     pa.array([zlib.compress((text or "").encode(), 1) for text in found], pa.binary())],
+                    ["id", "s1", "s2", "packed"])
+
+    kind = dict(near.dtypes)["id"]
+    rows = near.select("id", "text").mapInArrow(packed, f"id {kind}, s1 long, s2 long, packed binary")
+    return _of_classes(rows.withColumn("who", F.xxhash64("id")), wanted.drop("first"))
+
+
+def _unpacked_set(packed: bytes, size: int) -> np.ndarray:
+    return shingle_set(zlib.decompress(packed).decode(), size)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets (node, packed) link."""
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None, None
+        for batch in batches:
+            links = []
+            for b, first, second in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                if last[0] != b:  # neighbours in the join have the same one
+                    last = b, _unpacked_set(second, size)
+                x, y = _unpacked_set(first, size), last[1]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                links.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
+
+    return two.select("a", "b", "pa", "pb").mapInArrow(linked, "a long, b long")
 
 
 def _held(entries: DataFrame) -> DataFrame:
@@ -202,18 +254,31 @@ def boundary(own: DataFrame, held: DataFrame, percent: int = PERCENT) -> int:
     return min(cost, key=lambda b: (cost[b], b))
 
 
-def _entries(own: DataFrame, texts: DataFrame, classes: DataFrame, limit: int, percent: int,
+def _shared(sets: DataFrame) -> DataFrame:
+    """(node, n, token) of the tokens of (node, n, tokens) that are in two sets, and few others.
+
+    Most tokens are in one set. These are told apart by a tally of hashed slots, many for each
+    entry, before any entry moves as a row.
+    """
+    total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    bits = bits_for(_SLOTS * total)
+    twice = cut(tallied(sets, "tokens", lambda column: [column.flatten().to_numpy()], bits, total, 2).select("slot"))
+    entries = sets.select("node", "n", F.explode("tokens").alias("token")).withColumn(
+        "slot", slot_column(F.col("token"), bits))
+    return cut(sifted(entries, "slot", twice, "slot").drop("slot"))
+
+
+def _entries(scanned: DataFrame, texts: DataFrame, classes: DataFrame, limit: int, percent: int,
              size: int) -> DataFrame:
     """(node, n, token, listed) of the inverted lists: prefixes of the sets above the boundary,
     subsets of those that may have a partner within it."""
-    scanned = own.filter(F.col("n") > limit).select(
-        "node", "n", F.explode("tokens").alias("token"), F.lit(False).alias("listed"))
+    scanned = scanned.filter(F.col("n") > limit).withColumn("listed", F.lit(False))
     if not limit:
         return scanned
     small = classes.filter(F.col("n") <= 100 * limit // percent).select("node")
-    kept = _passed_again(texts, classes.drop("n"), small, _Pass("subsets", percent, limit), size)
-    return scanned.unionByName(cut(kept.select(
-        "node", "n", F.explode(F.array_distinct("tokens")).alias("token"), F.lit(True).alias("listed"))))
+    kept = cut(_passed_again(texts, classes.drop("n"), small, _Pass("subsets", percent, limit), size).select(
+        "node", "n", F.array_distinct("tokens").alias("tokens")))
+    return scanned.unionByName(_shared(kept).withColumn("listed", F.lit(True)))
 
 
 def _parted(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -327,28 +392,31 @@ def spanning(links: np.ndarray, square: bool) -> list[tuple[int, int]]:
     return edges
 
 
-def _within(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _blocks(clusters: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, cluster, blocks): into how many blocks each cluster is dealt."""
+    inside = clusters.join(classes.select("node", "n"), "node")
+    held = inside.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+    # Stored, it has a true size: a join by cluster, which may be one hot key, is rarely needed.
+    blocks = cut(held.select("cluster", F.greatest(
+        F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    return clusters.join(blocks, "cluster").select("node", "cluster", "blocks")
+
+
+def _within(sets: DataFrame, percent: int, size: int) -> DataFrame:
     """Links (a, b) that connect all linked sets of each cluster.
 
     A cluster is dealt into blocks of bounded size; each two blocks, and each with itself, are
     compared in a group of their own, which gives fewer links than it has sets.
     """
-    inside = sets.join(clusters, "node")
-    held = inside.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
-    # Stored, it has a true size: a join by cluster, which may be one hot key, is rarely needed.
-    blocks = cut(held.select(F.col("cluster").alias("of"), F.greatest(
-        F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = inside.join(blocks, F.col("cluster") == F.col("of")).withColumn("own", own).withColumn(
+    dealt = sets.filter("cluster is not null").withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "tokens")
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "packed")
 
     def compared(cell: pa.Table) -> pa.Table:
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
         nodes, own = cell.column("node").to_numpy(), cell.column("own").to_numpy()
-        column = cell.column("tokens").combine_chunks()
-        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
-        sets = [values[ends[k]:ends[k + 1]] for k in range(len(nodes))]
+        sets = [_unpacked_set(packed, size) for packed in cell.column("packed").to_pylist()]
         sides = [np.flatnonzero(own == b) for b in ((i,) if i == j else (i, j))]
         left = [sets[k] for k in sides[0]]
         right = None if i == j else [sets[k] for k in sides[1]]
@@ -372,9 +440,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     exactly. Repeated rows and keys each keep their row; null keys take part and a
     component of null keys alone has a null id.
 
-    1. All shingles are counted in a table of fixed size, which orders them: the rarer
-       first, those that very many texts share last. Any common order is right; this one
-       keeps a passage out of the lists of all texts that have enough else.
+    1. Shingles that more than ``LONG_LIST`` texts hold are counted, which orders all: the
+       rarer first, those that very many texts share last. Any common order is right; this
+       one keeps a passage out of the lists of all texts that have enough else.
     2. Equal sets become classes by a 128-bit signature, with partial minima.
     3. Subsets (small sets) and prefixes (large ones) fill the inverted lists, the boundary
        by their cost. Sets that meet in lists of more than ``LONG_LIST``, and are in
@@ -383,31 +451,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
        times that of the lists' entries; verified, those that link are left. Within a
        cluster blocks of sets are compared, which gives links enough to connect it.
     5. The links of both kinds give the components.
+
+    What moves are narrow rows: entries of lists of one set leave before, and sets are moved
+    as their packed texts.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    order = spark.sparkContext.broadcast(ranks(counted(texts, "text", lambda t: shingle_set(t, size))))
-    rows = cut(_shingled(texts, _Pass("prefix", percent, common=order), size))
+    words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _BYTES_PER_WORD
+    table = frequent(texts, "text", lambda column: (shingle_set(t, size) for t in column.to_pylist()), words,
+                     LONG_LIST + 1)
+    order = spark.sparkContext.broadcast(ranks(table))
+    rows = cut(_shingled(texts, _Pass("prefix", percent, common=order), size).withColumn(
+        "at", F.monotonically_increasing_id()))
     full = rows.filter("n > 0")
     place = new_folder(spark, "classes")
     with scratch(spark) as noted:  # what only leads to the components goes
-        classes = cut(full.groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("id").alias("first"))
-                      .withColumns({"node": F.monotonically_increasing_id(), "who": F.xxhash64("first")}))
-        own = cut(_of_classes(full, classes.drop("n")).select("node", "n", "tokens"))
-        entries = _entries(own, texts, classes, 0, percent, size)
-        held = cut(_held(entries))
+        classes = cut(full.groupBy("s1", "s2").agg(F.min("n").alias("n"), F.min("id").alias("first"),
+                                                   F.min("at").alias("node")).withColumn("who", F.xxhash64("first")))
+        own = _own(full, classes)
+        scanned = _shared(own)
+        held = cut(_held(scanned))
         limit = boundary(own, held, percent)
+        entries = _entries(scanned, texts, classes, limit, percent, size)
         if limit:
-            entries = _entries(own, texts, classes, limit, percent, size)
             held = cut(_held(entries))
-        lists = cut(sifted(entries, "token", held, "token").join(held, "token"))
+        lists = cut(entries.join(held, "token"))
         short, long, far = _parted(lists, percent)
-        clusters = cut(_clusters(long))
-        pairs = cut(_meeting(short, clusters, far, percent))
-        nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(
-            clusters.select("node")).distinct())
-        sets = cut(_passed_again(texts, classes.drop("n"), nodes, _Pass("all"), size).select("node", "n", "tokens"))
-        links = cut(_verified(pairs, sets, percent).unionByName(_within(clusters, sets, percent)))
+        clusters = cut(_blocks(cut(_clusters(long)), classes))
+        pairs = cut(_meeting(short, clusters.select("node", "cluster"), far, percent))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("paired", F.lit(True))
+        sets = cut(_packed_sets(texts, classes, clusters.join(ends, "node", "full"), size))
+        links = cut(_verified(pairs, sets.filter("paired"), percent, size).unionByName(_within(sets, percent, size)))
         found = classes.join(components(links), "node", "left").withColumn(
             "component", F.coalesce("component", "node"))
         least = found.groupBy("component").agg(F.min("first").alias("component_id"))
