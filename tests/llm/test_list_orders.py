@@ -57,3 +57,23 @@ def test_sets_are_stored_once(spark, monkeypatch):
     assert all(found[60 + 30 * k + j] == j for k in range(3) for j in range(30))
     assert all(found[150 + k] == 30 + k for k in range(10)) and len(set(found.values())) == 60
     assert [t["tokens"] for t in stored if "tokens" in t] == ["array<bigint>"]
+
+
+def test_a_stage_moves_no_sets(spark, monkeypatch):
+    """The pipeline's stage stores one table of prefixes and no whole sets."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = [prose(60, rng, 10 ** 6) for _ in range(40)]
+    rows = list(enumerate(texts + [f"{t} more" for t in texts[:20]] + texts[:5]))
+    stored, write = [], jaccard.cut
+
+    def noted(df, *path):
+        stored.append(dict(df.dtypes))
+        return write(df, *path)
+
+    monkeypatch.setattr(jaccard, "cut", noted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(map(tuple, kept)) == rows[:40]
+    assert sum("tokens" in t for t in stored) == 1
